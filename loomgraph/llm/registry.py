@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree
+from loomgraph.llm import bpe_tree, language, packing, token_shards
 
 QUERIES = {
+    "op4_language_ppm": language.op4,
     "op6_byte_bpe_tree": bpe_tree.op6,
+    "op9_best_fit_packing": packing.op9,
+    "op10_token_shards": token_shards.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
