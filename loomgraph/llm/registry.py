@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree, language, packing, token_shards
+from loomgraph.llm import bpe_tree, knn, language, packing, simhash, token_shards
 
 QUERIES = {
     "op4_language_ppm": language.op4,
+    "op5_voronoi_knn": knn.op5,
     "op6_byte_bpe_tree": bpe_tree.op6,
+    "op8_simhash_anchors": simhash.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_token_shards": token_shards.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_voronoi_knn": knn.OP5_SQL}

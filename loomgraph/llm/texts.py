@@ -41,6 +41,18 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa
     yield batch.slice(at)
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, for narrow rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def arrow_rows(spark, rows: int = 1024) -> None:
     """Fewer rows in an Arrow batch, as texts can be very long; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
