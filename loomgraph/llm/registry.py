@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree, knn, language, packing, simhash, token_shards
+from loomgraph.llm import bpe_tree, knn, language, licences, packing, simhash, token_shards, urls
 
 QUERIES = {
+    "op1_url_rules": urls.op1,
+    "op2_licence_scan": licences.op2,
     "op4_language_ppm": language.op4,
     "op5_voronoi_knn": knn.op5,
     "op6_byte_bpe_tree": bpe_tree.op6,
