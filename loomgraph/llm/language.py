@@ -30,6 +30,8 @@ from loomgraph.session import table
 
 ORDER = 3
 SAMPLE_BYTES = 1_500_000
+#: Languages that are learned: those with the most text.
+MOST_LANGUAGES = 256
 MAX_CONTEXTS = 1 << 15
 UNKNOWN = "und"
 STEP = 1 << 19
@@ -124,9 +126,10 @@ class Model:
 def sample_counts(df: DataFrame, key: str, text: str, lang: str, sample_bytes: int) -> DataFrame:
     """(lang, gram, n) over about sample_bytes of each language's texts."""
     df = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    size = df.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).withColumnRenamed("lang", "of")
+    size = df.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = F.create_map(*[F.lit(x) for r in size for x in (r.lang, float(r.size))]) if size else F.create_map().cast("map<string,double>")
     share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = df.join(size, F.col("lang") == F.col("of")).where(share * F.col("size") < sample_bytes).select("lang", "text")
+    chosen = df.where(share * sizes[F.col("lang")] < sample_bytes).select("lang", "text")
 
     def count(batches):
         for whole in batches:
