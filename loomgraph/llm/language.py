@@ -7,7 +7,7 @@ after training, so the cost of a byte depends on the bytes before it alone, and
 The language with the shortest code wins; the score is its posterior under equal priors.
 
 Training: Spark counts (language, context, byte) over a sample of whole texts, each language about SAMPLE_BYTES at most, chosen
-by a hash of the key; the most frequent MAX_CONTEXTS contexts of the full order are kept, so the tables have a bounded size whatever the corpus
+by a hash of the key; of each length the most frequent MAX_CONTEXTS contexts at most are kept, fewer with many languages, so the tables have a bounded size whatever the corpus
 holds, and are broadcast. Prediction is one pass without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0 and no code length; without any training text all are
@@ -33,6 +33,8 @@ SAMPLE_BYTES = 1_500_000
 #: Languages that are learned: those with the most text.
 MOST_LANGUAGES = 256
 MAX_CONTEXTS = 1 << 15
+#: Cells of a table for one length of context: contexts x bytes x languages.
+MAX_CELLS = 1 << 24
 UNKNOWN = "und"
 STEP = 1 << 19
 
@@ -77,15 +79,18 @@ class Model:
         symbols = np.full(256, seen.size, np.int64)
         symbols[seen] = np.arange(seen.size)
         width, size = seen.size + 1, len(languages)
-        own, total = np.unique(gram >> 8, return_inverse=True)
-        often = np.bincount(total, n, own.size)
-        kept = np.sort(own[np.lexsort((own, -often))[:most]])
+        most = max(1, min(most, MAX_CELLS // (width * size)))
         shorter, levels, states = np.full((1, width, size), 8.0), [], []
         parent = np.zeros(1, np.int64)
         for order in range(ORDER + 1):
             mask = (1 << 8 * order) - 1
             context = gram >> 8 & mask
-            states.append(np.unique(context) if order < ORDER else kept)
+            own, which = np.unique(context, return_inverse=True)
+            often = np.bincount(which, n, own.size)
+            if order:  # of a kept context, the shorter ones are kept too
+                also = np.isin(own & mask >> 8, states[-1])
+                own, often = own[also], often[also]
+            states.append(np.sort(own[np.lexsort((own, -often))[:most]]))
             use = np.isin(context, states[-1])
             at = np.searchsorted(states[-1], context[use])
             if order:
