@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree, knn, language, licences, packing, simhash, token_shards, urls
+from loomgraph.llm import bpe_tree, knn, language, licences, packing, quality, simhash, token_shards, urls
 
 QUERIES = {
     "op1_url_rules": urls.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_ppm": language.op4,
     "op5_voronoi_knn": knn.op5,
     "op6_byte_bpe_tree": bpe_tree.op6,
+    "op7_quality_divergence": quality.op7,
     "op8_simhash_anchors": simhash.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_token_shards": token_shards.op10,
