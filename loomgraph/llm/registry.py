@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree, knn, language, licences, packing, quality, simhash, token_shards, urls
+from loomgraph.llm import bpe_tree, knn, language, licences, packing, personal, quality, simhash, token_shards, urls
 
 QUERIES = {
     "op1_url_rules": urls.op1,
     "op2_licence_scan": licences.op2,
+    "op3_personal_data": personal.op3,
     "op4_language_ppm": language.op4,
     "op5_voronoi_knn": knn.op5,
     "op6_byte_bpe_tree": bpe_tree.op6,
