@@ -201,15 +201,30 @@ def links(distinct: DataFrame, name: str = "fp", distance: int = DISTANCE, secti
     return spread.select(*columns).repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visits").mapInArrow(run, "a long, b long").distinct()
 
 
+def grouped(rows: DataFrame, least, distance: int, sections: int) -> DataFrame:
+    """(own, least): every distinct fingerprint in rows with the least value, of an aggregate over rows, in its component."""
+    distinct = staged(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    linked_to = stars(links(distinct, "fp", distance, sections))
+    rooted = staged(distinct.join(linked_to, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "rooted")
+    named = staged(rooted.groupBy("root").agg(F.min("least").alias("least")).withColumnRenamed("root", "of"), "named")
+    return rooted.select("fp", "root").join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "root", "least")
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, sections: int = SECTIONS) -> DataFrame:
     """key, fingerprint and component_id of every row."""
     rows = staged(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text"))), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
-    linked_to = stars(links(distinct, "fp", distance, sections))
-    rooted = staged(distinct.join(linked_to, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "rooted")
-    named = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of"), "named")
-    named = rooted.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("own")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = grouped(rows, F.col("key"), distance, sections)
+    return rows.join(named, F.col("fp") == F.col("own")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, sections: int = SECTIONS) -> DataFrame:
+    """One row of df for each component: that with the smallest key, nulls last, and among equal keys by a hash of the text."""
+    own = df.withColumn("_id", F.coalesce(F.col(key), F.lit(0))).withColumn("_mark", F.xxhash64(F.col(key).isNull(), F.col(text)))
+    rows = staged(fingerprints(own.select(F.col(key).alias("key"), "_id", "_mark", F.col(text).alias("text"))), "fingerprints")
+    least = F.struct(F.col("key").isNull().alias("none"), F.col("_id"), F.col("_mark"))
+    kept = staged(grouped(rows, least, distance, sections).select("least._id", "least._mark").distinct(), "representatives")
+    # Both sides are spread by the row's own key, so copies are not together; equal rows are made one where they meet.
+    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*df.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,9 @@ def test_documents(spark):
     assert simhash.classes(df.limit(0)).collect() == []
     only = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     assert [tuple(r)[2] for r in simhash.classes(only).collect()] == [None, None]
+    # One row of each class stays.
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values()))
+    both = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "x y z"), (5, "x y z"), (4, "X y z"), (None, "x y z")], "doc_id long, text string")
+    assert sorted(map(str, simhash.representatives(both).collect())) == ["Row(doc_id=4, text='X y z')", "Row(doc_id=None, text='a b')"]
