@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomgraph.plans import graphs, metrics
+
+PARTS = (graphs, metrics)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: x for part in PARTS for k, x in part.ORACLE_SQL.items()}
 FLAGSHIP = "triangle_census"
