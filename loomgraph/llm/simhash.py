@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.components import stars
 from loomgraph.llm.texts import arrow_rows, joined, slices
+from loomgraph.operators.components import stars
 from loomgraph.session import staged, table
 
 SHINGLE, SEED, DISTANCE, SECTIONS = 4, 42, 4, 3

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomgraph.llm import components, simhash
+from loomgraph.llm import simhash
+from loomgraph.operators import components
 
 
 def plain(text):
