@@ -101,8 +101,8 @@ def three_way_split(spark, sf_dir):
 
 
 @query(CYCLES + """, e AS (SELECT length, cycle, unnest(generate_series(1, length)) AS i FROM c WHERE length <= 3), s AS (SELECT src, dst, bool_or(amount > 60) AS bad FROM p GROUP BY ALL),
-k AS (SELECT cycle, bool_and(bad) AS every, bool_or(bad) AS some FROM e JOIN s ON s.src = e.cycle[i] AND s.dst = e.cycle[CASE WHEN i = e.length THEN 1 ELSE i + 1 END] GROUP BY cycle)
-SELECT array_to_string(cycle, '-') AS cycle, CAST(every AS INTEGER) AS label FROM k WHERE every OR NOT some""")
+k AS (SELECT cycle, bool_and(bad) AS full_, bool_or(bad) AS hit FROM e JOIN s ON s.src = e.cycle[i] AND s.dst = e.cycle[CASE WHEN i = e.length THEN 1 ELSE i + 1 END] GROUP BY cycle)
+SELECT array_to_string(cycle, '-') AS cycle, CAST(full_ AS INTEGER) AS label FROM k WHERE full_ OR NOT hit""")
 def cycle_labels(spark, sf_dir):
     """Cycles with a large event on every arc, or on none."""
     p = pool(spark, sf_dir)
