@@ -59,13 +59,7 @@ def bootstrap(values: DataFrame, unit: str, by: list[str], x: str, draws: int, s
 
     A unit takes part in a draw as often as a hash of (draw, slot) lands on its place, so the index table is the same anywhere.
     """
-    units = values.select(unit).distinct()
-    placed = units.withColumn("_at", F.row_number().over(Window.orderBy(unit)) - 1)  # units are the worlds of a study
-    n = placed.agg(F.count("*")).first()[0]
-    slots = values.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("slot"))
-    picks = slots.select("draw", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "draw", "slot")), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).cast("int").alias("_at"))
-    counted = picks.groupBy("draw", "_at").agg(F.count("*").alias("times")).join(placed, "_at")
-    means = counted.join(values, unit).groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("times")) / F.sum("times")).alias("mean"))
+    means = resampled(values, unit, by, x, draws, salt)
     return means.groupBy(*by).agg(*(F.percentile("mean", q).alias(c) for q, c in zip(quantiles, ("lower", "upper"), strict=True)))
 
 
@@ -83,3 +77,42 @@ def stable_windows(df: DataFrame, by: list[str], step: str, x: str, width: int,
     w = Window.partitionBy(*by).orderBy(step).rangeBetween(-(width - 1), 0)
     low, high, n = F.min(x).over(w), F.max(x).over(w), F.count(x).over(w)
     return df.withColumn("stable", (n == width) & (high - low <= most * low))
+
+
+def resampled(values: DataFrame, unit: str, by: list[str], x: str, draws: int, salt: str) -> DataFrame:
+    """by, draw, mean: the resampled means behind bootstrap()."""
+    placed = values.select(unit).distinct().withColumn("_at", F.row_number().over(Window.orderBy(unit)) - 1)  # units are the worlds of a study
+    n = max(placed.agg(F.count("*")).first()[0], 1)
+    slots = values.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    picks = slots.select("draw", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "draw", "slot")), 1, 12), 16, 10).cast("bigint"), F.lit(n)).cast("int").alias("_at"))
+    counted = picks.groupBy("draw", "_at").agg(F.count("*").alias("times")).join(placed, "_at")
+    return counted.join(values, unit).groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("times")) / F.sum("times")).alias("mean"))
+
+
+def cluster_difference(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str, draws: int, salt: str, alpha: float = 0.05) -> DataFrame:
+    """by, lower, upper, p, sd: the mean difference a - b over resampled clusters, each counted whole; p is the share of draws at or below 0."""
+    sums = pairs.groupBy(*by, cluster).agg(F.avg(F.col(a) - F.col(b)).alias("_d"))
+    means = resampled(sums, cluster, by, "_d", draws, salt)
+    return means.groupBy(*by).agg(F.percentile("mean", alpha / 2).alias("lower"), F.percentile("mean", 1 - alpha / 2).alias("upper"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"), F.stddev_samp("mean").alias("sd"))
+
+
+def equivalence(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str, margin: float, draws: int, salt: str, alpha: float = 0.05) -> DataFrame:
+    """by, p_lower, p_upper, equivalent: two one-sided tests of the mean difference against -margin and margin."""
+    sums = pairs.groupBy(*by, cluster).agg(F.avg(F.col(a) - F.col(b)).alias("_d"))
+    m = resampled(sums, cluster, by, "_d", draws, salt)
+    out = m.groupBy(*by).agg(F.avg((F.col("mean") <= -margin).cast("double")).alias("p_lower"), F.avg((F.col("mean") >= margin).cast("double")).alias("p_upper"))
+    return out.withColumn("equivalent", F.greatest("p_lower", "p_upper") < alpha)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """ln(n over k), by a sum over k terms."""
+    terms = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.log((n - k + i) / i))
+    return F.when((k < 0) | (k > n), F.lit(float("-inf"))).when(k == 0, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+
+def hypergeometric(df: DataFrame, population: str, positives: str, drawn: str, hits: str) -> DataFrame:
+    """df with tail: the chance of at least so many hits among the drawn."""
+    big, k, n = F.col(population), F.col(positives), F.col(drawn)
+    total = log_choose(big, n)
+    each = F.transform(F.sequence(F.col(hits), F.least(k, n)), lambda h: F.exp(log_choose(k, h) + log_choose(big - k, n - h) - total))
+    return df.withColumn("tail", F.when(F.col(hits) > F.least(k, n), 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))))

@@ -241,3 +241,59 @@ def grid_choice(spark, sf_dir):
     """The setting with the least mean over a complete set of seeds."""
     g = scored(spark, sf_dir).groupBy((F.col("candidate") % 4).alias("setting"), (F.col("candidate") % 3).alias("seed")).agg(F.avg("s").alias("v"))
     return g.groupBy("setting").agg(F.avg("v").alias("v"), F.count("*").alias("n")).where("n = 3").orderBy("v", "setting").limit(1).select("setting", F.round("v", 6).alias("v"))
+
+
+PAIRS = f"WITH {TRANSFERS}, c AS (SELECT hours // 24 AS day, kind, src % 20 AS cluster, sum(amount) AS v FROM t WHERE kind IN ('click', 'view') GROUP BY ALL), q AS (SELECT x.day, x.cluster, x.v AS a, y.v AS b FROM c x JOIN c y USING (day, cluster) WHERE x.kind = 'click' AND y.kind = 'view')"
+DRAWS = """, m AS (SELECT 'all' AS arm, cluster, avg(a - b) AS d FROM q GROUP BY cluster), u AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS spot FROM m),
+k AS (SELECT d.range AS draw, s.range AS slot FROM range(200) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('pairs:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT count(*) FROM m) AS spot FROM k),
+b AS (SELECT arm, draw, avg(d) AS mean FROM p JOIN u USING (spot) GROUP BY ALL)"""
+
+
+def day_pairs(spark, sf_dir):
+    c = transfers(spark, sf_dir).where("kind IN ('click', 'view')").groupBy(F.floor(F.col("hours") / 24).alias("day"), (F.col("src") % 20).alias("cluster")).pivot("kind", ["click", "view"]).agg(F.sum("amount"))
+    return c.where("click IS NOT NULL AND view IS NOT NULL").withColumn("arm", F.lit("all"))
+
+
+@query(PAIRS + DRAWS + " SELECT arm, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p, round(stddev_samp(mean), 6) AS sd FROM b GROUP BY arm")
+def cluster_bootstrap(spark, sf_dir):
+    """The daily difference of clicks and views over resampled clusters of users."""
+    return rounded(statistics.cluster_difference(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 200, "pairs"), "lower", "upper", "p", "sd", places=6)
+
+
+@query(PAIRS + DRAWS + ", e AS (SELECT arm, avg(CASE WHEN mean <= -40 THEN 1.0 ELSE 0.0 END) AS l, avg(CASE WHEN mean >= 40 THEN 1.0 ELSE 0.0 END) AS h FROM b GROUP BY arm) SELECT arm, round(l, 6) AS p_lower, round(h, 6) AS p_upper, greatest(l, h) < 0.05 AS equivalent FROM e")
+def equivalence_test(spark, sf_dir):
+    """Whether the same difference lies within 40 either way."""
+    return rounded(statistics.equivalence(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 40.0, 200, "pairs"), "p_lower", "p_upper", places=6)
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT world, count(*) AS n, CAST(sum(y) AS BIGINT) AS k, least(count(*), 5) AS d FROM z GROUP BY world)
+SELECT world, round(1 - CASE WHEN n - k >= d THEN exp(list_sum(list_transform(generate_series(1, d), lambda i: ln((n - k - d + i) / (n - d + i)))))ELSE 0 END, 9) AS tail FROM c WHERE k > 0""")
+def hypergeometric_tail(spark, sf_dir):
+    """The chance that five drawn documents hold a toxic one."""
+    c = scored(spark, sf_dir).groupBy("world").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where("k > 0").withColumns({"d": F.least("n", F.lit(5)), "h": F.lit(1).cast("bigint")})
+    return rounded(statistics.hypergeometric(c, "n", "k", "d", "h").select("world", "tail"), "tail")
+
+
+@query(f"WITH {TRANSFERS}, o AS (SELECT kind, hours // 24 AS day, sum(amount) AS s, max(amount) AS m FROM t GROUP BY ALL) SELECT kind, round(sum(s), 4) AS total, round(avg(s), 6) AS mean_day, round(sum(m), 4) AS sum_of_largest FROM o GROUP BY kind")
+def cost_rollup(spark, sf_dir):
+    """Two levels: totals and largest amounts of days, then their sums and means by kind."""
+    o = transfers(spark, sf_dir).groupBy("kind", F.floor(F.col("hours") / 24).alias("day")).agg(F.sum("amount").alias("s"), F.max("amount").alias("m"))
+    return o.groupBy("kind").agg(F.round(F.sum("s"), 4).alias("total"), F.round(F.avg("s"), 6).alias("mean_day"), F.round(F.sum("m"), 4).alias("sum_of_largest"))
+
+
+@query(f"WITH {SCORED}, a AS (SELECT DISTINCT lang FROM documents), w AS (SELECT DISTINCT world FROM z), g AS (SELECT d.lang, d.source AS world, count(*) AS n FROM documents d JOIN labels USING (doc_id) GROUP BY ALL) SELECT a.lang, w.world, coalesce(CAST(g.n AS VARCHAR), 'NOT_RUN') AS n FROM a, w LEFT JOIN g USING (lang, world)".replace("FROM a, w LEFT JOIN g USING (lang, world)", "FROM a CROSS JOIN w LEFT JOIN g ON g.lang = a.lang AND g.world = w.world"))
+def endpoint_grid(spark, sf_dir):
+    """Every cell of languages by worlds, with NOT_RUN where there is nothing."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("source").alias("world"))
+    langs = [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    grid = d.select("world").distinct().select("world", F.explode(F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>")).alias("lang"))
+    n = d.groupBy("lang", "world").agg(F.count("*").alias("n"))
+    return grid.join(n, ["lang", "world"], "left").select("lang", "world", F.coalesce(F.col("n").cast("string"), F.lit("NOT_RUN")).alias("n"))
+
+
+@query(HISTORY + " SELECT x.kind, x.day, x.n - y.n AS change, abs(x.n - y.n) > 0.2 * y.n AS late FROM c x JOIN c y ON x.kind = y.kind AND y.day = x.day - 7")
+def late_changes(spark, sf_dir):
+    """How each day differs from the same day a week before, and whether by more than a fifth."""
+    h = history(spark, sf_dir)
+    before = h.select("kind", (F.col("day") + 7).alias("day"), F.col("n").alias("was"))
+    return h.join(before, ["kind", "day"]).select("kind", "day", (F.col("n") - F.col("was")).alias("change"), (F.abs(F.col("n") - F.col("was")) > 0.2 * F.col("was")).alias("late"))
