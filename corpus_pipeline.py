@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language, packing, personal, quality, simhash
+from loomgraph.llm import language, packing, personal, quality, similar
 from loomgraph.session import staged, table
 
 #: Documents whose language is less sure than this are rejected.
@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.representatives(docs)
+    """Keeps one document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return similar.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
