@@ -9,7 +9,8 @@ the base rules.
 
 One pass over the texts, DataFrame operations alone, writes the counts of every document; texts are never shuffled, and windows are
 compared inside their row: by 64-bit hashes to see that all differ, and word by word where any two hashes agree. The
-references, one row for a language and at most MOST_LANGUAGES, are sums over all documents.
+references, one row for each language, are sums over all documents: those of the MOST_LITERALS largest stand in the plan itself, all
+others are a written table that is broadcast in blocks of about BLOCK_LANGUAGES.
 
 Defined results: null and empty texts have no words and fail the base rule; every row is judged by itself, repeated ones too;
 without any reference (no labelled document passes) the base rules decide alone.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from loomgraph.session import staged, table
 
 MIN_WORDS, MIN_COMMON, WINDOW, FEWEST, MOST_REPEATED = 50, 150, 5, 10, 20
-MOST_LANGUAGES = 16
+#: Languages whose references are constants of the plan; languages of a block of the others.
+MOST_LITERALS, BLOCK_LANGUAGES = 16, 1024
 #: Largest Jensen-Shannon distances from a language.
 MOST_CLASSES, MOST_COMMON = 0.27, 0.30
 BLANK = r"[\x20\x09-\x0D]+"
@@ -98,8 +100,9 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return made.select(*df.columns, own.alias("_quality"))
 
 
-def distance(own: Column, reference: list[float]) -> Column:
+def distance(own: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance of a histogram of counts from shares; 1 for an empty histogram."""
+    shares = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
     total = F.aggregate(own, F.lit(0), lambda a, x: a + x)
 
     def of(n: Column) -> Column:
@@ -108,33 +111,50 @@ def distance(own: Column, reference: list[float]) -> Column:
             m = (p + q) / 2
             return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-        terms = F.zip_with(own, F.array(*map(F.lit, reference)), term)
+        terms = F.zip_with(own, shares, term)
         return F.when(n == 0, 1.0).otherwise(F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
 
     return let(total, of)
 
 
-def references(made: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """The shares of both histograms for each language."""
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"a{i}") for i in range(len(CLASSES) + 1)] + [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(len(COMMON) + 1)]
+def references(made: DataFrame, most: int = MOST_LITERALS) -> tuple[dict[str, tuple[list[float], list[float]]], DataFrame]:
+    """The shares of both histograms for the languages with the most documents, and for all others as a table (lang, a, b)."""
+    bins = {"a": ("classes", len(CLASSES) + 1), "b": ("common", len(COMMON) + 1)}
+    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{x}{i}") for x, (c, n) in bins.items() for i in range(n)]
     good = made.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull())
-    rows = good.groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    out = {}
-    for r in rows:
-        a, b = [r[f"a{i}"] for i in range(len(CLASSES) + 1)], [r[f"b{i}"] for i in range(len(COMMON) + 1)]
-        out[r.lang] = [x / sum(a) for x in a], [x / sum(b) for x in b]
-    return out
+    added = good.groupBy("lang").agg(F.count("*").alias("n"), *sums)
 
+    def shares(x: str) -> Column:
+        own = [F.col(f"{x}{i}") for i in range(bins[x][1])]
+        return F.array(*[c / sum(own[1:], own[0]) for c in own]).alias(x)
 
-def judged(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, min_common: int = MIN_COMMON, most_classes: float = MOST_CLASSES, most_common: float = MOST_COMMON, carry: list[str] | None = None) -> DataFrame:
+    known = staged(added.select("lang", "n", shares("a"), shares("b")), "references")
+    out = {r.lang: (r.a, r.b) for r in known.orderBy(F.desc("n"), "lang").limit(most).collect()}
+    return out, known.where(~F.col("lang").isin(list(out))).select("lang", "a", "b")
+
+
+def judged(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, min_common: int = MIN_COMMON, most_classes: float = MOST_CLASSES, most_common: float = MOST_COMMON, carry: list[str] | None = None, most_literals: int = MOST_LITERALS, block_languages: int = BLOCK_LANGUAGES) -> DataFrame:
     """df, or its columns `carry`, with `_quality`, the counts, and `_kept`, `_nearest`: the verdict, and the nearest language with its distance as a share of what is allowed. These columns are written once more, so that a text is judged by its own row and never joined."""
     made = staged(counts(df, text, lang).select(*(df.columns if carry is None else carry), "_quality"), "quality-counts")
-    known = references(made.select("_quality.*"))
+    known, others = references(made.select("_quality.*"), most_literals)
     own = lambda c: F.col(f"_quality.{c}")
-    pairs = [F.named_struct(F.lit("far"), F.greatest(distance(own("classes"), a) / most_classes, F.when(own("n_words") >= min_common, distance(own("common"), b) / most_common)), F.lit("lang"), F.lit(x)) for x, (a, b) in known.items()]
+
+    def far(a: list[float] | Column, b: list[float] | Column, x: Column) -> Column:
+        return F.named_struct(F.lit("far"), F.greatest(distance(own("classes"), a) / most_classes, F.when(own("n_words") >= min_common, distance(own("common"), b) / most_common)), F.lit("lang"), x)
+
+    pairs = [far(a, b, F.lit(x)) for x, (a, b) in known.items()]
     nearest = F.array_min(F.array(*pairs)) if pairs else F.lit(None).cast("struct<far: double, lang: string>")
+    columns = made.columns
+    n_blocks = -(-others.count() // block_languages) if len(known) == most_literals else 0
+    for i in range(n_blocks):
+        block = others.where(F.pmod(F.xxhash64("lang"), F.lit(n_blocks)) == i).agg(F.collect_list(F.struct("lang", "a", "b")).alias(f"_block{i}"))
+        made = made.crossJoin(F.broadcast(block))
+        here = F.when(own("n_words") >= min_words, F.array_min(F.transform(f"_block{i}", lambda r: far(r["a"], r["b"], r["lang"]))))
+        made = made.select(*columns, *[f"_near{k}" for k in range(i)], here.alias(f"_near{i}"))
+    if n_blocks:
+        nearest = F.array_min(F.array(nearest, *[F.col(f"_near{i}") for i in range(n_blocks)]))
     out = made.withColumn("_nearest", F.when(own("n_words") >= min_words, nearest))
-    return out.withColumn("_kept", ~own("base_failed") & F.coalesce(F.col("_nearest.far") <= 1, F.lit(True)))
+    return out.withColumn("_kept", ~own("base_failed") & F.coalesce(F.col("_nearest.far") <= 1, F.lit(True))).drop(*[f"_near{i}" for i in range(n_blocks)])
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **limits) -> DataFrame:

@@ -62,3 +62,22 @@ def test_no_references(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k " * 2, None), (None, " ".join(f"w{i}" for i in range(99)), None)], "doc_id long, text string, lang string")
     assert sorted((r.doc_id is None, r.kept) for r in quality.judge(df).collect()) == [(False, False), (True, True)]
     assert quality.judge(df.limit(0)).collect() == []
+
+
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(80)), f"l{i % 20:02}") for i in range(80)]
+    rows += [(100 + i, " ".join("".join(rng.choices("αβγδεζηθ", k=5)) for _ in range(80)), f"z{i}") for i in range(4)]  # fewest documents, own script
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(r.kept for r in got.values())
+    references = {}
+    for lang in {x for *_, x in rows}:
+        a, b = zip(*[brute(t)[1:] for _, t, x in rows if x == lang], strict=True)
+        references[lang] = [[sum(c) / sum(map(sum, h)) for c in zip(*h, strict=True)] for h in (a, b)]
+    for i, t, _ in rows:
+        want = min(js(brute(t)[1], a) / quality.MOST_CLASSES for a, _ in references.values())
+        assert math.isclose(got[i].divergence, want, abs_tol=1e-6)
+    again = quality.judged(df, carry=["doc_id"], most_literals=2, block_languages=5)
+    assert again.columns == ["doc_id", "_quality", "_nearest", "_kept"]
+    assert all(math.isclose(r._nearest.far, got[r.doc_id].divergence, abs_tol=1e-9) for r in again.collect())
