@@ -2,9 +2,10 @@
 
 One pass over the texts keeps the places of licence words, of the base phrases and of the templates' key phrases; a phrase is
 looked for only around its least common word. The inverse document frequencies of licence words are counted over all
-documents. The RARE rarest licence words of a document then look up the templates' postings: a posting says at which place
+documents. All licence words of a document then look up the templates' postings, so no licence of a text with several of them
+is crowded out: a posting says at which place
 of a template a word stands, so place in the text less place in the template is where a copy of the template would begin. A
-beginning on which enough rare words agree is a candidate; it counts if all key phrases of its template stand where they must and
+beginning on which enough words agree is a candidate; it counts if all key phrases of its template stand where they must and
 the words found there hold at least LEAST of the template's weight, the sum of its words' frequencies.
 
 DataFrame operations alone. Only places of licence words are written and shuffled, by row, so neither a hot source nor a common
@@ -34,13 +35,14 @@ TEMPLATES = {
     "gnu-gpl": ("licensed under the gnu general public license", ["gnu general public license"]),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "hereby granted"]),
     "mit": ("released under the mit license", ["mit license"]),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
+    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 }
 #: Too common to be looked up.
 COMMON = set("a an and any are at be by for if in into is not of on or that the this to was with you 0 2 v".split())
-RARE, LEAST = 8, 0.7
+#: The rarest licence words of a document that count, None for all; the least share of a template's weight.
+RARE, LEAST = None, 0.7
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -97,7 +99,7 @@ def places(df: DataFrame, key: str, text: str, base: dict[str, str], templates:
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), let(words_of(F.col(text)), found).alias("x")).select("row", "key", "x.*")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict = TEMPLATES, rare: int = RARE, least: float = LEAST) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict = TEMPLATES, rare: int | None = RARE, least: float = LEAST) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = df.sparkSession
     rows = staged(places(df, key, text, base, templates), "licence-words")  # row numbers are fixed from here on
@@ -117,7 +119,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str,
     known = sorted({w for w, *_ in postings})
     idf = F.create_map(*[F.lit(x) for w in known for x in (w, -weight(w))])
     index = F.broadcast(spark.createDataFrame(postings, "w string, label string, at int, share double"))
-    rarest = F.slice(F.sort_array(F.transform(F.filter(F.array_distinct(F.col("hits.w")), lambda w: w.isin(known)), lambda w: record(f=idf[w], w=w))), 1, rare)
+    rarest = F.slice(F.sort_array(F.transform(F.filter(F.array_distinct(F.col("hits.w")), lambda w: w.isin(known)), lambda w: record(f=idf[w], w=w))), 1, len(known) if rare is None else rare)
     hits = rows.where(F.size("hits") > 0).select("row", "hits", F.transform(rarest, lambda r: r["w"]).alias("rarest")).select("row", "rarest", F.explode("hits").alias("h")).select("row", "h.w", "h.i", F.array_contains("rarest", F.col("h.w")).cast("int").alias("is_rare"))
     words = hits.join(index, "w").select("row", "label", (F.col("i") - F.col("at")).alias("begin"), "share", "is_rare", F.lit(0).alias("phrase"))
     where = F.broadcast(spark.createDataFrame(phrase_rows, "what string, label string, at int"))

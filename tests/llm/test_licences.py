@@ -52,3 +52,14 @@ def test_equals_brute_force(spark):
     assert sorted(got, key=str) == brute(rows, licences.TEMPLATES, licences.RARE, licences.LEAST)
     assert any("apache-2.0" in r[6] for r in got)
     assert licences.scan(df.limit(0)).collect() == []
+
+
+def test_several_licences_in_one_text(spark):
+    own = licences.TEMPLATES
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including'
+    texts = [own["bsd"][0] + ". Released under the MIT License.", ". ".join(t for t, _ in own.values()), mit, "no licence here"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(df).collect()}
+    assert got[0] == {"bsd", "mit"}
+    assert got[1] >= set(own)
+    assert got[2] == {"mit-text"} and got[3] == {""}
