@@ -58,3 +58,11 @@ def arrow_rows(spark, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
