@@ -1,11 +1,14 @@
 """Operator 6: byte-level BPE encoding and decoding by a tree reduction.
 
-An encoding is an element of a monoid: a stretch of text with its ids. A text is halved until its parts are short; the parts
-are encoded, all of a batch at once, and neighbours are joined up the tree. A join re-encodes a window around the seam. The
+An encoding is an element of a monoid: a stretch of text with its ids. A text is halved until its parts have LEAF_BYTES at most; the parts
+are encoded, and neighbours are joined up the tree. A join re-encodes a window around the seam. The
 window grows, doubling on both sides, until each of its ends lies at a place where a piece begins whatever stands around it
 (a blank after a character that is none: no match of the pattern holds a non-blank before a blank). Ids outside the window
 belong to pieces that the seam cannot reach, so they stand. Without such a place the window ends at the end of the stretch.
-Decoding concatenates the bytes of the ids up the same tree.
+Decoding concatenates the bytes of runs of LEAF_IDS ids up a tree.
+
+All joins of one level of all texts of a batch are made together: every id carries the place of its first byte, so a level takes the
+ids inside its windows out and puts the windows' own in.
 
 Each text is independent, so this is one pass without a shuffle; memory is bounded by the batch and the longest text.
 Defined results: null and empty texts have no ids; repeated rows are each encoded; other columns pass through, and an
@@ -28,7 +31,8 @@ from loomgraph.llm import bpe
 from loomgraph.llm.texts import arrow_rows, flat, slices
 from loomgraph.session import table
 
-LEAF_BYTES = 4096
+#: Bytes of a leaf, ids of a leaf of decoding, bytes on either side of a seam at first.
+LEAF_BYTES, LEAF_IDS, WINDOW = 64, 256, 16
 
 
 def cuts(data: np.ndarray, lo: int, hi: int, leaf: int) -> list[int]:
@@ -51,7 +55,7 @@ def boundaries(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
 class Tree:
     """Encodes and decodes with the ranks in a file."""
 
-    def __init__(self, path: str, leaf: int = LEAF_BYTES, window: int = 64):
+    def __init__(self, path: str, leaf: int = LEAF_BYTES, window: int = WINDOW):
         self.pieces, self.leaf, self.window = bpe.tiktoken_pieces(path), leaf, window
         ranks = bpe.ranks(path)
         words: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -61,44 +65,66 @@ class Tree:
         self.width = np.array([len(w) for w in words], np.int64)
         self.decimals = pa.array([b"%d " % i for i in range(len(words))], pa.binary())
 
-    def join(self, data: np.ndarray, lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The ids of data[lo:hi] from those of data[lo:mid] and data[mid:hi]."""
-        w, s, e = self.window, lo, hi
-        while True:
-            a, b = max(lo, mid - w), min(hi, mid + w)
-            at = boundaries(data, a, mid)
-            s = int(at[-1]) if at.size else lo if a == lo else -1
-            at = boundaries(data, mid, b)
-            e = int(at[0]) if at.size else hi if b == hi else -1
-            if s >= 0 and e >= 0:
-                break
+    def windows(self, safe: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of the window to be encoded again around each seam mid of a stretch from lo to hi. safe: where pieces begin in any surroundings, ascending."""
+        begin, end = np.full(mid.size, -1), np.full(mid.size, -1)
+        before, after = np.searchsorted(safe, mid) - 1, np.searchsorted(safe, mid)
+        padded = np.concatenate([safe, [-1]])  # place -1 stands before and behind all
+        left, right = padded[np.maximum(before, -1)], padded[np.minimum(after, safe.size)]
+        w, open_ = self.window, np.arange(mid.size)
+        while open_.size:
+            a, b = np.maximum(lo[open_], mid[open_] - w), np.minimum(hi[open_], mid[open_] + w)
+            met = (left[open_] > a) & (left[open_] >= 0)
+            begin[open_] = np.where(met, left[open_], np.where(a == lo[open_], lo[open_], -1))
+            met = (right[open_] < b) & (right[open_] >= 0)
+            end[open_] = np.where(met, right[open_], np.where(b == hi[open_], hi[open_], -1))
+            open_ = open_[(begin[open_] < 0) | (end[open_] < 0)]
             w *= 2
-        tail = np.cumsum(self.width[left[max(0, left.size - (mid - s)) :][::-1]])
-        head = np.cumsum(self.width[right[: e - mid]])
-        drop = int(np.searchsorted(tail, mid - s)) + 1 if s < mid else 0
-        skip = int(np.searchsorted(head, e - mid)) + 1 if e > mid else 0
-        seam, _ = self.pieces.texts(data[s:e], np.array([0, e - s]))
-        return np.concatenate([left[: left.size - drop], seam, right[skip:]])
+        return begin, end
+
+    def stretches(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, place of each id's first byte) of the stretches that lie between edges, one after another."""
+        ids, _ = self.pieces.texts(data, edges)
+        width = self.width[ids]
+        return ids, np.cumsum(width) - width
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text."""
         leaves = [cuts(data, lo, hi, self.leaf) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        starts = np.array([x for own in leaves for x in own] + [int(offsets[-1])], np.int64)
-        ids, at = self.pieces.texts(data, starts)
-        out, k = [], 0
-        for own, hi in zip(leaves, offsets[1:].tolist(), strict=True):
-            edges = [*own, hi]
-            parts = [ids[at[k + i] : at[k + i + 1]] for i in range(len(own))]
-            k += len(own)
-            while len(parts) > 1:  # one level of the tree
-                pairs = range(0, len(parts) - 1, 2)
-                joined = [self.join(data, edges[i], edges[i + 1], edges[i + 2], parts[i], parts[i + 1]) for i in pairs]
-                parts, edges = joined + parts[2 * len(joined) :], edges[: 2 * len(joined) : 2] + edges[2 * len(joined) :]
-            out.append(parts[0])
-        return out
-
-    def decode(self, ids: np.ndarray) -> memoryview:
-        return spread(self.words, ids)
+        text = np.repeat(np.arange(len(leaves)), [len(own) for own in leaves])
+        edges = np.array([x for own in leaves for x in own] + [int(offsets[-1])], np.int64)
+        ids, at = self.stretches(data, edges)
+        safe = boundaries(data, 0, data.size)
+        lo, hi = edges[:-1], edges[1:]
+        while True:
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: text.size])
+            odd = (np.arange(text.size) - np.repeat(first, np.diff(np.append(first, text.size)))) % 2 == 1
+            right = np.flatnonzero(odd)  # each is joined to its left neighbour
+            if not right.size:
+                break
+            begin, end = self.windows(safe, lo[right - 1], lo[right], hi[right])
+            which = np.minimum(np.searchsorted(end, at, "right"), end.size - 1)
+            stays = (at < begin[which]) | (at >= end[which])
+            sizes = end - begin
+            ends = np.cumsum(sizes)
+            source = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])
+            new, place = self.stretches(data[source], np.append(0, ends))
+            place = source[place]
+            ids, at = np.concatenate([ids[stays], new]), np.concatenate([at[stays], place])
+            order = np.argsort(at, kind="stable")
+            ids, at = ids[order], at[order]
+            hi = hi.copy()
+            hi[right - 1] = hi[right]
+            lo, hi, text = lo[~odd], hi[~odd], text[~odd]
+        cut = np.searchsorted(at, offsets)
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids."""
+        parts = [bytes(spread(self.words, ids[k : k + LEAF_IDS])) for k in range(0, ids.size, LEAF_IDS)]
+        while len(parts) > 1:  # one level of the tree
+            parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
     def decimal(self, ids: np.ndarray) -> memoryview:
         """The ids in decimal, joined by one space."""
@@ -120,7 +146,7 @@ def tree(path: str, leaf: int, window: int) -> Tree:
     return Tree(path, leaf, window)
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", leaf: int = LEAF_BYTES, window: int = 64) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", leaf: int = LEAF_BYTES, window: int = WINDOW) -> DataFrame:
     """df with the ids of its texts as array<int>."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -143,10 +169,10 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        own = tree(path, LEAF_BYTES, 64)
+        own = tree(path, LEAF_BYTES, WINDOW)
         for batch in batches:
             column = batch.column(ids)
-            texts = [bytes(own.decode(np.asarray(x.values if x.is_valid else [], np.int64))).decode(errors="replace") for x in column]
+            texts = [own.decode(np.asarray(x.values if x.is_valid else [], np.int64)).decode(errors="replace") for x in column]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, text])
 
     keep = [c for c in df.columns if c != text]
@@ -154,7 +180,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType())]))
 
 
-def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", leaf: int = LEAF_BYTES, window: int = 64) -> DataFrame:
+def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", leaf: int = LEAF_BYTES, window: int = WINDOW) -> DataFrame:
     """key, n_tokens and the SHA-256 of the decimal ids and of the bytes that they decode to, without holding the ids as a column."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
