@@ -2,7 +2,7 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. A tagger trained in numpy on labelled spans adds what
 the patterns' fixed, greedy reading misses, such as a card number right behind other digits. The labelled spans are
-the base spans in a sample of about MOST_WINDOWS windows of the corpus at most, picked by a hash; windows in which two labelled
+the base spans in a sample of about MOST_WINDOWS windows of the corpus at most, from passages picked by a hash; windows in which two labelled
 spans are set side by side are added to teach the tagger where one ends.
 
 Texts are cut into overlapping windows of WINDOW characters. Each is decoded by Viterbi. The windows' spans are reconciled for the whole
@@ -16,6 +16,7 @@ no spans; every row is judged by itself; without labelled spans there is no tagg
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.crf import Tagger
-from loomgraph.llm.texts import arrow_rows, slices
+from loomgraph.llm.texts import arrow_rows, free, slices
 from loomgraph.session import table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
 HIDDEN, EPOCHS, MOST_WINDOWS, SEED = 16, 12, 3000, 7
+#: Characters of a passage of the training sample.
+PASSAGE = 2048
 #: Runs of digits begin where no digit stands before; a match cannot begin elsewhere.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -145,20 +148,36 @@ def reconciled(tags: np.ndarray, starts: np.ndarray, text: str, base: list[Span]
             margin = min(a if s else WINDOW, WINDOW - b if s + WINDOW < n else WINDOW)
             if passes(kind := int(row[a]) // 2, text[s + a : s + b]):
                 found.append((-margin, s + a, s + b, kind))
-    out = list(base)
-    for _, a, b, kind in sorted(set(found)):
-        if all(b <= x or y <= a for _, x, y in out):
-            out.append((kind, a, b))
-    return sorted(out)
+    # Accepted spans of the tagger don't overlap each other, nor the base spans' union, so neighbours in order are enough.
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
+    # A candidate overlaps few others, as a window has few spans: each is held against those by place.
+    rank = {x: i for i, x in enumerate(sorted(set(found)))}
+    chosen, kept = sorted(rank, key=lambda x: x[1:]), set()
+    starts, ends = [x for x, _ in taken], [y for _, y in taken]
+    open_ = [x for x in chosen if not (k := bisect.bisect_left(ends, x[1] + 1)) < len(starts) or starts[k] >= x[2]]
+    widest = max((b - a for _, a, b, _ in open_), default=0)
+    places = [x[1] for x in open_]
+    for x in sorted(open_, key=rank.get):
+        lo, hi = bisect.bisect_left(places, x[1] - widest), bisect.bisect_left(places, x[2])
+        if not any(k in kept and open_[k][2] > x[1] for k in range(lo, hi)):
+            kept.add(bisect.bisect_left(open_, x[1:], key=lambda y: y[1:]))
+    return sorted([*base, *((open_[k][3], open_[k][1], open_[k][2]) for k in kept)])
 
 
 def sample(df: DataFrame, key: str, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their tags from whole texts picked by a hash."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(TRIGGER))
+    """Windows and their tags from passages picked by a hash of row and place, so that neither a very long text nor repeated keys come whole."""
+    rows = df.select(F.xxhash64(key, F.monotonically_increasing_id()).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(TRIGGER))
     # Each trigger lies in WINDOW / STRIDE windows, so this bounds them.
     n = rows.agg(F.sum(F.char_length(F.regexp_replace("text", "[^0-9@]+", "")))).first()[0] or 0
-    part = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
-    rows = rows.where(part < int(min(1.0, most * 12 / (n * WINDOW / STRIDE + 1)) * (1 << 30)))  # a window holds some dozen triggers where it holds any
+    rate = min(1.0, most * 12 / (n * WINDOW / STRIDE + 1))  # a window holds some dozen triggers where it holds any
+    last = F.floor((F.char_length("text") - 1) / PASSAGE).cast("int")
+    drawn = F.filter(F.sequence(F.lit(0), last), lambda k: F.shiftrightunsigned(F.xxhash64("h", k), 11) / float(1 << 53) < rate)
+    rows = rows.select("text", F.explode(drawn).alias("k")).select(F.col("text").substr(F.col("k") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).where(F.col("text").rlike(TRIGGER))
 
     def windows(batches):
         for whole in batches:
@@ -302,8 +321,10 @@ def mask(df: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFrame:
     def make(texts, spans):
         return [pa.array([t if t is None or not s else cleaned(t, s) for t, (_, s) in zip(texts, spans, strict=True)], pa.string())]
 
-    field = T.StructField("_masked", T.StringType())
-    return per_text(df, tagger, text, df.columns, [field], make).withColumn(text, F.col("_masked")).drop("_masked")
+    name = free("masked", df.columns)
+    field = T.StructField(name, T.StringType())
+    made = per_text(df, tagger, text, df.columns, [field], make)
+    return made.select(*[F.col(name).alias(c) if c == text else F.col(c) for c in df.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

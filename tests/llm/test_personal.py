@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -134,3 +135,42 @@ def test_query_and_masking(docs, tagger):
     assert personal.find(docs.limit(0), None).collect() == []
     assert personal.cleaned(f"{CARD} {CARD}", [(2, 0, 16)]) == "<card> <card>"
     assert personal.masked("ab 1.2.3.4 x", [(1, 3, 10), (2, 5, 10)]) == "ab <ip> x"
+
+
+def test_reconciling_equals_pairwise_tests():
+    """Against the plain way: each candidate, the surest first, is held against all that were taken before."""
+    rng = random.Random(12)
+    for _ in range(60):
+        text = "".join(rng.choice("1 .@ab-") for _ in range(300)).replace(" ", "5", 40)
+        starts = np.arange(0, 300, personal.STRIDE)
+        tags = np.array([[rng.choice([0, 0, 3, 4, 4, 5, 6, 6, 6, 7, 8, 8]) for _ in range(personal.WINDOW)] for _ in starts], np.uint8)
+        base = personal.base_spans(text)
+        found = []
+        for s, row in zip(starts.tolist(), tags, strict=True):
+            for a in range(personal.WINDOW):
+                if row[a] % 2 == 1:
+                    b = a + 1
+                    while b < personal.WINDOW and row[b] == row[a] + 1:
+                        b += 1
+                    if not ((a == 0 and s) or (b == personal.WINDOW and s + b < 300) or s + b > 300) and personal.passes(row[a] // 2, text[s + a : s + b]):
+                        margin = min(a if s else personal.WINDOW, personal.WINDOW - b if s + personal.WINDOW < 300 else personal.WINDOW)
+                        found.append((-margin, s + a, s + b, row[a] // 2))
+        want = list(base)
+        for _, a, b, kind in sorted(set(found)):
+            if all(b <= x or y <= a for _, x, y in want):
+                want.append((kind, a, b))
+        assert personal.reconciled(tags, starts, text, base) == sorted(want)
+
+
+def test_a_very_long_text(tagger):
+    text = " ".join(f"a{i}@b{i}.example.com 10.1.{i % 256}.{i // 256 % 256}" for i in range(28_000))
+    assert len(text) > 1_000_000
+    began = time.time()
+    base, spans = personal.spans_of([text], tagger)[0]
+    assert len(base) == 56_000 and {*base} <= {*spans} and time.time() - began < 60
+
+
+def test_clashing_columns(spark, tagger):
+    df = spark.createDataFrame([("x 1.2.3.4", "a", "b", "c")], "text string, masked string, _masked string, _text string")
+    got = personal.mask(df, tagger)
+    assert got.columns == df.columns and tuple(got.first()) == ("x <ip>", "a", "b", "c")
