@@ -14,6 +14,7 @@ order of their texts' hashes; an empty table gives no shards; other columns aren
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from dataclasses import dataclass
 
@@ -139,19 +140,67 @@ KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 SCHEMA = pa.schema([(n, KINDS[k]) for n, k in (f.split() for f in FIELDS.split(", "))])
 
 
-def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """key, start (ids of all documents before), n_tokens and ids_crc32 of each document in the shards under path, and its ids if asked for."""
-    shards = spark.read.schema(FIELDS).parquet(path)
+def sequence(row: dict, name: str, n: int) -> EliasFano:
+    return EliasFano(n, *(row[f"{name}_{x}"] for x in ("bits", "low", "high", "at")))
+
+
+def offsets_before(shards: DataFrame) -> dict[int, int]:
+    """The ids before each task's first shard: a number for each task that wrote."""
     before, total = {}, 0
-    for r in sorted(shards.groupBy("part").agg(F.max("before").alias("a"), F.max_by(F.octet_length("ids") / F.col("width"), "before").cast("long").alias("b")).collect()):  # a row for each task that wrote
+    for r in sorted(shards.groupBy("part").agg(F.max("before").alias("a"), F.max_by(F.octet_length("ids") / F.col("width"), "before").cast("long").alias("b")).collect()):
         before[r.part] = total
         total += r.a + r.b
+    return before
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, n_tokens and ids of the documents with the given keys (every row of a repeated key); keys without a document give none.
+
+    A shard is met by the keys between its least and its last; select finds each by bisection and reads its two boundaries, without decoding the others.
+    """
+    shards = spark.read.schema(FIELDS).parquet(path)
+    before = offsets_before(shards)
+    last = F.udf(lambda *x: x[0] + EliasFano(x[1] - x[2], *x[3:]).select(x[1] - x[2] - 1) if x[1] > x[2] else None, "long")
+    spans = shards.select("part", "shard", "least", last("least", "n_docs", "n_nulls", "keys_bits", "keys_low", "keys_high", "keys_at").alias("last")).where("last IS NOT NULL")
+    # Keys meet shards by the buckets of their values that both lie in.
+    wide = spans.agg(F.max(F.col("last") - F.col("least"))).first()[0]
+    if wide is None:
+        return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids array<int>")
+    step = F.lit(wide + 1)
+    held = spans.select("part", "shard", "least", "last", F.explode(F.array_distinct(F.array(F.floor(F.col("least") / step), F.floor(F.col("last") / step)))).alias("bucket"))
+    wanted = keys.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL").distinct().withColumn("bucket", F.floor(F.col("key") / step))
+    found = wanted.join(held, "bucket").where("key BETWEEN least AND last").groupBy("part", "shard").agg(F.collect_list("key").alias("wanted"))  # at most the keys of a shard
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, ends = sequence(r, "keys", r["n_docs"] - r["n_nulls"]), sequence(r, "ends", r["n_docs"])
+                ids, rows = np.frombuffer(r["ids"], f"<u{r['width']}"), []
+                for k in sorted(r["wanted"]):
+                    i = bisect.bisect_left(range(own.n), k - r["least"], key=own.select)
+                    while i < own.n and own.select(i) == k - r["least"]:
+                        at = i + r["n_nulls"]
+                        a, b = ends.select(at - 1) if at else 0, ends.select(at)
+                        rows.append({key: k, "start": a + r["before"] + before[r["part"]], "n_tokens": b - a, "ids": ids[a:b].tolist()})
+                        i += 1
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([(key, pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    arrow_rows(spark)
+    return shards.join(found, ["part", "shard"]).mapInArrow(run, f"{key} long, start long, n_tokens long, ids array<int>")
+
+
+def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """key, start (ids of all documents before), n_tokens and ids_crc32 of each document in the shards under path, and its ids if asked for."""
+    shards = spark.read.schema(FIELDS).parquet(path)
+    before = offsets_before(shards)
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano(r["n_docs"], r["ends_bits"], r["ends_low"], r["ends_high"], r["ends_at"]).all()
-                keys = EliasFano(r["n_docs"] - r["n_nulls"], r["keys_bits"], r["keys_low"], r["keys_high"], r["keys_at"]).all() + r["least"]
+                ends = sequence(r, "ends", r["n_docs"])
+                ends = np.fromiter(map(ends.select, range(ends.n)), np.int64, ends.n)
+                keys = sequence(r, "keys", r["n_docs"] - r["n_nulls"])
+                keys = np.fromiter(map(keys.select, range(keys.n)), np.int64, keys.n) + r["least"]
                 starts = np.append(0, ends[:-1])
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -44,9 +44,13 @@ def test_round_trip(spark, shard_ids):
         assert r.ids in by[r.doc_id]
         assert (r.n_tokens, r.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
     assert len(rows) == 86
+    wanted = spark.createDataFrame([(i,) for i in [*ids[6:30], 9, 9, -5, -4, 2**41, None]], "doc_id long")
+    some = sorted(map(tuple, token_shards.lookup(spark, path, wanted).collect()))
+    assert some == sorted((r.doc_id, r.start, r.n_tokens, r.ids) for r in rows if r.doc_id in {*ids[6:30], 9, -5})
 
 
 def test_no_rows(spark):
     path = fresh_path(spark, "t")
     token_shards.write(spark.createDataFrame([], "doc_id long, text string"), path)
     assert token_shards.read(spark, path).collect() == []
+    assert token_shards.lookup(spark, path, spark.range(3).toDF('doc_id')).collect() == []
