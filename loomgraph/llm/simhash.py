@@ -185,11 +185,16 @@ def links(distinct: DataFrame, name: str = "fp", distance: int = DISTANCE, secti
         spread = spread.withColumn("part", F.lit(0))
 
     def run(batches):
-        held = None
+        held, last, seen = None, None, 0
         for batch in joined(batches):
-            anchor = batch.column("anchor").to_numpy() * 4096 + batch.column("part").to_numpy()
+            # The rows of a task come in order, so a running number of (anchor, part) tells groups apart.
+            anchor, piece = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
+            goes_on = held is not None and anchor.size and last == (anchor[0], piece[0])
+            new = np.append(not goes_on, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))[: anchor.size]
+            number, last = seen + np.cumsum(new), (anchor[-1], piece[-1]) if anchor.size else last
+            anchor, seen = number, int(number[-1]) if anchor.size else seen
             visits, fps = batch.column("visits").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)
-            if held is not None and anchor.size and held[0][0] == anchor[0]:  # a group that goes on
+            if goes_on:
                 anchor, visits, fps = (np.concatenate(x) for x in zip(held, (anchor, visits, fps), strict=True))
             a, b = linked(anchor, visits, fps, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -202,19 +207,24 @@ def links(distinct: DataFrame, name: str = "fp", distance: int = DISTANCE, secti
 
 
 def grouped(rows: DataFrame, least, distance: int, sections: int) -> DataFrame:
-    """(own, least): every distinct fingerprint in rows with the least value, of an aggregate over rows, in its component."""
-    distinct = staged(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    """(own, rows, root, least): every distinct fingerprint in rows, how many have it, and the least value, of an aggregate over rows, in its component."""
+    distinct = staged(rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
     linked_to = stars(links(distinct, "fp", distance, sections))
-    rooted = staged(distinct.join(linked_to, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "rooted")
+    rooted = staged(distinct.join(linked_to, F.col("fp") == F.col("a"), "left").select("fp", "least", "rows", F.coalesce("b", "fp").alias("root")), "rooted")
     named = staged(rooted.groupBy("root").agg(F.min("least").alias("least")).withColumnRenamed("root", "of"), "named")
-    return rooted.select("fp", "root").join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "root", "least")
+    return rooted.select("fp", "rows", "root").join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("own"), "rows", "root", "least")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, sections: int = SECTIONS) -> DataFrame:
     """key, fingerprint and component_id of every row."""
     rows = staged(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text"))), "fingerprints")
-    named = grouped(rows, F.col("key"), distance, sections)
-    return rows.join(named, F.col("fp") == F.col("own")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    named = staged(grouped(rows, F.col("key"), distance, sections), "named-fingerprints")
+    # Fingerprints of a thousandth of all rows or more are a thousand at most: those are broadcast, the others meet their rows by a shuffle.
+    many = F.col("rows") * 1000 >= F.lit(rows.count())
+    common = F.broadcast(named.where(many).select(F.col("own").alias("hot"), F.col("least").alias("hot_least")))
+    marked = rows.join(common, F.col("fp") == F.col("hot"), "left")
+    rest = marked.where("hot IS NULL").join(named.where(~many), F.col("fp") == F.col("own")).select("key", "fp", "least")
+    return marked.where("hot IS NOT NULL").select("key", "fp", F.col("hot_least").alias("least")).unionByName(rest).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, sections: int = SECTIONS) -> DataFrame:
