@@ -32,7 +32,7 @@ from loomgraph.llm.texts import arrow_rows, flat, slices
 from loomgraph.session import table
 
 #: Bytes of a leaf, ids of a leaf of decoding, bytes on either side of a seam at first.
-LEAF_BYTES, LEAF_IDS, WINDOW = 64, 256, 16
+LEAF_BYTES, LEAF_IDS, WINDOW = 128, 256, 16
 
 
 def cuts(data: np.ndarray, lo: int, hi: int, leaf: int) -> list[int]:
