@@ -157,6 +157,12 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int
     return out.withColumn("_kept", ~own("base_failed") & F.coalesce(F.col("_nearest.far") <= 1, F.lit(True))).drop(*[f"_near{i}" for i in range(n_blocks)])
 
 
+def passed(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
+    """The rows of df that are kept."""
+    nested = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return judged(nested, carry=["row"], **limits).where("_kept").select("row.*")
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **limits) -> DataFrame:
     """key, the base counts, base_failed, kept, the distance of the nearest language and its name."""
     slim = df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))

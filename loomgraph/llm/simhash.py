@@ -49,22 +49,27 @@ def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> l
     return [xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(ends, ends[size:], strict=False)]
 
 
+def majority(sets: list) -> np.ndarray:
+    """The fingerprint of each list of hashes: a bit is 1 if more than half have it; zero for an empty one."""
+    n = np.array([len(x) for x in sets])
+    some = np.flatnonzero(n)
+    out = np.zeros(n.size, np.uint64)
+    if some.size:
+        hashes = np.concatenate([np.asarray(sets[i], "<u8") for i in some.tolist()])
+        starts = (np.cumsum(n) - n)[some]
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64) * 2 > n[some, None]
+        out[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """df without its text, with the fingerprint as a long."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, text, 2 << 20):
-                own = [shingle_hashes(t, size, seed) for t in batch.column(text).to_pylist()]
-                n = np.array([len(x) for x in own])
-                some = np.flatnonzero(n)
-                out = np.zeros(n.size, np.uint64)
-                if some.size:
-                    hashes = np.array([h for x in own for h in x], "<u8")
-                    starts = (np.cumsum(n) - n)[some]
-                    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64) * 2 > n[some, None]
-                    out[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
+                out = majority([shingle_hashes(t, size, seed) for t in batch.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out.view(np.int64))], [*keep, name])
 
     keep = [c for c in df.columns if c not in (text, name)]
@@ -229,12 +234,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", distance: in
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, sections: int = SECTIONS) -> DataFrame:
     """One row of df for each component: that with the smallest key, nulls last, and among equal keys by a hash of the text."""
-    own = df.withColumn("_id", F.coalesce(F.col(key), F.lit(0))).withColumn("_mark", F.xxhash64(F.col(key).isNull(), F.col(text)))
-    rows = staged(fingerprints(own.select(F.col(key).alias("key"), "_id", "_mark", F.col(text).alias("text"))), "fingerprints")
+    marks = [F.coalesce(F.col(key), F.lit(0)).alias("_id"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("_mark")]
+    own = df.select(F.struct(*df.columns).alias("row"), *marks)
+    rows = staged(fingerprints(df.select(F.col(key).alias("key"), *marks, F.col(text).alias("text"))), "fingerprints")
     least = F.struct(F.col("key").isNull().alias("none"), F.col("_id"), F.col("_mark"))
     kept = staged(grouped(rows, least, distance, sections).select("least._id", "least._mark").distinct(), "representatives")
     # Both sides are spread by the row's own key, so copies are not together; equal rows are made one where they meet.
-    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*df.columns)
+    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

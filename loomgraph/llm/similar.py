@@ -1,7 +1,8 @@
-"""Near-duplicates by similarity: the pipeline's stage on word shingles.
+"""Near-duplicates by similarity: the pipeline's stage on word shingles, on top of operator 8.
 
-Two texts are near copies if their sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more. SimHash fingerprints of
-such texts differ in far more bits than anchors can bridge, so candidates are texts that share one of BANDS bands of ROWS
+Two texts are near copies if their sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more. Operator 8's fingerprints
+and anchors, here over the sets of five-word shingles, give the first candidates: all texts of a class are held against its least. Texts near 0.8 differ in far more
+bits than anchors can bridge, so further candidates are texts that share one of BANDS bands of ROWS
 MinHash values each: at a similarity of s a pair is missed with a chance of (1 - s^ROWS)^BANDS, 3 in a million at 0.8. Every candidate
 is then held against the exact similarity, so no pair below it is linked.
 
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from loomgraph.llm.simhash import shingle_hashes
+from loomgraph.llm import simhash
+from loomgraph.llm.simhash import majority, shingle_hashes
 from loomgraph.llm.texts import arrow_rows, slices
 from loomgraph.operators.components import stars
 from loomgraph.session import staged
@@ -52,7 +54,7 @@ def band_values(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
 
 
 def sketches(df: DataFrame, size: int) -> DataFrame:
-    """_id, _mark, none, node (a hash of the set), n and bands of each row."""
+    """_id, _mark, none, node (a hash of the set), n, fp (its fingerprint) and bands of each row."""
 
     def run(batches):
         for whole in batches:
@@ -62,11 +64,11 @@ def sketches(df: DataFrame, size: int) -> DataFrame:
                 values = iter(band_values(some).view(np.int64).tolist() if some else [])
                 node = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 bands = pa.array([next(values) if x.size else [] for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(node), pa.array([x.size for x in sets], pa.int32()), bands], [*keep, "node", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(node), pa.array([x.size for x in sets], pa.int32()), pa.array(majority(sets).view(np.int64)), bands], [*keep, "node", "n", "fp", "bands"])
 
     keep = ["_id", "_mark", "none"]
     arrow_rows(df.sparkSession)
-    return df.select(*keep, "_text").mapInArrow(run, "_id long, _mark long, none boolean, node long, n int, bands array<long>")
+    return df.select(*keep, "_text").mapInArrow(run, "_id long, _mark long, none boolean, node long, n int, fp long, bands array<long>")
 
 
 def shingles(df: DataFrame, size: int) -> DataFrame:
@@ -94,18 +96,24 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row of df for each component of near copies: that with the smallest key, nulls last, and among equal keys by a hash of the text."""
     most, of = similarity
-    own = df.withColumn("_id", F.coalesce(F.col(key), F.lit(0))).withColumn("_mark", F.xxhash64(F.col(key).isNull(), F.col(text)))
-    texts = own.select("_id", "_mark", F.col(key).isNull().alias("none"), F.col(text).alias("_text"))
+    own = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(key), F.lit(0)).alias("_id"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("_mark"))
+    texts = df.select(F.coalesce(F.col(key), F.lit(0)).alias("_id"), F.xxhash64(F.col(key).isNull(), F.col(text)).alias("_mark"), F.col(key).isNull().alias("none"), F.col(text).alias("_text"))
     rows = staged(sketches(texts, size), "sketches")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("none", "_id", "_mark")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sets")
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("none", "_id", "_mark")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-sets")
+    sized = nodes.select(F.col("node").alias("least"), F.col("n").alias("n_least"))
+    fits = lambda x, y: of * F.least(x, y).cast("long") >= most * F.greatest(x, y).cast("long")
+    against = lambda x: x.where("node <> least").select("node", "n", "least").distinct().join(sized, "least").where(fits(F.col("n"), F.col("n_least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # Operator 8's classes.
+    classes = stars(simhash.links(staged(nodes.select("fp").distinct(), "set-fingerprints")))
+    rooted = nodes.join(classes, F.col("fp") == F.col("a"), "left").select("node", "n", F.coalesce("b", "fp").alias("root"))
+    fewest = rooted.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
+    near = staged(against(rooted.join(fewest, "root")), "fingerprint-candidates")
     bands = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = staged(bands.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1").select("band", "least"), "shared-bands")
     members = staged(bands.join(shared, "band"), "band-members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "least._id", "least._mark")
+    wanted = members.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes, "node").select("node", "least._id", "least._mark")
     sets = staged(shingles(texts.join(wanted, ["_id", "_mark"]).select("node", "_text"), size).dropDuplicates(["node"]), "candidate-shingles")
-    sized = nodes.select(F.col("node").alias("least"), F.col("n").alias("n_least"))
-    fits = lambda x, y: of * F.least(x, y).cast("long") >= most * F.greatest(x, y).cast("long")
-    first = staged(members.where("node <> least").select("node", "n", "least").distinct().join(sized, "least").where(fits(F.col("n"), F.col("n_least"))).select(F.col("node").alias("a"), F.col("least").alias("b")), "candidates")
+    first = staged(against(members).union(near).distinct(), "candidates")
     edges = stars(similar(first, sets, similarity))
     # Texts of one band that are still apart meet each other.
     rooted = staged(members.join(edges, F.col("node") == F.col("a"), "left").select("band", "node", "n", "least", F.coalesce("b", "node").alias("root")), "rooted-members")
@@ -119,4 +127,4 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size
     named = nodes.join(edges, F.col("node") == F.col("a"), "left").groupBy(F.coalesce("b", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = staged(named.select("least._id", "least._mark").distinct(), "representatives")
     # Both sides are spread by the row's own key, so copies are not together; equal rows are made one where they meet.
-    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*df.columns)
+    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select("row.*")
