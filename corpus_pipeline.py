@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language, packing, personal, quality, similar
+from loomgraph.llm.texts import free
 from loomgraph.session import staged, table
 
 #: Documents whose language is less sure than this are rejected.
@@ -21,17 +22,18 @@ LEAST_SURE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are far from every language."""
-    return quality.judged(docs).where("_kept").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language. Learns from the documents that aren't held out."""
-    model = language.train(docs.where(language.remainder(F.col("doc_id")) != 2))
-    return language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select(*docs.columns)
+    languages = language.train(docs.where(language.remainder(F.col("doc_id")) != 2))
+    names = tuple(free(x, docs.columns) for x in ("found", "sure", "bits"))
+    return language.predict(docs, languages, names=names).where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_SURE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """Keeps one document of each group of near copies: five-word shingles, a similarity of 0.8 or more. Candidates are operator 8's classes and, beyond its reach, shared MinHash bands."""
     return similar.representatives(docs)
 
 
