@@ -194,8 +194,12 @@ def pack(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Data
     keys, sequences, offsets = slots(plan(counts, capacity))
     buckets = -(-sum(counts.values()) // BUCKET_ROWS) or 1
     made = made.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
-    by_length = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = made.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(by_length), F.lit(0))).drop("_n")
+    # Buckets are summed by shelves of BUCKET_ROWS, so a length of very many pieces takes no long window.
+    shelf = F.floor(F.col("_bucket") / BUCKET_ROWS).alias("_shelf")
+    counted = staged(made.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("*", shelf), "packing-buckets")
+    running = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy("length", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shelves = counted.groupBy("length", "_shelf").agg(F.sum("_n").alias("_n")).select("length", "_shelf", running("_shelf").alias("_first"))
+    before = counted.withColumn("_inside", running("_shelf", "_bucket")).join(shelves, ["length", "_shelf"]).select("length", "_bucket", (F.col("_first") + F.col("_inside")).alias("_before"))
     inside = Window.partitionBy("length", "_bucket").orderBy(key, "piece", "ids_crc32")
     ranked = made.withColumn("_rank", F.row_number().over(inside) - 1).join(before, ["length", "_bucket"]).select(*[c for c in made.columns if c != "_bucket"], (F.col("_before") + F.col("_rank")).alias("_rank"))
     columns = [c for c in ranked.columns if c != "_rank"]
