@@ -51,17 +51,17 @@ def spread(x: str) -> list[Column]:
     return [F.min(x).alias(f"{x}_min"), F.avg(x).alias(f"{x}_mean"), F.max(x).alias(f"{x}_max"), F.stddev_pop(x).alias(f"{x}_sd"), (F.max(x) - F.min(x)).alias(f"{x}_span")]
 
 
-def candidate_summary(chosen: DataFrame, world: DataFrame) -> DataFrame:
-    """Twenty numbers of each candidate from its chosen events (candidate, src, dst, hours, amount) and the degrees in the whole world."""
+def candidate_summary(chosen: DataFrame, world: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Twenty numbers of each candidate from its chosen events (by, candidate, src, dst, hours, amount) and the degrees in its whole world."""
     c = chosen.withColumn("time", F.col("hours").cast("double")).withColumn("log_amount", F.log1p("amount"))
     events = c.groupBy("candidate").agg(F.count("*").alias("length"), *spread("time"), *spread("log_amount"))
-    out = world.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
-    into = world.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
-    nodes = c.select("candidate", F.explode(F.array("src", "dst")).alias("node")).distinct().join(out, "node", "left").join(into, "node", "left").fillna(0, ["n_in", "n_out"])
+    out = world.groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
+    into = world.groupBy(*by, F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
+    nodes = c.select(*by, "candidate", F.explode(F.array("src", "dst")).alias("node")).distinct().join(out, [*by, "node"], "left").join(into, [*by, "node"], "left").fillna(0, ["n_in", "n_out"])
     three = lambda x: [F.min(x).alias(f"{x}_min"), F.avg(x).alias(f"{x}_mean"), F.max(x).alias(f"{x}_max")]
     degrees = nodes.groupBy("candidate").agg(*three("n_in"), *three("n_out"))
-    arcs = world.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    many = c.select("candidate", "src", "dst").join(arcs, ["src", "dst"]).groupBy("candidate").agg(*three("m"))
+    arcs = world.groupBy(*by, "src", "dst").agg(F.count("*").alias("m"))
+    many = c.select(*by, "candidate", "src", "dst").join(arcs, [*by, "src", "dst"]).groupBy("candidate").agg(*three("m"))
     return events.join(degrees, "candidate").join(many, "candidate")
 
 
@@ -78,3 +78,39 @@ def standardized(df: DataFrame, names: list[str], fit: Column) -> DataFrame:
 def collisions(df: DataFrame, names: list[str], label: str) -> DataFrame:
     """Groups of rows with equal vectors: their number, and whether their labels differ."""
     return df.groupBy(*names).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels")).where("n > 1").withColumn("conflict", F.col("labels") > 1)
+
+
+def edge_features(events: DataFrame, by: list[str]) -> DataFrame:
+    """by, event_id, log_amount and since: the log of an amount, negative ones as zero, and the time from the group's first event."""
+    return events.select(*by, "event_id", F.log10(F.greatest("amount", F.lit(0.0)) + 1).alias("log_amount"), (F.col("hours") - F.min("hours").over(Window.partitionBy(*by))).alias("since"))
+
+
+def assembled(events: DataFrame, by: list[str], motifs: DataFrame | None = None) -> DataFrame:
+    """The eight features of every node, times from the group's first, and with motifs (by, node, ...) its columns beside them: thirteen with triangles, clustering and three cycle counts."""
+    own = relative_times(node_features(events, by), by, ["first", "last"])
+    if motifs is None:
+        return own
+    more = [c for c in motifs.columns if c not in by and c not in ("node", "degree")]
+    return own.join(motifs.select(*by, "node", *more), [*by, "node"], "left").fillna(0, more)
+
+
+def shortcut_profile(chosen: DataFrame, by: list[str]) -> DataFrame:
+    """by, length: candidates, parallel pairs, prevalence of y, and the ranges of amounts and times. chosen: one row for each event of a candidate (by, candidate, y, src, dst, hours, amount)."""
+    one = chosen.groupBy(*by, "candidate").agg(F.count("*").alias("length"), F.max("y").alias("y"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.min("hours").alias("first"), F.max("hours").alias("last"))
+    return one.groupBy(*by, "length").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("prevalence"), F.min("low").alias("amount_min"), F.max("high").alias("amount_max"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def places(marks: DataFrame, order: DataFrame, by: str, key: str, name: str) -> DataFrame:
+    """(by, key, name): the places, in the order of its group, of what a key marks, ascending and joined by blanks. marks: (by, key, x), order: distinct (by, x). Places come from ranges, so a group with very many members takes no single task."""
+    from loomgraph.functions.ordinals import with_ordinal
+
+    placed = with_ordinal(order.select(by, "x"), [by, "x"], "_at")
+    first = placed.groupBy(by).agg(F.min("_at").alias("_first"))
+    met = marks.join(placed, [by, "x"]).groupBy(by, key).agg(F.sort_array(F.collect_list("_at")).alias("_all")).join(first, by)  # as many as a candidate has members
+    return met.select(by, key, F.array_join(F.transform("_all", lambda x: x - F.col("_first")), " ").alias(name))
+
+
+def observed_events(events: DataFrame) -> DataFrame:
+    """event_id, step (the share of all steps before an event) and log_amount."""
+    span = events.agg(F.min("hours").alias("_0"), (F.max("hours") - F.min("hours") + 1).alias("_n"))
+    return events.join(F.broadcast(span)).select("event_id", ((F.col("hours") - F.col("_0")).cast("double") / F.col("_n")).alias("step"), F.log1p("amount").alias("log_amount"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.session import staged
@@ -14,9 +14,9 @@ class CapExceeded(ValueError):
     """More results than the caller allowed; nothing is cut off in silence."""
 
 
-def arcs(edges: DataFrame) -> DataFrame:
-    """(src, dst, m): distinct arcs without loops, with their multiplicity."""
-    return edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("m"))
+def arcs(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, src, dst, m): distinct arcs without loops, with their multiplicity."""
+    return edges.where("src <> dst").groupBy(*by, "src", "dst").agg(F.count("*").alias("m"))
 
 
 def rotated(cycle: Column) -> Column:
@@ -25,60 +25,81 @@ def rotated(cycle: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.slice(cycle, i + 1, n), F.slice(cycle, F.lit(1), i))))
 
 
-def paths(links: DataFrame, length: int) -> DataFrame:
-    """Simple paths of so many nodes that begin at their least node. Each step is an equi-join on the end with a residual on the order, so a path is met once and never through its start."""
-    out = links.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
-    for _ in range(length - 2):
-        step = links.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-        out = out.join(step, "at").where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
-    return out
-
-
-def cycles(links: DataFrame, lengths: range, cap: int | None = None) -> DataFrame:
-    """(length, cycle): directed simple cycles, each once, from its least node. links: distinct (src, dst). Beyond cap cycles it raises."""
-    back = links.select(F.col("src").alias("at"), F.col("dst").alias("home"))
-    found = [paths(links, n).join(back, "at").where(F.col("home") == F.col("path")[0]).select(F.lit(n).alias("length"), F.col("path").alias("cycle")) for n in lengths]
-    out = reduce(DataFrame.unionByName, found)
-    if cap is not None:
-        out = staged(out, "cycles")
-        if (n := out.count()) > cap:
-            raise CapExceeded(f"{n} cycles; at most {cap} are allowed")
-    return out
-
-
-def undirected_cycles(links: DataFrame, lengths: range) -> DataFrame:
-    """(length, cycle): simple cycles of the undirected graph, each once: from the least node towards the lesser neighbour."""
-    both = links.select("src", "dst").union(links.select("dst", "src")).where("src <> dst").distinct()
-    return cycles(both, lengths).where((F.size("cycle") > 2) & (F.col("cycle")[1] < F.element_at("cycle", -1)))
+def on_cycles(links: DataFrame, by: tuple[str, ...] = (), rounds: int = 2) -> DataFrame:
+    """links without those whose ends have no way in or no way out, some rounds of that; every cycle stays."""
+    for _ in range(rounds):
+        starts, ends = links.select(*by, F.col("src").alias("dst")).distinct(), links.select(*by, F.col("dst").alias("src")).distinct()
+        links = links.join(starts, [*by, "dst"], "left_semi").join(ends, [*by, "src"], "left_semi").select(*by, "src", "dst")
+    return links
+
+
+def cycles(links: DataFrame, lengths: range, cap: int | None = None, by: tuple[str, ...] = (), most_paths: int | None = None) -> DataFrame:
+    """(by, length, cycle): directed simple cycles inside each group of `by`, each once, from its least node. links: distinct (by, src, dst).
+
+    Simple paths grow by a node a round from their least node: an equi-join on the end with a residual on the order, so that a path is met once. Each
+    round's paths are written once and closed from there. The number of paths that a round is going to look at is known before it is made, from the
+    degrees; beyond most_paths of them, or beyond cap cycles, it raises; nothing is cut off.
+    """
+    by = tuple(by)
+    links = staged(on_cycles(links.select(*by, "src", "dst"), by), "links")
+    ways = links.groupBy(*by, F.col("src").alias("at")).agg(F.count("*").alias("ways"))
+    after = links.select(*by, F.col("src").alias("at"), F.col("dst").alias("next"))
+    back = links.select(*by, F.col("src").alias("at"), F.col("dst").alias("home"), F.lit(True).alias("closes"))
+    front = links.where("src < dst").select(*by, F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
+    found, n_found = [], 0
+    for n in range(2, max(lengths) + 1):
+        # With each path go the ways on from its end and whether one of them leads home, so one write a round gives all counts.
+        seen = Observation()
+        marked = front.withColumn("home", F.col("path")[0]).join(ways, [*by, "at"]).join(back, [*by, "at", "home"], "left").drop("home")
+        front = staged(marked.observe(seen, F.count_if("closes").alias("closed"), F.coalesce(F.sum("ways"), F.lit(0)).alias("ahead")), "paths")
+        if n in lengths:
+            found.append(front.where("closes").select(*by, F.lit(n).alias("length"), F.col("path").alias("cycle")))
+            if cap is not None and (n_found := n_found + seen.get["closed"]) > cap:
+                raise CapExceeded(f"{n_found} cycles of up to {n} arcs; at most {cap} are allowed")
+        if n == max(lengths) or found and not seen.get["ahead"]:
+            break
+        if most_paths is not None and seen.get["ahead"] > most_paths:
+            raise CapExceeded(f"{seen.get['ahead']} paths of {n + 1} nodes; at most {most_paths} are allowed")
+        grown = front.join(after, [*by, "at"]).where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
+        front = grown.select(*by, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def undirected_cycles(links: DataFrame, lengths: range, cap: int | None = None, by: tuple[str, ...] = (), most_paths: int | None = None) -> DataFrame:
+    """(by, length, cycle): simple cycles of the undirected graph, each once: from the least node towards the lesser neighbour."""
+    both = links.select(*by, "src", "dst").union(links.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    return cycles(both, lengths, cap, by, most_paths).where((F.size("cycle") > 2) & (F.col("cycle")[1] < F.element_at("cycle", -1)))
 
 
 def cycle_arcs(found: DataFrame) -> DataFrame:
-    """(length, cycle, place, src, dst): the arcs of each cycle."""
+    """The columns of found and (place, src, dst): the arcs of each cycle."""
     n = F.size("cycle")
-    return found.select("length", "cycle", F.posexplode("cycle").alias("place", "src")).withColumn("dst", F.col("cycle")[F.pmod(F.col("place") + 1, n)])
+    return found.select("*", F.posexplode("cycle").alias("place", "src")).withColumn("dst", F.col("cycle")[F.pmod(F.col("place") + 1, n)])
 
 
-def capacities(found: DataFrame, counted: DataFrame) -> DataFrame:
-    """(length, cycle, capacity): for how many choices of one event an arc a cycle stands. Exact to 38 digits."""
+def capacities(found: DataFrame, counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, cycle, capacity): for how many choices of one event an arc a cycle stands. Exact to 38 digits."""
     one = F.lit(1).cast("decimal(38,0)")
     times = lambda a, x: (a * x.cast("decimal(19,0)")).cast("decimal(38,0)")
-    many = cycle_arcs(found).join(counted, ["src", "dst"]).groupBy("length", "cycle").agg(F.collect_list("m").alias("ms"))  # as many as a cycle has arcs
-    return many.select("length", "cycle", F.aggregate("ms", one, times).alias("capacity"))
+    many = cycle_arcs(found).join(counted, [*by, "src", "dst"]).groupBy(*by, "length", "cycle").agg(F.collect_list("m").alias("ms"))  # as many as a cycle has arcs
+    return many.select(*by, "length", "cycle", F.aggregate("ms", one, times).alias("capacity"))
 
 
-def event_tuples(found: DataFrame, events: DataFrame, cap: int) -> DataFrame:
-    """(length, cycle, events): every choice of one event for each arc. The exact number is known, and held against cap, before any is made."""
-    total = capacities(found, arcs(events)).agg(F.sum("capacity")).first()[0] or 0
-    if total > cap:
+def event_tuples(found: DataFrame, events: DataFrame, cap: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, cycle, events): every choice of one event for each arc. The exact number is known, and held against cap, before any is made."""
+    found = found.select(*by, "length", "cycle")
+    total, longest = capacities(found, arcs(events, by), by).agg(F.sum("capacity"), F.max("length")).first()
+    if (total or 0) > cap:
         raise CapExceeded(f"{total} tuples; at most {cap} are allowed")
-    own = events.where("src <> dst").select("src", "dst", "event_id")
+    own = events.where("src <> dst").select(*by, "src", "dst", "event_id")
     out = found.withColumn("events", F.array().cast("array<bigint>"))
-    longest = found.agg(F.max("length")).first()[0] or 0
-    for k in range(longest):
+    for k in range(longest or 0):
         n = F.size("cycle")
         more = out.where(n > k).withColumn("src", F.col("cycle")[k]).withColumn("dst", F.col("cycle")[F.pmod(F.lit(k + 1), n)])
-        more = more.join(own, ["src", "dst"]).select("length", "cycle", F.concat("events", F.array("event_id")).alias("events"))
+        more = more.join(own, [*by, "src", "dst"]).select(*by, "length", "cycle", F.concat("events", F.array("event_id")).alias("events"))
         out = more.unionByName(out.where(n <= k)) if k >= 2 else more
+        if k % 3 == 2:
+            out = staged(out, "event-tuples")  # a union a round would double the plan
     return out
 
 
@@ -98,25 +119,51 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
-def pairs(edges: DataFrame) -> DataFrame:
-    """(u, v): undirected edges, u < v, each once."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+def neighbourhood(edges: DataFrame, node, order: str, most: int) -> DataFrame:
+    """The first `most` edges, by `order`, that begin or end at a node."""
+    return edges.where((F.col("src") == node) | (F.col("dst") == node)).orderBy(order).limit(most)
+
+
+def prefix(edges: DataFrame, order: str, most: int) -> DataFrame:
+    """The edges whose place in the order, a number from 0, is below most: what a loader with a row limit takes."""
+    return edges.where(F.col(order) < most)
+
+
+def pairs(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, u, v): undirected edges, u < v, each once."""
+    return edges.where("src <> dst").select(*by, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+
+
+def degrees(undirected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, degree) of (by, u, v)."""
+    return undirected.select(*by, F.explode(F.array("u", "v")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("degree"))
 
 
-def triangles(undirected: DataFrame) -> DataFrame:
-    """(u, v, w) with u < v < w: two edges at the least node, closed by a third."""
-    e = undirected.select("u", "v")
-    wedge = e.join(e.select(F.col("u"), F.col("v").alias("w")), "u").where("v < w")
-    return wedge.join(e.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
+def triangles(undirected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, u, v, w) with u < v < w. Edges point to the end of the higher degree, so a node sends out at most as many as the root of twice the number of edges, and a hub makes no wedges."""
+    rank = degrees(undirected, by).select(*by, "node", F.struct("degree", "node").alias("rank"))
+    end = lambda c: rank.select(*by, F.col("node").alias(c), F.col("rank").alias(f"r{c}"))
+    e = undirected.select(*by, "u", "v").join(end("u"), [*by, "u"]).join(end("v"), [*by, "v"])
+    up = F.col("ru") < F.col("rv")
+    out = staged(e.select(*by, F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y")), "oriented")
+    wedge = out.join(out.withColumnRenamed("y", "z"), [*by, "x"]).where("y < z")
+    closing = undirected.select(*by, F.col("u").alias("y"), F.col("v").alias("z"))
+    three = F.array_sort(F.array("x", "y", "z"))
+    return wedge.join(closing, [*by, "y", "z"], "left_semi").select(*by, *(three[i].alias(c) for i, c in enumerate("uvw")))
 
 
-def motifs(edges: DataFrame) -> DataFrame:
-    """(node, degree, triangles, clustering) of every node with an undirected edge; clustering is 0 below two neighbours."""
-    e = pairs(edges)
-    degree = e.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    corners = triangles(e).select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+def motifs(edges: DataFrame, by: tuple[str, ...] = (), longest: int = 3, most_paths: int | None = None) -> DataFrame:
+    """(by, node, degree, triangles, clustering) of every node with an undirected edge, and on how many simple cycles of 4 up to `longest` nodes it lies, each counted once; clustering is 0 below two neighbours."""
+    e = staged(pairs(edges, by), "pairs")
+    corners = triangles(e, by).select(*by, F.explode(F.array("u", "v", "w")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("triangles"))
     n, t = F.col("degree"), F.coalesce("triangles", F.lit(0))
-    return degree.join(corners, "node", "left").select("node", "degree", t.alias("triangles"), F.when(n < 2, 0.0).otherwise(2 * t / (n * (n - 1))).alias("clustering"))
+    out = degrees(e, by).join(corners, [*by, "node"], "left")
+    lengths = list(range(4, longest + 1))
+    if lengths:
+        found = undirected_cycles(e.select(*by, F.col("u").alias("src"), F.col("v").alias("dst")), range(4, longest + 1), None, by, most_paths)
+        on = found.select(*by, "length", F.explode("cycle").alias("node")).groupBy(*by, "node").agg(*(F.count_if(F.col("length") == k).alias(f"cycles{k}") for k in lengths))
+        out = out.join(on, [*by, "node"], "left")
+    return out.select(*by, "node", "degree", t.alias("triangles"), F.when(n < 2, 0.0).otherwise(2 * t / (n * (n - 1))).alias("clustering"), *(F.coalesce(f"cycles{k}", F.lit(0)).alias(f"cycles{k}") for k in lengths))
 
 
 def inventory(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def b2_cells(edges: DataFrame, boundary: DataFrame, edge: str = "edge") -> DataF
     ways = edges.select(edge, F.inline(F.array(F.struct("src", "dst", F.lit(1).alias("val")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(-1).alias("val")))))
     best = ways.groupBy("src", "dst").agg(F.min(F.struct((-F.col("val")).alias("against"), F.col(edge).alias("edge"))).alias("way"))
     met = boundary.join(best, ["src", "dst"], "left")
-    row = F.coalesce(F.col("way.edge"), F.raise_error(F.lit("a cell has an arc without an edge")).cast("bigint"))
+    row = F.coalesce(F.col("way.edge"), F.raise_error(F.lit("a cell has an arc without an edge")).cast(dict(edges.dtypes)[edge]))
     return met.select(row.alias("row"), F.col("cell").alias("col"), (-F.col("way.against")).alias("val")).groupBy("row", "col").agg(F.sum("val").alias("val")).where("val <> 0")
 
 
@@ -47,3 +47,59 @@ def subdivided(events: DataFrame) -> DataFrame:
     e = F.col("event_id").cast("string")
     stops = F.array(F.concat(F.lit("account:"), "src"), F.concat(F.lit("out:"), e), F.concat(F.lit("event:"), e), F.concat(F.lit("in:"), e), F.concat(F.lit("account:"), "dst"))
     return events.select("event_id", stops.alias("s")).select("event_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("place"), F.col("s")[i].alias("src"), F.col("s")[i + 1].alias("dst")))).alias("place", "src", "dst"))
+
+
+def b2_simplicial(edges: DataFrame, triangles: DataFrame, by: tuple[str, ...] = (), edge: str = "edge") -> DataFrame:
+    """(row, col, val): +1, -1, +1 where a triangle u < v < w holds the edges (u, v), (u, w), (v, w). edges: (by, u, v, edge) with u < v, triangles: (by, u, v, w, cell). A loop, an edge that comes twice or a face without an edge raises."""
+    kind = dict(edges.dtypes)[edge]
+    fault = F.when(F.col("u") >= F.col("v"), F.raise_error(F.lit("an edge isn't oriented")).cast(kind)).when(F.col("_n") > 1, F.raise_error(F.lit("an edge comes twice")).cast(kind)).otherwise(F.col("_edge"))
+    known = edges.groupBy(*by, "u", "v").agg(F.count("*").alias("_n"), F.min(edge).alias("_edge")).select(*by, "u", "v", fault.alias("row"))
+    face = lambda a, b, sign: F.struct(F.col(a).alias("u"), F.col(b).alias("v"), F.lit(sign).alias("val"))
+    faces = triangles.select(*by, F.col("cell").alias("col"), F.inline(F.array(face("u", "v", 1), face("u", "w", -1), face("v", "w", 1))))
+    met = faces.join(known, [*by, "u", "v"], "left")
+    return met.select(F.coalesce("row", F.raise_error(F.lit("a triangle has a face without an edge")).cast(kind)).alias("row"), "col", "val")
+
+
+def by_event(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, val): B1 with a column for each event, so that parallel events stay apart; loops have no entries."""
+    return events.where("src <> dst").select(*by, F.col("event_id").alias("col"), F.inline(F.array(F.struct(F.col("src").alias("row"), F.lit(-1).alias("val")), F.struct(F.col("dst").alias("row"), F.lit(1).alias("val"))))).select(*by, "row", "col", "val")
+
+
+def fans(boundary: DataFrame, cell: str = "cell") -> DataFrame:
+    """(cell, place, a, b, c): each polygon as triangles around its first corner. boundary: (cell, place, src)."""
+    corners = boundary.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct("place", "src")))["src"].alias("p"))  # as many as a cell has corners
+    return corners.where(F.size("p") >= 3).select(cell, F.inline(F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda i: F.struct(i.alias("place"), F.col("p")[0].alias("a"), F.col("p")[i].alias("b"), F.col("p")[i + 1].alias("c")))))
+
+
+def hasse(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(cell, rank0, rank1, pairs): a cell's nodes, its edges, and the signed pairs of both with the ranks above them, in order."""
+    faces = two.select(F.col("col").alias("cell"), F.col("row").alias("edge"), F.col("val").alias("up"))
+    ends = faces.join(one.select(F.col("col").alias("edge"), F.col("row").alias("node"), "val"), "edge")
+    text = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
+    return ends.groupBy("cell").agg(
+        F.sort_array(F.collect_set("node")).alias("rank0"),
+        F.sort_array(F.collect_set("edge")).alias("rank1"),
+        F.sort_array(F.array_union(F.collect_set(text("node", "edge", "val")), F.collect_set(text("edge", "cell", "up")))).alias("pairs"),
+    )  # as many as a cell has corners and sides
+
+
+def rank_of_incidence(nodes: DataFrame, stars: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, nodes, edges, components, rank, betti1): the rank of B1 is that over GF(2) too, nodes less components. nodes: (by, node), stars: (by, node, root) of those that aren't roots, edges: (by)."""
+    n = nodes.groupBy(*by).agg(F.count("*").alias("nodes"))
+    joined = stars.groupBy(*by).agg(F.count("*").alias("rank"))
+    e = edges.groupBy(*by).agg(F.count("*").alias("edges"))
+    out = n.join(e, by, "left").join(joined, by, "left").fillna(0, ["edges", "rank"])
+    return out.select(*by, "nodes", "edges", (F.col("nodes") - F.col("rank")).alias("components"), "rank", (F.col("edges") - F.col("rank")).alias("betti1"))
+
+
+def consistent(views: list[DataFrame], key: str, label: str) -> DataFrame:
+    """The views of one thing joined on its key, with one label; a key that a view lacks, or has twice, or labels that differ, raise."""
+    rows = views[0].select(key, label).withColumn("_v", F.lit(0))
+    for i, v in enumerate(views[1:], 1):
+        rows = rows.unionByName(v.select(key, label).withColumn("_v", F.lit(i)))
+    seen = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("_v").alias("views"), F.count_distinct(label).alias("labels"), F.count(label).alias("given"), F.min(label).alias(label))
+    good = (F.col("n") == len(views)) & (F.col("views") == len(views)) & (F.col("labels") <= 1) & F.col("given").isin(0, len(views))
+    out = seen.select(key, F.when(good, F.col(label)).otherwise(F.raise_error(F.lit("the views of a key don't agree")).cast(dict(views[0].dtypes)[label])).alias(label))
+    for v in views:
+        out = out.join(v.drop(label), key)
+    return out

@@ -52,17 +52,17 @@ def three_way(fold: Column, test: int, folds: int) -> Column:
     return F.when(fold == test, "test").when(fold == (test + 1) % folds, "validation").otherwise("train")
 
 
-def cycle_labels(arcs: DataFrame, events: DataFrame, bad: Column) -> DataFrame:
-    """(cycle, label): 1 if every arc has a bad event, 0 if no event of its arcs is bad; cycles between are left out. arcs: (cycle, src, dst)."""
-    some = events.groupBy("src", "dst").agg(F.bool_or(bad).alias("bad"))
-    all_ = arcs.join(some, ["src", "dst"], "left").groupBy("cycle").agg(F.bool_and(F.coalesce("bad", F.lit(False))).alias("every"), F.bool_or(F.coalesce("bad", F.lit(False))).alias("any"))
-    return all_.where(F.col("every") | ~F.col("any")).select("cycle", F.col("every").cast("int").alias("label"))
+def cycle_labels(arcs: DataFrame, events: DataFrame, bad: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cycle, label): 1 if every arc has a bad event, 0 if no event of its arcs is bad; cycles between are left out. arcs: (by, cycle, src, dst)."""
+    some = events.groupBy(*by, "src", "dst").agg(F.bool_or(bad).alias("bad"))
+    all_ = arcs.join(some, [*by, "src", "dst"], "left").groupBy(*by, "cycle").agg(F.bool_and(F.coalesce("bad", F.lit(False))).alias("every"), F.bool_or(F.coalesce("bad", F.lit(False))).alias("any"))
+    return all_.where(F.col("every") | ~F.col("any")).select(*by, "cycle", F.col("every").cast("int").alias("label"))
 
 
-def single_pattern(arcs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(cycle, pattern): the pattern of a cycle's labelled arcs where there is exactly one, else null. patterns: (src, dst, pattern)."""
-    met = arcs.join(patterns.select("src", "dst", "pattern").distinct(), ["src", "dst"], "left").groupBy("cycle").agg(F.min("pattern").alias("a"), F.max("pattern").alias("b"))
-    return met.select("cycle", F.when(F.col("a") == F.col("b"), F.col("a")).alias("pattern"))
+def single_pattern(arcs: DataFrame, patterns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cycle, pattern): the pattern of a cycle's labelled arcs where there is exactly one, else null. patterns: (by, src, dst, pattern)."""
+    met = arcs.join(patterns.select(*by, "src", "dst", "pattern").distinct(), [*by, "src", "dst"], "left").groupBy(*by, "cycle").agg(F.min("pattern").alias("a"), F.max("pattern").alias("b"))
+    return met.select(*by, "cycle", F.when(F.col("a") == F.col("b"), F.col("a")).alias("pattern"))
 
 
 def flow_faults(hops: DataFrame, ring: str, place: str, most_fee: float = 0.02, tolerance: float = 1e-4) -> DataFrame:

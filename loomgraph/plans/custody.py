@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, joins, splits
-from loomgraph.plans.graphs import CYCLES
-from loomgraph.plans.relations import TRANSFERS, pool, transfers
+from loomgraph.plans.graphs import CYCLES, census
+from loomgraph.plans.relations import TRANSFERS, transfers
 from loomgraph.session import table
 from loomgraph.sources.readers import strict_json
 
@@ -65,18 +65,18 @@ def rounding_gap(spark, sf_dir):
     return joins.worst_gap(keyed, keyed.withColumn("x", F.round("x", 2)), ["l_orderkey", "k"], "x", ["l_returnflag"]).withColumn("gap", F.round("gap", 6))
 
 
-LINKS = f"{TRANSFERS}, n AS (SELECT event_id AS candidate, 'n:' || src AS token FROM t WHERE amount > 150 UNION ALL SELECT event_id, 'm:' || dst FROM t WHERE amount > 150)"
+LINKS = f"{TRANSFERS}, n AS (SELECT event_id AS candidate, 'n:' || world || ':' || src AS token FROM t UNION ALL SELECT event_id, 'm:' || world || ':' || dst FROM t)"
 
 
 def linked(spark, sf_dir):
-    t = transfers(spark, sf_dir).where("amount > 150")
-    return t.select(F.col("event_id").alias("candidate"), F.explode(F.array(F.concat(F.lit("n:"), "src"), F.concat(F.lit("m:"), "dst"))).alias("token"))
+    token = lambda k, c: F.concat(F.lit(k), F.col("world").cast("string"), F.lit(":"), F.col(c).cast("string"))
+    return transfers(spark, sf_dir).select(F.col("event_id").alias("candidate"), F.explode(F.array(token("n:", "src"), token("m:", "dst"))).alias("token"))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT x.candidate AS a, y.candidate AS b FROM n x JOIN n y USING (token)), r AS (SELECT DISTINCT candidate AS a, candidate AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT a AS candidate, min(b) AS grp FROM r GROUP BY a""")
 def token_groups(spark, sf_dir):
-    """Events that share an account, however far along, in one group."""
+    """Events of a world that share an account, however far along, in one group."""
     return splits.groups(linked(spark, sf_dir))
 
 
@@ -100,14 +100,21 @@ def three_way_split(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy(splits.three_way(F.col("doc_id") % 5, 1, 5).alias("part")).agg(F.count("*").alias("n"), F.sum("toxic").alias("positives"))
 
 
-@query(CYCLES + """, e AS (SELECT length, cycle, unnest(generate_series(1, length)) AS i FROM c WHERE length <= 3), s AS (SELECT src, dst, bool_or(amount > 60) AS bad FROM p GROUP BY ALL),
-k AS (SELECT cycle, bool_and(bad) AS full_, bool_or(bad) AS hit FROM e JOIN s ON s.src = e.cycle[i] AND s.dst = e.cycle[CASE WHEN i = e.length THEN 1 ELSE i + 1 END] GROUP BY cycle)
-SELECT array_to_string(cycle, '-') AS cycle, CAST(full_ AS INTEGER) AS label FROM k WHERE full_ OR NOT hit""")
+@query(CYCLES + """, e AS (SELECT world, length, cycle, unnest(generate_series(1, length)) AS i FROM c), s AS (SELECT world, src, dst, bool_or(amount > 60) AS bad FROM t GROUP BY ALL),
+k AS (SELECT e.world, cycle, bool_and(bad) AS full_, bool_or(bad) AS hit FROM e JOIN s ON s.world = e.world AND s.src = e.cycle[i] AND s.dst = e.cycle[CASE WHEN i = e.length THEN 1 ELSE i + 1 END] GROUP BY ALL)
+SELECT world, array_to_string(cycle, '-') AS cycle, CAST(full_ AS INTEGER) AS label FROM k WHERE full_ OR NOT hit""")
 def cycle_labels(spark, sf_dir):
     """Cycles with a large event on every arc, or on none."""
-    p = pool(spark, sf_dir)
-    arcs = graph.cycle_arcs(graph.cycles(graph.arcs(p), range(2, 4))).select(F.array_join("cycle", "-").alias("cycle"), "src", "dst")
-    return splits.cycle_labels(arcs, p, F.col("amount") > 60)
+    arcs = graph.cycle_arcs(census(spark, sf_dir)).select("world", F.array_join("cycle", "-").alias("cycle"), "src", "dst")
+    return splits.cycle_labels(arcs, transfers(spark, sf_dir), F.col("amount") > 60, ("world",))
+
+
+@query(CYCLES + """, e AS (SELECT world, length, cycle, unnest(generate_series(1, length)) AS i FROM c), s AS (SELECT world, src, dst, min(kind) AS lo, max(kind) AS hi FROM t WHERE amount > 60 GROUP BY ALL)
+SELECT e.world, array_to_string(cycle, '-') AS cycle, CASE WHEN min(lo) = max(hi) THEN min(lo) END AS pattern FROM e LEFT JOIN s ON s.world = e.world AND s.src = e.cycle[i] AND s.dst = e.cycle[CASE WHEN i = e.length THEN 1 ELSE i + 1 END] GROUP BY ALL""")
+def single_patterns(spark, sf_dir):
+    """The kind of a cycle's large events where there is exactly one."""
+    arcs = graph.cycle_arcs(census(spark, sf_dir)).select("world", F.array_join("cycle", "-").alias("cycle"), "src", "dst")
+    return splits.single_pattern(arcs, transfers(spark, sf_dir).where("amount > 60").withColumn("pattern", F.col("kind")), ("world",))
 
 
 @query("""WITH h AS (SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER w AS before, lag(o_orderdate) OVER w AS then_, o_orderdate FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))

@@ -7,26 +7,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import table
 
-#: Accounts of the pool in which cycles are listed one by one.
-POOL = 60
-
-
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, src, dst, hours, amount, kind: an arc from a user to the number in the event's properties."""
+    """event_id, src, dst, hours, amount, kind, world: an arc from a user to the number in the event's properties. A world is a day; an account of one is another account in the next."""
     hours = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("src"), F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint").alias("dst"), hours.cast("bigint").alias("hours"), F.col("value").alias("amount"), F.col("event_type").alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("src"), F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint").alias("dst"), hours.cast("bigint").alias("hours"), F.col("value").alias("amount"), F.col("event_type").alias("kind"), F.floor(hours / 24).cast("bigint").alias("world"))
 
 
 TRANSFERS = """t AS (SELECT event_id, user_id AS src, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS dst,
- CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hours, value AS amount, event_type AS kind FROM events)"""
-
-
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases between accounts of the pool."""
-    return transfers(spark, sf_dir).where((F.col("kind") == "purchase") & (F.col("src") < POOL) & (F.col("dst") < POOL))
-
-
-POOL_SQL = f"{TRANSFERS}, p AS (SELECT * FROM t WHERE kind = 'purchase' AND src < {POOL} AND dst < {POOL}), a AS (SELECT src, dst, count(*) AS m FROM p WHERE src <> dst GROUP BY ALL)"
+ CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hours, value AS amount, event_type AS kind, CAST(floor(floor(epoch(ts) / 3600) / 24) AS BIGINT) AS world FROM events)"""
+#: The arcs of each world.
+ARCS = f"{TRANSFERS}, a AS (SELECT world, src, dst, count(*) AS m FROM t WHERE src <> dst GROUP BY ALL)"
 
 
 def nation_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:

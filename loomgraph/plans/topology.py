@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import features, graph, incidence, persistence
-from loomgraph.plans.graphs import CYCLES
+from loomgraph.operators import components, features, graph, incidence, persistence
+from loomgraph.plans.graphs import BY, CYCLES, MOST_CYCLES, MOST_PATHS, TUPLES, UNDIRECTED, tuples
 from loomgraph.plans.metrics import rounded
-from loomgraph.plans.relations import POOL_SQL, TRANSFERS, pool, transfers
+from loomgraph.plans.relations import ARCS, TRANSFERS, transfers
 from loomgraph.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -53,33 +53,75 @@ def simplicial_view(spark, sf_dir):
     return rounded(features.simplicial_view(transfers(spark, sf_dir), ["kind"]), "amount", places=4)
 
 
-SELECTED = CYCLES + """, q AS (SELECT src, dst, event_id, hours, amount FROM p), s AS (SELECT array_to_string(cycle, '-') || ':' || x.event_id || '-' || y.event_id AS candidate, unnest([{'src': x.src, 'dst': x.dst, 'hours': x.hours, 'amount': x.amount}, {'src': y.src, 'dst': y.dst, 'hours': y.hours, 'amount': y.amount}]) AS r FROM c JOIN q x ON x.src = cycle[1] AND x.dst = cycle[2] JOIN q y ON y.src = cycle[2] AND y.dst = cycle[1] WHERE length = 2),
-k AS (SELECT candidate, r.src AS src, r.dst AS dst, r.hours AS hours, ln(1 + r.amount) AS la FROM s)"""
+SELECTED = CYCLES + TUPLES + """, x AS (SELECT world, world || ':' || array_to_string(cycle, '-') || ':' || array_to_string(events, '-') AS candidate, unnest(events) AS event_id FROM k),
+r AS (SELECT x.candidate, t.world, t.src, t.dst, t.hours, t.amount, t.kind, ln(1 + t.amount) AS la FROM x JOIN t USING (event_id))"""
 
 
 def selected(spark, sf_dir):
-    p = pool(spark, sf_dir)
-    tuples = graph.event_tuples(graph.cycles(graph.arcs(p), range(2, 3)), p, cap=5_000_000)
-    name = F.concat(F.array_join("cycle", "-"), F.lit(":"), F.array_join("events", "-"))
-    return tuples.select(name.alias("candidate"), F.explode("events").alias("event_id")).join(p, "event_id")
+    """world, candidate and the columns of its events, a row for each event of every candidate of the census."""
+    name = F.concat(F.col("world").cast("string"), F.lit(":"), F.array_join("cycle", "-"), F.lit(":"), F.array_join("events", "-"))
+    return tuples(spark, sf_dir).select(name.alias("candidate"), F.explode("events").alias("event_id")).join(transfers(spark, sf_dir), "event_id")
 
 
-@query(SELECTED + """, e AS (SELECT candidate, count(*) AS length, min(hours) AS t0, avg(hours) AS t1, max(hours) AS t2, stddev_pop(hours) AS t3, min(la) AS a0, avg(la) AS a1, max(la) AS a2, stddev_pop(la) AS a3 FROM k GROUP BY candidate),
-o AS (SELECT src AS node, count(*) AS n FROM p GROUP BY src), i AS (SELECT dst AS node, count(*) AS n FROM p GROUP BY dst), m AS (SELECT src, dst, count(*) AS m FROM p GROUP BY ALL),
-n AS (SELECT DISTINCT candidate, src AS node FROM k UNION SELECT candidate, dst FROM k), d AS (SELECT candidate, min(coalesce(i.n, 0)) AS i0, avg(coalesce(i.n, 0)) AS i1, max(coalesce(i.n, 0)) AS i2, min(coalesce(o.n, 0)) AS o0, avg(coalesce(o.n, 0)) AS o1, max(coalesce(o.n, 0)) AS o2 FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node) GROUP BY candidate),
-h AS (SELECT candidate, min(m.m) AS m0, avg(m.m) AS m1, max(m.m) AS m2 FROM k JOIN m USING (src, dst) GROUP BY candidate)
+@query(SELECTED + """, e AS (SELECT candidate, count(*) AS length, min(hours) AS t0, avg(hours) AS t1, max(hours) AS t2, stddev_pop(hours) AS t3, min(la) AS a0, avg(la) AS a1, max(la) AS a2, stddev_pop(la) AS a3 FROM r GROUP BY candidate),
+o AS (SELECT world, src AS node, count(*) AS n FROM t GROUP BY ALL), i AS (SELECT world, dst AS node, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT world, src, dst, count(*) AS m FROM t GROUP BY ALL),
+n AS (SELECT DISTINCT candidate, world, src AS node FROM r UNION SELECT candidate, world, dst FROM r), d AS (SELECT candidate, min(coalesce(i.n, 0)) AS i0, avg(coalesce(i.n, 0)) AS i1, max(coalesce(i.n, 0)) AS i2, min(coalesce(o.n, 0)) AS o0, avg(coalesce(o.n, 0)) AS o1, max(coalesce(o.n, 0)) AS o2 FROM n LEFT JOIN o USING (world, node) LEFT JOIN i USING (world, node) GROUP BY candidate),
+h AS (SELECT candidate, min(m.m) AS m0, avg(m.m) AS m1, max(m.m) AS m2 FROM r JOIN m USING (world, src, dst) GROUP BY candidate)
 SELECT candidate, length, CAST(t0 AS DOUBLE) AS time_min, round(t1, 6) AS time_mean, CAST(t2 AS DOUBLE) AS time_max, round(t3, 6) AS time_sd, CAST(t2 - t0 AS DOUBLE) AS time_span, round(a0, 6) AS log_amount_min, round(a1, 6) AS log_amount_mean, round(a2, 6) AS log_amount_max, round(a3, 6) AS log_amount_sd, round(a2 - a0, 6) AS log_amount_span, i0 AS n_in_min, round(i1, 6) AS n_in_mean, i2 AS n_in_max, o0 AS n_out_min, round(o1, 6) AS n_out_mean, o2 AS n_out_max, m0 AS m_min, round(m1, 6) AS m_mean, m2 AS m_max FROM e JOIN d USING (candidate) JOIN h USING (candidate)""")
 def candidate_summary(spark, sf_dir):
-    """The fixed twenty columns of every event tuple on a 2-cycle."""
-    made = features.candidate_summary(selected(spark, sf_dir), pool(spark, sf_dir))
+    """The fixed twenty columns of every candidate of the census."""
+    made = features.candidate_summary(selected(spark, sf_dir), transfers(spark, sf_dir), BY)
     return rounded(made, *(c for c, k in made.dtypes if k == "double" and c not in ("time_min", "time_max", "time_span")), places=6)
 
 
-@query(SELECTED + ", s2 AS (SELECT candidate, max(hours) - min(hours) AS span FROM k GROUP BY candidate) SELECT span < 240 AS short, count(*) AS n, min(span) AS least FROM s2 GROUP BY 1")
+@query(SELECTED + ", s2 AS (SELECT world, candidate, max(hours) - min(hours) AS span FROM r GROUP BY ALL) SELECT world, span < 12 AS short, count(*) AS n, min(span) AS least FROM s2 GROUP BY ALL")
 def span_rule(spark, sf_dir):
-    """Candidates by whether their events lie within ten days."""
-    s = selected(spark, sf_dir).groupBy("candidate").agg((F.max("hours") - F.min("hours")).alias("span"))
-    return s.groupBy((F.col("span") < 240).alias("short")).agg(F.count("*").alias("n"), F.min("span").alias("least"))
+    """Candidates of each world by whether their events lie within twelve hours."""
+    s = selected(spark, sf_dir).groupBy("world", "candidate").agg((F.max("hours") - F.min("hours")).alias("span"))
+    return s.groupBy("world", (F.col("span") < 12).alias("short")).agg(F.count("*").alias("n"), F.min("span").alias("least"))
+
+
+@query(SELECTED + """, y AS (SELECT world, candidate, count(*) AS length, max(CAST(kind = 'error' AS INTEGER)) AS y, min(amount) AS low, max(amount) AS high, min(hours) AS f, max(hours) AS l FROM r GROUP BY ALL)
+SELECT world, length, count(*) AS n, round(avg(CAST(y AS DOUBLE)), 9) AS prevalence, min(low) AS amount_min, max(high) AS amount_max, min(f) AS first, max(l) AS last FROM y GROUP BY ALL""")
+def shortcut_profile(spark, sf_dir):
+    """Candidates of each world by length: prevalence of those with an error, ranges of amounts and times."""
+    s = selected(spark, sf_dir).withColumn("y", (F.col("kind") == "error").cast("int"))
+    return rounded(features.shortcut_profile(s, ["world"]), "prevalence")
+
+
+@query(CYCLES + TUPLES + """, v AS (SELECT world, node, row_number() OVER (PARTITION BY world ORDER BY node) - 1 AS place FROM (SELECT world, src AS node FROM t UNION SELECT world, dst FROM t)), f AS (SELECT world, event_id, row_number() OVER (PARTITION BY world ORDER BY event_id) - 1 AS place FROM t),
+kk AS (SELECT world, cycle, events, array_to_string(cycle, '-') || ':' || array_to_string(events, '-') AS candidate FROM k),
+kn AS (SELECT candidate, kk.world, list_sort(list(v.place)) AS p FROM (SELECT candidate, world, unnest(cycle) AS node FROM kk) kk JOIN v USING (world, node) GROUP BY ALL), ke AS (SELECT candidate, kk.world, list_sort(list(f.place)) AS p FROM (SELECT candidate, world, unnest(events) AS event_id FROM kk) kk JOIN f USING (world, event_id) GROUP BY ALL)
+SELECT kn.world, candidate, array_to_string(kn.p, ' ') AS node_places, array_to_string(ke.p, ' ') AS event_places FROM kn JOIN ke USING (world, candidate)""")
+def observation_masks(spark, sf_dir):
+    """Every candidate's nodes and events as places in the order of its world: the ones of its masks."""
+    t = transfers(spark, sf_dir)
+    name = F.concat(F.array_join("cycle", "-"), F.lit(":"), F.array_join("events", "-"))
+    k = tuples(spark, sf_dir).select("world", name.alias("candidate"), "cycle", "events")
+    nodes = t.select("world", F.explode(F.array("src", "dst")).alias("x")).distinct()
+    one = features.places(k.select("world", "candidate", F.explode("cycle").alias("x")), nodes, "world", "candidate", "node_places")
+    return one.join(features.places(k.select("world", "candidate", F.explode("events").alias("x")), t.select("world", F.col("event_id").alias("x")), "world", "candidate", "event_places"), ["world", "candidate"])
+
+
+@query(f"""WITH {TRANSFERS}, w AS (SELECT min(hours) AS h0, max(hours) AS h1 FROM t) SELECT event_id, round(CAST(hours - h0 AS DOUBLE) / (h1 - h0 + 1), 9) AS step, round(ln(1 + amount), 9) AS log_amount FROM t, w""")
+def observed_events(spark, sf_dir):
+    """Every event's step as a share of all steps, and its amount's log."""
+    return rounded(features.observed_events(transfers(spark, sf_dir)), "step", "log_amount")
+
+
+@query(f"""WITH {TRANSFERS} SELECT kind, event_id, round(log10(greatest(amount, 0) + 1), 9) AS log_amount, hours - min(hours) OVER (PARTITION BY kind) AS since FROM t""")
+def edge_features(spark, sf_dir):
+    """The log amount and relative time of every event."""
+    return rounded(features.edge_features(transfers(spark, sf_dir), ["kind"]), "log_amount")
+
+
+@query(UNDIRECTED + """, d AS (SELECT world, n AS node, count(*) AS degree FROM (SELECT world, u AS n FROM u UNION ALL SELECT world, v FROM u) GROUP BY ALL), kt AS (SELECT world, n AS node, count(*) AS tt FROM (SELECT world, a AS n FROM tri UNION ALL SELECT world, b FROM tri UNION ALL SELECT world, c FROM tri) GROUP BY ALL),
+x AS (SELECT world, hours, amount, src AS node, 1 AS o FROM t UNION ALL SELECT world, hours, amount, dst, 0 FROM t), f AS (SELECT world, node, count_if(o = 0) AS n_in, count_if(o = 1) AS n_out, log10(coalesce(sum(CASE WHEN o = 0 THEN greatest(amount, 0) END), 0) + 1) AS log_in, log10(coalesce(sum(CASE WHEN o = 1 THEN greatest(amount, 0) END), 0) + 1) AS log_out, min(hours) AS first, max(hours) AS last, max(hours) - min(hours) AS span, count(*) AS n_events FROM x GROUP BY ALL)
+SELECT f.world, f.node, n_in, n_out, round(log_in, 7) AS log_in, round(log_out, 7) AS log_out, first - min(first) OVER (PARTITION BY f.world) AS first, last - min(first) OVER (PARTITION BY f.world) AS last, span, n_events, coalesce(tt, 0) AS triangles, round(CASE WHEN coalesce(degree, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(tt, 0) / (degree * (degree - 1)) END, 9) AS clustering FROM f LEFT JOIN d USING (world, node) LEFT JOIN kt USING (world, node)""")
+def assembled_features(spark, sf_dir):
+    """Node features and motifs of every account in each world, side by side."""
+    t = transfers(spark, sf_dir)
+    return rounded(rounded(features.assembled(t, ["world"], graph.motifs(t, BY)), "log_in", "log_out", places=7), "clustering")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, 1.0::DOUBLE AS c FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e WHERE vec_id % 5 > 0)
@@ -97,34 +139,123 @@ def vector_collisions(spark, sf_dir):
     return features.collisions(d, ["n_chars", "lang"], "toxic")
 
 
+#: Most arcs of a cell.
+SIDES = 4
+#: Names that hold in all worlds.
+NAMED = f"""e AS (SELECT world, src, dst, world || ':' || src AS s, world || ':' || dst AS d, world || ':' || src || '-' || dst AS edge FROM a), b1 AS (SELECT s AS r, edge AS c, -1 AS v FROM e UNION ALL SELECT d, edge, 1 FROM e)"""
+CELLS = CYCLES.replace("len(path) < 12", f"len(path) < {SIDES}") + f""", {NAMED}, z AS (SELECT world, world || ':' || array_to_string(cycle, '-') AS cell, cycle, unnest(generate_series(1, length)) AS i, length FROM c WHERE length BETWEEN 3 AND {SIDES}),
+b2 AS (SELECT world || ':' || cycle[i] || '-' || cycle[i % length + 1] AS r, cell AS c, 1 AS v FROM z)"""
+
+
 def cells(spark, sf_dir):
-    p = pool(spark, sf_dir)
-    edges = graph.arcs(p).select("src", "dst", (F.col("src") * 1000 + F.col("dst")).alias("edge"))
-    found = graph.cycles(edges, range(3, 4)).select("length", "cycle")
-    boundary = graph.cycle_arcs(found).select(F.array_join("cycle", "-").alias("cell"), "src", "dst")
+    """The arcs of all worlds with names of their own (world, src, dst, edge), and the boundaries (cell, place, src, dst) of cycles of three and four arcs."""
+    name = lambda c: F.concat(F.col("world").cast("string"), F.lit(":"), F.col(c).cast("string"))
+    arcs = graph.arcs(transfers(spark, sf_dir), BY)
+    edges = arcs.select("world", name("src").alias("src"), name("dst").alias("dst"), F.concat(name("src"), F.lit("-"), F.col("dst").cast("string")).alias("edge"))
+    found = graph.cycles(arcs, range(3, SIDES + 1), MOST_CYCLES, BY, MOST_PATHS)
+    boundary = graph.cycle_arcs(found).select("world", F.concat(F.col("world").cast("string"), F.lit(":"), F.array_join("cycle", "-")).alias("cell"), "place", name("src").alias("src"), name("dst").alias("dst"))
     return edges, boundary
 
 
-@query(f"WITH {POOL_SQL}, e AS (SELECT src, dst, src * 1000 + dst AS edge FROM a) SELECT src AS row, edge AS col, CAST(-1 AS BIGINT) AS val FROM e UNION ALL SELECT dst, edge, 1 FROM e")
+@query(f"WITH {ARCS}, {NAMED} SELECT r AS row, c AS col, CAST(v AS BIGINT) AS val FROM b1")
 def node_edge_incidence(spark, sf_dir):
-    """B1 of the pool's arcs."""
+    """B1 of all worlds' arcs."""
     return incidence.b1(cells(spark, sf_dir)[0])
 
 
-@query(CYCLES + " SELECT count(*) AS cells, 0 AS open FROM c WHERE length = 3")
+@query(CELLS + " SELECT r AS row, c AS col, CAST(v AS BIGINT) AS val FROM b2")
+def edge_cell_incidence(spark, sf_dir):
+    """B2 of all worlds' cells."""
+    return incidence.b2_cells(*cells(spark, sf_dir)).withColumn("val", F.col("val").cast("bigint"))
+
+
+@query(CELLS + " SELECT (SELECT count(DISTINCT cell) FROM z) AS cells, (SELECT count(*) FROM (SELECT b1.r, b2.c FROM b1 JOIN b2 ON b1.c = b2.r GROUP BY ALL HAVING sum(b1.v * b2.v) <> 0)) AS open")
 def boundary_closure(spark, sf_dir):
-    """Cells of three arcs, and entries of B1 B2 that aren't zero: none."""
+    """Cells of three and four arcs, and entries of B1 B2 that aren't zero: none."""
     edges, boundary = cells(spark, sf_dir)
     n = boundary.agg(F.count_distinct("cell").alias("cells"))
-    open_ = incidence.product(incidence.b1(edges), incidence.b2_cells(edges, boundary)).agg(F.count("*").cast("int").alias("open"))
+    open_ = incidence.product(incidence.b1(edges), incidence.b2_cells(edges, boundary)).agg(F.count("*").alias("open"))
     return n.join(open_)
 
 
-@query(f"WITH {POOL_SQL}, e AS (SELECT src, dst, src * 1000 + dst AS edge FROM a), b AS (SELECT src AS r, edge AS c, -1 AS v FROM e UNION ALL SELECT dst, edge, 1 FROM e) SELECT x.r AS row, y.r AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b x JOIN b y USING (c) GROUP BY ALL HAVING sum(x.v * y.v) <> 0")
+@query(f"WITH {ARCS}, {NAMED} SELECT x.r AS row, y.r AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b1 x JOIN b1 y USING (c) GROUP BY ALL HAVING sum(x.v * y.v) <> 0")
 def node_laplacian(spark, sf_dir):
-    """L0 of the pool's arcs."""
+    """L0 of all worlds' arcs."""
+    one = incidence.b1(cells(spark, sf_dir)[0])
+    return incidence.product(one, incidence.transposed(one))
+
+
+@query(CELLS + """ SELECT row, col, CAST(sum(val) AS BIGINT) AS val FROM (SELECT x.c AS row, y.c AS col, sum(x.v * y.v) AS val FROM b1 x JOIN b1 y USING (r) GROUP BY ALL UNION ALL SELECT x.r, y.r, sum(x.v * y.v) FROM b2 x JOIN b2 y USING (c) GROUP BY ALL) GROUP BY row, col HAVING sum(val) <> 0""")
+def edge_laplacian(spark, sf_dir):
+    """L1 of all worlds' arcs and cells."""
+    edges, boundary = cells(spark, sf_dir)
+    return incidence.laplacians(incidence.b1(edges), incidence.b2_cells(edges, boundary))[1].withColumn("val", F.col("val").cast("bigint"))
+
+
+@query(CELLS + """ SELECT x.c AS row, y.c AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b2 x JOIN b2 y USING (r) GROUP BY ALL HAVING sum(x.v * y.v) <> 0""")
+def cell_laplacian(spark, sf_dir):
+    """L2 of all worlds' cells."""
+    two = incidence.b2_cells(*cells(spark, sf_dir))
+    return incidence.product(incidence.transposed(two), two).withColumn("val", F.col("val").cast("bigint"))
+
+
+@query(UNDIRECTED + """ SELECT world || ':' || a || '-' || b AS row, world || ':' || a || '-' || b || '-' || c AS col, 1 AS val FROM tri UNION ALL SELECT world || ':' || a || '-' || c, world || ':' || a || '-' || b || '-' || c, -1 FROM tri UNION ALL SELECT world || ':' || b || '-' || c, world || ':' || a || '-' || b || '-' || c, 1 FROM tri""")
+def simplicial_incidence(spark, sf_dir):
+    """B2 of all worlds' triangles over their undirected pairs."""
+    e = graph.pairs(transfers(spark, sf_dir), BY)
+    name = lambda *c: F.concat(F.col("world").cast("string"), F.lit(":"), F.concat_ws("-", *(F.col(x).cast("string") for x in c)))
+    return incidence.b2_simplicial(e.withColumn("edge", name("u", "v")), graph.triangles(e, BY).withColumn("cell", name("u", "v", "w")), BY)
+
+
+@query(f"WITH {TRANSFERS} SELECT world, src AS row, event_id AS col, -1 AS val FROM t WHERE src <> dst UNION ALL SELECT world, dst, event_id, 1 FROM t WHERE src <> dst")
+def event_incidence(spark, sf_dir):
+    """B1 with a column for each event."""
+    return incidence.by_event(transfers(spark, sf_dir), BY)
+
+
+@query(CELLS + """ SELECT cell, unnest(generate_series(1, length - 2)) AS place, world || ':' || cycle[1] AS a, world || ':' || cycle[unnest(generate_series(1, length - 2)) + 1] AS b, world || ':' || cycle[unnest(generate_series(1, length - 2)) + 2] AS c FROM z WHERE i = 1""")
+def fan_triangles(spark, sf_dir):
+    """Every cell as triangles around its first corner."""
+    return incidence.fans(cells(spark, sf_dir)[1]).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(CELLS + """, n AS (SELECT cell, b1.r AS node, b2.r AS edge, b1.v AS v FROM (SELECT DISTINCT cell FROM z) q JOIN b2 ON b2.c = q.cell JOIN b1 ON b1.c = b2.r)
+SELECT cell, array_to_string(list_sort(list_distinct(list(node))), ' ') AS rank0, array_to_string(list_sort(list_distinct(list(edge))), ' ') AS rank1, array_to_string(list_sort(list_distinct(list_concat(list(node || ' ' || edge || ' ' || v), list(edge || ' ' || cell || ' 1')))), ', ') AS pairs FROM n GROUP BY cell""")
+def hasse_pairs(spark, sf_dir):
+    """Every cell with its nodes, its edges and the signed pairs of ranks."""
     edges, boundary = cells(spark, sf_dir)
-    return incidence.laplacians(incidence.b1(edges), incidence.b2_cells(edges, boundary))[0]
+    h = incidence.hasse(incidence.b1(edges), incidence.b2_cells(edges, boundary))
+    return h.select("cell", F.array_join("rank0", " ").alias("rank0"), F.array_join("rank1", " ").alias("rank1"), F.array_join("pairs", ", ").alias("pairs"))
+
+
+COMPONENTS = f"""WITH RECURSIVE {ARCS}, b AS (SELECT world, src AS s, dst AS e FROM a UNION SELECT world, dst, src FROM a), v AS (SELECT world, src AS node FROM t UNION SELECT world, dst FROM t),
+r AS (SELECT world, node, node AS root FROM v UNION SELECT r.world, r.node, b.e FROM r JOIN b ON b.world = r.world AND b.s = r.root), c AS (SELECT world, node, min(root) AS root FROM r GROUP BY ALL), u AS (SELECT DISTINCT world, least(src, dst) AS u, greatest(src, dst) AS v FROM a)"""
+
+
+def world_stars(spark, sf_dir):
+    """(nodes, pairs, stars) of each world's undirected graph, loops' accounts among the nodes."""
+    t = transfers(spark, sf_dir)
+    key = lambda c: F.struct(F.col("world"), F.col(c).alias("node"))
+    pairs = graph.pairs(t, BY)
+    stars = components.stars(pairs.select(key("u").alias("a"), key("v").alias("b"))).select("a.world", "a.node", F.col("b.node").alias("root"))
+    return t.select("world", F.explode(F.array("src", "dst")).alias("node")).distinct(), pairs, stars
+
+
+@query(COMPONENTS + """ SELECT c.world, count(*) AS nodes, coalesce(any_value(k.n), 0) AS edges, count(DISTINCT root) AS components, count(*) - count(DISTINCT root) AS rank, coalesce(any_value(k.n), 0) - (count(*) - count(DISTINCT root)) AS betti1 FROM c LEFT JOIN (SELECT world, count(*) AS n FROM u GROUP BY world) k ON k.world = c.world GROUP BY c.world""")
+def incidence_rank(spark, sf_dir):
+    """The rank of each world's incidence over GF(2), with its Betti numbers."""
+    nodes, pairs, stars = world_stars(spark, sf_dir)
+    return incidence.rank_of_incidence(nodes, stars, pairs, ["world"])
+
+
+@query(UNDIRECTED + """ SELECT t.world, max(CAST(kind = 'error' AS INTEGER)) AS label, (SELECT count(*) FROM (SELECT src FROM t i WHERE i.world = t.world UNION SELECT dst FROM t i WHERE i.world = t.world)) AS nodes, (SELECT count(*) FROM a WHERE a.world = t.world) AS arcs, (SELECT count(*) FROM u WHERE u.world = t.world) AS pairs FROM t GROUP BY t.world""")
+def multi_view(spark, sf_dir):
+    """The graph, cell and simplicial views of each world side by side, under one label."""
+    t = transfers(spark, sf_dir)
+    label = t.groupBy("world").agg(F.max((F.col("kind") == "error").cast("int")).alias("label"))
+    counted = lambda df, n: df.groupBy("world").agg(F.count("*").alias(n)).join(label, "world")
+    views = [counted(features.graph_view(t, ["world"], F.lit(False)), "nodes"), counted(features.cell_view(t, ["world"]), "arcs"), counted(features.simplicial_view(t, ["world"]), "pairs")]
+    return incidence.consistent(views, "world", "label")
 
 
 @query(f"WITH {TRANSFERS} SELECT event_id, unnest(['account:' || src, 'out:' || event_id, 'event:' || event_id, 'in:' || event_id]) AS src, unnest(['out:' || event_id, 'event:' || event_id, 'in:' || event_id, 'account:' || dst]) AS dst FROM t WHERE kind = 'purchase'")
@@ -154,17 +285,13 @@ def drawn(spark, sf_dir):
     return persistence.diagrams(pairs, "day").join(last, "day")
 
 
-EULER = f"""WITH RECURSIVE {TRANSFERS}, d AS (SELECT DISTINCT hours // 24 AS day, least(src, dst) AS u, greatest(src, dst) AS v FROM t WHERE src <> dst), b AS (SELECT day, u AS s, v AS e FROM d UNION SELECT day, v, u FROM d),
-r AS (SELECT DISTINCT day, s AS node, s AS root FROM b UNION SELECT r.day, r.node, b.e FROM r JOIN b ON b.day = r.day AND b.s = r.root), c AS (SELECT day, node, min(root) AS root FROM r GROUP BY ALL)
-SELECT CAST(d.day AS BIGINT) AS day, count(*) AS edges, (SELECT count(*) FROM c WHERE c.day = d.day) AS h0, (SELECT count(DISTINCT root) FROM c WHERE c.day = d.day) AS components, count(*) - (SELECT count(*) - count(DISTINCT root) FROM c WHERE c.day = d.day) AS h1 FROM d GROUP BY d.day"""
-
-
-@query(EULER)
+@query(COMPONENTS + """ SELECT c.world AS day, any_value(k.n) AS edges, count(DISTINCT c.node) AS h0, count(DISTINCT root) AS components, any_value(k.n) - (count(DISTINCT c.node) - count(DISTINCT root)) AS h1 FROM c JOIN (SELECT world, count(*) AS n FROM u GROUP BY world) k ON k.world = c.world WHERE EXISTS (SELECT 1 FROM u WHERE u.world = c.world AND c.node IN (u.u, u.v)) GROUP BY c.world""")
 def betti_numbers(spark, sf_dir):
-    """Bars of each day's graph: a bar in H0 for a node, endless ones for components, and one in H1 for every edge beyond a forest."""
-    d = drawn(spark, sf_dir)
-    endless = F.size(F.filter("h0", lambda x: x["death"] == float("inf")))
-    return d.select("day", (F.size("h0") - endless + F.size("h1")).cast("bigint").alias("edges"), F.size("h0").cast("bigint").alias("h0"), endless.cast("bigint").alias("components"), F.size("h1").cast("bigint").alias("h1"))
+    """Bars of each day's graph: a bar in H0 for a node, endless ones for components, and one in H1 for every edge beyond a forest. By components over all days at once; no day is gathered."""
+    _, pairs, stars = world_stars(spark, sf_dir)
+    nodes = pairs.select("world", F.explode(F.array("u", "v")).alias("node")).distinct()
+    r = incidence.rank_of_incidence(nodes, stars, pairs, ["world"])
+    return r.select(F.col("world").alias("day"), "edges", F.col("nodes").alias("h0"), "components", F.col("betti1").alias("h1"))
 
 
 @query()
