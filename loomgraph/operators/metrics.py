@@ -46,10 +46,13 @@ def confusion(df: DataFrame, by: list[str], cut: Column, y: str = "y", s: str =
 
 
 def best_threshold(df: DataFrame, by: list[str], y: str = "y", s: str = "s") -> DataFrame:
-    """by, threshold, f1: the least of the scores with the highest F1 of s >= threshold."""
+    """by, threshold, f1: of 0, the scores (from 0 to 1) and 1 the least with the highest F1 of s >= threshold; 0.5 if none is above 0. A group with one class has no threshold."""
     f1 = 2 * F.col("tp") / (F.col("n") + F.col("all_p"))
-    top = blocks(df, by, y, s).select(*by, F.col(s).alias("threshold"), f1.alias("f1"))
-    return top.groupBy(*by).agg(F.min_by("threshold", F.struct(-F.col("f1"), "threshold")).alias("threshold"), F.max("f1").alias("f1"))
+    tried = blocks(df, by, y, s).select(*by, F.col(s).alias("threshold"), f1.alias("f1"), "all_p", "all_m")
+    best = tried.groupBy(*by).agg(F.min_by("threshold", F.struct(-F.col("f1"), "threshold")).alias("at"), F.max("f1").alias("f1"), F.max("all_p").alias("p"), F.max("all_m").alias("m"))
+    everything = 2 * F.col("p") / (F.col("m") + F.col("p"))  # at 0 all are called positive
+    threshold = F.when(F.col("f1") <= 0, 0.5).when(everything >= F.col("f1"), 0.0).otherwise(F.col("at"))
+    return best.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("m")), threshold).alias("threshold"), "f1")
 
 
 def best_cutoff(df: DataFrame, by: list[str], y: str = "y", s: str = "s") -> DataFrame:
@@ -75,3 +78,21 @@ def contrasts(df: DataFrame, arm: str, reference: str, by: list[str], x: str) ->
     """by, arm, difference from the reference arm."""
     base = df.where(F.col(arm) == reference).select(*by, F.col(x).alias("_base"))
     return df.where(F.col(arm) != reference).join(base, by).select(*by, arm, (F.col(x) - F.col("_base")).alias("difference"))
+
+
+def selected(df: DataFrame, by: list[str], split: str, logit: str = "logit", y: str = "y", column: str = "split") -> DataFrame:
+    """by, n, positives, bce, ap and auroc of the rows of one split."""
+    rows = df.where(F.col(column) == split)
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), bce(F.col(logit), F.col(y)).alias("bce"))
+    return counts.join(ranking(rows, by, y, logit), by).select(*by, "n", "positives", "bce", "ap", "auroc")
+
+
+def exact_ap(df: DataFrame, by: list[str], y: str = "y", s: str = "s") -> DataFrame:
+    """by, numerator, denominator: average precision of a score of two values as an exact fraction, for instance of a rule that holds or not."""
+    b = blocks(df, by, y, s)
+    one = b.groupBy(*by).agg(F.max("all_p").alias("pos"), F.max("all_m").alias("all"), F.min_by("tp", "n").alias("tp"), F.min("n").alias("n"), F.count("*").alias("values"))
+    good = F.when(F.col("values") <= 2, F.lit(True)).otherwise(F.raise_error(F.lit("the score has more than two values")).cast("boolean"))
+    # First block: tp / pos * tp / n; second: (pos - tp) / pos * pos / all.
+    big = lambda c: c.cast("decimal(19,0)")
+    tp, n, pos, m = map(F.col, ("tp", "n", "pos", "all"))
+    return one.where(good & (pos > 0)).select(*by, (big(tp * tp) * big(m) + big((pos - tp) * pos) * big(n)).cast("decimal(38,0)").alias("numerator"), (big(pos * n) * big(m)).cast("decimal(38,0)").alias("denominator"))

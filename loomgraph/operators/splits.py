@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.operators.components import stars
 from loomgraph.operators.joins import draw
 
@@ -22,24 +23,24 @@ def group_profile(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("grp").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
-def fold_of_groups(profile: DataFrame, folds: int, salt: str, most: int = 1_000_000) -> DataFrame:
-    """(grp, fold): groups in order of positives and size, each to the fold with the fewest positives, then rows, then number. The order matters from one group to the next, so this runs on the driver, over one row for each group with a link or a positive; the others, alone and alike, are dealt in turn by their rank in a draw."""
+def fold_of_groups(profile: DataFrame, folds: int, salt: str) -> DataFrame:
+    """(grp, fold): groups in order of positives and size, those with most first. Groups alike, with the same positives and size, form a class; its groups are dealt in turn, in the order of a draw, to the folds with the fewest positives, then rows, then number (rows first, where a class has no positives).
+
+    The driver holds a row for each class: sizes that differ add up to the rows, so N rows have at most about the root of 2 N sizes. Groups are numbered by ranges; none comes to the driver.
+    """
     spark = profile.sparkSession
-    alike = (F.col("n") == 1) & (F.col("positives") == 0)
-    rows = profile.where(~alike).orderBy(F.desc("positives"), F.desc("n"), draw(salt, "grp")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} groups to place one by one")
-    load = [[0, 0] for _ in range(folds)]
-    placed = []
-    for r in rows:
-        k = min(range(folds), key=lambda i: (load[i][0], load[i][1], i) if r.positives else (load[i][1], load[i][0], i))
-        load[k][0] += r.positives
-        load[k][1] += r.n
-        placed.append((r.grp, k))
     kind = dict(profile.dtypes)["grp"]
-    one = spark.createDataFrame(placed, f"grp {kind}, fold int")
-    rest = profile.where(alike).select("grp", F.pmod(F.conv(F.substring(draw(salt, "grp"), 1, 12), 16, 10).cast("bigint"), F.lit(folds)).cast("int").alias("fold"))
-    return one.unionByName(rest)
+    ordered = profile.select("grp", (-F.col("positives")).cast("bigint").alias("_p"), (-F.col("n")).cast("bigint").alias("_m"), draw(salt, "grp").alias("_d"))
+    placed = with_ordinal(ordered, ["_p", "_m", "_d", "grp"], "_at")
+    load, start, rows = [(0, 0, i) for i in range(folds)], 0, []
+    for r in placed.groupBy("_p", "_m").count().orderBy("_p", "_m").collect():
+        load.sort(key=(lambda x: x) if r["_p"] else (lambda x: (x[1], x[0], x[2])))
+        rows.append((r["_p"], r["_m"], start, [x[2] for x in load]))
+        each = [r["count"] // folds + (k < r["count"] % folds) for k in range(folds)]
+        load = [(p - r["_p"] * e, n - r["_m"] * e, i) for (p, n, i), e in zip(load, each, strict=True)]
+        start += r["count"]
+    turns = spark.createDataFrame(rows, "_p bigint, _m bigint, _start bigint, _order array<int>")
+    return placed.join(turns, ["_p", "_m"]).select(F.col("grp").cast(kind).alias("grp"), F.get("_order", F.pmod(F.col("_at") - F.col("_start"), F.lit(folds)).cast("int")).alias("fold"))
 
 
 def leaks(placed: DataFrame, token: str = "token") -> DataFrame:

@@ -46,6 +46,11 @@ def holm(df: DataFrame, family: list[str], name: str, p: str, alpha: float = 0.0
     return out.select(*df.columns, F.max(F.least(F.lit(1.0), F.col("_left") * F.col(p))).over(so_far).alias("adjusted"), F.min(F.col(p) <= alpha / F.col("_left")).over(so_far).alias("rejected"))
 
 
+def holm_rounded(df: DataFrame, family: list[str], order: str, p: str, alpha: float = 0.05, places: int = 5) -> DataFrame:
+    """df with adjusted, to some places, and rejected, as holm() but ties in the order of a column."""
+    return holm(df, family, order, p, alpha).withColumn("adjusted", F.round("adjusted", places))
+
+
 def cohens_d(df: DataFrame, by: list[str], x: str, group: Column) -> DataFrame:
     """by, d: the difference of means of group and rest over their pooled deviation; 0 where a side has fewer than two."""
     a, b = F.when(group, F.col(x)), F.when(~group, F.col(x))
@@ -79,29 +84,32 @@ def stable_windows(df: DataFrame, by: list[str], step: str, x: str, width: int,
     return df.withColumn("stable", (n == width) & (high - low <= most * low))
 
 
-def resampled(values: DataFrame, unit: str, by: list[str], x: str, draws: int, salt: str) -> DataFrame:
-    """by, draw, mean: the resampled means behind bootstrap()."""
+def resampled(values: DataFrame, unit: str, by: list[str], x: str, draws: int, salt: str, n_of: str | None = None) -> DataFrame:
+    """by, draw, mean: the resampled means behind bootstrap(). With n_of, x is a sum over so many observations of the unit, and the mean is that over all of them."""
     placed = values.select(unit).distinct().withColumn("_at", F.row_number().over(Window.orderBy(unit)) - 1)  # units are the worlds of a study
     n = max(placed.agg(F.count("*")).first()[0], 1)
     slots = values.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     picks = slots.select("draw", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "draw", "slot")), 1, 12), 16, 10).cast("bigint"), F.lit(n)).cast("int").alias("_at"))
     counted = picks.groupBy("draw", "_at").agg(F.count("*").alias("times")).join(placed, "_at")
-    return counted.join(values, unit).groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("times")) / F.sum("times")).alias("mean"))
+    return counted.join(values, unit).groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("times")) / F.sum(F.col("times") * (F.col(n_of) if n_of else F.lit(1)))).alias("mean"))
+
+
+def cluster_sums(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str) -> DataFrame:
+    """by, cluster, _d and _n: the sum of a - b over a cluster's observations, and their number."""
+    return pairs.groupBy(*by, cluster).agg(F.sum(F.col(a) - F.col(b)).alias("_d"), F.count("*").alias("_n"))
 
 
 def cluster_difference(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str, draws: int, salt: str, alpha: float = 0.05) -> DataFrame:
-    """by, lower, upper, p, sd: the mean difference a - b over resampled clusters, each counted whole; p is the share of draws at or below 0."""
-    sums = pairs.groupBy(*by, cluster).agg(F.avg(F.col(a) - F.col(b)).alias("_d"))
-    means = resampled(sums, cluster, by, "_d", draws, salt)
+    """by, lower, upper, p, sd: the mean difference a - b over all observations of resampled clusters, so a large cluster weighs more; p is the share of draws at or below 0."""
+    means = resampled(cluster_sums(pairs, cluster, by, a, b), cluster, by, "_d", draws, salt, "_n")
     return means.groupBy(*by).agg(F.percentile("mean", alpha / 2).alias("lower"), F.percentile("mean", 1 - alpha / 2).alias("upper"), F.avg((F.col("mean") <= 0).cast("double")).alias("p"), F.stddev_samp("mean").alias("sd"))
 
 
 def equivalence(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str, margin: float, draws: int, salt: str, alpha: float = 0.05) -> DataFrame:
-    """by, p_lower, p_upper, equivalent: two one-sided tests of the mean difference against -margin and margin."""
-    sums = pairs.groupBy(*by, cluster).agg(F.avg(F.col(a) - F.col(b)).alias("_d"))
-    m = resampled(sums, cluster, by, "_d", draws, salt)
-    out = m.groupBy(*by).agg(F.avg((F.col("mean") <= -margin).cast("double")).alias("p_lower"), F.avg((F.col("mean") >= margin).cast("double")).alias("p_upper"))
-    return out.withColumn("equivalent", F.greatest("p_lower", "p_upper") < alpha)
+    """by, p_lower, p_upper, equivalent: two one-sided tests of the mean difference against -margin and margin; equivalent if the interval from alpha to 1 - alpha lies between them."""
+    m = resampled(cluster_sums(pairs, cluster, by, a, b), cluster, by, "_d", draws, salt, "_n")
+    inside = (F.percentile("mean", alpha) > -margin) & (F.percentile("mean", 1 - alpha) < margin)
+    return m.groupBy(*by).agg(F.avg((F.col("mean") <= -margin).cast("double")).alias("p_lower"), F.avg((F.col("mean") >= margin).cast("double")).alias("p_upper"), inside.alias("equivalent"))
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -116,3 +124,26 @@ def hypergeometric(df: DataFrame, population: str, positives: str, drawn: str, h
     total = log_choose(big, n)
     each = F.transform(F.sequence(F.col(hits), F.least(k, n)), lambda h: F.exp(log_choose(k, h) + log_choose(big - k, n - h) - total))
     return df.withColumn("tail", F.when(F.col(hits) > F.least(k, n), 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))))
+
+
+def confidence_sets(df: DataFrame, population: str, drawn: str, hits: str, alpha: float = 0.05) -> DataFrame:
+    """df with least and most: the numbers of positives in the population that the hits among the drawn leave open, each tail at alpha / 2.
+
+    A number k is open if neither so many hits nor so few are rarer than alpha / 2 under it. Both tails are monotone in k, so they are looked up in an
+    array of all k; the population is that of one stratum.
+    """
+    big, n, h = F.col(population), F.col(drawn), F.col(hits)
+    total = log_choose(big, n)
+    chance = lambda k, x: F.exp(log_choose(k, x) + log_choose(big - k, n - x) - total)
+    sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    upper = lambda k: sum_of(F.transform(F.sequence(h, n), lambda x: chance(k, x)))
+    lower = lambda k: sum_of(F.transform(F.sequence(F.lit(0).cast("bigint"), h), lambda x: chance(k, x)))
+    open_ = F.filter(F.sequence(h, big - n + h), lambda k: (upper(k) > alpha / 2) & (lower(k) > alpha / 2))
+    return df.withColumn("_open", open_).withColumns({"least": F.array_min("_open"), "most": F.array_max("_open")}).drop("_open")
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: term by term up to 64, beyond that by the asymptotic series, which is exact to the last digits there."""
+    few = F.aggregate(F.transform(F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(64).cast("bigint"))), lambda i: F.lit(1.0) / i), F.lit(0.0), lambda a, x: a + x)
+    many = F.log(n) + F.lit(0.5772156649015329) + 1 / (2 * n) - 1 / (12 * F.pow(n, F.lit(2))) + 1 / (120 * F.pow(n, F.lit(4)))
+    return F.when(n <= 64, few).otherwise(many)

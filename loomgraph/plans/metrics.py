@@ -55,10 +55,14 @@ def confusion_counts(spark, sf_dir):
     return rounded(metrics.confusion(scored(spark, sf_dir), ["world"], F.lit(3000.0)), "precision", "recall", "f1", "accuracy")
 
 
-@query(f"WITH {SCORED}, {blocks_sql('world')}, f AS (SELECT world, s, 2 * tp / (n + ap) AS f1 FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY f1 DESC, s) AS k FROM f) SELECT world, s AS threshold, round(f1, 9) AS f1 FROM r WHERE k = 1")
+@query(f"""WITH {SCORED}, q AS (SELECT world, y, s / (s + 5000) AS s FROM z), c AS (SELECT DISTINCT world, unnest([0.0, 1.0]) AS t FROM q UNION SELECT world, s FROM q),
+f AS (SELECT c.world, c.t, count_if(q.s >= c.t AND q.y = 1) AS tp, count_if(q.s >= c.t) AS called, count_if(q.y = 1) AS p, count(*) AS m FROM c JOIN q USING (world) GROUP BY ALL),
+g AS (SELECT *, CASE WHEN called + p > 0 THEN 2.0 * tp / (called + p) ELSE 0 END AS f1, row_number() OVER (PARTITION BY world ORDER BY 2.0 * tp / (called + p) DESC, t) AS k FROM f)
+SELECT world, CAST(CASE WHEN p = 0 OR p = m THEN NULL WHEN f1 = 0 THEN 0.5 ELSE t END AS DOUBLE) AS threshold, CAST(round(f1, 9) AS DOUBLE) AS f1 FROM g WHERE k = 1""")
 def f1_threshold(spark, sf_dir):
-    """The least score with the best F1 in each world."""
-    return rounded(metrics.best_threshold(scored(spark, sf_dir), ["world"]), "f1")
+    """The first threshold with the best F1 in each world, of 0, the scores and 1."""
+    z = scored(spark, sf_dir).withColumn("s", F.col("s") / (F.col("s") + 5000))
+    return rounded(metrics.best_threshold(z, ["world"]), "f1")
 
 
 @query(f"WITH {SCORED}, {blocks_sql('world')}, f AS (SELECT world, s, ((ap - tp + p) + (n - tp - m + p)) / am AS a FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY a DESC, s) AS k FROM f) SELECT world, s AS cutoff, round(a, 9) AS accuracy FROM r WHERE k = 1")
@@ -150,7 +154,16 @@ def daily(spark, sf_dir):
     return metrics.contrasts(d, "kind", "view", ["day"], "n").withColumnRenamed("difference", "d")
 
 
-@query()
+SIGNED = DAILY.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT kind, round(d, 12) AS d FROM e), n0 AS (SELECT kind, count_if(d = 0) AS n_zero FROM o GROUP BY kind),
+x AS (SELECT kind, d, CAST(2 * rank() OVER (PARTITION BY kind ORDER BY abs(d)) + count(*) OVER (PARTITION BY kind, abs(d)) - 1 AS BIGINT) AS r, row_number() OVER (PARTITION BY kind ORDER BY abs(d), d) AS i FROM o WHERE d <> 0),
+g AS (SELECT kind, count(*) AS n, sum(r) AS total, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS plus FROM x GROUP BY kind),
+w AS (SELECT kind, CAST(0 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS ways FROM g UNION ALL
+ SELECT w.kind, w.i + 1, list_transform(generate_series(0, len(ways) - 1 + x.r), lambda j: (CASE WHEN j < len(ways) THEN ways[j + 1] ELSE 0 END) + (CASE WHEN j >= x.r THEN ways[j - x.r + 1] ELSE 0 END)) FROM w JOIN x ON x.kind = w.kind AND x.i = w.i + 1),
+f AS (SELECT g.*, list_sum(ways[1:CAST(least(plus, total - plus) AS BIGINT) + 1]) AS tail FROM g JOIN w ON w.kind = g.kind AND w.i = g.n)
+SELECT kind, n_zero, coalesce(n, 0) AS n, CAST(coalesce(plus, 0) AS BIGINT) AS w_plus, round(least(1.0, coalesce(2 * tail / pow(2.0, n), 1.0)), 9) AS p FROM n0 LEFT JOIN f USING (kind)"""
+
+
+@query(SIGNED)
 def exact_signed_rank(spark, sf_dir):
     """The exact signed-rank test of daily counts against those of views."""
     return rounded(statistics.signed_rank(daily(spark, sf_dir), ["kind"], "d"), "p")
@@ -184,8 +197,7 @@ def bootstrap_interval(spark, sf_dir):
 def chance_references(spark, sf_dir):
     """Prevalence, and the expected average precision of a random order without ties, in closed form."""
     c = scored(spark, sf_dir).groupBy("world").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("p > 0")
-    h = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.lit(1.0) / i), F.lit(0.0), lambda a, x: a + x)
-    c = c.withColumn("h", h)
+    c = c.withColumn("h", statistics.harmonic(F.col("n")))
     rest = F.when(F.col("n") > 1, (F.col("p") - 1) / (F.col("n") - 1) * (F.col("n") - F.col("h"))).otherwise(0.0)
     return rounded(c.select("world", (F.col("p") / F.col("n")).alias("prevalence"), ((rest + F.col("h")) / F.col("n")).alias("random_ap")), "prevalence", "random_ap")
 
@@ -244,9 +256,9 @@ def grid_choice(spark, sf_dir):
 
 
 PAIRS = f"WITH {TRANSFERS}, c AS (SELECT hours // 24 AS day, kind, src % 20 AS cluster, sum(amount) AS v FROM t WHERE kind IN ('click', 'view') GROUP BY ALL), q AS (SELECT x.day, x.cluster, x.v AS a, y.v AS b FROM c x JOIN c y USING (day, cluster) WHERE x.kind = 'click' AND y.kind = 'view')"
-DRAWS = """, m AS (SELECT 'all' AS arm, cluster, avg(a - b) AS d FROM q GROUP BY cluster), u AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS spot FROM m),
+DRAWS = """, m AS (SELECT 'all' AS arm, cluster, sum(a - b) AS d, count(*) AS c FROM q GROUP BY cluster), u AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS spot FROM m),
 k AS (SELECT d.range AS draw, s.range AS slot FROM range(200) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('pairs:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT count(*) FROM m) AS spot FROM k),
-b AS (SELECT arm, draw, avg(d) AS mean FROM p JOIN u USING (spot) GROUP BY ALL)"""
+b AS (SELECT arm, draw, sum(d) / sum(c) AS mean FROM p JOIN u USING (spot) GROUP BY ALL)"""
 
 
 def day_pairs(spark, sf_dir):
@@ -260,7 +272,7 @@ def cluster_bootstrap(spark, sf_dir):
     return rounded(statistics.cluster_difference(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 200, "pairs"), "lower", "upper", "p", "sd", places=6)
 
 
-@query(PAIRS + DRAWS + ", e AS (SELECT arm, avg(CASE WHEN mean <= -40 THEN 1.0 ELSE 0.0 END) AS l, avg(CASE WHEN mean >= 40 THEN 1.0 ELSE 0.0 END) AS h FROM b GROUP BY arm) SELECT arm, round(l, 6) AS p_lower, round(h, 6) AS p_upper, greatest(l, h) < 0.05 AS equivalent FROM e")
+@query(PAIRS + DRAWS + ", e AS (SELECT arm, avg(CASE WHEN mean <= -40 THEN 1.0 ELSE 0.0 END) AS l, avg(CASE WHEN mean >= 40 THEN 1.0 ELSE 0.0 END) AS h, quantile_cont(mean, 0.05) > -40 AND quantile_cont(mean, 0.95) < 40 AS equivalent FROM b GROUP BY arm) SELECT arm, round(l, 6) AS p_lower, round(h, 6) AS p_upper, equivalent FROM e")
 def equivalence_test(spark, sf_dir):
     """Whether the same difference lies within 40 either way."""
     return rounded(statistics.equivalence(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 40.0, 200, "pairs"), "p_lower", "p_upper", places=6)
@@ -285,10 +297,13 @@ def cost_rollup(spark, sf_dir):
 def endpoint_grid(spark, sf_dir):
     """Every cell of languages by worlds, with NOT_RUN where there is nothing."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("source").alias("world"))
-    langs = [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").limit(1000).collect()]
-    grid = d.select("world").distinct().select("world", F.explode(F.array(*map(F.lit, langs)) if langs else F.array().cast("array<string>")).alias("lang"))
+    # A grid by an equi-join on a constant that spreads: every world goes to each of 16 parts, every language to one.
+    worlds = d.select("world").distinct().select("world", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_part"))
+    langs = table(spark, sf_dir, "documents").select("lang").distinct().withColumn("_part", F.pmod(F.xxhash64("lang"), F.lit(16)).cast("int"))
+    grid = worlds.join(langs, "_part").drop("_part")
     n = d.groupBy("lang", "world").agg(F.count("*").alias("n"))
-    return grid.join(n, ["lang", "world"], "left").select("lang", "world", F.coalesce(F.col("n").cast("string"), F.lit("NOT_RUN")).alias("n"))
+    n = n.select(F.col("lang").alias("l"), F.col("world").alias("w"), "n")
+    return grid.join(n, F.col("lang").eqNullSafe(F.col("l")) & F.col("world").eqNullSafe(F.col("w")), "left").select("lang", "world", F.coalesce(F.col("n").cast("string"), F.lit("NOT_RUN")).alias("n"))
 
 
 @query(HISTORY + " SELECT x.kind, x.day, x.n - y.n AS change, abs(x.n - y.n) > 0.2 * y.n AS late FROM c x JOIN c y ON x.kind = y.kind AND y.day = x.day - 7")
@@ -297,3 +312,30 @@ def late_changes(spark, sf_dir):
     h = history(spark, sf_dir)
     before = h.select("kind", (F.col("day") + 7).alias("day"), F.col("n").alias("was"))
     return h.join(before, ["kind", "day"]).select("kind", "day", (F.col("n") - F.col("was")).alias("change"), (F.abs(F.col("n") - F.col("was")) > 0.2 * F.col("was")).alias("late"))
+
+
+@query(f"""WITH {SCORED}, l AS (SELECT world, candidate % 3 = 0 AS held, y, (s - 3000) / 1000 AS s FROM z), h AS (SELECT * FROM l WHERE held), {blocks_sql('world', 'h')}, r AS (SELECT world, {RANK} FROM b GROUP BY world)
+SELECT world, n, r.positives, bce, r.ap, r.auroc FROM (SELECT world, count(*) AS n, round(avg(greatest(s, 0) - s * y + ln(1 + exp(-abs(s)))), 8) AS bce FROM h GROUP BY world) JOIN r USING (world)""")
+def selected_metrics(spark, sf_dir):
+    """Counts, cross-entropy, AP and AUROC of the validation rows of each world."""
+    z = scored(spark, sf_dir).select("world", "y", ((F.col("s") - 3000) / 1000).alias("logit"), F.when(F.col("candidate") % 3 == 0, "validation").otherwise("train").alias("split"))
+    return rounded(rounded(metrics.selected(z, ["world"], "validation"), "bce", places=8), "ap", "auroc")
+
+
+@query(f"""WITH {SCORED}, q AS (SELECT world, y, s >= 3000 AS v FROM z), g AS (SELECT world, count(*) AS m, sum(y) AS pos, count_if(v) AS n, sum(CASE WHEN v THEN y ELSE 0 END) AS tp FROM q GROUP BY world)
+SELECT world, CAST(CASE WHEN n = 0 OR n = m THEN pos * pos * m ELSE tp * tp * m + (pos - tp) * pos * n END AS VARCHAR) AS numerator, CAST(CASE WHEN n = 0 OR n = m THEN pos * m * m ELSE pos * n * m END AS VARCHAR) AS denominator FROM g WHERE pos > 0""")
+def exact_rule_ap(spark, sf_dir):
+    """AP of a rule on the length as an exact fraction."""
+    z = scored(spark, sf_dir).withColumn("s", (F.col("s") >= 3000).cast("double"))
+    return metrics.exact_ap(z, ["world"]).select("world", F.col("numerator").cast("string").alias("numerator"), F.col("denominator").cast("string").alias("denominator"))
+
+
+@query(f"""WITH RECURSIVE {SCORED}, w AS (SELECT world, least(count(*), 40) AS big, CAST(least(count(*), 12) AS BIGINT) AS n, least(CAST(sum(y) AS BIGINT), 3) AS h FROM z GROUP BY world HAVING count(*) >= 20), f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS v UNION ALL SELECT i + 1, v + ln(i + 1) FROM f WHERE i < 40),
+k AS (SELECT w.*, unnest(generate_series(h, big - n + h)) AS k FROM w), x AS (SELECT k.*, unnest(generate_series(0, n)) AS j FROM k),
+p AS (SELECT x.world, x.k, x.h, x.j, CASE WHEN j > k OR n - j > big - k THEN 0 ELSE exp(a.v - b.v - c.v + d.v - e.v - g.v - q.v + r.v + t.v) END AS pr FROM x LEFT JOIN f a ON a.i = k LEFT JOIN f b ON b.i = j LEFT JOIN f c ON c.i = k - j LEFT JOIN f d ON d.i = big - k LEFT JOIN f e ON e.i = n - j LEFT JOIN f g ON g.i = big - k - n + j LEFT JOIN f q ON q.i = big LEFT JOIN f r ON r.i = n LEFT JOIN f t ON t.i = big - n),
+o AS (SELECT world, k, sum(CASE WHEN j >= h THEN pr ELSE 0 END) AS up, sum(CASE WHEN j <= h THEN pr ELSE 0 END) AS lo FROM p GROUP BY ALL) SELECT world, min(k) AS least, max(k) AS most FROM o WHERE up > 0.025 AND lo > 0.025 GROUP BY world""")
+def confidence_sets(spark, sf_dir):
+    """How many of forty documents may be toxic after three hits among twelve."""
+    c = scored(spark, sf_dir).groupBy("world").agg(F.count("*").alias("m"), F.sum("y").alias("p")).where("m >= 20")
+    c = c.select("world", F.least("m", F.lit(40).cast("bigint")).alias("big"), F.least("m", F.lit(12).cast("bigint")).alias("n"), F.least("p", F.lit(3).cast("bigint")).alias("h"))
+    return statistics.confidence_sets(c, "big", "n", "h").select("world", "least", "most")
