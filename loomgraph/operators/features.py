@@ -114,3 +114,61 @@ def observed_events(events: DataFrame) -> DataFrame:
     """event_id, step (the share of all steps before an event) and log_amount."""
     span = events.agg(F.min("hours").alias("_0"), (F.max("hours") - F.min("hours") + 1).alias("_n"))
     return events.join(F.broadcast(span)).select("event_id", ((F.col("hours") - F.col("_0")).cast("double") / F.col("_n")).alias("step"), F.log1p("amount").alias("log_amount"))
+
+
+#: Forms of a time in text, tried in order.
+TIME_FORMS = ("yyyy/MM/dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm")
+
+
+def relative_hours(rows: DataFrame, text: str, order: str, name: str = "since") -> DataFrame:
+    """rows with the hours from the time of the first row in the order to theirs. A text in none of TIME_FORMS raises."""
+    read = F.coalesce(*(F.try_to_timestamp(F.col(text), F.lit(f)) for f in TIME_FORMS))
+    seconds = F.unix_timestamp(F.coalesce(read, F.raise_error(F.lit("a time can't be read")).cast("timestamp")))
+    timed = rows.withColumn("_t", seconds)
+    first = timed.agg(F.min_by("_t", order).alias("_first"))
+    return timed.join(F.broadcast(first)).withColumn(name, (F.col("_t") - F.col("_first")) / 3600).drop("_t", "_first")
+
+
+def native_precision(x: Column) -> Column:
+    """x in hundredths as a whole number of 32 bits would hold it: cut off towards zero, held at the ends, NaN as 0."""
+    scaled = x * 100
+    held = F.greatest(F.least(scaled, F.lit(2147483647.0)), F.lit(-2147483648.0))
+    return F.when(F.isnan(x), 0.0).otherwise(F.when(held < 0, F.ceil(held)).otherwise(F.floor(held)).cast("double") / 100)
+
+
+def through_float(x: Column) -> Column:
+    """x after a round trip through 32 bits."""
+    return x.cast("float").cast("double")
+
+
+def cash_counts(events: DataFrame, by: list[str], cash: list[str], kind: str = "kind") -> DataFrame:
+    """by, cash, noncash, loops and arcs: events of cash kinds and others, loops, and distinct arcs without cash and loops, which are all that a cycle may take."""
+    is_cash, loop = F.col(kind).isin(cash), F.col("src") == F.col("dst")
+    counts = events.groupBy(*by).agg(F.count_if(is_cash).alias("cash"), F.count_if(~is_cash).alias("noncash"), F.count_if(loop).alias("loops"))
+    arcs = events.where(~is_cash & ~loop).select(*by, "src", "dst").distinct().groupBy(*by).agg(F.count("*").alias("arcs"))
+    return counts.join(arcs, by, "left").fillna(0, ["arcs"])
+
+
+def full_census(df: DataFrame, by: list[str], expected: int) -> DataFrame:
+    """by, n; a group that hasn't the expected number of rows raises."""
+    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return n.withColumn("n", F.when(F.col("n") == expected, F.col("n")).otherwise(F.raise_error(F.lit(f"a group hasn't {expected} rows")).cast("bigint")))
+
+
+def scrubbed(df: DataFrame, names: list[str]) -> DataFrame:
+    """df without the named columns, nor fields of that name in its structs and arrays of structs."""
+    def clean(c: str, kind) -> Column:
+        from pyspark.sql import types as T
+
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        gone = [f.name for f in inner.fields if f.name in names] if isinstance(inner, T.StructType) else []
+        if not gone:
+            return F.col(c)
+        return (F.transform(c, lambda x: x.dropFields(*gone)) if isinstance(kind, T.ArrayType) else F.col(c).dropFields(*gone)).alias(c)
+
+    return df.select(*(clean(f.name, f.dataType) for f in df.schema if f.name not in names))
+
+
+def repeated_inputs(df: DataFrame, value: Column, world: str) -> DataFrame:
+    """digest, n, worlds: values that come in more than one world."""
+    return df.groupBy(F.sha2(value, 256).alias("digest")).agg(F.count("*").alias("n"), F.count_distinct(world).alias("worlds")).where("worlds > 1")

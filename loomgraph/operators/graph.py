@@ -100,7 +100,7 @@ def event_tuples(found: DataFrame, events: DataFrame, cap: int, by: tuple[str, .
         out = more.unionByName(out.where(n <= k)) if k >= 2 else more
         if k % 3 == 2:
             out = staged(out, "event-tuples")  # a union a round would double the plan
-    return out
+    return staged(out, "event-tuples")
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:

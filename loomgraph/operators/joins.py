@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,42 @@ def worst_gap(left: DataFrame, right: DataFrame, keys: list[str], x: str, by: li
     """by, n and the largest absolute difference of x."""
     other = right.select(*keys, F.col(x).alias("_x"))
     return left.join(other, keys).groupBy(*by).agg(F.count("*").alias("n"), F.max(F.abs(F.col(x) - F.col("_x"))).alias("gap"))
+
+
+def reconcile_all(parts: dict[str, DataFrame], keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, fault, what): how several versions of the same rows differ: `missing` and `repeated` name a version, `differs` names a field that isn't the same in all versions that have the key, nulls compared as values. One shuffle, whatever the number of versions."""
+    names = list(parts)
+    rows = reduce(DataFrame.unionByName, [df.select(*keys, *fields, F.lit(i).alias("_v")) for i, df in enumerate(parts.values())])
+    of = [F.count_if(F.col("_v") == i).alias(f"_n{i}") for i in range(len(names))]
+    same = [((F.count(f) == 0) | (F.count(f) == F.count("*")) & (F.min(f) == F.max(f))).alias(f"_s{j}") for j, f in enumerate(fields)]
+    seen = rows.groupBy(*keys).agg(*of, *same)
+    fault = lambda c, kind, what: F.when(c, F.struct(F.lit(kind).alias("fault"), F.lit(what).alias("what")))
+    found = [fault(F.col(f"_n{i}") == 0, "missing", n) for i, n in enumerate(names)] + [fault(F.col(f"_n{i}") > 1, "repeated", n) for i, n in enumerate(names)] + [fault(~F.col(f"_s{j}"), "differs", f) for j, f in enumerate(fields)]
+    return seen.select(*keys, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
+def custody(predictions: DataFrame, population: DataFrame, keys: list[str], group: str, label: str = "y", split: str = "split") -> DataFrame:
+    """group, expected, predicted, missing, stray, repeated, label_mismatch and split_mismatch: what stands against taking the predictions for those of the population. group is one of the keys."""
+    side = lambda df, i: df.select(*keys, F.lit(i).alias("_v"), F.col(label).alias("_l"), F.col(split).alias("_s"))
+    rows = side(predictions, 0).unionByName(side(population, 1))
+    pred, pop = F.col("_v") == 0, F.col("_v") == 1
+    one = rows.groupBy(*keys).agg(F.count_if(pred).alias("p"), F.count_if(pop).alias("q"), F.max(F.when(pred, F.col("_l"))).alias("lp"), F.max(F.when(pop, F.col("_l"))).alias("lq"), F.max(F.when(pred, F.col("_s"))).alias("sp"), F.max(F.when(pop, F.col("_s"))).alias("sq"))
+    both = (F.col("p") > 0) & (F.col("q") > 0)
+    checks = {"expected": F.col("q") > 0, "predicted": F.col("p") > 0, "missing": F.col("p") == 0, "stray": F.col("q") == 0, "repeated": (F.col("p") > 1) | (F.col("q") > 1), "label_mismatch": both & ~F.col("lp").eqNullSafe(F.col("lq")), "split_mismatch": both & ~F.col("sp").eqNullSafe(F.col("sq"))}
+    return one.groupBy(group).agg(*(F.count_if(c).alias(k) for k, c in checks.items()))
+
+
+def membership(candidates: DataFrame, instances: DataFrame, by: list[str]) -> DataFrame:
+    """candidates (by, cycle, events) with instance and sar, null where no instance has the same members and events. An instance may begin anywhere: members and events are turned together until the least member is first. instances: (by, instance, members, events, sar)."""
+    turned = F.array_min(F.transform(F.sequence(F.lit(0), F.size("members") - 1), lambda i: F.concat(F.slice(F.arrays_zip("members", "events"), i + 1, F.size("members")), F.slice(F.arrays_zip("members", "events"), F.lit(1), i))))
+    own = instances.withColumn("_t", turned).select(*by, F.col("_t")["members"].alias("cycle"), F.col("_t")["events"].alias("events"), "instance", "sar")
+    return candidates.join(own, [*by, "cycle", "events"], "left")
+
+
+def realization(schedules: DataFrame, attempts: DataFrame, events: DataFrame, frame: tuple) -> DataFrame:
+    """alert, arcs, attempted, persisted, stray, complete, in_frame: how much of each scheduled alert came about. schedules: (alert, arcs), attempts: (attempt, alert, arc), events: (attempt, time). An alert is complete if its persisted arcs are exactly 0 to arcs - 1; in frame if it is complete within the frame."""
+    met = attempts.join(events.groupBy("attempt").agg(F.min("time").alias("first"), F.max("time").alias("last")), "attempt", "left").join(schedules, "alert", "right")
+    there, inside = F.col("first").isNotNull(), (F.col("arc") >= 0) & (F.col("arc") < F.col("arcs"))
+    sums = met.groupBy("alert", "arcs").agg(F.count("arc").alias("attempted"), F.count_if(there).alias("persisted"), F.count_if(there & ~inside).alias("stray"), F.count_distinct(F.when(there & inside, F.col("arc"))).alias("_arcs"), F.min("first").alias("_first"), F.max("last").alias("_last"))
+    complete = (F.col("_arcs") == F.col("arcs")) & (F.col("stray") == 0)
+    return sums.select("alert", "arcs", "attempted", "persisted", "stray", complete.alias("complete"), (complete & F.coalesce((F.col("_first") >= frame[0]) & (F.col("_last") <= frame[1]), F.lit(False))).alias("in_frame"))

@@ -84,3 +84,86 @@ def pooled(nodes: DataFrame, by: list[str], width: int) -> DataFrame:
 def observed(df: DataFrame, by: list[str], x: str, near: float = 0.99) -> DataFrame:
     """by, n, least, most and saturated: the share of values of at least `near` in size."""
     return df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg((F.abs(x) >= near).cast("double")).alias("saturated"))
+
+
+def dense(x, weight: np.ndarray, bias: np.ndarray | None = None, act=None) -> F.Column:
+    """x W + b as an array, from an array column or a list of columns; act works on a column."""
+    get = (lambda i: x[i]) if isinstance(x, list) else (lambda i: F.get(x, F.lit(i)))
+    out = [sum((get(i) * float(weight[i, j]) for i in range(weight.shape[0])), F.lit(float(bias[j]) if bias is not None else 0.0)) for j in range(weight.shape[1])]
+    return F.array(*(act(c) if act else c for c in out))
+
+
+def with_loops(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    return edges.select(*by, "src", "dst").unionByName(nodes.select(*by, F.col("node").alias("src"), F.col("node").alias("dst")))
+
+
+def summed(rows: DataFrame, by: list[str], node: str, x: str, width: int) -> DataFrame:
+    return rows.groupBy(*by, F.col(node).alias("node")).agg(F.array(*(F.sum(F.get(x, F.lit(i))) for i in range(width))).alias("m"))
+
+
+def degree_layer(nodes: DataFrame, edges: DataFrame, by: list[str], weight: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(by, node, h): one directed convolution with given weights. With a loop at every node, the message from u to v is h_u W over the root of out-degree(u) x in-degree(v); parallel edges count."""
+    full = with_loops(nodes, edges, by)
+    out = full.groupBy(*by, "src").agg(F.count("*").alias("_out"))
+    into = full.groupBy(*by, "dst").agg(F.count("*").alias("_in"))
+    arcs = full.groupBy(*by, "src", "dst").agg(F.count("*").alias("_m")).join(out, [*by, "src"]).join(into, [*by, "dst"])
+    h = nodes.select(*by, F.col("node").alias("src"), dense(F.col("h"), weight).alias("h"))
+    scale = F.col("_m") / F.sqrt(F.col("_out") * F.col("_in"))
+    sent = arcs.join(h, [*by, "src"]).select(*by, "dst", F.transform("h", lambda x: x * scale).alias("h"))
+    width = weight.shape[1]
+    return summed(sent, by, "dst", "h", width).select(*by, "node", F.array(*(F.get("m", F.lit(j)) + float(bias[j]) for j in range(width))).alias("h"))
+
+
+def attention_layer(nodes: DataFrame, edges: DataFrame, by: list[str], weight: np.ndarray, source: np.ndarray, target: np.ndarray, bias: np.ndarray, slope: float = 0.2) -> DataFrame:
+    """(by, node, h): one layer of graph attention with given weights. source and target: [head, component]; every node has a loop; the softmax is over the edges into a node, their largest score taken off first."""
+    heads, width = source.shape
+    h = nodes.select(*by, "node", dense(F.col("h"), weight).alias("h"))
+    score = lambda att: F.array(*(sum((F.get("h", F.lit(k * width + i)) * float(att[k, i]) for i in range(width)), F.lit(0.0)) for k in range(heads)))
+    a = h.select(*by, F.col("node").alias("src"), "h", score(source).alias("_a"))
+    b = h.select(*by, F.col("node").alias("dst"), score(target).alias("_b"))
+    leaky = lambda x: F.when(x >= 0, x).otherwise(x * slope)
+    scored = with_loops(nodes, edges, by).join(a, [*by, "src"]).join(b, [*by, "dst"]).select(*by, "dst", "h", F.zip_with("_a", "_b", lambda x, y: leaky(x + y)).alias("e"))
+    most = scored.groupBy(*by, "dst").agg(F.array(*(F.max(F.get("e", F.lit(k))) for k in range(heads))).alias("_most"))
+    risen = scored.join(most, [*by, "dst"]).select(*by, "dst", "h", F.zip_with("e", "_most", lambda x, m: F.exp(x - m)).alias("w"))
+    sums = [F.sum(F.get("w", F.lit(k)) * F.get("h", F.lit(k * width + i))).alias(f"_{k}_{i}") for k in range(heads) for i in range(width)]
+    total = risen.groupBy(*by, F.col("dst").alias("node")).agg(*sums, *(F.sum(F.get("w", F.lit(k))).alias(f"_w{k}") for k in range(heads)))
+    return total.select(*by, "node", F.array(*(F.col(f"_{k}_{i}") / (F.col(f"_w{k}") + 1e-12) + float(bias[k * width + i]) for k in range(heads) for i in range(width))).alias("h"))
+
+
+def edge_pooled(edges: DataFrame, by: list[str], names: tuple[str, str] = ("log_amount", "since")) -> DataFrame:
+    """(by, pooled): the means, then the maxima, of two features over a graph's edges. A feature that is missing or not finite raises."""
+    good = [F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")).otherwise(F.raise_error(F.lit("an edge feature isn't finite")).cast("double")) for c in names]
+    return edges.select(*by, *(c.alias(f"_{i}") for i, c in enumerate(good))).groupBy(*by).agg(F.array(*(F.avg(f"_{i}") for i in range(2)), *(F.max(f"_{i}") for i in range(2))).alias("pooled"))
+
+
+def cell_network(nodes: DataFrame, edges: DataFrame, cells: DataFrame, w: dict[str, np.ndarray], key: str = "candidate") -> DataFrame:
+    """(candidate, logit): a network over nodes, edges and one cell for each candidate, with given weights. nodes: (candidate, node, v), edges: (candidate, edge, src, dst, e array of 3, face: 1 where the edge bounds the cell, else 0), cells: (candidate, length).
+
+    An edge reads itself, its ends and the cell; the cell reads its edges; the logit is read from the cell and the mean edge.
+    """
+    hidden = w["src"].shape[0]
+    hv = nodes.select(key, "node", dense([F.col("v")], w["node"], w["node_b"], F.tanh).alias("hv"))
+    end = lambda c: hv.select(key, F.col("node").alias(c), F.col("hv").alias(f"h_{c}"))
+    face = cells.select(key, dense([F.col("length").cast("double")], w["face"], w["face_b"], F.tanh).alias("f0"))
+    met = edges.join(end("src"), [key, "src"]).join(end("dst"), [key, "dst"]).join(face, key)
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    ends = F.when(F.col("src") == F.col("dst"), F.transform("h_src", lambda x: x * 0)).otherwise(add(F.col("h_src"), F.col("h_dst")))  # a loop has no column in B1
+    low = add(ends, add(dense(F.col("h_src"), w["src"]), dense(F.col("h_dst"), w["dst"])))
+    parts = F.concat(dense(F.col("e"), w["edge"], w["edge_b"], F.tanh), low, F.transform("f0", lambda x: x * F.col("face")))
+    he = met.select(key, "face", "f0", dense(parts, w["eu"], w["eu_b"], F.tanh).alias("he"))
+    each = he.groupBy(key).agg(F.first("f0").alias("f0"), F.array(*(F.avg(F.get("he", F.lit(i))) for i in range(hidden))).alias("mean"), F.array(*(F.sum(F.get("he", F.lit(i)) * F.col("face")) for i in range(hidden))).alias("up"))
+    hf = dense(F.concat("f0", "up"), w["fu"], w["fu_b"], F.tanh)
+    return each.select(key, F.get(dense(add(hf, F.col("mean")), w["out"], w["out_b"]), F.lit(0)).alias("logit"))
+
+
+def channels(df: DataFrame, names: list[str], score, by: str, shift: float = 1.0) -> DataFrame:
+    """(channel, moved): for each predictor, how many rows' scores move when it alone is shifted: a channel that moves none doesn't reach the model. score(df, names) gives df with `logit`."""
+    base = score(df, names).select(by, F.col("logit").alias("_base"))
+    found = []
+    for c in names:
+        other = score(df.withColumn(c, F.col(c) + shift), names).select(by, "logit")
+        found.append(base.join(other, by).agg(F.lit(c).alias("channel"), F.count_if(F.abs(F.col("logit") - F.col("_base")) > 1e-9).alias("moved")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

@@ -96,3 +96,29 @@ def vector(h0: Column, h1: Column, most: Column, levels: int = 3, points: int =
         s = summary(bars)
         parts += [landscape(bars, levels, points), F.array(s["total"], s["longest"], s["mean"], s["entropy"], s["bars"].cast("double"))]
     return F.concat(*parts).cast("array<float>")
+
+
+def filled(bars: Column, births: Column, time: float | Column) -> Column:
+    """Bars of H1 with those that begin at one of `births` ended at `time`, when a face fills the cycle; a bar filled at its birth goes."""
+    t = time if isinstance(time, Column) else F.lit(float(time))
+    ended = F.transform(bars, lambda x: F.named_struct(F.lit("birth"), x["birth"], F.lit("death"), F.when(F.array_contains(births, x["birth"]), F.least(x["death"], F.greatest(t, x["birth"]))).otherwise(x["death"])))
+    return F.filter(ended, lambda x: x["death"] > x["birth"])
+
+
+def essential_census(diagrams: DataFrame, rank: DataFrame, group: str) -> DataFrame:
+    """(group, classes, first, last) of the endless classes in H1 by the elder rule. Their number is held against edges - nodes + components of `rank` (group, edges, nodes, components) and against edges less the rank over GF(2); a difference raises."""
+    own = diagrams.select(group, F.size("h1").cast("bigint").alias("classes"), F.array_min(F.transform("h1", lambda x: x["birth"])).alias("first"), F.array_max(F.transform("h1", lambda x: x["birth"])).alias("last"))
+    met = own.join(rank, group)
+    good = (F.col("classes") == F.col("edges") - F.col("nodes") + F.col("components")) & (F.col("classes") == F.col("edges") - F.col("rank"))
+    return met.select(group, F.when(good, F.col("classes")).otherwise(F.raise_error(F.lit("the counts of endless classes differ")).cast("bigint")).alias("classes"), "first", "last")
+
+
+def cache_vectors(vectors: DataFrame, path: str, fold: str) -> None:
+    """Vectors by fold with their manifest, as sinks.write_parts; a vector of another length than the first one's, or with a value that isn't finite, raises."""
+    from loomgraph.sources.sinks import write_parts
+
+    width = vectors.agg(F.max(F.size("v")), F.min(F.size("v"))).first()
+    if width[0] != width[1]:
+        raise ValueError("vectors differ in length")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    write_parts(vectors.withColumn("v", F.when(~bad, F.col("v")).otherwise(F.raise_error(F.lit("a vector isn't finite")).cast("array<float>"))), path, fold)

@@ -73,3 +73,11 @@ def flow_faults(hops: DataFrame, ring: str, place: str, most_fee: float = 0.02,
     checks = {"gap": F.col("src") != end, "time": F.col("time") < time, "growth": F.col("amount") > amount + tolerance, "fee": F.col("amount") < amount * (1 - most_fee) - tolerance}
     marked = hops.withColumns({f"_{k}": F.coalesce(c, F.lit(False)) for k, c in checks.items()})
     return marked.groupBy(ring).agg(F.count("*").alias("hops"), *(F.count_if(F.col(f"_{k}")).alias(k) for k in checks))
+
+
+def ring_labels(arcs: DataFrame, injected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cycle, label): 1 if every arc of a cycle carries an injected edge and all are of one ring, 0 if none does; others are left out. arcs: (by, cycle, src, dst), injected: (by, src, dst, ring)."""
+    own = injected.select(*by, "src", "dst", "ring").distinct()
+    met = arcs.join(own, [*by, "src", "dst"], "left").groupBy(*by, "cycle").agg(F.count_if(F.col("ring").isNull()).alias("_bare"), F.count("ring").alias("_some"), F.count_distinct("ring").alias("_rings"))
+    whole = (F.col("_bare") == 0) & (F.col("_rings") == 1)
+    return met.where(whole | (F.col("_some") == 0)).select(*by, "cycle", whole.cast("int").alias("label"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, joins, splits
-from loomgraph.plans.graphs import CYCLES, census
-from loomgraph.plans.relations import TRANSFERS, transfers
+from loomgraph.operators import features, graph, joins, splits
+from loomgraph.plans.graphs import CYCLES, TUPLES, census, tuples
+from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
 from loomgraph.session import table
 from loomgraph.sources.readers import strict_json
 
@@ -142,3 +142,81 @@ def strict_properties(spark, sf_dir):
 def rolled_counts(spark, sf_dir):
     """Documents by language and source, with totals."""
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), (F.grouping("lang") + F.grouping("source")).cast("bigint").alias("level"))
+
+
+@query(f"""WITH {TRANSFERS} SELECT event_id, unnest(CASE WHEN kind = 'signup' THEN ['missing'] ELSE [] END || CASE WHEN round(amount, 1) <> amount THEN ['differs'] ELSE [] END || CASE WHEN kind = 'error' THEN ['repeated'] ELSE [] END) AS fault, unnest(CASE WHEN kind = 'signup' THEN ['persisted'] ELSE [] END || CASE WHEN round(amount, 1) <> amount THEN ['amount'] ELSE [] END || CASE WHEN kind = 'error' THEN ['bound'] ELSE [] END) AS what FROM t""")
+def five_way_reconciliation(spark, sf_dir):
+    """Events as emitted, bound, buffered, persisted and native: what is missing, repeated or different."""
+    t = transfers(spark, sf_dir).select("event_id", "src", "dst", "kind", "amount")
+    parts = {"emitted": t, "bound": t.unionByName(t.where("kind = 'error'")), "buffered": t.withColumn("amount", F.round("amount", 1)), "persisted": t.where("kind <> 'signup'"), "native": t}
+    return joins.reconcile_all(parts, ["event_id"], ["src", "dst", "amount"])
+
+
+@query(f"""WITH {SCORED}, p AS (SELECT world, candidate, CASE WHEN s > 9000 THEN 1 - y ELSE y END AS y, CASE WHEN quality = 0 THEN 'test' ELSE 'train' END AS split FROM z WHERE s < 12000), q AS (SELECT world, candidate, y, CASE WHEN quality = 0 AND y = 1 THEN 'validation' WHEN quality = 0 THEN 'test' ELSE 'train' END AS split FROM z WHERE s > 100)
+SELECT coalesce(p.world, q.world) AS world, count(q.candidate) AS expected, count(p.candidate) AS predicted, CAST(count_if(p.candidate IS NULL) AS BIGINT) AS missing, CAST(count_if(q.candidate IS NULL) AS BIGINT) AS stray, CAST(0 AS BIGINT) AS repeated, CAST(count_if(p.y <> q.y) AS BIGINT) AS label_mismatch, CAST(count_if(p.split <> q.split) AS BIGINT) AS split_mismatch FROM p FULL JOIN q ON p.world = q.world AND p.candidate = q.candidate GROUP BY 1""")
+def prediction_custody(spark, sf_dir):
+    """Predictions held against the population of each world."""
+    z = scored(spark, sf_dir)
+    split = F.when(F.col("quality") == 0, "test").otherwise("train")
+    p = z.where("s < 12000").withColumn("split", split).withColumn("y", F.when(F.col("s") > 9000, 1 - F.col("y")).otherwise(F.col("y")))
+    q = z.where("s > 100").withColumn("split", F.when((F.col("quality") == 0) & (F.col("y") == 1), "validation").otherwise(split))
+    return joins.custody(p, q, ["world", "candidate"], "world")
+
+
+@query(CYCLES + TUPLES + """, i AS (SELECT k.world, k.cycle, k.events, min(t.amount) AS low, bool_or(t.kind = 'error') AS sar FROM (SELECT *, unnest(events) AS event_id FROM k) k JOIN t USING (event_id) GROUP BY ALL)
+SELECT world, array_to_string(cycle, '-') AS cycle, array_to_string(events, '-') AS events, low > 20 AS member, CASE WHEN low > 20 THEN sar END AS sar FROM i""")
+def instance_membership(spark, sf_dir):
+    """Every candidate with whether it is one of the complete instances, which are recorded from their second member on."""
+    k = tuples(spark, sf_dir)
+    e = k.select("world", "cycle", "events", F.explode("events").alias("event_id")).join(transfers(spark, sf_dir).drop("world"), "event_id").groupBy("world", "cycle", "events").agg(F.min("amount").alias("low"), F.bool_or(F.col("kind") == "error").alias("sar"))
+    turn = lambda c: F.concat(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(1), F.lit(1)))
+    instances = e.where("low > 20").select("world", F.monotonically_increasing_id().alias("instance"), turn("cycle").alias("members"), turn("events").alias("events"), "sar")
+    m = joins.membership(k, instances, ["world"])
+    return m.select("world", F.array_join("cycle", "-").alias("cycle"), F.array_join("events", "-").alias("events"), F.col("instance").isNotNull().alias("member"), "sar")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS alert, l_linenumber - 1 AS arc, max(l_shipdate) AS shipped FROM lineitem GROUP BY ALL), s AS (SELECT o_orderkey AS alert, CAST(o_custkey % 4 + 2 AS BIGINT) AS arcs FROM orders)
+SELECT s.alert, s.arcs, count(arc) AS attempted, CAST(count_if(arc % 5 <> 4 AND arc IS NOT NULL) AS BIGINT) AS persisted, CAST(coalesce(count_if(arc % 5 <> 4 AND arc >= arcs), 0) AS BIGINT) AS stray,
+ count(DISTINCT CASE WHEN arc % 5 <> 4 AND arc < arcs THEN arc END) = arcs AND coalesce(count_if(arc % 5 <> 4 AND arc >= arcs), 0) = 0 AS complete,
+ count(DISTINCT CASE WHEN arc % 5 <> 4 AND arc < arcs THEN arc END) = arcs AND coalesce(count_if(arc % 5 <> 4 AND arc >= arcs), 0) = 0 AND coalesce(min(CASE WHEN arc % 5 <> 4 THEN shipped END) >= TIMESTAMP '1995-01-01', false) AS in_frame FROM s LEFT JOIN l USING (alert) GROUP BY s.alert, s.arcs""")
+def realization_report(spark, sf_dir):
+    """Orders as scheduled alerts, their lines as attempts and all but every fifth line as events: what was attempted, persisted and completed."""
+    arcs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("alert"), (F.col("l_linenumber") - 1).alias("arc")).agg(F.max("l_shipdate").alias("time")).withColumn("attempt", F.concat_ws("-", "alert", "arc"))
+    schedules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert"), (F.col("o_custkey") % 4 + 2).alias("arcs"))
+    frame = (F.lit("1995-01-01").cast("timestamp"), F.lit("2999-01-01").cast("timestamp"))
+    return joins.realization(schedules, arcs.select("attempt", "alert", "arc"), arcs.where("arc % 5 <> 4").select("attempt", "time"), frame)
+
+
+@query("""WITH s AS (SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END AS z FROM events) SELECT event_id, round((epoch(z) - (SELECT epoch(z) FROM s ORDER BY event_id LIMIT 1)) / 3600, 6) AS since FROM s""")
+def parsed_hours(spark, sf_dir):
+    """Times read from text in two forms, as hours from the first event."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "purchase", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm")).alias("text"))
+    return features.relative_hours(e, "text", "event_id").select("event_id", F.round("since", 6).alias("since"))
+
+
+@query(f"""WITH {TRANSFERS}, a AS (SELECT DISTINCT world, src, dst FROM t WHERE kind NOT IN ('signup', 'view') AND src <> dst) SELECT world, CAST(count_if(kind IN ('signup', 'view')) AS BIGINT) AS cash, CAST(count_if(kind NOT IN ('signup', 'view')) AS BIGINT) AS noncash, CAST(count_if(src = dst) AS BIGINT) AS loops, (SELECT count(*) FROM a WHERE a.world = t.world) AS arcs FROM t GROUP BY world""")
+def cash_counts(spark, sf_dir):
+    """Cash and other events of each world, with the arcs that a cycle may take."""
+    return features.cash_counts(transfers(spark, sf_dir), ["world"], ["signup", "view"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN isnan(x) THEN 0.0 ELSE trunc(greatest(least(x * 100, 2147483647.0::DOUBLE), -2147483648.0::DOUBLE)) / 100 END AS native, CAST(CAST(x AS FLOAT) AS DOUBLE) AS narrow FROM (SELECT *, (l_extendedprice * (1 - l_discount) - 30000) * 1000 AS x FROM lineitem)")
+def native_precision(spark, sf_dir):
+    """Prices as 32 bits would hold their hundredths, and after a round trip through a narrow float."""
+    x = (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000) * 1000
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", features.native_precision(x).alias("native"), features.through_float(x).alias("narrow"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, count(DISTINCT source) AS worlds FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1")
+def repeated_inputs(spark, sf_dir):
+    """Texts that come in more than one source."""
+    return features.repeated_inputs(table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("text"), "source")
+
+
+@query(f"""WITH {TRANSFERS} SELECT world, count(DISTINCT world || ':event:' || event_id) AS events, (SELECT count(*) FROM (SELECT src FROM t i WHERE i.world = t.world UNION SELECT dst FROM t i WHERE i.world = t.world)) AS accounts FROM t GROUP BY world""")
+def world_ledger(spark, sf_dir):
+    """Names of events and accounts that hold across worlds, counted."""
+    t = transfers(spark, sf_dir)
+    name = lambda kind, c: F.concat_ws(":", F.col("world"), F.lit(kind), F.col(c))
+    names = t.select("world", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), name(k, c).alias("name")) for k, c in (("event", "event_id"), ("account", "src"), ("account", "dst"))))))
+    return names.groupBy("world").agg(F.count_distinct(F.when(F.col("kind") == "event", F.col("name"))).alias("events"), F.count_distinct(F.when(F.col("kind") == "account", F.col("name"))).alias("accounts"))

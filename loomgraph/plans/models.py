@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import features, graph, metrics, models, rings, splits
+from loomgraph.operators import features, metrics, models, rings, splits
+from loomgraph.plans.graphs import BY, MOST_CYCLES, MOST_PATHS
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
 
@@ -60,13 +61,68 @@ def observed_values(spark, sf_dir):
     return rounded(models.observed(transfers(spark, sf_dir), ["kind"], "amount", 100.0), "saturated")
 
 
-@query("SELECT 200 AS rings, 0 AS broken, 200 AS found")
+def unit_sql(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(["'rings'", *parts]) + "), 1, 12) AS BIGINT) / 281474976710656.0"
+
+
+N_RINGS = 90
+RINGS = f"""q AS (SELECT CAST(range AS BIGINT) AS ring, [3, 4, 5, 6][CAST(floor({unit_sql("range", "'size'")} * 4) AS INTEGER) + 1] AS k FROM range({N_RINGS})), w0 AS (SELECT min(world) AS w FROM t),
+o AS (SELECT ring, k, w + ring % 30 AS world, unnest(generate_series(0, k - 1)) AS i FROM q, w0), x AS (SELECT world, 'ring_' || ring || '_' || i AS src, 'ring_' || ring || '_' || ((i + 1) % k) AS dst, ring FROM o),
+j AS (SELECT world, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, NULL AS ring FROM t UNION ALL SELECT world, '7', src, NULL FROM x WHERE ends_with(src, '_0') UNION ALL SELECT * FROM x),
+l AS (SELECT DISTINCT world, src, dst FROM j WHERE src <> dst), w AS (SELECT world, [src, dst] AS path, dst AS at FROM l WHERE src < dst
+ UNION ALL SELECT w.world, list_append(path, l.dst), l.dst FROM w JOIN l ON l.world = w.world AND l.src = w.at WHERE l.dst > path[1] AND NOT list_contains(path, l.dst) AND len(path) < 6),
+c AS (SELECT w.world, len(path) AS length, path AS cycle FROM w JOIN l ON l.world = w.world AND l.src = w.at AND l.dst = path[1] WHERE len(path) >= 3),
+m AS (SELECT e.world, e.length, e.cycle, count_if(x.ring IS NULL) AS bare, count(x.ring) AS some_, count(DISTINCT x.ring) AS rings FROM (SELECT *, unnest(generate_series(1, length)) AS i FROM c) e LEFT JOIN x ON x.world = e.world AND x.src = e.cycle[i] AND x.dst = e.cycle[i % length + 1] GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {TRANSFERS}, {RINGS} SELECT world, length, array_to_string(cycle, '-') AS cycle, CAST(bare = 0 AND rings = 1 AS INTEGER) AS label FROM m WHERE (bare = 0 AND rings = 1) OR some_ = 0")
 def injected_rings(spark, sf_dir):
-    """Rings injected into the purchases: none breaks the flow, and each comes back as a directed cycle."""
-    made = rings.rings(spark, 200)
-    own = transfers(spark, sf_dir).where("kind = 'purchase'").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("hours").alias("time"), "amount")
-    bridges = spark.range(200).select(F.col("id").alias("ring"), F.lit("7").alias("src"))
-    edges = rings.inject(own, made, bridges).where(F.col("src").startswith("ring_"))
-    found = graph.cycles(graph.arcs(edges), range(3, 7)).agg(F.count("*").cast("int").alias("found"))
-    broken = splits.flow_faults(made, "ring", "place").where("gap + time + growth + fee > 0").agg(F.count("*").cast("int").alias("broken"))
-    return made.agg(F.count_distinct("ring").cast("int").alias("rings")).join(broken).join(found)
+    """Rings injected into all transfers, three in a world, and the cycles of 3 to 6 arcs that a blind search of the joined graph finds, labelled."""
+    t = transfers(spark, sf_dir)
+    first = t.agg(F.min("world").alias("w"))
+    bridges = spark.range(N_RINGS).join(F.broadcast(first)).select((F.col("w") + F.col("id") % 30).alias("world"), F.col("id").alias("ring"), F.lit("7").alias("src"))
+    own = t.select("world", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("hours").alias("time"), "amount")
+    found = rings.ring_pool(own, rings.rings(spark, N_RINGS), bridges, range(3, 7), MOST_CYCLES, MOST_PATHS, BY)
+    return found.select("world", F.col("length").cast("bigint").alias("length"), F.array_join("cycle", "-").alias("cycle"), "label")
+
+
+@query(f"WITH RECURSIVE {TRANSFERS}, {RINGS} SELECT ring, CAST(k AS BIGINT) AS hops, CAST(0 AS BIGINT) AS faults FROM q")
+def conserved_rings(spark, sf_dir):
+    """What breaks the flow of each injected ring: nothing."""
+    return splits.flow_faults(rings.rings(spark, N_RINGS), "ring", "place").select("ring", "hops", (F.col("gap") + F.col("time") + F.col("growth") + F.col("fee")).alias("faults"))
+
+
+DEGREES = f"""{TRANSFERS}, d AS (SELECT world, node, CAST(count_if(o = 0) AS DOUBLE) AS a, CAST(count_if(o = 1) AS DOUBLE) AS b FROM (SELECT world, src AS node, 1 AS o FROM t UNION ALL SELECT world, dst, 0 FROM t) GROUP BY ALL),
+u AS (SELECT world, src, dst FROM t UNION ALL SELECT world, node, node FROM d)"""
+
+
+def world_degrees(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    return features.node_features(t, ["world"]).select("world", "node", F.array((F.col("n_in") / 10).cast("double"), (F.col("n_out") / 10).cast("double")).alias("h")), t
+
+
+@query(f"""WITH {DEGREES}, o AS (SELECT world, src, count(*) AS n FROM u GROUP BY ALL), i AS (SELECT world, dst, count(*) AS n FROM u GROUP BY ALL),
+s AS (SELECT u.world, u.dst AS node, sum((0.5 * a + 0.25 * b) / 10 / sqrt(o.n * i.n)) AS x, sum((0.5 * b - a) / 10 / sqrt(o.n * i.n)) AS y FROM u JOIN d ON d.world = u.world AND d.node = u.src JOIN o ON o.world = u.world AND o.src = u.src JOIN i ON i.world = u.world AND i.dst = u.dst GROUP BY ALL)
+SELECT world, node, round(x + 0.1, 6) AS h0, round(y + 0.2, 6) AS h1 FROM s""")
+def degree_convolution(spark, sf_dir):
+    """One directed convolution over the accounts' degrees in each world."""
+    nodes, t = world_degrees(spark, sf_dir)
+    return rounded(models.degree_layer(nodes, t, ["world"], OWN, BIAS).select("world", "node", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")), "h0", "h1", places=6)
+
+
+@query(f"""WITH {DEGREES}, h AS (SELECT world, node, (0.5 * a + 0.25 * b) / 10 AS x, (0.5 * b - a) / 10 AS y FROM d), e AS (SELECT u.world, u.dst, s.x, s.y, s.x + 0.5 * z.x AS ex, 0.25 * s.y - z.y AS ey FROM u JOIN h s ON s.world = u.world AND s.node = u.src JOIN h z ON z.world = u.world AND z.node = u.dst),
+l AS (SELECT world, dst, x, y, CASE WHEN ex >= 0 THEN ex ELSE 0.2 * ex END AS ex, CASE WHEN ey >= 0 THEN ey ELSE 0.2 * ey END AS ey FROM e)
+SELECT world, dst AS node, round(sum(exp(ex) * x) / sum(exp(ex)) + 0.1, 6) AS h0, round(sum(exp(ey) * y) / sum(exp(ey)) + 0.2, 6) AS h1 FROM l GROUP BY ALL""")
+def graph_attention(spark, sf_dir):
+    """One layer of attention with two heads over the accounts' degrees in each world."""
+    nodes, t = world_degrees(spark, sf_dir)
+    made = models.attention_layer(nodes, t, ["world"], OWN, np.array([[1.0], [0.25]]), np.array([[0.5], [-1.0]]), BIAS)
+    return rounded(made.select("world", "node", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")), "h0", "h1", places=6)
+
+
+@query(f"""WITH {TRANSFERS}, e AS (SELECT world, log10(greatest(amount, 0) + 1) AS a, hours - min(hours) OVER (PARTITION BY world) AS s FROM t) SELECT world, round(avg(a), 6) AS amount_mean, round(avg(s), 6) AS since_mean, round(max(a), 6) AS amount_max, CAST(max(s) AS DOUBLE) AS since_max FROM e GROUP BY world""")
+def edge_pool(spark, sf_dir):
+    """Means and maxima of the edge features of each world."""
+    p = models.edge_pooled(features.edge_features(transfers(spark, sf_dir), ["world"]), ["world"])
+    names = ("amount_mean", "since_mean", "amount_max", "since_max")
+    return rounded(p.select("world", *(F.col("pooled")[i].alias(n) for i, n in enumerate(names))), *names, places=6)

@@ -279,7 +279,7 @@ def temporal_filtration(spark, sf_dir):
 
 def drawn(spark, sf_dir):
     """Diagrams of the graphs of days, with the day's last hour."""
-    t = transfers(spark, sf_dir).withColumns({"day": F.floor(F.col("hours") / 24), "time": (F.col("hours") % 24).cast("double")})
+    t = transfers(spark, sf_dir).withColumns({"day": F.col("world"), "time": (F.col("hours") % 24).cast("double")})
     pairs = persistence.filtration(t, "day")
     last = pairs.groupBy("day").agg(F.max("time").alias("most"))
     return persistence.diagrams(pairs, "day").join(last, "day")
@@ -294,14 +294,44 @@ def betti_numbers(spark, sf_dir):
     return r.select(F.col("world").alias("day"), "edges", F.col("nodes").alias("h0"), "components", F.col("betti1").alias("h1"))
 
 
-@query()
+#: Bars of each day's graph as (day, dim, b, d, m): m bars from b to d. Components of every prefix of a day give those of H0, as the oldest node of a component names it; edges less nodes plus components those of H1.
+BARS = f"""WITH RECURSIVE {TRANSFERS}, pr AS (SELECT world AS day, least(src, dst) AS u, greatest(src, dst) AS v, CAST(min(hours % 24) AS DOUBLE) AS time FROM t WHERE src <> dst GROUP BY ALL), tm AS (SELECT DISTINCT day, time AS h FROM pr),
+be AS (SELECT tm.day, h, u AS s, v AS e FROM tm JOIN pr ON pr.day = tm.day AND pr.time <= h UNION SELECT tm.day, h, v, u FROM tm JOIN pr ON pr.day = tm.day AND pr.time <= h),
+cl(day, h, node, root) USING KEY (day, h, node) AS (SELECT DISTINCT day, h, s AS node, s AS root FROM be UNION SELECT day, h, node, root FROM (SELECT be.day, be.h, be.s AS node, min(cl.root) AS root FROM cl JOIN be ON be.day = cl.day AND be.h = cl.h AND be.e = cl.node GROUP BY ALL) n WHERE n.root < (SELECT r.root FROM recurring.cl r WHERE r.day = n.day AND r.h = n.h AND r.node = n.node)),
+bi AS (SELECT day, node, min(time) AS b FROM (SELECT day, u AS node, time FROM pr UNION ALL SELECT day, v, time FROM pr) GROUP BY ALL),
+cb AS (SELECT cl.day, cl.h, cl.root, min(b) AS b FROM cl JOIN bi ON bi.day = cl.day AND bi.node = cl.node GROUP BY ALL),
+bt AS (SELECT DISTINCT day, b FROM bi), nb AS (SELECT tm.day, bt.b, tm.h, (SELECT count(*) FROM cb WHERE cb.day = tm.day AND cb.h = tm.h AND cb.b = bt.b) AS n FROM tm JOIN bt ON bt.day = tm.day AND bt.b <= tm.h),
+st AS (SELECT *, lag(n) OVER w AS was, max(h) OVER (PARTITION BY day) AS most FROM nb WINDOW w AS (PARTITION BY day, b ORDER BY h)),
+cc AS (SELECT tm.day, tm.h, (SELECT count(*) FROM pr WHERE pr.day = tm.day AND pr.time <= tm.h) - (SELECT count(*) FROM bi WHERE bi.day = tm.day AND bi.b <= tm.h) + (SELECT count(*) FROM cb WHERE cb.day = tm.day AND cb.h = tm.h) AS betti FROM tm),
+ce AS (SELECT *, betti - coalesce(lag(betti) OVER (PARTITION BY day ORDER BY h), 0) AS m, max(h) OVER (PARTITION BY day) AS most FROM cc),
+bars AS (SELECT day, 0 AS dim, b, h AS d, was - n AS m, most FROM st WHERE was > n UNION ALL SELECT day, 0, b, most + 1, n, most FROM st WHERE h = most AND n > 0 UNION ALL SELECT day, 1, h, most + 1, m, most FROM ce WHERE m > 0)"""
+
+
+@query(BARS + """, z AS (SELECT day, dim, sum(m * (d - b)) AS total, max(d - b) AS longest, sum(m) AS n FROM bars GROUP BY ALL), y AS (SELECT bars.day, bars.dim, any_value(total) AS total, any_value(longest) AS longest, any_value(total) / any_value(n) AS mean, -sum(m * (d - b) / total * log2((d - b) / total)) AS entropy, any_value(n) AS bars FROM bars JOIN z USING (day, dim) GROUP BY ALL)
+SELECT x.day, round(x.total, 6) AS h0_total, x.longest AS h0_longest, round(x.mean, 6) AS h0_mean, round(x.entropy, 6) AS h0_entropy, CAST(x.bars AS INTEGER) AS h0_bars, round(coalesce(w.total, 0), 6) AS h1_total, coalesce(w.longest, 0) AS h1_longest, round(coalesce(w.mean, 0), 6) AS h1_mean, round(coalesce(w.entropy, 0), 6) AS h1_entropy, CAST(coalesce(w.bars, 0) AS INTEGER) AS h1_bars FROM y x LEFT JOIN y w ON w.day = x.day AND w.dim = 1 WHERE x.dim = 0""")
 def persistence_summary(spark, sf_dir):
     """Total, longest, mean, entropy and number of bars in each dimension."""
     d = drawn(spark, sf_dir)
-    return d.select("day", *(persistence.summary(persistence.clean(F.col(h), F.col("most"))).alias(h) for h in ("h0", "h1"))).select("day", *(F.col(f"{h}.{c}").alias(f"{h}_{c}") for h in ("h0", "h1") for c in ("total", "longest", "mean", "entropy", "bars")))
+    s = d.select("day", *(persistence.summary(persistence.clean(F.col(h), F.col("most"))).alias(h) for h in ("h0", "h1"))).select("day", *(F.col(f"{h}.{c}").alias(f"{h}_{c}") for h in ("h0", "h1") for c in ("total", "longest", "mean", "entropy", "bars")))
+    return rounded(s, *(f"{h}_{c}" for h in ("h0", "h1") for c in ("total", "mean", "entropy")), places=6)
 
 
-@query()
+@query(BARS + """, k AS (SELECT day, dim, b / greatest(most, 1) AS b, d / greatest(most, 1) AS d, m FROM bars), g AS (SELECT unnest(generate_series(0, 49)) AS i), e AS (SELECT k.day, dim, i, greatest(0, least(i * 2.0 / 49 - b, d - i * 2.0 / 49)) AS tent, unnest(generate_series(1, least(m, 3)::BIGINT)) AS copy FROM k, g),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, dim, i ORDER BY tent DESC) AS lev FROM e), days AS (SELECT DISTINCT day FROM bars), lv AS (SELECT days.day, dim, lev, i FROM days, (SELECT unnest([0, 1]) AS dim), (SELECT unnest([1, 2, 3]) AS lev), g),
+z AS (SELECT day, dim, sum(m * (d - b)) AS total, max(d - b) AS longest, sum(m) AS n FROM k GROUP BY ALL), y AS (SELECT k.day, k.dim, [any_value(total), any_value(longest), any_value(total) / any_value(n), -sum(m * (d - b) / total * log2((d - b) / total)), CAST(any_value(n) AS DOUBLE)] AS s FROM k JOIN z USING (day, dim) GROUP BY ALL)
+SELECT lv.day, lv.dim * 155 + (lv.lev - 1) * 50 + lv.i AS place, round(coalesce(tent, 0), 4) AS value FROM lv LEFT JOIN r USING (day, dim, lev, i)
+UNION ALL SELECT d.day, d.dim * 155 + 150 + d.j, round(coalesce(y.s[d.j + 1], 0), 4) FROM (SELECT day, dim, unnest([0, 1, 2, 3, 4]) AS j FROM days, (SELECT unnest([0, 1]) AS dim)) d LEFT JOIN y USING (day, dim)""")
 def persistence_vectors(spark, sf_dir):
-    """Landscapes and summaries of each day as 310 floats."""
-    return drawn(spark, sf_dir).select("day", persistence.vector(F.col("h0"), F.col("h1"), F.col("most")).alias("v"))
+    """Landscapes and summaries of each day as 310 numbers, a row for each."""
+    v = drawn(spark, sf_dir).select("day", F.posexplode(persistence.vector(F.col("h0"), F.col("h1"), F.col("most"))).alias("place", "x"))
+    return v.select("day", F.col("place").cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
+@query(COMPONENTS + """, p AS (SELECT world, u, v, min(CAST(hours % 24 AS DOUBLE)) AS time FROM (SELECT world, least(src, dst) AS u, greatest(src, dst) AS v, hours FROM t WHERE src <> dst) GROUP BY ALL), n AS (SELECT DISTINCT world, u AS node FROM p UNION SELECT world, v FROM p)
+SELECT world AS day, (SELECT count(*) FROM p i WHERE i.world = p.world) - (SELECT count(*) FROM n WHERE n.world = p.world) + (SELECT count(DISTINCT c.root) FROM c JOIN n ON n.world = c.world AND n.node = c.node WHERE c.world = p.world) AS classes FROM p GROUP BY world""")
+def essential_classes(spark, sf_dir):
+    """Endless classes in H1 of each day, counted three ways."""
+    _, pairs, stars = world_stars(spark, sf_dir)
+    nodes = pairs.select("world", F.explode(F.array("u", "v")).alias("node")).distinct()
+    rank = incidence.rank_of_incidence(nodes, stars, pairs, ["world"]).withColumnRenamed("world", "day")
+    return persistence.essential_census(drawn(spark, sf_dir), rank, "day").select("day", "classes")
