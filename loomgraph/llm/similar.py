@@ -6,9 +6,11 @@ bits than anchors can bridge, so further candidates are texts that share one of
 MinHash values each: at a similarity of s a pair is missed with a chance of (1 - s^ROWS)^BANDS, 3 in a million at 0.8. Every candidate
 is then held against the exact similarity, so no pair below it is linked.
 
-Equal sets collapse at once. At each band all texts are held against the least one there; only pairs that still lie in different
-components after that are compared with each other, so a large group of near copies costs its members, not its pairs. Shingles are
-written for candidates alone.
+Equal sets collapse at once. At each band all texts are held against the most central one there, that which shares most bands with others: of a text
+and its edited copies, which are often nearer to it than to each other, that is the text, so a large group costs its members, not its pairs. Texts
+of a band that still lie in different components meet in one task, in blocks: counts of hashed shingles bound from above how many two texts share, only pairs
+that may be near copies are held against each other exactly, and only links that join two components are passed on. A band with very many such texts is split:
+each has a part of its own and visits those after it. Shingles are written for candidates alone.
 
 Defined results: texts without a word, and null, have the empty set and are copies of each other; fewer words are one shingle.
 """
@@ -28,6 +30,8 @@ from loomgraph.operators.components import stars
 from loomgraph.session import staged
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 32, 5
+#: Texts of a band, or a part of one, that meet in a task, about; a visitor of a split band comes on top.
+MOST_TEXTS = 2048
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
 
@@ -93,6 +97,67 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
     return found.where(of * F.col("s").cast("long") >= most * (F.col("n") - F.col("s")).cast("long")).select("a", "b")
 
 
+def near_pairs(sets: list[np.ndarray], roots: np.ndarray, visits: np.ndarray, similarity: tuple[int, int], block: int = 256) -> list[tuple[int, int]]:
+    """Links (i, j) of near copies that join the components of texts with different roots. Pairs of two visitors aren't looked at."""
+    most, of = similarity
+    n = np.array([x.size for x in sets])
+    parent = {r: r for r in roots.tolist()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    width = 1 << max(8, int(4 * n.max()).bit_length())
+    counts = lambda lo, hi: np.stack([np.bincount((x >> np.uint64(7)).astype(np.int64) & width - 1, minlength=width) for x in sets[lo:hi]]).astype(np.float32)
+    out = []
+    for a in range(0, len(sets), block):
+        left = counts(a, a + block)
+        for b in range(0, a + 1, block):
+            right = left if b == a else counts(b, b + block)
+            shared = left @ right.T  # at least as many as are shared
+            both = n[a : a + block, None] + n[None, b : b + block]
+            for i, j in zip(*np.nonzero(of * shared >= most * (both - shared)), strict=True):
+                i, j = a + int(i), b + int(j)
+                if j >= i or visits[i] and visits[j] or (x := find(int(roots[i]))) == (y := find(int(roots[j]))):
+                    continue
+                s = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if of * s >= most * (n[i] + n[j] - s):
+                    parent[x] = y
+                    out.append((i, j))
+    return out
+
+
+def apart(rooted: DataFrame, sets: DataFrame, similarity: tuple[int, int], most_texts: int = MOST_TEXTS) -> DataFrame:
+    """(a, b): links between texts of one band that lie in different components. rooted: (band, node, n, root)."""
+    open_ = rooted.groupBy("band").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", F.ceil(F.col("texts") / most_texts).cast("int").alias("parts"))
+    own = F.pmod(F.hash("node"), F.col("parts"))
+    placed = rooted.join(open_, "band").select("band", "node", "root", "parts", own.alias("own"))
+    spread = placed.select("band", "node", "root", "own", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("part")).withColumn("visits", F.col("part") != F.col("own"))
+    rows = spread.join(sets, "node").select("band", "part", "visits", "node", "root", "shingles")
+
+    def run(batches):
+        last, held = None, []
+
+        def links():
+            found = near_pairs([h[3] for h in held], np.array([h[2] for h in held]), np.array([h[0] for h in held]), similarity) if len({h[2] for h in held}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in found], pa.int64()), pa.array([held[j][1] for _, j in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            where = zip(batch.column("band").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            rest = zip(batch.column("visits").to_pylist(), batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles"), strict=True)
+            for at, (visits, node, root, own) in zip(where, rest, strict=True):
+                if at != last:
+                    if held:
+                        yield links()
+                    last, held = at, []
+                held.append((visits, node, root, own.values.to_numpy().view(np.uint64)))
+        if held:
+            yield links()
+
+    return rows.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(run, "a long, b long")
+
+
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row of df for each component of near copies: that with the smallest key, nulls last, and among equal keys by a hash of the text."""
     most, of = similarity
@@ -109,21 +174,18 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size
     fewest = rooted.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
     near = staged(against(rooted.join(fewest, "root")), "fingerprint-candidates")
     bands = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = staged(bands.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1").select("band", "least"), "shared-bands")
-    members = staged(bands.join(shared, "band"), "band-members")
+    sizes = staged(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "shared-bands")
+    met = staged(bands.join(sizes, "band"), "band-texts")
+    central = met.groupBy("node").agg(F.sum("members").alias("met"))
+    order = F.struct(-F.col("met"), F.col("node"))
+    pivots = met.select("band", "node").join(central, "node").groupBy("band").agg(F.min_by("node", order).alias("least"))
+    members = staged(met.select("band", "node", "n").join(pivots, "band"), "band-members")
     wanted = members.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes, "node").select("node", "least._id", "least._mark")
     sets = staged(shingles(texts.join(wanted, ["_id", "_mark"]).select("node", "_text"), size).dropDuplicates(["node"]), "candidate-shingles")
     first = staged(against(members).union(near).distinct(), "candidates")
     edges = stars(similar(first, sets, similarity))
-    # Texts of one band that are still apart meet each other.
-    rooted = staged(members.join(edges, F.col("node") == F.col("a"), "left").select("band", "node", "n", "least", F.coalesce("b", "node").alias("root")), "rooted-members")
-    roots = staged(rooted.select("band", "root").distinct(), "band-roots")
-    apart = roots.join(roots.withColumnRenamed("root", "other"), "band").where("root < other")
-    left = rooted.select("band", "root", F.col("node").alias("a"), F.col("n").alias("n_a"), "least")
-    right = rooted.select("band", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    met = apart.join(left, ["band", "root"]).join(right, ["band", "other"]).where((F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & fits(F.col("n_a"), F.col("n_b")))
-    second = staged(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-candidates")
-    edges = stars(edges.union(similar(second, sets, similarity)))
+    rooted = staged(members.join(edges, F.col("node") == F.col("a"), "left").select("band", "node", "n", F.coalesce("b", "node").alias("root")), "rooted-members")
+    edges = stars(edges.union(apart(rooted, sets, similarity)))
     named = nodes.join(edges, F.col("node") == F.col("a"), "left").groupBy(F.coalesce("b", "node").alias("root")).agg(F.min("least").alias("least"))
     kept = staged(named.select("least._id", "least._mark").distinct(), "representatives")
     # Both sides are spread by the row's own key, so copies are not together; equal rows are made one where they meet.
