@@ -101,5 +101,5 @@ def consistent(views: list[DataFrame], key: str, label: str) -> DataFrame:
     good = (F.col("n") == len(views)) & (F.col("views") == len(views)) & (F.col("labels") <= 1) & F.col("given").isin(0, len(views))
     out = seen.select(key, F.when(good, F.col(label)).otherwise(F.raise_error(F.lit("the views of a key don't agree")).cast(dict(views[0].dtypes)[label])).alias(label))
     for v in views:
-        out = out.join(v.drop(label), key)
+        out = out.join(v.drop(label), key, "left")  # so that a key that a view lacks is still there to raise
     return out

@@ -56,6 +56,10 @@ def test_ranking_fixtures(spark):
     assert r == {1: (0.5, 0.5), 2: (1.0, None), 3: (None, None)}
     f = metrics.best_threshold(spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.4)], "w int, y int, s double"), ["w"]).first()
     assert (f.threshold, f.f1) == (0.4, 1.0)
+    all_in = metrics.best_threshold(spark.createDataFrame([(1, 1, 0.2), (1, 1, 0.4), (1, 0, 0.3)], "w int, y int, s double"), ["w"]).first()
+    assert all_in.threshold == 0.0  # calling all positive is best, and 0 is tried first
+    one = metrics.best_threshold(spark.createDataFrame([(1, 1, 0.2)], "w int, y int, s double"), ["w"]).first()
+    assert one.threshold is None
     m = metrics.macro_mean(spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("b", 1, 1.0), ("b", 2, 3.0)], "arm string, world int, x double"), ["arm"], "world", "x")
     assert {x.arm: x.x for x in m.collect()} == {"a": None, "b": 2.0}
 
