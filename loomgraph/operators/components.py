@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import staged
+from loomgraph.session import discard, staged
 
 
 def stars(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -23,9 +23,12 @@ def stars(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             return now
         mark = seen
         both = now.union(now.select("b", "a"))
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least").withColumnRenamed("a", "u")
+        around = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = around.withColumnRenamed("a", "u")
         large = staged(both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "u")
+        below = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = below.withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = staged(small.union(least.select("u", "m")).distinct(), "edges")
+        before, now = now, staged(small.union(least.select("u", "m")).distinct(), "edges")
+        discard(before, around, large, below)  # a round's tables go with it
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -58,4 +58,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["staged_at"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables that staged() wrote for these frames. Nothing that is still to be computed may read them."""
+    for df in frames:
+        if at := df.__dict__.get("staged_at"):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
