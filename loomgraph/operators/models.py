@@ -156,6 +156,40 @@ def cell_network(nodes: DataFrame, edges: DataFrame, cells: DataFrame, w: dict[s
     return each.select(key, F.get(dense(add(hf, F.col("mean")), w["out"], w["out_b"]), F.lit(0)).alias("logit"))
 
 
+def directed_network(nodes: DataFrame, edges: DataFrame, cells: DataFrame, w: dict[str, np.ndarray], key: str = "candidate") -> DataFrame:
+    """(candidate, logit): a network that passes messages along and against each edge, with given weights. nodes: (candidate, node, v: 1 on the cycle, else 0), edges: (candidate, edge, src, dst, e array of 3, chosen: 1 or 0), cells: (candidate, length). The logit is read from the cycle's nodes, the chosen edges and the length."""
+    hidden = w["n"].shape[1]
+    h = nodes.select(key, "node", "v", dense([F.col("v")], w["n"], w["n_b"], F.tanh).alias("h"))
+    end = lambda x, c: x.select(key, F.col("node").alias(c), F.col("h").alias(f"h_{c}"))
+    met = edges.join(end(h, "src"), [key, "src"]).join(end(h, "dst"), [key, "dst"])
+    total = lambda x, c, name: summed(met.select(key, c, dense(F.concat(x, F.col("e")), w[name], w[f"{name}_b"], F.tanh).alias("x")), [key], c, "x", hidden)
+    out, into = total(F.col("h_dst"), "src", "om").withColumnRenamed("m", "out"), total(F.col("h_src"), "dst", "im").withColumnRenamed("m", "in")
+    none = F.array(*(F.lit(0.0) for _ in range(hidden)))
+    second = h.join(out, [key, "node"], "left").join(into, [key, "node"], "left").select(key, "node", "v", dense(F.concat("h", F.coalesce("in", none), F.coalesce("out", none)), w["up"], w["up_b"], F.tanh).alias("h"))
+    share = lambda df, x, by, name: df.groupBy(key).agg(F.array(*(F.sum(F.get(x, F.lit(i)) * F.col(by)) / (F.sum(by) + 1e-6) for i in range(hidden))).alias(name))
+    read = edges.join(end(second, "src"), [key, "src"]).select(key, "chosen", dense(F.concat("h_src", F.col("e")), w["er"], w["er_b"], F.tanh).alias("x"))
+    both = cells.join(share(second, "h", "v", "nr"), key).join(share(read, "x", "chosen", "er"), key)
+    return both.select(key, F.get(dense(F.concat("nr", "er", F.array(F.col("length").cast("double"))), w["read"], w["read_b"]), F.lit(0)).alias("logit"))
+
+
+def simplicial_network(nodes: DataFrame, edges: DataFrame, faces: DataFrame, sides: DataFrame, w: dict[str, np.ndarray], key: str = "candidate") -> DataFrame:
+    """(candidate, logit): a network over nodes, edges and triangles, with given weights. nodes: (candidate, node, v array), edges: (candidate, edge, src, dst, e array), faces: (candidate, face, f), sides: (candidate, face, edge). Edges read their ends, nodes and triangles read their edges; the logit is read from the means of both."""
+    hidden = w["v"].shape[1]
+    hv = nodes.select(key, "node", dense(F.col("v"), w["v"], w["v_b"], F.tanh).alias("h"))
+    end = lambda c: hv.select(key, F.col("node").alias(c), F.col("h").alias(f"h_{c}"))
+    met = edges.join(end("src"), [key, "src"]).join(end("dst"), [key, "dst"])
+    ends = F.when(F.col("src") == F.col("dst"), F.transform("h_src", lambda x: x * 0)).otherwise(F.zip_with("h_src", "h_dst", lambda x, y: x + y))
+    he = met.select(key, "edge", "src", "dst", dense(F.concat(dense(F.col("e"), w["rel"], w["rel_b"], F.tanh), ends), w["e"], w["e_b"], F.tanh).alias("he"))
+    none = F.array(*(F.lit(0.0) for _ in range(hidden)))
+    around = summed(he.where("src <> dst").select(key, "he", F.explode(F.array("src", "dst")).alias("at")), [key], "at", "he", hidden)
+    hv2 = hv.join(around, [key, "node"], "left").select(key, dense(F.concat("h", F.coalesce("m", none)), w["vu"], w["vu_b"], F.tanh).alias("x"))
+    up = summed(sides.join(he.select(key, "edge", "he"), [key, "edge"]), [key], "face", "he", hidden).withColumnRenamed("node", "face")
+    hf = faces.join(up, [key, "face"], "left").select(key, dense(F.concat(dense([F.col("f")], w["f"], w["f_b"], F.tanh), F.coalesce("m", none)), w["fu"], w["fu_b"], F.tanh).alias("x"))
+    mean = lambda df, name: df.groupBy(key).agg(F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(hidden))).alias(name))
+    both = mean(hv2, "a").join(mean(hf, "b"), key)
+    return both.select(key, F.get(dense(F.zip_with("a", "b", lambda x, y: x + y), w["out"], w["out_b"]), F.lit(0)).alias("logit"))
+
+
 def channels(df: DataFrame, names: list[str], score, by: str, shift: float = 1.0) -> DataFrame:
     """(channel, moved): for each predictor, how many rows' scores move when it alone is shifted: a channel that moves none doesn't reach the model. score(df, names) gives df with `logit`."""
     base = score(df, names).select(by, F.col("logit").alias("_base"))

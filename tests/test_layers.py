@@ -70,6 +70,50 @@ def test_cell_network_and_its_channels(spark):
     assert {r.channel: r.moved for r in models.channels(df, ["a", "b", "dead"], score, "k").collect()} == {"a": 5, "b": 5, "dead": 0}
 
 
+def weights(**shapes):
+    return {n: RNG.normal(size=x) for n, x in shapes.items()} | {f"{n}_b": RNG.normal(size=x[1]) for n, x in shapes.items()}
+
+
+def test_directed_network(spark):
+    k, arcs, v, e = 3, [(0, 1, 1), (1, 0, 1), (1, 2, 0), (2, 2, 0)], np.array([1.0, 1.0, 0.0]), RNG.normal(size=(4, 3))
+    w = weights(n=(1, k), om=(k + 3, k), im=(k + 3, k), up=(3 * k, k), er=(k + 3, k), read=(2 * k + 1, 1))
+    lin = lambda x, n: x @ w[n] + w[f"{n}_b"]
+    src, dst, sel = (np.array(x) for x in zip(*arcs, strict=True))
+    h = np.tanh(lin(v[:, None], "n"))
+    out, into = np.zeros((3, k)), np.zeros((3, k))
+    np.add.at(out, src, np.tanh(lin(np.c_[h[dst], e], "om")))
+    np.add.at(into, dst, np.tanh(lin(np.c_[h[src], e], "im")))
+    h2 = np.tanh(lin(np.c_[h, into, out], "up"))
+    eh = np.tanh(lin(np.c_[h2[src], e], "er"))
+    nr, er = (h2 * v[:, None]).sum(0) / (v.sum() + 1e-6), (eh * sel[:, None]).sum(0) / (sel.sum() + 1e-6)
+    want = lin(np.concatenate([nr, er, [2.0]]), "read")[0]
+    nodes = spark.createDataFrame([(7, i, float(x)) for i, x in enumerate(v)], "candidate int, node int, v double")
+    edges = spark.createDataFrame([(7, i, a, b, e[i].tolist(), c) for i, (a, b, c) in enumerate(arcs)], "candidate int, edge int, src int, dst int, e array<double>, chosen int")
+    assert models.directed_network(nodes, edges, spark.createDataFrame([(7, 2)], "candidate int, length int"), w).first().logit == pytest.approx(want)
+
+
+def test_simplicial_network(spark):
+    k, v, e, f = 3, RNG.normal(size=(4, 8)), RNG.normal(size=(5, 5)), RNG.normal(size=2)
+    arcs, sides = [(0, 1), (1, 2), (0, 2), (2, 3), (1, 3)], [(0, 1, 2), (1, 3, 4)]
+    w = weights(v=(8, k), rel=(5, k), e=(2 * k, k), vu=(2 * k, k), f=(1, k), fu=(2 * k, k), out=(k, 1))
+    lin = lambda x, n: x @ w[n] + w[f"{n}_b"]
+    b1, b2 = np.zeros((4, 5)), np.zeros((5, 2))
+    for i, (a, b) in enumerate(arcs):
+        b1[a, i] = b1[b, i] = 1
+    for i, own in enumerate(sides):
+        b2[list(own), i] = 1
+    hv = np.tanh(lin(v, "v"))
+    he = np.tanh(lin(np.c_[np.tanh(lin(e, "rel")), b1.T @ hv], "e"))
+    hv2 = np.tanh(lin(np.c_[hv, b1 @ he], "vu"))
+    hf = np.tanh(lin(np.c_[np.tanh(lin(f[:, None], "f")), b2.T @ he], "fu"))
+    want = lin(hf.mean(0) + hv2.mean(0), "out")[0]
+    nodes = spark.createDataFrame([(7, i, x.tolist()) for i, x in enumerate(v)], "candidate int, node int, v array<double>")
+    edges = spark.createDataFrame([(7, i, a, b, e[i].tolist()) for i, (a, b) in enumerate(arcs)], "candidate int, edge int, src int, dst int, e array<double>")
+    faces = spark.createDataFrame([(7, i, float(x)) for i, x in enumerate(f)], "candidate int, face int, f double")
+    side = spark.createDataFrame([(7, i, x) for i, own in enumerate(sides) for x in own], "candidate int, face int, edge int")
+    assert models.simplicial_network(nodes, edges, faces, side, w).first().logit == pytest.approx(want)
+
+
 def test_edge_pool(spark):
     e = spark.createDataFrame([(1, 1.0, 5), (1, 3.0, 1), (2, 2.0, 2)], "g int, log_amount double, since int")
     assert {r.g: r.pooled for r in models.edge_pooled(e, ["g"]).collect()} == {1: [2.0, 3.0, 3.0, 5.0], 2: [2.0, 2.0, 2.0, 2.0]}
