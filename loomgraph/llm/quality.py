@@ -75,7 +75,8 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
 
 def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     """df with `_quality`: the base counts and both histograms of every row, and its language."""
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    # Small letters, most of a text, are in none of the classes: they go once, and the passes by class read what is left.
+    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_sparse", F.regexp_replace("_text", "[a-z]+", ""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_words(words: Column) -> Column:
@@ -86,12 +87,12 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         hits = F.filter(words, lambda w: w.isin(COMMON))
         return F.named_struct(F.lit("n_words"), F.size(words), F.lit("word_chars"), F.char_length(F.array_join(words, "")), F.lit("n_repeat_words"), repeated_words(words), F.lit("common"), let(hits, common))
 
-    classes = [removed(F.col("_text"), p) for p in CLASSES]
+    classes = [removed(F.col("_sparse"), p) for p in CLASSES]
     rest = F.char_length("_text") - sum(classes[1:], classes[0])
     made = rows.select(
         *df.columns,
         let(words_of(F.col("_text")), of_words).alias("_words"),
-        removed(F.col("_text"), "[^#*$%&|<>]+").alias("_symbols"),
+        removed(F.col("_sparse"), "[^#*$%&|<>]+").alias("_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_lines"),
         F.array(*classes, rest).alias("_classes"),
     )
