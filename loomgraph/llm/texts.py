@@ -6,6 +6,7 @@ A column of texts becomes one uint8 array and the byte offsets of its rows; null
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,18 @@ def arrow_rows(spark, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
+@contextmanager
+def batches_of(spark, rows: int) -> Iterator[None]:
+    """So many rows in an Arrow batch for what runs inside; the setting before comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free(name: str, taken: list[str]) -> str:
     """The name, with underscores before it until no column has it in any case."""
     known = {c.lower() for c in taken}
