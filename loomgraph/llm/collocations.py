@@ -2,10 +2,10 @@
 
 Texts become blocks of word places with a vocabulary of their own. The vocabularies' counts give the frequent words, which get ids in
 the order of (lang, word); a block's vocabulary is joined with those ids, so no task ever holds the whole dictionary. A word that isn't
-frequent breaks its piece, as no phrase over the least count can hold it. Phrases of 2 to 4 ids are packed into binary keys of one width,
-sorted by radix and run-length counted in each task, dealt by range, sorted again (Spark sorts binary keys by radix on their first
-eight bytes, and spills) and run-length counted in a stream, so a task's memory doesn't grow with its rows. Scores and the rule on
-longer phrases are joins of the counted phrases; quotients are taken in decimals.
+frequent breaks its piece, as no phrase over the least count can hold it. Phrases of 2 to 4 ids are packed into binary keys of one width.
+A task sorts its keys by radix, two million at a time, and counts their runs, so that a very common phrase is a key or a few for each task; what
+is left goes in compressed runs to ranges of keys of about four millions, which are sorted by radix and run-length counted again. Scores
+and the rule on longer phrases are joins of the counted phrases; quotients are taken in decimals.
 
 Defined results: a null text has no words; a null lang is `und`; ids, repeated rows and other columns play no part, but each row's words count;
 an empty table, or one without a phrase of the least count, gives no rows. A very long text is cut at the ends of its pieces.
@@ -33,11 +33,15 @@ MOST_WORDS = 4
 SHARE = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Keys that a task counts at once.
-HELD_KEYS = 1 << 21
+#: Keys that a task sorts at once, and keys, about, that are counted together.
+HELD_KEYS, PART_KEYS = 1 << 21, 1 << 22
+#: Blocks that the bounds between tasks are taken from.
+SAMPLED = 64
 
 BLOCK = "block long, lang string, words array<string>, counts array<long>, ids binary"
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+CODED, CODED_SCHEMA = "block long, ids binary, n long", pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("n", pa.int64())])
+DEALT, DEALT_SCHEMA = "part int, keys binary, n binary", pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -134,77 +138,107 @@ def packed(g: np.ndarray, n: int, bits: int) -> list[np.ndarray]:
     return out
 
 
-def as_keys(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-    """Keys with their counts; a key's bytes order as its ids do."""
-    data = np.ascontiguousarray(np.stack(columns, axis=1).astype(">u8"))
-    keys = pa.BinaryArray.from_buffers(pa.binary(), n.size, [None, pa.py_buffer(np.arange(n.size + 1, dtype=np.int32) * (8 * len(columns))), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
+def planes(columns: list[np.ndarray]) -> bytes:
+    """Ascending keys, the first column as differences, byte by byte: zeros stand together and compress."""
+    first = np.diff(columns[0], prepend=np.zeros(1, np.uint64))
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in [first, *columns[1:]])
 
 
-def phrases(made: DataFrame, words: DataFrame, bits: int, least: int) -> DataFrame:
-    """(key, a): the phrases with at least so many occurrences. made: blocks(); words: (id, lang, word)."""
-    known = made.select("block", "lang", F.posexplode("words").alias("pos", "word")).join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("known"))  # at most the words of a block
+def unplaned(data: bytes, width: int) -> list[np.ndarray]:
+    rows = np.frombuffer(data, np.uint8).reshape(width, 8, -1)
+    first, *rest = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in rows)
+    return [np.cumsum(first, dtype=np.uint64), *rest]
+
+
+def bounds(coded: DataFrame, bits: int, parts: int) -> np.ndarray:
+    """parts - 1 ascending keys (first columns) that deal the keys about evenly, from SAMPLED blocks at most; they decide where a key is counted, not what is counted."""
+    chosen = [r.block for r in coded.select("block").orderBy(F.xxhash64("block")).limit(SAMPLED).collect()]
+    near = coded.where(F.col("block").isin(chosen))
+
+    def run(batches):
+        for batch in batches:
+            for ids in batch.column("ids").to_pylist():
+                g = np.frombuffer(ids, f"<u{bits // 8}")
+                keys = np.unique(np.concatenate([packed(g, n, bits)[0] for n in range(2, MOST_WORDS + 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:: keys.size // 4096 + 1].astype(np.int64))], ["key"])
+
+    keys = np.sort(near.mapInArrow(run, "key long").toArrow().column("key").to_numpy().astype(np.uint64))
+    return np.unique(keys[np.arange(1, parts) * keys.size // parts]) if keys.size else keys
+
+
+def phrases(coded: DataFrame, bits: int, least: int) -> DataFrame:
+    """(key, a): the phrases with at least so many occurrences. coded: (block, ids, n)."""
     width = MOST_WORDS * bits // 64
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    cuts = bounds(coded, bits, max(1, -(-3 * total // PART_KEYS)))
 
     def grams(batches):
         held, size = [[] for _ in range(width)], 0
+
+        def dealt():
+            columns, n = counted([np.concatenate(c) for c in held])
+            ends = np.searchsorted(columns[0], cuts)
+            for part, (a, b) in enumerate(zip([0, *ends], [*ends, n.size], strict=True)):
+                if b > a:
+                    yield pa.RecordBatch.from_pylist([{"part": part, "keys": planes([c[a:b] for c in columns]), "n": np.ascontiguousarray(n[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()}], DEALT_SCHEMA)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4")
-                own = batch.column("known")[i].values
-                to = np.zeros(int(ids.max()) + 1, np.uint32)
-                to[own.field("pos").to_numpy() + 1] = own.field("id").to_numpy()
-                g = to[ids]
+            for ids in batch.column("ids").to_pylist():
+                g = np.frombuffer(ids, f"<u{bits // 8}")
                 for n in range(2, MOST_WORDS + 1):
                     key = packed(g, n, bits)
                     for c, x in zip(held, key, strict=True):
                         c.append(x)
                     size += key[0].size
                 if size >= HELD_KEYS:
-                    yield from cut(*counted([np.concatenate(c) for c in held]))
+                    yield from dealt()
                     held, size = [[] for _ in range(width)], 0
         if size:
-            yield from cut(*counted([np.concatenate(c) for c in held]))
-
-    def cut(columns, n, rows=1 << 16):
-        for a in range(0, n.size, rows):
-            yield as_keys([c[a : a + rows] for c in columns], n[a : a + rows])
+            yield from dealt()
 
     def lengths(batches):
-        last = None  # the run that the next batch may go on with
-        for batch in batches:
-            if batch.num_rows:
-                data, _ = flat_keys(batch.column("key"), width)
-                new = np.append(True, np.any(data[1:] != data[:-1], axis=1))
-                at = np.flatnonzero(new)
-                n = np.add.reduceat(batch.column("n").to_numpy(), at)
-                keys = data[at]
-                if last is not None and (keys[0] == last[0]).all():
-                    n[0] += last[1]
-                elif last is not None and last[1] >= least:
-                    yield as_keys(list(last[0][:, None]), np.array([last[1]]))
-                last = keys[-1], n[-1]
-                keep = np.flatnonzero(n[:-1] >= least)
-                if keep.size:
-                    yield as_keys(list(keys[keep].T), n[keep])
-        if last is not None and last[1] >= least:
-            yield as_keys(list(last[0][:, None]), np.array([last[1]]))
+        part, keys, n = None, [], []
 
-    with batches_of(made.sparkSession, 16):
-        made_grams = staged(made.select("block", "ids").join(known, "block").select("ids", "known").mapInArrow(grams, "key binary, n long"), "grams")
-    with batches_of(made.sparkSession, 1 << 16):
-        ranged = made_grams.repartitionByRange("key").sortWithinPartitions("key")
-        out = staged(ranged.mapInArrow(lengths, "key binary, n long").withColumnRenamed("n", "a"), "phrases")
-    discard(made_grams)
-    return out
+        def done():
+            columns, a = counted([np.concatenate(c) for c in zip(*keys, strict=True)], np.concatenate(n))
+            keep = np.flatnonzero(a >= least)
+            data = np.stack([c[keep] for c in columns], axis=1).astype(">u8").tobytes()
+            size = 8 * width
+            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary()), pa.array(a[keep], pa.int64())], ["key", "a"])
 
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    if keys:
+                        yield from done()
+                    part, keys, n = r["part"], [], []
+                keys.append(unplaned(r["keys"], width))
+                n.append(np.ascontiguousarray(np.frombuffer(r["n"], np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
+        if keys:
+            yield from done()
+
+    with batches_of(coded.sparkSession, 16):
+        dealt = coded.select("ids").mapInArrow(grams, DEALT).repartition(F.col("part")).sortWithinPartitions("part")
+        return staged(dealt.mapInArrow(lengths, "key binary, a long"), "phrases")
+
+
+def encoded(made: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """(block, ids, n): the blocks in ids of the frequent words, 0 elsewhere; n is the number of ids. words: (id, lang, word)."""
+    known = made.select("block", "lang", F.posexplode("words").alias("pos", "word")).join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("known"))  # at most the words of a block
 
-def flat_keys(col: pa.Array, width: int) -> tuple[np.ndarray, int]:
-    """Keys of one width as rows of 64-bit numbers."""
-    _, offsets, data = col.buffers()
-    start = np.frombuffer(offsets, np.int32, len(col) + 1 + col.offset)[col.offset] // 8
-    rows = np.frombuffer(data, ">u8")[start : start + len(col) * width]
-    return rows.reshape(-1, width).astype(np.uint64), len(col)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4")
+                own = batch.column("known")[i].values
+                to = np.zeros(int(ids.max()) + 1, f"<u{bits // 8}")
+                to[own.field("pos").to_numpy() + 1] = own.field("id").to_numpy()
+                g = to[ids]
+                g = g[(g != 0) | np.append(False, g[:-1] != 0)]  # one 0 parts as well as many
+                yield pa.RecordBatch.from_pylist([{"block": batch.column("block")[i].as_py(), "ids": g.tobytes(), "n": g.size}], CODED_SCHEMA)
+
+    with batches_of(made.sparkSession, 16):
+        return staged(made.select("block", "ids").join(known, "block").select("block", "ids", "known").mapInArrow(run, CODED), "coded")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int | None = FIRST, share: int = SHARE) -> DataFrame:
@@ -213,13 +247,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         made = staged(blocks(docs, text, lang), "blocks")
     each = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("a")).where(F.col("a") >= least)
     words = staged(with_ordinal(each, ["lang", "word"], "place").withColumn("id", F.col("place") + 1).drop("place"), "words")
-    totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = staged(made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     most = words.agg(F.max("id")).first()[0] or 0
     if most >= 1 << 32:
         raise ValueError(f"{most} frequent words don't fit 32 bits")
     bits = 16 if most < 1 << 16 else 32
     size = bits // 8
-    found = phrases(made, words, bits, least)
+    coded = encoded(made, words, bits)
+    discard(made)
+    found = phrases(coded, bits, least)
 
     def part(key: Column, start: Column, count: Column) -> Column:
         return F.rpad(F.substring(key, start * size + 1, count * size), MOST_WORDS * size, F.lit(b"\0"))

@@ -52,14 +52,16 @@ def test_against_brute_force(spark, least, first):
     assert sorted(map(tuple, got)) == brute(rows, least, first)
 
 
-def test_wide_keys(spark, monkeypatch):
-    """More frequent words than sixteen bits hold, by fewer bits."""
-    real = collocations.phrases
-    monkeypatch.setattr(collocations, "phrases", lambda made, words, bits, least: real(made, words, 32, least))
+@pytest.mark.parametrize("bits", [16, 32])
+def test_keys_of_both_widths(spark, monkeypatch, bits):
+    """Ids beyond sixteen bits; ranges of a few keys, tasks that sort a few at once."""
+    monkeypatch.setattr(collocations, "PART_KEYS", 50)
     rows = random_rows(3)
-    words = collocations.staged(collocations.blocks(made(spark, rows)), "t")
-    ids = spark.createDataFrame([(1 << 20 | i, g, w) for g in ("en", "und") for i, w in enumerate(["a", "b", "new", "of", "york"], 10 * (g == "und"))], "id long, lang string, word string")
-    got = {bytes(r.key): r.a for r in collocations.phrases(words, ids, 32, 3).collect()}
+    blocks = collocations.staged(collocations.blocks(made(spark, rows)), "t")
+    big = (bits == 32) << 20
+    ids = spark.createDataFrame([(big + i, g, w) for g in ("en", "und") for i, w in enumerate(["a", "b", "new", "of", "york"], 1 + 10 * (g == "und"))], "id long, lang string, word string")
+    coded = collocations.encoded(blocks, ids, bits)
+    got = {bytes(r.key): r.a for r in collocations.phrases(coded, bits, 3).collect()}
     want = Counter()
     names = {(r.lang, r.word): r.id for r in ids.collect()}
     for text, lang in rows:
@@ -68,8 +70,16 @@ def test_wide_keys(spark, monkeypatch):
             for k in (2, 3, 4):
                 for i in range(len(g) - k + 1):
                     if all(g[i : i + k]):
-                        want[b"".join(x.to_bytes(4, "big") for x in [*g[i : i + k], *[0] * (4 - k)])] += 1
-    assert got == {k: v for k, v in want.items() if v >= 3}
+                        want[b"".join(x.to_bytes(bits // 8, "big") for x in [*g[i : i + k], *[0] * (4 - k)])] += 1
+    assert got == {k: v for k, v in want.items() if v >= 3} and len(got) > 30
+
+
+def test_planes():
+    rng = np.random.default_rng(1)
+    for width in (1, 2):
+        columns = [np.sort(rng.integers(0, 2**64, 99, np.uint64)), *[rng.integers(0, 2**64, 99, np.uint64)] * (width - 1)]
+        back = collocations.unplaned(collocations.planes(columns), width)
+        assert all((a == b).all() for a, b in zip(back, columns, strict=True)) and len(back) == width
 
 
 def test_one_long_text(spark, monkeypatch):
