@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe_tree, collocations, knn, language, licences, packing, personal, quality, simhash, token_shards, urls, warc
+from loomgraph.llm import bpe_tree, collocations, knn, language, licences, packing, personal, prefixes, quality, simhash, token_shards, urls, warc
 
 QUERIES = {
     "op1_url_rules": urls.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9,
     "op10_token_shards": token_shards.op10,
     "op11_collocations": collocations.op11,
+    "op12_prefix_trie": prefixes.op12,
     "op13_warc_revisits": warc.op13,
 }
-ORACLE_SQL: dict[str, str] = {"op5_voronoi_knn": knn.OP5_SQL, "op11_collocations": collocations.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_voronoi_knn": knn.OP5_SQL, "op11_collocations": collocations.OP11_SQL, "op13_warc_revisits": warc.OP13_SQL}

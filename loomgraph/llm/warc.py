@@ -274,3 +274,13 @@ def restored(listed: DataFrame, key: str = "page_id", payload: str = "html") ->
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = write(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return read(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(range(0, 8), lambda g: list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::INTEGER >> (15 - 5 * j)::INTEGER) & 31) + 1, 1)))), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""

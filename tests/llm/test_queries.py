@@ -16,9 +16,11 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(__file__))
 import test_licences
 import test_personal
+import test_prefixes
 import test_quality
 import test_simhash
 import test_urls
+import test_warc
 
 from loomgraph.llm import bpe, registry
 from loomgraph.llm.personal import KINDS
@@ -135,3 +137,19 @@ def test_op10(spark, docs):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(tuple(r)[:4] for r in run(spark, 10)) == want
+
+
+def test_op11(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    assert sorted(map(tuple, run(spark, 11))) == sorted(con.execute(registry.ORACLE_SQL["op11_collocations"]).fetchall())
+
+
+def test_op12(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in run(spark, 12)) == test_prefixes.brute(rows)
+
+
+def test_op13(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert sorted(map(tuple, run(spark, 13)), key=str) == test_warc.brute(rows)
