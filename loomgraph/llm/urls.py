@@ -1,13 +1,14 @@
 """Operator 1: URL filters by association rules.
 
 Fixed rules for hosts and paths come first. Other URLs are judged by rules mined from labelled URLs: Spark's FP-growth finds the
-frequent combinations of URL tokens with the class `bad`; a rule stays if its support and confidence suffice and no rule
-with one of its tokens less is as confident. The rules form an inverted index on their rarest token, so a URL meets only rules
+frequent combinations of URL tokens with the class `bad`; a rule stays if its support and confidence suffice and no other rule's tokens are
+all among its own, as that one fires wherever it does. The rules form an inverted index on their rarest token, so a URL meets only rules
 that share such a token with it, and a rule fires if the URL has all of its tokens.
 
-Mining is bounded: tokens below the least support are in no rule and go first; of tokens that stand in the same URLs one speaks for all; and
-of the rest a URL brings its MOST_ITEMS most telling ones (the squared excess of bad URLs over what is expected, per URL with the token). So a
-URL has at most 2 ** MOST_ITEMS combinations, and at most 2 ** MOST_ITEMS / MIN_SUPPORT are frequent, however long or frequent a URL is.
+Tokens that stand in fewer bad URLs than the least support are in no rule and go first, which changes none. Tokens that stand in the same labelled
+URLs are mined as one class, so that a long or often repeated URL doesn't multiply combinations; each of a class's tokens meets a rule's
+need for it, as a rule with any of them has the same support and confidence. Classes that make a rule by themselves come from counts alone and
+leave the combinations, where they could only be parts of rules that don't stay. What is left goes to FP-growth whole.
 
 Mining looks at a sample of at most about MOST_LABELLED labelled URLs, picked by a hash; the index joins as Spark sees fit by its
 written size. DataFrame operations alone; URLs are grouped after partial aggregation, so repeated ones cost nothing.
@@ -30,8 +31,6 @@ from loomgraph.session import staged, table
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MOST_LABELLED, MIN_SUPPORT, MIN_CONFIDENCE = 200_000, 0.005, 0.8
-#: Tokens of a URL that take part in mining.
-MOST_ITEMS = 8
 BAD = "class:bad"
 
 
@@ -63,8 +62,8 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST_LABELLED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_items: int = MOST_ITEMS) -> DataFrame:
-    """The index: (token, rules array<struct<needs, confidence>>)."""
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MOST_LABELLED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The index: (token, rules array<struct<needs, confidence>>); a need is met by any of its tokens."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(url).alias("url"), F.col(bad).alias("bad")).where("url IS NOT NULL AND bad IS NOT NULL")
     n = rows.count()
@@ -73,26 +72,26 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", most: int = MO
     items = tokens(F.col("url"), *parts(F.col("url")))
     named = staged(rows.select(F.monotonically_increasing_id().alias("row"), "bad", items.alias("items")).repartition(8), "labelled-urls")  # at most about `most` short rows
     total, n_bad = named.agg(F.count("*"), F.count_if("bad")).first()
-    empty = spark.createDataFrame([], "token string, rules array<struct<needs: array<string>, confidence: double>>")
+    empty = spark.createDataFrame([], "token string, rules array<struct<needs: array<array<string>>, confidence: double>>")
     if not n_bad:
         return empty
     stands = F.xxhash64("row")
-    excess = F.col("bad_n") - F.col("n") * F.lit(n_bad / total)
     counted = named.select("row", "bad", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad_n"), F.bit_xor(stands).alias("x"), F.sum(F.shiftright(stands, 20)).alias("s"))
-    telling = counted.where(F.col("n") >= math.ceil(min_support * total)).groupBy("n", "bad_n", "x", "s").agg(F.min("item").alias("item")).select("item", (-excess * excess / F.col("n")).alias("less"))
-    best = named.select("row", F.explode("items").alias("item")).join(telling, "item").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("less", "item"))).alias("own"))  # as many as a URL has tokens
-    own = F.coalesce(F.transform(F.slice("own", 1, most_items), lambda x: x["item"]), F.array().cast("array<string>"))
-    baskets = staged(named.select("row", "bad").join(best, "row", "left").select(F.when(F.col("bad"), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items")), "baskets")
+    classes = staged(counted.where(F.col("bad_n") >= math.ceil(min_support * total)).groupBy("n", "bad_n", "x", "s").agg(F.array_sort(F.collect_set("item")).alias("members")).withColumn("item", F.col("members")[0]), "token-classes")  # a class's tokens stand in one URL
+    alone = F.col("bad_n") / F.col("n") >= min_confidence
+    own = named.select("row", F.explode("items").alias("item")).join(classes.where(~alone).select("item"), "item").groupBy("row").agg(F.collect_list("item").alias("own"))  # as many as a URL has tokens
+    items = F.coalesce("own", F.array().cast("array<string>"))
+    baskets = staged(named.select("row", "bad").join(own, "row", "left").select(F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=8).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("needs"), "confidence")
     found = staged(found, "rules")
-    # A rule falls to one with a token less and at least its confidence.
-    fewer = F.transform(F.sequence(F.lit(0), F.size("needs") - 1), lambda i: F.filter("needs", lambda _, k: k != i))
-    beaten = found.where(F.size("needs") > 1).select("needs", "confidence", F.explode(fewer).alias("fewer")).join(found.select(F.col("needs").alias("fewer"), F.col("confidence").alias("as_sure")), "fewer").where(F.col("as_sure") >= F.col("confidence")).select("needs").distinct()
-    kept = found.join(beaten, "needs", "left_anti")
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    rarest = kept.select("needs", "confidence", F.explode("needs").alias("item")).join(often, "item").groupBy("needs", "confidence").agg(F.min(F.struct("freq", "item"))["item"].alias("token"))
-    return staged(rarest.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("needs", "confidence"))).alias("rules")), "rule-index")
+    # A rule falls to one whose tokens are among its own: rules meet by their least token.
+    parts_of = found.select(F.col("needs")[0].alias("item"), F.col("needs").alias("part"))
+    beaten = found.where(F.size("needs") > 1).select("needs", F.explode("needs").alias("item")).join(parts_of, "item").where((F.size("part") < F.size("needs")) & (F.size(F.array_except("part", "needs")) == 0)).select("needs").distinct()
+    kept = found.join(beaten, "needs", "left_anti").union(classes.where(alone).select(F.array("item"), F.col("bad_n") / F.col("n")))
+    each = kept.select("needs", "confidence", F.explode("needs").alias("item")).join(classes.select("item", F.col("n").alias("freq"), "members"), "item")
+    rarest = each.groupBy("needs", "confidence").agg(F.min(F.struct("freq", "item", "members"))["members"].alias("tokens"), F.sort_array(F.collect_list("members")).alias("met"))
+    return staged(rarest.select(F.explode("tokens").alias("token"), "met", "confidence").groupBy("token").agg(F.sort_array(F.collect_list(F.struct(F.col("met").alias("needs"), "confidence"))).alias("rules")), "rule-index")
 
 
 def judge(pages: DataFrame, index: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -101,7 +100,7 @@ def judge(pages: DataFrame, index: DataFrame, key: str = "page_id", url: str = "
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     rows = rows.select("key", "url", tokens(F.col("url"), host, path).alias("tokens"))
     at = rows.select("key", "url", "tokens", F.posexplode_outer("tokens").alias("pos", "token")).join(index, "token", "left")
-    fires = F.filter("rules", lambda r: F.size(F.array_except(r["needs"], F.col("tokens"))) == 0)
+    fires = F.filter("rules", lambda r: F.forall(r["needs"], lambda n: F.arrays_overlap(n, F.col("tokens"))))
     sure = at.select("key", "url", F.array_max(F.transform(fires, lambda r: r["confidence"])).alias("confidence"), F.coalesce("pos", F.lit(0)).alias("pos"))
     one = sure.groupBy("key", "url").agg(F.max("confidence").alias("confidence"), F.count_if(F.col("pos") == 0).alias("copies"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)

@@ -53,26 +53,40 @@ def test_mined_rules_equal_brute_force(spark):
     host, path = urls.parts(F.col("url"))
     own = df.select("bad", urls.tokens(F.col("url"), host, path).alias("t")).collect()
     stand = {w: frozenset(i for i, r in enumerate(own) if w in r.t) for r in own for w in r.t}
-    first = {s: min(w for w in stand if stand[w] == s) for s in stand.values()}  # one of the tokens of the same URLs
+    like = {w: tuple(sorted(v for v in stand if stand[v] == stand[w])) for w in stand}  # the tokens of the same URLs
     least, sure = 0.05, 0.8
     count, bad = Counter(), Counter()
     for r in own:
         for n in range(1, len(r.t) + 1):
-            for s in itertools.combinations(sorted({first[stand[w]] for w in r.t}), n):
+            for s in itertools.combinations(sorted({like[w] for w in r.t}), n):
                 count[s] += 1
                 bad[s] += r.bad
     rules = {s: bad[s] / count[s] for s in count if bad[s] >= least * len(rows) and bad[s] / count[s] >= sure}
-    kept = {s: c for s, c in rules.items() if not any(set(f) < set(s) and len(f) == len(s) - 1 and k >= c for f, k in rules.items())}
+    kept = {s: c for s, c in rules.items() if not any(set(f) < set(s) for f in rules)}
     index = urls.mine(df, min_support=least, min_confidence=sure)
-    got = {tuple(r.needs): r.confidence for x in index.collect() for r in x.rules}
+    got = {tuple(map(tuple, r.needs)): r.confidence for x in index.collect() for r in x.rules}
     assert {s: round(c, 9) for s, c in got.items()} == {s: round(c, 9) for s, c in kept.items()}
     assert kept
     rows = urls.judge(df.union(df), index, rules=[]).collect()
-    want = {r.page_id: any(set(s) <= set(o.t) for s in kept) for r, o in zip(df.collect(), own, strict=True)}
+    want = {r.page_id: any(all(set(c) & set(o.t) for c in s) for s in kept) for r, o in zip(df.collect(), own, strict=True)}
     assert len(rows) == 800
     assert all((r.verdict == "block") == want[r.page_id] for r in rows)
 
 
+def test_tokens_of_the_same_urls_all_make_rules(spark):
+    """Each of two tokens that always came together blocks by itself; a rule may have more than eight tokens."""
+    rows = [(f"http://a.com/aaa/bbb/{'x' * i}", True) for i in range(50)] + [(f"http://a.com/ccc/{'x' * i}", False) for i in range(50)]
+    index = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    pages = spark.createDataFrame([(i, f"http://a.com/{w}/1") for i, w in enumerate(["aaa", "bbb", "ccc", "ddd"])], "page_id long, url string")
+    assert [r.verdict for r in urls.judge(pages, index, rules=[]).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+    words = [f"w{chr(97 + i)}" for i in range(10)]
+    rows = [(f"http://a.com/{'/'.join(words)}", True)] * 30 + [(f"http://a.com/{'/'.join(w for w in words if w != out)}", False) for out in words] * 30
+    index = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert {len(r.needs) for x in index.collect() for r in x.rules} == {10}
+    pages = spark.createDataFrame([(i, f"http://b.com/{'/'.join(words[:n])}") for i, n in enumerate([10, 9])], "page_id long, url string")
+    assert [r.verdict for r in urls.judge(pages, index, rules=[]).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 def test_sample_is_bounded(spark):
     df = spark.range(3000).select(F.concat(F.lit("http://a.com/x/"), "id").alias("url"), (F.col("id") % 2 == 0).alias("bad"))
     assert urls.mine(df, most=300, min_confidence=0.1).count() > 0
