@@ -143,12 +143,14 @@ class Model:
 
 def sample_counts(df: DataFrame, key: str, text: str, lang: str, sample_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, gram, n) over about sample_bytes of each language's texts."""
-    rows = df.select(F.xxhash64(key, F.monotonically_increasing_id()).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    rates = staged(rows.groupBy("lang").agg((F.lit(float(sample_bytes)) / F.sum(F.octet_length("text"))).alias("rate")).where("rate IS NOT NULL"), "language-rates")
+    # Drawn by what a row holds, so that the same rows give the same sample however they are dealt to tasks; equal rows count once.
+    rows = df.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    rates = staged(sizes.groupBy("lang").agg((F.lit(float(sample_bytes)) / F.sum("n")).alias("rate")).where("rate IS NOT NULL"), "language-rates")
     rows = rows.join(F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates, "lang")
     last = F.floor((F.octet_length("text") - 1) / block_bytes)
     drawn = F.filter(F.sequence(F.lit(0), last.cast("int")), lambda k: F.shiftrightunsigned(F.xxhash64("h", k), 11) / float(1 << 53) < F.col("rate"))
-    chosen = rows.where(F.octet_length("text") > 0).select("lang", "text", drawn.alias("blocks")).where(F.size("blocks") > 0)
+    chosen = rows.where(F.octet_length("text") > 0).select("lang", "h", "text", drawn.alias("blocks")).where(F.size("blocks") > 0).dropDuplicates(["lang", "h"])
 
     def count(batches):
         for whole in batches:
@@ -161,7 +163,7 @@ def sample_counts(df: DataFrame, key: str, text: str, lang: str, sample_bytes: i
                     yield pa.RecordBatch.from_arrays([pa.array([name] * found.size, pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     arrow_rows(df.sparkSession)
-    return chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return chosen.drop("h").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass

@@ -127,3 +127,9 @@ def test_clashing_columns(spark, docs):
     got = language.predict(rows, language.train(docs))
     assert got.columns == ["doc_id", "text", "lang", "_text", "_bits", "_row", "lang_pred", "score", "bits_per_byte"]
     assert {(r._text, r._bits, r._row) for r in got.collect()} == {(1, 2, 3)}
+
+
+def test_partitions_change_nothing(spark, docs):
+    """The sample is drawn by what rows hold; equal rows count once."""
+    counts = [sorted(map(tuple, language.train(d, sample_bytes=3000).counts.collect())) for d in (docs.coalesce(1), docs.repartition(7), docs.union(docs).repartition(3))]
+    assert counts[0] == counts[1] == counts[2] and counts[0]
