@@ -170,14 +170,15 @@ def reconciled(tags: np.ndarray, starts: np.ndarray, text: str, base: list[Span]
 
 
 def sample(df: DataFrame, key: str, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their tags from passages picked by a hash of row and place, so that neither a very long text nor repeated keys come whole."""
-    rows = df.select(F.xxhash64(key, F.monotonically_increasing_id()).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(TRIGGER))
-    # Each trigger lies in WINDOW / STRIDE windows, so this bounds them.
-    n = rows.agg(F.sum(F.char_length(F.regexp_replace("text", "[^0-9@]+", "")))).first()[0] or 0
-    rate = min(1.0, most * 12 / (n * WINDOW / STRIDE + 1))  # a window holds some dozen triggers where it holds any
+    """Windows and their tags from passages picked by a hash of what the row holds and of the place, so that neither a very long text nor repeated keys come whole and the same rows give the same sample however they are dealt to tasks; equal rows count once."""
+    rows = df.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike(TRIGGER))
+    # About as many windows as a text has with a trigger: each trigger lies in WINDOW / STRIDE, which hold some dozen where they hold any, and there are no more than its length allows.
+    triggers, length = F.char_length(F.regexp_replace("text", "[^0-9@]+", "")), F.char_length("text")
+    sizes = rows.groupBy("h").agg(F.max(F.least(triggers * WINDOW / STRIDE / 12, length / STRIDE) + 1).alias("n"))
+    rate = min(1.0, most / ((sizes.agg(F.sum("n")).first()[0] or 0) + 1))
     last = F.floor((F.char_length("text") - 1) / PASSAGE).cast("int")
     drawn = F.filter(F.sequence(F.lit(0), last), lambda k: F.shiftrightunsigned(F.xxhash64("h", k), 11) / float(1 << 53) < rate)
-    rows = rows.select("text", F.explode(drawn).alias("k")).select(F.col("text").substr(F.col("k") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).where(F.col("text").rlike(TRIGGER))
+    rows = rows.select("h", "text", F.explode(drawn).alias("k")).dropDuplicates(["h", "k"]).select(F.col("text").substr(F.col("k") * PASSAGE + 1, F.lit(PASSAGE)).alias("text")).where(F.col("text").rlike(TRIGGER))
 
     def windows(batches):
         for whole in batches:

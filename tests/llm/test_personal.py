@@ -174,3 +174,10 @@ def test_clashing_columns(spark, tagger):
     df = spark.createDataFrame([("x 1.2.3.4", "a", "b", "c")], "text string, masked string, _masked string, _text string")
     got = personal.mask(df, tagger)
     assert got.columns == df.columns and tuple(got.first()) == ("x <ip>", "a", "b", "c")
+
+
+def test_partitions_change_nothing(spark):
+    """The sample is drawn by what rows hold; equal rows count once."""
+    df = spark.createDataFrame([(i, f"write to a{i}@b.example or +1 555 {1000000 + i} " * (1 + i % 40)) for i in range(60)], "doc_id long, text string")
+    drawn = [personal.sample(d, "doc_id", "text", 50) for d in (df.coalesce(1), df.repartition(7), df.union(df).repartition(3))]
+    assert all((a == b).all() for other in drawn[1:] for a, b in zip(drawn[0], other, strict=True)) and len(drawn[0][0])
