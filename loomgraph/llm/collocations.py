@@ -74,10 +74,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < data.size]
     first[heads] |= inside[heads]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[heads[heads > 0] - 1] |= inside[heads[heads > 0] - 1]
     at = np.flatnonzero(first)
-    ends = np.append(np.cumsum(inside)[at] - 1, np.count_nonzero(inside)) if at.size else np.zeros(1, np.int64)
-    words = pa.LargeStringArray.from_buffers(at.size, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[data[inside]]))
-    return words, np.cumsum(kind == 2)[at] + np.searchsorted(offsets, at, "right")
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - at))
+    words = pa.LargeStringArray.from_buffers(at.size, pa.py_buffer(ends), pa.py_buffer(LOWER[data[inside]]))
+    return words, np.searchsorted(np.flatnonzero(kind == 2), at) + np.searchsorted(offsets, at, "right")
 
 
 def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
