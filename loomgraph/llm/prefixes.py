@@ -302,7 +302,7 @@ def trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         (F.col("below") + (F.col("n") - 1) * (F.col("total") - F.col("so_far") + F.col("bytes"))).alias("saved_tokens"),
         F.when(last, F.coalesce("ends_sha256", F.lit(NO_ENDS))).otherwise(NO_ENDS).alias("ends_sha256"),
     )
-    first = sums.where("n = -1").crossJoin(root.select("n").withColumnRenamed("n", "all")) if everyone.n else sums.where("n = -1").withColumn("all", F.lit(0).cast("long"))
+    first = sums.where("n = -1").withColumn("all", F.lit(everyone.n))
     own = closed.where(F.col("id") == F.lit(ROOT)).select("ends_sha256")
     root_end = (own.first() or [NO_ENDS])[0]
     return out.union(first.select("conv", F.lit(0).cast("long"), F.lit(None).cast("long"), "all", "children", F.greatest("leaves", F.lit(1)), "below", F.lit(root_end)))
