@@ -152,17 +152,71 @@ def triangles(undirected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return wedge.join(closing, [*by, "y", "z"], "left_semi").select(*by, *(three[i].alias(c) for i, c in enumerate("uvw")))
 
 
-def motifs(edges: DataFrame, by: tuple[str, ...] = (), longest: int = 3, most_paths: int | None = None) -> DataFrame:
-    """(by, node, degree, triangles, clustering) of every node with an undirected edge, and on how many simple cycles of 4 up to `longest` nodes it lies, each counted once; clustering is 0 below two neighbours."""
+def shared_neighbours(both: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, c, p, adjacent): pairs of nodes x, c in both orders with p > 0 neighbours in common, and whether they are neighbours. both: (by, src, dst), every edge in both directions."""
+    ends = both.select(*by, F.col("src").alias("m"), F.col("dst").alias("x"))
+    wedges = ends.join(ends.withColumnRenamed("x", "c"), [*by, "m"]).where("x < c").groupBy(*by, "x", "c").agg(F.count("*").alias("p"))
+    near = both.where("src < dst").select(*by, F.col("src").alias("x"), F.col("dst").alias("c"), F.lit(1).alias("adjacent"))
+    once = staged(wedges.join(near, [*by, "x", "c"], "left").fillna(0, ["adjacent"]), "shared")
+    return once.unionByName(once.select(*by, F.col("c").alias("x"), F.col("x").alias("c"), "p", "adjacent"))
+
+
+def cycle_counts(undirected: DataFrame, by: tuple[str, ...] = (), longest: int = 6) -> DataFrame:
+    """(by, node, cycles4, ...): on how many simple cycles of 4 up to `longest` (6 at most) nodes a node lies; nodes on none may lack. undirected: distinct (by, u, v), u < v.
+
+    Nothing is listed. A node v and the node c opposite to it on a 4-cycle share two neighbours: C(p, 2) of them. On a 6-cycle v and c are joined by two 3-paths
+    without a common node: all pairs of the 3-paths v-x-y-c, less those with one x, one y, or the x of one as the y of the other (which can
+    be so both ways at once, and is then taken off once too often). On a 5-cycle two 2-paths from v end in the ends of an edge; what they share and those through
+    the edge's own ends come off. All of it is sums over edges (v, x) met by pairs (x, c) with common neighbours: a row for each such meeting, none for a path or cycle.
+    """
+    by = tuple(by)
+    both = staged(undirected.select(*by, F.col("u").alias("src"), F.col("v").alias("dst")).union(undirected.select(*by, F.col("v").alias("src"), F.col("u").alias("dst"))), "both-ways")
+    pairs_ = shared_neighbours(both, by)
+    none = F.lit(0).cast("long")
+    out = pairs_.groupBy(*by, F.col("x").alias("node")).agg(F.sum(F.col("p") * (F.col("p") - 1) / 2).cast("long").alias("cycles4"))
+    if longest == 4:
+        return out
+    # Each edge with the triangles on it; each node with its own.
+    edge = staged(both.join(pairs_.select(*by, F.col("x").alias("src"), F.col("c").alias("dst"), F.col("p").alias("on")), [*by, "src", "dst"], "left").fillna(0, ["on"]), "edge-triangles")
+    corner = staged(edge.groupBy(*by, F.col("src").alias("node")).agg((F.sum("on") / 2).cast("long").alias("t"), F.count("*").alias("degree")), "node-triangles")
+    around = edge.join(corner.select(*by, F.col("node").alias("dst"), F.col("t").alias("t_dst"), F.col("degree").alias("d_dst")), [*by, "dst"])
+    around = around.groupBy(*by, F.col("src").alias("node")).agg(F.sum(F.col("on") * (F.col("d_dst") - 1)).alias("by_edge"), F.sum("t_dst").alias("t_near"))
+    p, on, close = F.col("p"), F.col("on"), F.col("adjacent")
+    met = edge.select(*by, F.col("src").alias("v"), F.col("dst").alias("x"), "on").join(pairs_, [*by, "x"]).where("c <> v")
+    met = met.groupBy(*by, "v", "c").agg(F.sum("p").alias("s1"), F.sum(p * p).alias("s2"), F.count("*").alias("n"), F.sum(p * on * close).alias("q1"), F.sum((p + on) * close).alias("q2"), F.sum(close).alias("q3"))
+    flags = both.select(*by, F.col("src").alias("v"), F.col("dst").alias("c"), F.lit(1).alias("a"))
+    own = pairs_.select(*by, F.col("x").alias("v"), "c", F.col("p").alias("p_vc"))
+    met = staged(met.join(flags, [*by, "v", "c"], "left").join(own, [*by, "v", "c"], "left").fillna(0, ["a", "p_vc"]), "three-paths")
+    a = F.col("a")
+    paths = (F.col("s1") - a * F.col("n")).cast("decimal(19,0)")
+    one_x = (F.col("s2") - (1 + 2 * a) * F.col("s1") + 2 * a * F.col("n")) / 2
+    crossed = F.col("q1") - a * F.col("q2") + a * F.col("q3")
+    # (v, c) holds the paths from v by x; G of the 5-cycles is the same sum seen from c.
+    from_v = met.groupBy(*by, F.col("v").alias("node")).agg(F.sum((paths * (paths - 1) / 2).cast("decimal(38,0)")).alias("pairs"), F.sum((one_x + crossed).cast("long")).alias("off"))
+    from_c = met.groupBy(*by, F.col("c").alias("node")).agg(F.sum(F.col("p_vc") * F.col("s1")).alias("closed"), F.sum(one_x.cast("long")).alias("off_y"))
+    out = corner.join(around, [*by, "node"]).join(out, [*by, "node"], "left").join(from_c, [*by, "node"], "left").fillna(0, ["closed", "off_y", "cycles4"])
+    five = (F.col("closed") / 2).cast("long") - F.col("by_edge") + 3 * F.col("t") - F.col("t_near")
+    if longest == 5:
+        return out.select(*by, "node", "cycles4", five.alias("cycles5"))
+    # Edges between two common neighbours of v and c: a triangle at v, and another on its far side.
+    far = edge.where("src < dst").select(*by, F.col("src").alias("u"), F.col("dst").alias("w"), F.col("on").alias("on"))
+    three = triangles(undirected, by)
+    sides = three.select(*by, F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.least(x, y).alias("u"), F.greatest(x, y).alias("w")) for n, x, y in (("u", "v", "w"), ("v", "u", "w"), ("w", "u", "v"))))))
+    twice = sides.join(far, [*by, "u", "w"]).groupBy(*by, "node").agg(F.sum(on - 1).alias("twice"))
+    out = out.join(from_v, [*by, "node"], "left").join(twice, [*by, "node"], "left").fillna(0, ["off", "twice"])
+    six = F.coalesce("pairs", none) - F.col("off") - F.col("off_y") + F.col("twice")
+    return out.select(*by, "node", "cycles4", five.alias("cycles5"), six.cast("long").alias("cycles6"))
+
+
+def motifs(edges: DataFrame, by: tuple[str, ...] = (), longest: int = 3) -> DataFrame:
+    """(by, node, degree, triangles, clustering) of every node with an undirected edge, and on how many simple cycles of 4 up to `longest` (at most 6) nodes it lies, each counted once; clustering is 0 below two neighbours."""
     e = staged(pairs(edges, by), "pairs")
     corners = triangles(e, by).select(*by, F.explode(F.array("u", "v", "w")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("triangles"))
     n, t = F.col("degree"), F.coalesce("triangles", F.lit(0))
     out = degrees(e, by).join(corners, [*by, "node"], "left")
     lengths = list(range(4, longest + 1))
     if lengths:
-        found = undirected_cycles(e.select(*by, F.col("u").alias("src"), F.col("v").alias("dst")), range(4, longest + 1), None, by, most_paths)
-        on = found.select(*by, "length", F.explode("cycle").alias("node")).groupBy(*by, "node").agg(*(F.count_if(F.col("length") == k).alias(f"cycles{k}") for k in lengths))
-        out = out.join(on, [*by, "node"], "left")
+        out = out.join(cycle_counts(e, by, longest), [*by, "node"], "left")
     return out.select(*by, "node", "degree", t.alias("triangles"), F.when(n < 2, 0.0).otherwise(2 * t / (n * (n - 1))).alias("clustering"), *(F.coalesce(f"cycles{k}", F.lit(0)).alias(f"cycles{k}") for k in lengths))
 
 

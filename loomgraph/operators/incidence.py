@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ordinals import with_ordinal
+from loomgraph.session import discard, staged
+
 
 def b1(edges: DataFrame, edge: str = "edge") -> DataFrame:
     """(row, col, val): -1 at an edge's source, +1 at its target; a loop's entries cancel."""
@@ -49,15 +55,15 @@ def subdivided(events: DataFrame) -> DataFrame:
     return events.select("event_id", stops.alias("s")).select("event_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("place"), F.col("s")[i].alias("src"), F.col("s")[i + 1].alias("dst")))).alias("place", "src", "dst"))
 
 
-def b2_simplicial(edges: DataFrame, triangles: DataFrame, by: tuple[str, ...] = (), edge: str = "edge") -> DataFrame:
-    """(row, col, val): +1, -1, +1 where a triangle u < v < w holds the edges (u, v), (u, w), (v, w). edges: (by, u, v, edge) with u < v, triangles: (by, u, v, w, cell). A loop, an edge that comes twice or a face without an edge raises."""
+def b2_simplicial(edges: DataFrame, triangles: DataFrame, by: tuple[str, ...] = (), edge: str = "edge", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, row, col, val), keep being of by: +1, -1, +1 where a triangle u < v < w holds the edges (u, v), (u, w), (v, w). edges: (by, u, v, edge) with u < v, triangles: (by, u, v, w, cell). A loop, an edge that comes twice or a face without an edge raises."""
     kind = dict(edges.dtypes)[edge]
     fault = F.when(F.col("u") >= F.col("v"), F.raise_error(F.lit("an edge isn't oriented")).cast(kind)).when(F.col("_n") > 1, F.raise_error(F.lit("an edge comes twice")).cast(kind)).otherwise(F.col("_edge"))
     known = edges.groupBy(*by, "u", "v").agg(F.count("*").alias("_n"), F.min(edge).alias("_edge")).select(*by, "u", "v", fault.alias("row"))
     face = lambda a, b, sign: F.struct(F.col(a).alias("u"), F.col(b).alias("v"), F.lit(sign).alias("val"))
     faces = triangles.select(*by, F.col("cell").alias("col"), F.inline(F.array(face("u", "v", 1), face("u", "w", -1), face("v", "w", 1))))
     met = faces.join(known, [*by, "u", "v"], "left")
-    return met.select(F.coalesce("row", F.raise_error(F.lit("a triangle has a face without an edge")).cast(kind)).alias("row"), "col", "val")
+    return met.select(*keep, F.coalesce("row", F.raise_error(F.lit("a triangle has a face without an edge")).cast(kind)).alias("row"), "col", "val")
 
 
 def by_event(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -103,3 +109,77 @@ def consistent(views: list[DataFrame], key: str, label: str) -> DataFrame:
     for v in views:
         out = out.join(v.drop(label), key, "left")  # so that a key that a view lacks is still there to raise
     return out
+
+
+#: A prime beyond any torsion that is likely: the rank modulo it is that over the rationals unless it divides an elementary divisor.
+LARGE_PRIME = (1 << 31) - 1
+COLUMN = "block long, settled boolean, rows array<long>, vals array<long>"
+COLUMN_SCHEMA = pa.schema([("block", pa.int64()), ("settled", pa.bool_()), ("rows", pa.list_(pa.int64())), ("vals", pa.list_(pa.int64()))])
+
+
+def reduced(columns: Iterator[tuple[bool, dict[int, int]]], first: int, modulus: int) -> Iterator[tuple[bool, dict[int, int]]]:
+    """The columns of a block of rows, from `first` on, reduced by their lowest entries: (True, column) for each lowest row that one holds, (False, column) for those that go on to blocks of lesser rows. Columns that hold a row already come as (True, column)."""
+    held: dict[int, dict[int, int]] = {}
+    for settled, own in sorted(columns, key=lambda x: not x[0]):
+        if settled:
+            held[max(own)] = own
+            continue
+        while own and (low := max(own)) >= first:
+            if not (other := held.get(low)):
+                inverse = pow(own[low], -1, modulus)
+                held[low] = {r: v * inverse % modulus for r, v in own.items()}
+                own = {}
+                break
+            times = own[low]
+            for r, v in other.items():
+                if x := (own.get(r, 0) - times * v) % modulus:
+                    own[r] = x
+                else:
+                    own.pop(r, None)
+        if own:
+            yield False, own
+    yield from ((True, c) for c in held.values())
+
+
+def ranks(entries: DataFrame, by: tuple[str, ...] = (), modulus: int = LARGE_PRIME, block_rows: int = 4096) -> DataFrame:
+    """(by, rank): the rank of each group's matrix (by, row, col, val) modulo a prime. Groups without an entry are left out.
+
+    Rows are numbered and cut into blocks. A round reduces the columns whose lowest entry lies in a block against those that hold one there, in a task for each block;
+    what falls below goes to an earlier block in the next round. Rounds are as many as the blocks that a column falls through. A column holds at most as many entries as
+    its group has rows, which for boundaries fills up slowly.
+    """
+    by = tuple(by)
+    cells = entries.select(*by, "row", "col", (F.pmod(F.col("val").cast("bigint"), F.lit(modulus))).alias("val")).where("val <> 0")
+    numbered = staged(with_ordinal(cells.select(*by, "row").distinct(), [*by, "row"], "place"), "rows")
+    columns = cells.join(numbered, [*by, "row"]).groupBy(*by, "col").agg(F.collect_list("place").alias("rows"), F.collect_list("val").alias("vals"))  # as many as a column has entries
+    block = lambda rows: F.floor(F.array_max(rows) / block_rows)
+    new = staged(columns.select(block("rows").alias("block"), F.lit(False).alias("settled"), "rows", "vals"), "columns")
+
+    def run(key, rows):
+        at = key[0].as_py()
+        given = ((s, dict(zip(r, v, strict=True))) for s, r, v in zip(*(rows.column(c).to_pylist() for c in ("settled", "rows", "vals")), strict=True))
+        out = [{"block": at if s else max(c) // block_rows, "settled": s, "rows": list(c), "vals": list(c.values())} for s, c in reduced(given, at * block_rows, modulus)]
+        return pa.Table.from_pylist(out, COLUMN_SCHEMA)
+
+    held = None
+    while new.take(1):
+        busy = new.select("block").distinct()
+        met = new if held is None else new.unionByName(held.join(busy, "block", "left_semi"))
+        done = staged(met.groupBy("block").applyInArrow(run, COLUMN), "reduced")
+        idle = None if held is None else held.join(busy, "block", "left_anti")
+        settled = done.where("settled") if idle is None else done.where("settled").unionByName(idle)
+        held, new = staged(settled, "held"), staged(done.where("NOT settled"), "columns")
+        discard(done)
+    if held is None:
+        return numbered.groupBy(*by).agg(F.count("*").alias("rank")).limit(0)
+    return held.select(F.array_max("rows").alias("place")).join(numbered, "place").groupBy(*by).agg(F.count("*").alias("rank"))
+
+
+def betti_of_faces(nodes: DataFrame, edges: DataFrame, triangles: DataFrame, stars: DataFrame, by: tuple[str, ...], modulus: int = LARGE_PRIME) -> DataFrame:
+    """(by, beta0, beta1, beta2) of complexes of nodes (by, node), edges (by, u, v, edge) with u < v and triangles (by, u, v, w, cell); stars: (by, node, root) of the nodes that aren't the least of their component."""
+    by = tuple(by)
+    counts = rank_of_incidence(nodes, stars, edges, list(by))
+    faces = triangles.groupBy(*by).agg(F.count("*").alias("faces"))
+    rank = ranks(b2_simplicial(edges, triangles, by, keep=by), by, modulus).withColumnRenamed("rank", "rank2")
+    out = counts.join(faces, list(by), "left").join(rank, list(by), "left").fillna(0, ["faces", "rank2"])
+    return out.select(*by, F.col("components").alias("beta0"), (F.col("betti1") - F.col("rank2")).alias("beta1"), (F.col("faces") - F.col("rank2")).alias("beta2"))

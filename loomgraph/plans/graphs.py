@@ -114,7 +114,7 @@ o AS (SELECT world, node, count_if(length = 4) AS c4, count_if(length = 5) AS c5
 SELECT world, node, degree, coalesce(t, 0) AS triangles, round(CASE WHEN degree < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END, 9) AS clustering, coalesce(c4, 0) AS cycles4, coalesce(c5, 0) AS cycles5, coalesce(c6, 0) AS cycles6 FROM d LEFT JOIN k USING (world, node) LEFT JOIN o USING (world, node)""")
 def motif_census(spark, sf_dir):
     """Degree, triangles, local clustering and simple 4-, 5- and 6-cycles of every account in each world."""
-    return graph.motifs(transfers(spark, sf_dir), BY, 6, 20 * MOST_PATHS).withColumn("clustering", F.round("clustering", 9))
+    return graph.motifs(transfers(spark, sf_dir), BY, 6).withColumn("clustering", F.round("clustering", 9))
 
 
 @query(f"""WITH {TRANSFERS}, m AS (SELECT kind, src, dst, count(*) AS m FROM t GROUP BY ALL)

@@ -8,7 +8,7 @@ from loomgraph.operators import components, features, graph, incidence, persiste
 from loomgraph.plans.graphs import BY, CYCLES, MOST_CYCLES, MOST_PATHS, TUPLES, UNDIRECTED, tuples
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import ARCS, TRANSFERS, transfers
-from loomgraph.session import table
+from loomgraph.session import staged, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -278,11 +278,10 @@ def temporal_filtration(spark, sf_dir):
 
 
 def drawn(spark, sf_dir):
-    """Diagrams of the graphs of days, with the day's last hour."""
+    """(the bars of the graphs of days, each day's last hour)."""
     t = transfers(spark, sf_dir).withColumns({"day": F.col("world"), "time": (F.col("hours") % 24).cast("double")})
-    pairs = persistence.filtration(t, "day")
-    last = pairs.groupBy("day").agg(F.max("time").alias("most"))
-    return persistence.diagrams(pairs, "day").join(last, "day")
+    pairs = staged(persistence.filtration(t, "day"), "pairs")
+    return persistence.bars(pairs, "day"), pairs.groupBy("day").agg(F.max("time").alias("most"))
 
 
 @query(COMPONENTS + """ SELECT c.world AS day, any_value(k.n) AS edges, count(DISTINCT c.node) AS h0, count(DISTINCT root) AS components, any_value(k.n) - (count(DISTINCT c.node) - count(DISTINCT root)) AS h1 FROM c JOIN (SELECT world, count(*) AS n FROM u GROUP BY world) k ON k.world = c.world WHERE EXISTS (SELECT 1 FROM u WHERE u.world = c.world AND c.node IN (u.u, u.v)) GROUP BY c.world""")
@@ -311,8 +310,13 @@ bars AS (SELECT day, 0 AS dim, b, h AS d, was - n AS m, most FROM st WHERE was >
 SELECT x.day, round(x.total, 6) AS h0_total, x.longest AS h0_longest, round(x.mean, 6) AS h0_mean, round(x.entropy, 6) AS h0_entropy, CAST(x.bars AS INTEGER) AS h0_bars, round(coalesce(w.total, 0), 6) AS h1_total, coalesce(w.longest, 0) AS h1_longest, round(coalesce(w.mean, 0), 6) AS h1_mean, round(coalesce(w.entropy, 0), 6) AS h1_entropy, CAST(coalesce(w.bars, 0) AS INTEGER) AS h1_bars FROM y x LEFT JOIN y w ON w.day = x.day AND w.dim = 1 WHERE x.dim = 0""")
 def persistence_summary(spark, sf_dir):
     """Total, longest, mean, entropy and number of bars in each dimension."""
-    d = drawn(spark, sf_dir)
-    s = d.select("day", *(persistence.summary(persistence.clean(F.col(h), F.col("most"))).alias(h) for h in ("h0", "h1"))).select("day", *(F.col(f"{h}.{c}").alias(f"{h}_{c}") for h in ("h0", "h1") for c in ("total", "longest", "mean", "entropy", "bars")))
+    rows, last = drawn(spark, sf_dir)
+    told = persistence.summaries(persistence.finite(rows, last, "day"), "day")
+    names = ("total", "longest", "mean", "entropy", "bars")
+    s = last.select("day")
+    for k in (0, 1):
+        s = s.join(told.where(F.col("dim") == k).select("day", *(F.col(c).alias(f"h{k}_{c}") for c in names)), "day", "left")
+    s = s.fillna(0, [f"h{k}_{c}" for k in (0, 1) for c in names]).withColumns({f"h{k}_bars": F.col(f"h{k}_bars").cast("int") for k in (0, 1)})
     return rounded(s, *(f"{h}_{c}" for h in ("h0", "h1") for c in ("total", "mean", "entropy")), places=6)
 
 
@@ -323,8 +327,8 @@ SELECT lv.day, lv.dim * 155 + (lv.lev - 1) * 50 + lv.i AS place, round(coalesce(
 UNION ALL SELECT d.day, d.dim * 155 + 150 + d.j, round(coalesce(y.s[d.j + 1], 0), 4) FROM (SELECT day, dim, unnest([0, 1, 2, 3, 4]) AS j FROM days, (SELECT unnest([0, 1]) AS dim)) d LEFT JOIN y USING (day, dim)""")
 def persistence_vectors(spark, sf_dir):
     """Landscapes and summaries of each day as 310 numbers, a row for each."""
-    v = drawn(spark, sf_dir).select("day", F.posexplode(persistence.vector(F.col("h0"), F.col("h1"), F.col("most"))).alias("place", "x"))
-    return v.select("day", F.col("place").cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 4).alias("value"))
+    v = persistence.vectors(*drawn(spark, sf_dir), "day")
+    return v.select("day", F.col("place").cast("bigint").alias("place"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query(COMPONENTS + """, p AS (SELECT world, u, v, min(CAST(hours % 24 AS DOUBLE)) AS time FROM (SELECT world, least(src, dst) AS u, greatest(src, dst) AS v, hours FROM t WHERE src <> dst) GROUP BY ALL), n AS (SELECT DISTINCT world, u AS node FROM p UNION SELECT world, v FROM p)
@@ -334,4 +338,33 @@ def essential_classes(spark, sf_dir):
     _, pairs, stars = world_stars(spark, sf_dir)
     nodes = pairs.select("world", F.explode(F.array("u", "v")).alias("node")).distinct()
     rank = incidence.rank_of_incidence(nodes, stars, pairs, ["world"]).withColumnRenamed("world", "day")
-    return persistence.essential_census(drawn(spark, sf_dir), rank, "day").select("day", "classes")
+    return persistence.essential_census(drawn(spark, sf_dir)[0], rank, "day").select("day", "classes")
+
+
+@query(BARS + """, tv AS (SELECT DISTINCT world AS day, CAST(hours % 24 AS DOUBLE) AS h FROM t),
+bp AS (SELECT day, h, (SELECT count(*) FROM t WHERE t.world = tv.day AND t.hours % 24 <= tv.h) - (SELECT count(*) FROM bi WHERE bi.day = tv.day AND bi.b <= tv.h) + (SELECT count(*) FROM cb WHERE cb.day = tv.day AND cb.h = (SELECT max(h) FROM tm WHERE tm.day = tv.day AND tm.h <= tv.h)) AS betti FROM tv),
+st2 AS (SELECT day, h AS time, betti - coalesce(lag(betti) OVER (PARTITION BY day ORDER BY h), 0) AS births FROM bp)
+SELECT day, time, births FROM st2 WHERE births > 0""")
+def port_births(spark, sf_dir):
+    """Endless classes in H1 of each day's graph with all events as paths through ports of their own, by hour."""
+    t = transfers(spark, sf_dir).withColumns({"day": F.col("world"), "time": (F.col("hours") % 24).cast("double")})
+    return persistence.port_births(t, "day")
+
+
+def triangle_complex(spark, sf_dir):
+    """(nodes, edges, triangles, stars) of each world."""
+    nodes, pairs, stars = world_stars(spark, sf_dir)
+    e = staged(pairs.withColumn("edge", F.concat_ws("-", "u", "v")), "pairs")
+    return nodes, e, graph.triangles(e, BY).withColumn("cell", F.concat_ws("-", "u", "v", "w")), stars
+
+
+@query(COMPONENTS + """, tri AS (SELECT x.world, x.u AS a, x.v AS b, y.v AS c FROM u x JOIN u y ON x.world = y.world AND x.v = y.u JOIN u z ON z.world = x.world AND z.u = x.u AND z.v = y.v),
+ei AS (SELECT *, row_number() OVER (PARTITION BY world ORDER BY u, v) - 1 AS i, count(*) OVER (PARTITION BY world) AS n FROM u),
+co AS (SELECT tri.world, array_to_string(list_transform(range(0, x.n), lambda k: CASE WHEN k = x.i OR k = y.i OR k = z.i THEN '1' ELSE '0' END), '')::BIT AS col FROM tri JOIN ei x ON x.world = tri.world AND x.u = a AND x.v = b JOIN ei y ON y.world = tri.world AND y.u = b AND y.v = c JOIN ei z ON z.world = tri.world AND z.u = a AND z.v = c),
+rk AS (SELECT world, count(*) AS faces, len(list_reduce(list_concat([CAST([] AS BIT[])], list([col])), lambda held, col: list_concat(held, list_filter([list_reduce(list_concat(col, held), lambda own, other: CASE WHEN get_bit(own, CAST(bit_position('1'::BIT, other) - 1 AS INTEGER)) = 1 THEN xor(own, other) ELSE own END)], lambda x: bit_count(x) > 0)))) AS rank2 FROM co GROUP BY world)
+SELECT c.world, count(DISTINCT root) AS beta0, coalesce(any_value(k.n), 0) - (count(*) - count(DISTINCT root)) - coalesce(any_value(rk.rank2), 0) AS beta1, coalesce(any_value(rk.faces), 0) - coalesce(any_value(rk.rank2), 0) AS beta2
+FROM c LEFT JOIN (SELECT world, count(*) AS n FROM u GROUP BY world) k ON k.world = c.world LEFT JOIN rk ON rk.world = c.world GROUP BY c.world""")
+def betti_with_faces(spark, sf_dir):
+    """Betti numbers over GF(2) of each world's complex of nodes, edges and triangles."""
+    nodes, edges, triangles, stars = triangle_complex(spark, sf_dir)
+    return incidence.betti_of_faces(nodes, edges, triangles, stars, BY, 2)
