@@ -26,25 +26,66 @@ def node_features(events: DataFrame, by: list[str]) -> DataFrame:
 
 def relative_times(features: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Times less the first one of their group."""
-    origin = F.min(names[0]).over(Window.partitionBy(*by))
-    return features.withColumn("_origin", origin).select(*(((F.col(c) - F.col("_origin")).alias(c)) if c in names else c for c in features.columns))
+    origin = features.groupBy(*by).agg(F.min(names[0]).alias("_origin"))
+    return features.join(origin, by).select(*(((F.col(c) - F.col("_origin")).alias(c)) if c in names else c for c in features.columns))
 
 
-def graph_view(events: DataFrame, by: list[str], cycle_nodes: Column) -> DataFrame:
-    """Six features of a node: degrees, log flows, whether it lies on the cycle, and the share of its degree that comes in."""
-    f = node_features(events, by)
-    return f.select(*by, "node", "n_in", "n_out", (F.col("log_in") * F.log(F.lit(10.0))).alias("flow_in"), (F.col("log_out") * F.log(F.lit(10.0))).alias("flow_out"), cycle_nodes.cast("int").alias("in_cycle"), (F.col("n_in") / (F.col("n_in") + F.col("n_out") + 1e-6)).alias("in_share"))
+def finite(x: Column, what: str) -> Column:
+    """x; a value that is NaN or endless raises."""
+    return F.when(F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")), F.raise_error(F.lit(f"{what} isn't finite")).cast("double")).otherwise(x)
+
+
+def log_amount(x: str | Column) -> Column:
+    """ln(1 + amount), amounts below 0 and missing ones as 0."""
+    return F.log1p(F.greatest(F.coalesce(finite(F.col(x) if isinstance(x, str) else x, "an amount"), F.lit(0.0)), F.lit(0.0)))
+
+
+def within(events: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """events; one with an end that isn't among nodes (by, node) raises."""
+    own = nodes.select(*by, "node").distinct()
+    met = events.join(own.withColumnRenamed("node", "src").withColumn("_a", F.lit(True)), [*by, "src"], "left").join(own.withColumnRenamed("node", "dst").withColumn("_b", F.lit(True)), [*by, "dst"], "left")
+    good = F.when(F.col("_a") & F.col("_b"), F.col("src")).otherwise(F.raise_error(F.lit("an event has an end outside the nodes")).cast(dict(events.dtypes)["src"]))
+    return met.withColumn("src", good).select(*events.columns)
+
+
+def graph_view(events: DataFrame, by: list[str], cycle_nodes: Column, nodes: DataFrame | None = None) -> DataFrame:
+    """Six features of a node: degrees, flows, whether it lies on the cycle, and the share of its degree that comes in. A flow is the sum of the events' ln(1 + amount). nodes: (by, node), if events may not end elsewhere; nodes without an event have zeros then."""
+    known = events if nodes is None else within(events, nodes, by)
+    ends = F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"))))
+    e = known.withColumn("_log", log_amount("amount")).select(*by, "_log", ends)
+    flow = lambda k: F.coalesce(F.sum(F.when(F.col("out") == k, F.col("_log"))), F.lit(0.0))
+    f = e.groupBy(*by, "node").agg(F.count_if(F.col("out") == 0).alias("n_in"), F.count_if(F.col("out") == 1).alias("n_out"), flow(0).alias("flow_in"), flow(1).alias("flow_out"))
+    if nodes is not None:
+        f = nodes.select(*by, "node").distinct().join(f, [*by, "node"], "left").fillna(0, ["n_in", "n_out", "flow_in", "flow_out"])
+    return f.select(*by, "node", "n_in", "n_out", "flow_in", "flow_out", cycle_nodes.cast("int").alias("in_cycle"), (F.col("n_in") / (F.col("n_in") + F.col("n_out") + 1e-6)).alias("in_share"))
+
+
+def graph_view_edges(events: DataFrame, by: list[str], on_cycle) -> DataFrame:
+    """(by, event_id, src, dst, log_amount, amount, in_cycle): the features of every event; on_cycle maps a node's column to whether it lies on the cycle, on which an event lies with both ends."""
+    return events.select(*by, "event_id", "src", "dst", log_amount("amount").alias("log_amount"), "amount", (on_cycle(F.col("src")) & on_cycle(F.col("dst"))).cast("int").alias("in_cycle"))
 
 
 def cell_view(events: DataFrame, by: list[str]) -> DataFrame:
     """Distinct arcs with their multiplicity and earliest time relative to the group's first."""
     arcs = events.where("src <> dst").groupBy(*by, "src", "dst").agg(F.count("*").alias("m"), F.min("hours").alias("first"))
-    return arcs.select(*by, "src", "dst", "m", F.log1p("m").alias("log_m"), (F.col("first") - F.min("first").over(Window.partitionBy(*by))).alias("since"))
+    origin = arcs.groupBy(*by).agg(F.min("first").alias("_origin"))
+    return arcs.join(origin, by).select(*by, "src", "dst", "m", F.log1p("m").alias("log_m"), (F.col("first") - F.col("_origin")).alias("since"))
+
+
+def simplicial_view(events: DataFrame, by: list[str], on_cycle=None) -> DataFrame:
+    """Undirected edges with their events, amount, its ln(1 + amount), and whether both ends lie on the cycle."""
+    inside = on_cycle or (lambda c: F.lit(False))
+    e = events.where("src <> dst").groupBy(*by, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    return e.select("*", log_amount("amount").alias("log_amount"), (inside(F.col("u")) & inside(F.col("v"))).cast("int").alias("in_cycle"))
 
 
-def simplicial_view(events: DataFrame, by: list[str]) -> DataFrame:
-    """Undirected edges with their events and amount."""
-    return events.where("src <> dst").groupBy(*by, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+def simplicial_faces(edges: DataFrame, triangles: DataFrame, by: list[str], on_cycle) -> DataFrame:
+    """(by, u, v, w, mean_log, amount, in_cycle) of triangles (by, u, v, w): the mean of their edges' ln(1 + amount), the sum of the amounts, and whether all corners lie on the cycle. edges: simplicial_view()."""
+    side = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    sides = triangles.select(*by, "u", "v", "w", F.inline(F.array(side("u", "v"), side("u", "w"), side("v", "w"))))
+    own = edges.select(*by, F.col("u").alias("x"), F.col("v").alias("y"), "amount", "log_amount")
+    f = sides.join(own, [*by, "x", "y"], "left").fillna(0.0, ["amount", "log_amount"]).groupBy(*by, "u", "v", "w").agg((F.sum("log_amount") / 3).alias("mean_log"), F.sum("amount").alias("amount"))
+    return f.withColumn("in_cycle", (on_cycle(F.col("u")) & on_cycle(F.col("v")) & on_cycle(F.col("w"))).cast("int"))
 
 
 def spread(x: str) -> list[Column]:
@@ -82,7 +123,8 @@ def collisions(df: DataFrame, names: list[str], label: str) -> DataFrame:
 
 def edge_features(events: DataFrame, by: list[str]) -> DataFrame:
     """by, event_id, log_amount and since: the log of an amount, negative ones as zero, and the time from the group's first event."""
-    return events.select(*by, "event_id", F.log10(F.greatest("amount", F.lit(0.0)) + 1).alias("log_amount"), (F.col("hours") - F.min("hours").over(Window.partitionBy(*by))).alias("since"))
+    origin = events.groupBy(*by).agg(F.min("hours").alias("_origin"))
+    return events.join(origin, by).select(*by, "event_id", F.log10(F.greatest("amount", F.lit(0.0)) + 1).alias("log_amount"), (F.col("hours") - F.col("_origin")).alias("since"))
 
 
 def assembled(events: DataFrame, by: list[str], motifs: DataFrame | None = None) -> DataFrame:

@@ -23,24 +23,65 @@ def group_profile(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("grp").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
+def dealt(load: list[list[int]], positives: int, rows: int, count: int) -> list[tuple[int, list[int]]]:
+    """Deals `count` equal groups one by one, each to the best fold, without a step for each: runs of (number of groups, folds in turn). load: [positives, rows] of each fold, brought up to date.
+
+    The best fold has the least (positives, rows) for groups of positives alone, (negatives, rows) for those of negatives alone, and (rows, positives, negatives) for mixed ones, ties going to the first.
+    A fold's key grows by the same step with each group it takes, so the folds whose keys lie within a step of the least take turns, until another's key is reached.
+    """
+    if positives == rows:
+        key, step = (lambda f: (load[f][0], load[f][1], f)), (positives, rows)
+    elif not positives:
+        key, step = (lambda f: (load[f][1] - load[f][0], load[f][1], f)), (rows, rows)
+    else:
+        key, step = (lambda f: (load[f][1], load[f][0], load[f][1] - load[f][0], f)), (rows, positives, rows - positives)
+
+    def below(f: int, g: int) -> int:
+        """How many groups f takes before g's key is the lesser."""
+        own, other = key(f), key(g)
+        n = max(0, -(-(other[0] - own[0]) // step[0]))
+        moved = (*(x + n * d for x, d in zip(own, step, strict=False)), f)
+        return n + (moved < other)
+
+    waiting, turn, out = sorted(range(len(load)), key=key), [], []
+    while count:
+        if waiting:
+            turn.append(waiting.pop(0))
+        turn.sort(key=key)
+        most = [below(f, waiting[0]) for f in turn] if waiting else [count] * len(turn)
+        n = min(count, sum(most))
+        if not n:
+            continue
+        each = [n // len(turn) + (k < n % len(turn)) for k in range(len(turn))]
+        for f, e in zip(turn, each, strict=True):
+            load[f][0] += positives * e
+            load[f][1] += rows * e
+        out.append((n, list(turn)))
+        count -= n
+    return out
+
+
 def fold_of_groups(profile: DataFrame, folds: int, salt: str) -> DataFrame:
-    """(grp, fold): groups in order of positives and size, those with most first. Groups alike, with the same positives and size, form a class; its groups are dealt in turn, in the order of a draw, to the folds with the fewest positives, then rows, then number (rows first, where a class has no positives).
+    """(grp, fold): groups in order of positives and size, those with most first, equal ones in the order of a draw, each to the best fold at its time (dealt()).
 
-    The driver holds a row for each class: sizes that differ add up to the rows, so N rows have at most about the root of 2 N sizes. Groups are numbered by ranges; none comes to the driver.
+    Groups with the same positives and size form a class, whose folds follow from the loads in at most `folds` runs. The driver holds a row for each class: sizes that differ add up to the rows, so N rows have
+    at most about the root of 2 N sizes. Groups are numbered by ranges; none comes to the driver.
     """
     spark = profile.sparkSession
     kind = dict(profile.dtypes)["grp"]
     ordered = profile.select("grp", (-F.col("positives")).cast("bigint").alias("_p"), (-F.col("n")).cast("bigint").alias("_m"), draw(salt, "grp").alias("_d"))
     placed = with_ordinal(ordered, ["_p", "_m", "_d", "grp"], "_at")
-    load, start, rows = [(0, 0, i) for i in range(folds)], 0, []
+    load, start, rows = [[0, 0] for _ in range(folds)], 0, []
     for r in placed.groupBy("_p", "_m").count().orderBy("_p", "_m").collect():
-        load.sort(key=(lambda x: x) if r["_p"] else (lambda x: (x[1], x[0], x[2])))
-        rows.append((r["_p"], r["_m"], start, [x[2] for x in load]))
-        each = [r["count"] // folds + (k < r["count"] % folds) for k in range(folds)]
-        load = [(p - r["_p"] * e, n - r["_m"] * e, i) for (p, n, i), e in zip(load, each, strict=True)]
-        start += r["count"]
-    turns = spark.createDataFrame(rows, "_p bigint, _m bigint, _start bigint, _order array<int>")
-    return placed.join(turns, ["_p", "_m"]).select(F.col("grp").cast(kind).alias("grp"), F.get("_order", F.pmod(F.col("_at") - F.col("_start"), F.lit(folds)).cast("int")).alias("fold"))
+        runs = []
+        for n, turn in dealt(load, -r["_p"], -r["_m"], r["count"]):
+            runs.append((start, start + n, turn))
+            start += n
+        rows.append((r["_p"], r["_m"], runs))
+    turns = spark.createDataFrame(rows, "_p bigint, _m bigint, _runs array<struct<start: bigint, stop: bigint, turn: array<int>>>")
+    met = placed.join(turns, ["_p", "_m"]).withColumn("_run", F.filter("_runs", lambda x: (F.col("_at") >= x["start"]) & (F.col("_at") < x["stop"]))[0])
+    turn = F.col("_run.turn")
+    return met.select(F.col("grp").cast(kind).alias("grp"), F.get(turn, F.pmod(F.col("_at") - F.col("_run.start"), F.size(turn)).cast("int")).alias("fold"))
 
 
 def leaks(placed: DataFrame, token: str = "token") -> DataFrame:

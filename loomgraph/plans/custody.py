@@ -82,12 +82,11 @@ def token_groups(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {LINKS}, e AS (SELECT DISTINCT x.candidate AS a, y.candidate AS b FROM n x JOIN n y USING (token)), r AS (SELECT DISTINCT candidate AS a, candidate AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 g AS (SELECT a AS candidate, min(b) AS grp FROM r GROUP BY a), f AS (SELECT grp, count(*) AS n, CAST(sum(CAST(kind = 'error' AS INTEGER)) AS BIGINT) AS p FROM g JOIN t ON t.event_id = g.candidate GROUP BY grp),
-c AS (SELECT p, n, count(*) AS c, row_number() OVER (ORDER BY p DESC, n DESC) AS k FROM f GROUP BY p, n),
-s AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(generate_series(0, 4), lambda i: {{'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'i': i}}) AS load, CAST([] AS BIGINT[]) AS turn
- UNION ALL SELECT s.k + 1, list_transform(o, lambda x, j: {{'a': (CASE WHEN p > 0 THEN x.a ELSE x.b END) + p * (c // 5 + CAST(j <= c % 5 AS BIGINT)), 'b': (CASE WHEN p > 0 THEN x.b ELSE x.a END) + n * (c // 5 + CAST(j <= c % 5 AS BIGINT)), 'i': x.i}}), list_transform(o, lambda x: x.i)
- FROM (SELECT s.k, c.p, c.n, c.c, list_sort(list_transform(s.load, lambda x: CASE WHEN c.p > 0 THEN {{'a': x.a, 'b': x.b, 'i': x.i}} ELSE {{'a': x.b, 'b': x.a, 'i': x.i}} END)) AS o FROM s JOIN c ON c.k = s.k + 1) s),
-d AS (SELECT grp, p, n, row_number() OVER (PARTITION BY p, n ORDER BY md5('folds:' || grp), grp) - 1 AS j FROM f)
-SELECT g.candidate, g.grp, CAST(s.turn[d.j % 5 + 1] AS INTEGER) AS fold FROM g JOIN d USING (grp) JOIN c ON c.p = d.p AND c.n = d.n JOIN s ON s.k = c.k""")
+o AS (SELECT grp, p, n, row_number() OVER (ORDER BY p DESC, n DESC, md5('folds:' || grp), grp) AS k FROM f),
+s AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(generate_series(0, 4), lambda i: {{'p': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'i': i}}) AS load, CAST(NULL AS BIGINT) AS fold
+ UNION ALL SELECT k + 1, list_transform(load, lambda x: CASE WHEN x.i = best THEN {{'p': x.p + p, 'n': x.n + n, 'i': x.i}} ELSE x END), best
+ FROM (SELECT s.k, s.load, o.p, o.n, list_sort(list_transform(s.load, lambda x: CASE WHEN o.p = o.n THEN [x.p, x.n, x.i, 0] WHEN o.p = 0 THEN [x.n - x.p, x.n, x.i, 0] ELSE [x.n, x.p, x.n - x.p, x.i] END))[1] AS least, CAST(CASE WHEN o.p = o.n OR o.p = 0 THEN least[3] ELSE least[4] END AS BIGINT) AS best FROM s JOIN o ON o.k = s.k + 1) q)
+SELECT g.candidate, g.grp, CAST(s.fold AS INTEGER) AS fold FROM g JOIN o USING (grp) JOIN s ON s.k = o.k""")
 def safe_folds(spark, sf_dir):
     """Five folds that no group crosses."""
     g = splits.groups(linked(spark, sf_dir))

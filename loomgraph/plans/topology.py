@@ -34,23 +34,41 @@ def node_features(spark, sf_dir):
     return rounded(features.relative_times(f, ["kind"], ["first", "last"]), "log_in", "log_out", places=7)
 
 
-@query(f"WITH {NODES} SELECT kind, node, n_in, n_out, round(log_in * ln(10.0), 6) AS flow_in, round(log_out * ln(10.0), 6) AS flow_out, CAST(node < 5 AS INTEGER) AS in_cycle, round(n_in / (n_in + n_out + 1e-6), 9) AS in_share FROM f")
+@query(f"WITH {NODES}, l AS (SELECT kind, node, coalesce(sum(CASE WHEN o = 0 THEN ln(1 + greatest(amount, 0)) END), 0) AS flow_in, coalesce(sum(CASE WHEN o = 1 THEN ln(1 + greatest(amount, 0)) END), 0) AS flow_out FROM x GROUP BY kind, node) SELECT kind, node, n_in, n_out, round(flow_in, 6) AS flow_in, round(flow_out, 6) AS flow_out, CAST(node < 5 AS INTEGER) AS in_cycle, round(n_in / (n_in + n_out + 1e-6), 9) AS in_share FROM f JOIN l USING (kind, node)")
 def graph_view(spark, sf_dir):
     """Six features of every account, with the first five as the cycle."""
     g = features.graph_view(transfers(spark, sf_dir), ["kind"], F.col("node") < 5)
     return rounded(rounded(g, "flow_in", "flow_out", places=6), "in_share")
 
 
+@query(f"WITH {TRANSFERS} SELECT kind, event_id, src, dst, round(ln(1 + greatest(amount, 0)), 9) AS log_amount, amount, CAST(src < 5 AND dst < 5 AS INTEGER) AS in_cycle FROM t")
+def graph_view_edges(spark, sf_dir):
+    """Three features of every event, with the first five accounts as the cycle."""
+    return rounded(features.graph_view_edges(transfers(spark, sf_dir), ["kind"], lambda c: c < 5), "log_amount")
+
+
 @query(f"WITH {TRANSFERS}, a AS (SELECT kind, src, dst, count(*) AS m, min(hours) AS first FROM t WHERE src <> dst GROUP BY ALL) SELECT kind, src, dst, m, round(ln(1 + m), 9) AS log_m, first - min(first) OVER (PARTITION BY kind) AS since FROM a")
 def cell_view(spark, sf_dir):
     """Arcs with their multiplicity and first time."""
     return rounded(features.cell_view(transfers(spark, sf_dir), ["kind"]), "log_m")
 
 
-@query(f"WITH {TRANSFERS} SELECT kind, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS n, round(sum(amount), 4) AS amount FROM t WHERE src <> dst GROUP BY ALL")
+SKELETON = f"{TRANSFERS}, e AS (SELECT kind, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS n, sum(amount) AS amount FROM t WHERE src <> dst GROUP BY ALL)"
+
+
+@query(f"WITH {SKELETON} SELECT kind, u, v, n, round(amount, 4) AS amount, round(ln(1 + greatest(amount, 0)), 9) AS log_amount, CAST(u < 5 AND v < 5 AS INTEGER) AS in_cycle FROM e")
 def simplicial_view(spark, sf_dir):
-    """Undirected edges with their events and amounts."""
-    return rounded(features.simplicial_view(transfers(spark, sf_dir), ["kind"]), "amount", places=4)
+    """Undirected edges with their events, amounts and whether they lie on the first five accounts."""
+    return rounded(rounded(features.simplicial_view(transfers(spark, sf_dir), ["kind"], lambda c: c < 5), "amount", places=4), "log_amount")
+
+
+@query(f"WITH {TRANSFERS}, e AS (SELECT world, least(src, dst) AS u, greatest(src, dst) AS v, sum(amount) AS amount, ln(1 + greatest(sum(amount), 0)) AS la FROM t WHERE src <> dst GROUP BY ALL) SELECT x.world, x.u, x.v, y.v AS w, round((x.la + y.la + z.la) / 3, 8) AS mean_log, round(x.amount + y.amount + z.amount, 4) AS amount, CAST(x.u < 50 AND x.v < 50 AND y.v < 50 AS INTEGER) AS in_cycle FROM e x JOIN e y ON x.world = y.world AND x.v = y.u JOIN e z ON z.world = x.world AND z.u = x.u AND z.v = y.v")
+def simplicial_faces(spark, sf_dir):
+    """Three features of every triangle of a world, with the first fifty accounts as the cycle."""
+    t, inside = transfers(spark, sf_dir), lambda c: c < 50
+    e = staged(features.simplicial_view(t, ["world"], inside), "edges")
+    f = features.simplicial_faces(e, graph.triangles(e.select("world", "u", "v"), BY), ["world"], inside)
+    return rounded(rounded(f, "amount", places=4), "mean_log", places=8)
 
 
 SELECTED = CYCLES + TUPLES + """, x AS (SELECT world, world || ':' || array_to_string(cycle, '-') || ':' || array_to_string(events, '-') AS candidate, unnest(events) AS event_id FROM k),
