@@ -85,6 +85,17 @@ def capacities(found: DataFrame, counted: DataFrame, by: tuple[str, ...] = ()) -
     return many.select(*by, "length", "cycle", F.aggregate("ms", one, times).alias("capacity"))
 
 
+def families(found: DataFrame, events: DataFrame, bad: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, length, cycle, capacity, positives, sum_m, max_m, mean_degree, max_degree): of each cycle the number of its event tuples, of those whose events are all bad, the sum and maximum of its arcs' multiplicities, and the mean and maximum of its nodes' distinct neighbours out plus in. No tuple is made; counts are exact to 38 digits."""
+    counted = events.where("src <> dst").groupBy(*by, "src", "dst").agg(F.count("*").alias("m"), F.count_if(bad).alias("bad"))
+    near = counted.select(*by, F.explode(F.array("src", "dst")).alias("src")).groupBy(*by, "src").agg(F.count("*").alias("degree"))
+    one = F.lit(1).cast("decimal(38,0)")
+    times = lambda a, x: (a * x.cast("decimal(19,0)")).cast("decimal(38,0)")
+    met = cycle_arcs(found.select(*by, "length", "cycle")).join(counted, [*by, "src", "dst"]).join(near, [*by, "src"])
+    own = met.groupBy(*by, "length", "cycle").agg(F.collect_list("m").alias("ms"), F.collect_list("bad").alias("bads"), F.sum("m").alias("sum_m"), F.max("m").alias("max_m"), (F.sum("degree") / F.count("*")).alias("mean_degree"), F.max("degree").alias("max_degree"))  # as many as a cycle has arcs
+    return own.select(*by, "length", "cycle", F.aggregate("ms", one, times).alias("capacity"), F.aggregate("bads", one, times).alias("positives"), "sum_m", "max_m", "mean_degree", "max_degree")
+
+
 def event_tuples(found: DataFrame, events: DataFrame, cap: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, length, cycle, events): every choice of one event for each arc. The exact number is known, and held against cap, before any is made."""
     found = found.select(*by, "length", "cycle")

@@ -6,29 +6,71 @@ divided last, in one grouping by block and one running sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.running import MOST, running
+
+
+def whole(x: Column) -> Column:
+    """A whole number whose products don't overflow below 38 digits."""
+    return x.cast("decimal(38,0)")
+
 
-def blocks(df: DataFrame, by: list[str], y: str = "y", s: str = "s", weight: Column | None = None, positive: Column | None = None) -> DataFrame:
-    """by, s, p, m: positives and rows of each score, with tp and n so far and totals. With weights these count instead of rows."""
+def blocks(df: DataFrame, by: list[str], y: str = "y", s: str = "s", weight: Column | None = None, positive: Column | None = None, most: int = MOST) -> DataFrame:
+    """by, s, p, m: positives and rows of each score, with tp and n so far and totals. With weights these count instead of rows. A group with very many scores is summed by ranges."""
     m = F.sum(weight) if weight is not None else F.count("*")
     p = F.sum(positive) if positive is not None else F.sum(F.col(y).cast("bigint"))
-    own = df.groupBy(*by, s).agg(p.alias("p"), m.alias("m"))
-    run = Window.partitionBy(*by).orderBy(F.desc(s)).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    return own.select("*", F.sum("p").over(run).alias("tp"), F.sum("m").over(run).alias("n"), F.sum("p").over(all_).alias("all_p"), F.sum("m").over(all_).alias("all_m"))
+    own = running(df.groupBy(*by, s).agg(p.alias("p"), m.alias("m")), by, F.desc(s), {"tp": "p", "n": "m"}, most)
+    totals = own.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("m").alias("all_m"))
+    return own.join(totals.select(*(F.col(c).alias(f"_by_{c}") for c in by), "all_p", "all_m"), [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(*(f"_by_{c}" for c in by))
 
 
-def ranking(df: DataFrame, by: list[str], y: str = "y", s: str = "s", weight: Column | None = None, positive: Column | None = None) -> DataFrame:
-    """by, positives, negatives, ap, auroc. ap is null without positives, auroc with one class."""
-    b = blocks(df, by, y, s, weight, positive)
-    part = F.col("p") * F.col("tp") / F.col("n")
+def ranking(df: DataFrame, by: list[str], y: str = "y", s: str = "s", weight: Column | None = None, positive: Column | None = None, most: int = MOST) -> DataFrame:
+    """by, positives, negatives, ap, auroc. ap is null without positives, auroc with one class. Counts may have up to 19 digits."""
+    b = blocks(df, by, y, s, weight, positive, most)
+    part = (whole(F.col("p")) * F.col("tp")).cast("double") / F.col("n")
     below = F.col("all_m") - F.col("all_p") - (F.col("n") - F.col("tp"))
-    wins = F.col("p") * (2 * below + (F.col("m") - F.col("p")))
+    wins = whole(whole(F.col("p")) * (2 * whole(below) + (F.col("m") - F.col("p"))))
     sums = b.groupBy(*by).agg(F.max("all_p").alias("positives"), (F.max("all_m") - F.max("all_p")).alias("negatives"), F.sum(part).alias("_a"), F.sum(wins).alias("_w"))
     pos, neg = F.col("positives"), F.col("negatives")
-    return sums.select(*by, pos, neg, F.when(pos > 0, F.col("_a") / pos).alias("ap"), F.when((pos > 0) & (neg > 0), F.col("_w") / (2 * pos * neg)).alias("auroc"))
+    pairs = (2 * whole(pos) * neg).cast("double")
+    return sums.select(*by, pos, neg, F.when(pos > 0, F.col("_a") / pos).alias("ap"), F.when((pos > 0) & (neg > 0), F.col("_w").cast("double") / pairs).alias("auroc"))
+
+
+def exact_ranking(df: DataFrame, by: list[str], y: str = "y", s: str = "s", weight: Column | None = None, positive: Column | None = None, most: int = MOST) -> DataFrame:
+    """by, positives, negatives, blocks and the numerators and denominators, as text in lowest terms, of ap and auroc; null where ranking() is. A fraction has as many digits as it needs: only the blocks with positives go into it, and those of a group are added in one task."""
+    b = blocks(df, by, y, s, weight, positive, most)
+    counts = b.groupBy(*by).agg(F.max("all_p").alias("positives"), (F.max("all_m") - F.max("all_p")).alias("negatives"), F.count("*").alias("blocks"))
+    told = b.where("p > 0").select(*by, *(F.col(c).cast("decimal(38,0)").alias(c) for c in ("p", "m", "tp", "n", "all_p", "all_m")))
+    names = ("ap_numerator", "ap_denominator", "auroc_numerator", "auroc_denominator")
+    kinds = [(c, k) for c, k in df.select(*by).dtypes]
+
+    def run(key, rows: Iterator):
+        ap, wins, p_all, m_all = Fraction(0), 0, 0, 0
+        for batch in rows:
+            for p, m, tp, n, p_all, m_all in zip(*(map(int, batch.column(c).to_pylist()) for c in ("p", "m", "tp", "n", "all_p", "all_m")), strict=True):
+                ap += Fraction(p * tp, n)
+                wins += p * (2 * (m_all - p_all - (n - tp)) + m - p)
+        ap /= p_all
+        auroc = Fraction(wins, 2 * p_all * (m_all - p_all)) if m_all > p_all else None
+        parts = [str(ap.numerator), str(ap.denominator), *((None, None) if auroc is None else (str(auroc.numerator), str(auroc.denominator)))]
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), *(pa.array([x], pa.string()) for x in parts)], [*by, *names])
+
+    made = told.groupBy(*by).applyInArrow(lambda key, table: pa.Table.from_batches(run(key, table.to_batches())), ", ".join([*(f"{c} {k}" for c, k in kinds), *(f"{c} string" for c in names)]))
+    return counts.join(made, by, "left")
+
+
+def family_scores(families: DataFrame, by: list[str]) -> DataFrame:
+    """(by, column, s, capacity, positives): each of the families' six quantities in both directions, and a constant, as a score. families: (by, length, capacity, positives, sum_m, max_m, mean_degree, max_degree); a family stands for as many tuples as its capacity."""
+    quantities = {"length": "length", "capacity": "capacity", "multiplicity_sum": "sum_m", "multiplicity_max": "max_m", "degree_mean": "mean_degree", "degree_max": "max_degree"}
+    as_score = lambda name, x: F.struct(F.lit(name).alias("column"), x.cast("double").alias("s"))
+    scores = [as_score(f"{q}_{way}", F.col(c) * sign) for q, c in quantities.items() for way, sign in (("increasing", -1), ("decreasing", 1))]
+    return families.select(*by, "capacity", "positives", F.inline(F.array(*scores, as_score("constant", F.lit(0)))))
 
 
 def bce(logit: Column, y: Column) -> Column:

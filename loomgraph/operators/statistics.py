@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.running import running
+
 
 def midranks(df: DataFrame, by: list[str], x: str, name: str = "doubled_rank") -> DataFrame:
-    """df with twice the midrank of x within by, a whole number."""
-    ordered, tied = Window.partitionBy(*by).orderBy(x), Window.partitionBy(*by, x)
-    return df.withColumn(name, 2 * F.rank().over(ordered) + F.count("*").over(tied) - 1)
+    """df with twice the midrank of x within by, a whole number: from the counts of equal values, so a group with many rows isn't gathered."""
+    tied = running(df.groupBy(*by, x).agg(F.count("*").alias("_tied")), by, F.col(x).asc(), {"_upto": "_tied"})
+    keys = [*by, x]
+    met = df.join(tied.select(*(F.col(c).alias(f"_key_{c}") for c in keys), (2 * F.col("_upto") - F.col("_tied") + 1).alias(name)), [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    return met.drop(*(f"_key_{c}" for c in keys))
 
 
 def signed_rank(df: DataFrame, by: list[str], x: str, most: int = 30) -> DataFrame:
@@ -112,34 +120,151 @@ def equivalence(pairs: DataFrame, cluster: str, by: list[str], a: str, b: str, m
     return m.groupBy(*by).agg(F.avg((F.col("mean") <= -margin).cast("double")).alias("p_lower"), F.avg((F.col("mean") >= margin).cast("double")).alias("p_upper"), inside.alias("equivalent"))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """ln(n over k), by a sum over k terms."""
-    terms = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.log((n - k + i) / i))
-    return F.when((k < 0) | (k > n), F.lit(float("-inf"))).when(k == 0, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+#: Stirling's series beyond n ln n - n + ln(2 pi n) / 2: fixed values.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
+
+
+def stirling_rest(n: float) -> float:
+    """ln n! less n ln n - n + ln(2 pi n) / 2, exact to the last digits."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n * math.log(n) - n + math.log(2 * math.pi * n) / 2) if n else 0.0
+    return sum(c / n ** (2 * i + 1) for i, c in enumerate(STIRLING))
+
+
+def deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without the loss of digits where x is near its mean."""
+    d = x - mean
+    if abs(d) >= 0.1 * (x + mean):
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    v, out = d / (x + mean), 0.0
+    term, power = 2 * x * v, v * v
+    total = d * v
+    for k in range(1, 200):
+        term *= power
+        out, total = total, total + term / (2 * k + 1)
+        if total == out:
+            break
+    return total
+
+
+def binomial_log(x: int, n: int, p: float) -> float:
+    """ln of the chance of x hits in n trials, by saddle point."""
+    if not 0 <= x <= n:
+        return -math.inf
+    if x == 0:
+        return n * math.log1p(-p) if p < 1 else (0.0 if n == 0 else -math.inf)
+    if x == n:
+        return n * math.log(p)
+    rest = stirling_rest(n) - stirling_rest(x) - stirling_rest(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p))
+    return rest + math.log(n / (2 * math.pi * x * (n - x))) / 2
+
+
+def hypergeometric_mass(population: int, positives: int, drawn: int, hits: int) -> float:
+    """The chance of exactly so many hits."""
+    if not max(0, drawn - (population - positives)) <= hits <= min(positives, drawn):
+        return 0.0
+    if drawn in (0, population):
+        return 1.0
+    p = drawn / population
+    return math.exp(binomial_log(hits, positives, p) + binomial_log(drawn - hits, population - positives, p) - binomial_log(drawn, population, p))
+
+
+def hypergeometric_tail(population: int, positives: int, drawn: int, hits: int, up: bool) -> float:
+    """The chance of at least (up) or at most so many hits. The tail that falls away from the mode is summed by the ratio of neighbours until terms no longer count; the other is what it leaves."""
+    low, high = max(0, drawn - (population - positives)), min(positives, drawn)
+    if up and hits <= low or not up and hits >= high:
+        return 1.0
+    if up and hits > high or not up and hits < low:
+        return 0.0
+    mode = (drawn + 1) * (positives + 1) // (population + 2)
+    if up and hits <= mode or not up and hits >= mode:
+        return max(0.0, 1.0 - hypergeometric_tail(population, positives, drawn, hits - 1 if up else hits + 1, not up))
+    x, term, total = hits, hypergeometric_mass(population, positives, drawn, hits), 0.0
+    while term > total * 1e-18 and low <= x <= high:
+        total += term
+        if up:
+            term *= (positives - x) / (x + 1) * (drawn - x) / (population - positives - drawn + x + 1)
+            x += 1
+        else:
+            term *= x / (positives - x + 1) * (population - positives - drawn + x) / (drawn - x + 1)
+            x -= 1
+    return min(1.0, total)
+
+
+def bisected(low: int, high: int, good) -> int:
+    """The first number in [low, high] that is good, where all after it are; high is taken as good."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if good(middle) else (middle + 1, high)
+    return low
 
 
 def hypergeometric(df: DataFrame, population: str, positives: str, drawn: str, hits: str) -> DataFrame:
-    """df with tail: the chance of at least so many hits among the drawn."""
-    big, k, n = F.col(population), F.col(positives), F.col(drawn)
-    total = log_choose(big, n)
-    each = F.transform(F.sequence(F.col(hits), F.least(k, n)), lambda h: F.exp(log_choose(k, h) + log_choose(big - k, n - h) - total))
-    return df.withColumn("tail", F.when(F.col(hits) > F.least(k, n), 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))))
+    """df with tail: the chance of at least so many hits among the drawn. Time grows with the tail's width, not with the population."""
+
+    @F.pandas_udf("double")
+    def run(big: pd.Series, k: pd.Series, n: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([hypergeometric_tail(*map(int, r), True) for r in zip(big, k, n, h, strict=True)], dtype=float)
+
+    return df.withColumn("tail", run(*(F.col(c).cast("bigint") for c in (population, positives, drawn, hits))))
 
 
 def confidence_sets(df: DataFrame, population: str, drawn: str, hits: str, alpha: float = 0.05) -> DataFrame:
     """df with least and most: the numbers of positives in the population that the hits among the drawn leave open, each tail at alpha / 2.
 
-    A number k is open if neither so many hits nor so few are rarer than alpha / 2 under it. Both tails are monotone in k, so they are looked up in an
-    array of all k; the population is that of one stratum.
+    A number k is open if neither so many hits nor so few are rarer than alpha / 2 under it. Both tails are monotone in k, so either end is found by bisection.
     """
-    big, n, h = F.col(population), F.col(drawn), F.col(hits)
-    total = log_choose(big, n)
-    chance = lambda k, x: F.exp(log_choose(k, x) + log_choose(big - k, n - x) - total)
-    sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    upper = lambda k: sum_of(F.transform(F.sequence(h, n), lambda x: chance(k, x)))
-    lower = lambda k: sum_of(F.transform(F.sequence(F.lit(0).cast("bigint"), h), lambda x: chance(k, x)))
-    open_ = F.filter(F.sequence(h, big - n + h), lambda k: (upper(k) > alpha / 2) & (lower(k) > alpha / 2))
-    return df.withColumn("_open", open_).withColumns({"least": F.array_min("_open"), "most": F.array_max("_open")}).drop("_open")
+
+    @F.pandas_udf("least long, most long")
+    def run(big: pd.Series, n: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = []
+        for pop, m, x in zip(big.astype(int).tolist(), n.astype(int).tolist(), h.astype(int).tolist(), strict=True):
+            low, high = x, pop - m + x
+            least = bisected(low, high, lambda k, a=(pop, m, x): hypergeometric_tail(a[0], k, a[1], a[2], True) > alpha / 2)
+            most = bisected(low, high + 1, lambda k, a=(pop, m, x): hypergeometric_tail(a[0], k, a[1], a[2], False) <= alpha / 2) - 1
+            out.append((least, most))
+        return pd.DataFrame(out, columns=["least", "most"])
+
+    return df.withColumn("_open", run(*(F.col(c).cast("bigint") for c in (population, drawn, hits)))).select(*df.columns, "_open.least", "_open.most")
+
+
+def no_hit(population: int, positives: int, drawn: int) -> Fraction:
+    """The exact chance that none of the positives is drawn."""
+    if positives > population - drawn:
+        return Fraction(0)
+    if min(positives, drawn) > MOST_FACTORS:
+        raise ValueError(f"an exact chance of more than {MOST_FACTORS} factors")
+    few, many = sorted((positives, drawn))
+    return Fraction(math.prod(population - many - i for i in range(few)), math.prod(population - i for i in range(few)))
+
+
+#: Factors of an exact chance.
+MOST_FACTORS = 1_000_000
+
+
+def precision_frontier(df: DataFrame, negatives: str, positives: str, halfwidth: str, budget: str) -> DataFrame:
+    """df with allowed, drawn, tail and tail_before: the least sample of the negatives that, without a hit, bounds the precision at a threshold with so many certain positives to within a half-width,
+    at half a budget of error, the chance that decides it, and that of a sample with one less, which is over the bound (null if none need be drawn).
+
+    With p positives and at most u hits among the negatives the precision lies within [p / (p + u), 1], so u may be floor(2 e p / (1 - 2 e)); u + 1 hits must be ruled out. halfwidth and budget are text
+    (a fraction or decimal), as all is worked out in whole numbers; the sample is found by bisection.
+    """
+
+    @F.pandas_udf("allowed long, drawn long, tail double, tail_before double")
+    def run(q: pd.Series, p: pd.Series, e: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for big, k, half, error in zip(q.astype(int).tolist(), p.astype(int).tolist(), e, b, strict=True):
+            eps, most = Fraction(half), Fraction(error) / 2
+            u = min(big, int(2 * eps * k / (1 - 2 * eps)))
+            if u >= big:
+                out.append((u, 0, 0.0, None))
+                continue
+            n = bisected(0, big, lambda n, a=(big, u + 1, most): no_hit(a[0], a[1], n) <= a[2])
+            out.append((u, n, float(no_hit(big, u + 1, n)), float(no_hit(big, u + 1, n - 1)) if n else None))
+        return pd.DataFrame(out, columns=["allowed", "drawn", "tail", "tail_before"])
+
+    made = run(F.col(negatives).cast("bigint"), F.col(positives).cast("bigint"), F.col(halfwidth).cast("string"), F.col(budget).cast("string"))
+    return df.withColumn("_f", made).select(*df.columns, "_f.*")
 
 
 def harmonic(n: Column) -> Column:

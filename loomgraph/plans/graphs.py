@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ordinals import with_ordinal
-from loomgraph.operators import components, graph
+from loomgraph.operators import components, graph, metrics
 from loomgraph.plans.relations import ARCS, NATION_ARCS, TRANSFERS, nation_arcs, transfers
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -83,6 +83,26 @@ def tuple_census(spark, sf_dir):
     return numbered.select(F.concat(F.lit("cand"), F.lpad(F.col("n").cast("string"), 7, "0")).alias("candidate_id"), "world", F.array_join("cycle", "-").alias("cycle"), F.array_join("events", "-").alias("events"))
 
 
+FAMILIES = CYCLES + TUPLES + """, y AS (SELECT world, length, cycle, count(*) AS capacity, count_if(good) AS positives FROM (SELECT k.world, k.length, k.cycle, k.events, bool_and(t.amount > 60) AS good FROM (SELECT *, unnest(events) AS event_id FROM k) k JOIN t USING (event_id) GROUP BY ALL) GROUP BY ALL),
+i AS (SELECT world, length, cycle, unnest(generate_series(1, length)) AS i FROM c), dg AS (SELECT world, n AS node, count(*) AS degree FROM (SELECT world, src AS n FROM a UNION ALL SELECT world, dst FROM a) GROUP BY ALL),
+h AS (SELECT i.world, i.length, i.cycle, sum(a.m) AS sum_m, max(a.m) AS max_m, sum(dg.degree) / count(*) AS mean_degree, max(dg.degree) AS max_degree FROM i JOIN a ON a.world = i.world AND a.src = i.cycle[i] AND a.dst = i.cycle[CASE WHEN i = i.length THEN 1 ELSE i + 1 END] JOIN dg ON dg.world = i.world AND dg.node = i.cycle[i] GROUP BY ALL),
+z AS (SELECT k.world, unnest(['length', 'capacity', 'multiplicity_sum', 'multiplicity_max', 'degree_mean', 'degree_max']) AS q, unnest([k.length, y.capacity, h.sum_m, h.max_m, h.mean_degree, h.max_degree]::DOUBLE[]) AS v, g.good FROM k JOIN y USING (world, length, cycle) JOIN h USING (world, length, cycle)
+ JOIN (SELECT x.world, x.events, bool_and(t.amount > 60) AS good FROM (SELECT world, events, unnest(events) AS event_id FROM k) x JOIN t USING (event_id) GROUP BY ALL) g ON g.world = k.world AND g.events = k.events),
+sc AS (SELECT world, q || '_increasing' AS "column", -v AS s, good FROM z UNION ALL SELECT world, q || '_decreasing', v, good FROM z UNION ALL SELECT world, 'constant', 0, good FROM z WHERE q = 'length'),
+bl AS (SELECT world, "column", s, count_if(good) AS p, count(*) AS m FROM sc GROUP BY ALL), cu AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS n, sum(p) OVER (PARTITION BY world, "column") AS ap, sum(m) OVER (PARTITION BY world, "column") AS am FROM bl WINDOW w AS (PARTITION BY world, "column" ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+"""
+
+
+@query(FAMILIES + """SELECT world, "column", CAST(max(ap) AS VARCHAR) AS positives, CAST(max(am) - max(ap) AS VARCHAR) AS negatives, count(*) AS blocks, round(CASE WHEN max(ap) > 0 THEN sum(CAST(p * tp AS DOUBLE) / n) / max(ap) END, 9) AS ap, round(CASE WHEN max(ap) > 0 AND max(am) > max(ap) THEN CAST(sum(p * (2 * (am - ap - (n - tp)) + m - p)) AS DOUBLE) / (2 * max(ap) * (max(am) - max(ap))) END, 9) AS auroc FROM cu GROUP BY world, "column\"""")
+def family_ranking(spark, sf_dir):
+    """Six quantities of cycles in both directions, and a constant, as scores of all event tuples, those with large amounts alone being positive; from capacities, without a tuple. The SQL ranks the tuples themselves."""
+    t = transfers(spark, sf_dir)
+    families = graph.families(census(spark, sf_dir), t, F.col("amount") > 60, BY)
+    told = metrics.exact_ranking(metrics.family_scores(families, ["world"]), ["world", "column"], weight=F.col("capacity"), positive=F.col("positives"))
+    ratio = lambda c: F.round(F.col(f"{c}_numerator").cast("double") / F.col(f"{c}_denominator").cast("double"), 9).alias(c)
+    return told.select("world", "column", *(F.col(c).cast("decimal(38,0)").cast("string").alias(c) for c in ("positives", "negatives")), "blocks", ratio("ap"), ratio("auroc"))
+
+
 @query(f"""WITH RECURSIVE {TRANSFERS}, b AS (SELECT src, dst FROM t WHERE src <> dst UNION SELECT dst, src FROM t WHERE src <> dst), h AS (SELECT 7 AS node, 0 AS hops UNION SELECT b.dst, hops + 1 FROM h JOIN b ON b.src = h.node WHERE hops < 2)
 SELECT CAST(node AS BIGINT) AS node, min(hops) AS hops FROM h GROUP BY node""")
 def hop_neighbourhood(spark, sf_dir):

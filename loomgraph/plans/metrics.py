@@ -185,12 +185,12 @@ def standardized_difference(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED}, m AS (SELECT world, avg(s) AS x FROM z GROUP BY world), u AS (SELECT *, row_number() OVER (ORDER BY world) - 1 AS spot FROM m), n AS (SELECT count(*) AS n FROM m),
-k AS (SELECT d.range AS draw, s.range AS slot FROM range(200) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('means:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT n FROM n) AS spot FROM k),
+k AS (SELECT d.range AS draw, s.range AS slot FROM range(20000) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('means:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT n FROM n) AS spot FROM k),
 b AS (SELECT draw, avg(x) AS mean FROM p JOIN u USING (spot) GROUP BY draw) SELECT 'length' AS arm, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper FROM b""")
 def bootstrap_interval(spark, sf_dir):
-    """A percentile interval of the equal-world mean length, over 200 resamples of the worlds."""
+    """A percentile interval of the equal-world mean length, over 20,000 resamples of the worlds."""
     m = scored(spark, sf_dir).groupBy("world").agg(F.avg("s").alias("x")).withColumn("arm", F.lit("length"))
-    return rounded(statistics.bootstrap(m, "world", ["arm"], "x", 200, "means"), "lower", "upper", places=6)
+    return rounded(statistics.bootstrap(m, "world", ["arm"], "x", 20_000, "means"), "lower", "upper", places=6)
 
 
 @query(f"WITH {SCORED}, c AS (SELECT world, count(*) AS n, CAST(sum(y) AS BIGINT) AS p FROM z GROUP BY world) SELECT world, round(p / n, 9) AS prevalence, round((CASE WHEN n > 1 THEN (p - 1) / (n - 1) * (n - list_sum(list_transform(generate_series(1, n), lambda i: 1.0 / i))) ELSE 0 END + list_sum(list_transform(generate_series(1, n), lambda i: 1.0 / i))) / n, 9) AS random_ap FROM c WHERE p > 0")
@@ -257,7 +257,7 @@ def grid_choice(spark, sf_dir):
 
 PAIRS = f"WITH {TRANSFERS}, c AS (SELECT hours // 24 AS day, kind, src % 20 AS cluster, sum(amount) AS v FROM t WHERE kind IN ('click', 'view') GROUP BY ALL), q AS (SELECT x.day, x.cluster, x.v AS a, y.v AS b FROM c x JOIN c y USING (day, cluster) WHERE x.kind = 'click' AND y.kind = 'view')"
 DRAWS = """, m AS (SELECT 'all' AS arm, cluster, sum(a - b) AS d, count(*) AS c FROM q GROUP BY cluster), u AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS spot FROM m),
-k AS (SELECT d.range AS draw, s.range AS slot FROM range(200) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('pairs:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT count(*) FROM m) AS spot FROM k),
+k AS (SELECT d.range AS draw, s.range AS slot FROM range(2000) d, range((SELECT count(*) FROM m)) s), p AS (SELECT draw, CAST(('0x' || substr(md5('pairs:' || draw || ':' || slot), 1, 12)) AS BIGINT) % (SELECT count(*) FROM m) AS spot FROM k),
 b AS (SELECT arm, draw, sum(d) / sum(c) AS mean FROM p JOIN u USING (spot) GROUP BY ALL)"""
 
 
@@ -269,13 +269,13 @@ def day_pairs(spark, sf_dir):
 @query(PAIRS + DRAWS + " SELECT arm, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper, round(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p, round(stddev_samp(mean), 6) AS sd FROM b GROUP BY arm")
 def cluster_bootstrap(spark, sf_dir):
     """The daily difference of clicks and views over resampled clusters of users."""
-    return rounded(statistics.cluster_difference(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 200, "pairs"), "lower", "upper", "p", "sd", places=6)
+    return rounded(statistics.cluster_difference(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 2_000, "pairs"), "lower", "upper", "p", "sd", places=6)
 
 
 @query(PAIRS + DRAWS + ", e AS (SELECT arm, avg(CASE WHEN mean <= -40 THEN 1.0 ELSE 0.0 END) AS l, avg(CASE WHEN mean >= 40 THEN 1.0 ELSE 0.0 END) AS h, quantile_cont(mean, 0.05) > -40 AND quantile_cont(mean, 0.95) < 40 AS equivalent FROM b GROUP BY arm) SELECT arm, round(l, 6) AS p_lower, round(h, 6) AS p_upper, equivalent FROM e")
 def equivalence_test(spark, sf_dir):
     """Whether the same difference lies within 40 either way."""
-    return rounded(statistics.equivalence(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 40.0, 200, "pairs"), "p_lower", "p_upper", places=6)
+    return rounded(statistics.equivalence(day_pairs(spark, sf_dir), "cluster", ["arm"], "click", "view", 40.0, 2_000, "pairs"), "p_lower", "p_upper", places=6)
 
 
 @query(f"""WITH {SCORED}, c AS (SELECT world, count(*) AS n, CAST(sum(y) AS BIGINT) AS k, least(count(*), 5) AS d FROM z GROUP BY world)
@@ -330,12 +330,24 @@ def exact_rule_ap(spark, sf_dir):
     return metrics.exact_ap(z, ["world"]).select("world", F.col("numerator").cast("string").alias("numerator"), F.col("denominator").cast("string").alias("denominator"))
 
 
-@query(f"""WITH RECURSIVE {SCORED}, w AS (SELECT world, least(count(*), 40) AS big, CAST(least(count(*), 12) AS BIGINT) AS n, least(CAST(sum(y) AS BIGINT), 3) AS h FROM z GROUP BY world HAVING count(*) >= 20), f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS v UNION ALL SELECT i + 1, v + ln(i + 1) FROM f WHERE i < 40),
+@query(f"""WITH RECURSIVE {SCORED}, w AS (SELECT world, CAST(count(*) AS BIGINT) AS big, CAST(count(*) // 5 AS BIGINT) AS n, CAST(sum(y) AS BIGINT) // 5 AS h FROM z GROUP BY world HAVING count(*) >= 5), f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS v UNION ALL SELECT i + 1, v + ln(i + 1) FROM f WHERE i < (SELECT max(big) FROM w)),
 k AS (SELECT w.*, unnest(generate_series(h, big - n + h)) AS k FROM w), x AS (SELECT k.*, unnest(generate_series(0, n)) AS j FROM k),
 p AS (SELECT x.world, x.k, x.h, x.j, CASE WHEN j > k OR n - j > big - k THEN 0 ELSE exp(a.v - b.v - c.v + d.v - e.v - g.v - q.v + r.v + t.v) END AS pr FROM x LEFT JOIN f a ON a.i = k LEFT JOIN f b ON b.i = j LEFT JOIN f c ON c.i = k - j LEFT JOIN f d ON d.i = big - k LEFT JOIN f e ON e.i = n - j LEFT JOIN f g ON g.i = big - k - n + j LEFT JOIN f q ON q.i = big LEFT JOIN f r ON r.i = n LEFT JOIN f t ON t.i = big - n),
 o AS (SELECT world, k, sum(CASE WHEN j >= h THEN pr ELSE 0 END) AS up, sum(CASE WHEN j <= h THEN pr ELSE 0 END) AS lo FROM p GROUP BY ALL) SELECT world, min(k) AS least, max(k) AS most FROM o WHERE up > 0.025 AND lo > 0.025 GROUP BY world""")
 def confidence_sets(spark, sf_dir):
-    """How many of forty documents may be toxic after three hits among twelve."""
-    c = scored(spark, sf_dir).groupBy("world").agg(F.count("*").alias("m"), F.sum("y").alias("p")).where("m >= 20")
-    c = c.select("world", F.least("m", F.lit(40).cast("bigint")).alias("big"), F.least("m", F.lit(12).cast("bigint")).alias("n"), F.least("p", F.lit(3).cast("bigint")).alias("h"))
+    """How many of a world's documents may be toxic if a fifth of them are drawn and a fifth of the toxic ones are among these."""
+    c = scored(spark, sf_dir).groupBy("world").agg(F.count("*").alias("big"), F.sum("y").alias("p")).where("big >= 5")
+    c = c.select("world", "big", F.floor(F.col("big") / 5).alias("n"), F.floor(F.col("p") / 5).alias("h"))
     return statistics.confidence_sets(c, "big", "n", "h").select("world", "least", "most")
+
+
+@query(f"""WITH {SCORED}, c AS (SELECT world, CAST(count(*) - sum(y) AS BIGINT) AS q, CAST(sum(y) AS BIGINT) AS p FROM z GROUP BY world),
+g AS (SELECT world, q, p, CAST(e.n AS VARCHAR) || '/' || e.d AS halfwidth, '1/' || b AS budget, least(q, 2 * e.n * p // (e.d - 2 * e.n)) AS u, 1.0::DOUBLE / b / 2 AS most FROM c, (SELECT unnest([1, 1]) AS n, unnest([100, 50]) AS d) e, (SELECT unnest([20, 100, 2000]) AS b)),
+n AS (SELECT g.*, unnest(generate_series(0, q)) AS n FROM g), t AS (SELECT *, CASE WHEN u >= q OR u + 1 > q - n THEN 0 ELSE list_product(list_transform(generate_series(0, u), lambda i: (q - n - i)::DOUBLE / (q - i))) END AS tail FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY world, halfwidth, budget ORDER BY n) AS k, lag(tail) OVER (PARTITION BY world, halfwidth, budget ORDER BY n) AS before FROM t), w AS (SELECT *, row_number() OVER (PARTITION BY world, halfwidth, budget ORDER BY n) AS j FROM o WHERE tail <= most * (1 + 1e-12))
+SELECT world, halfwidth, budget, q AS negatives, p AS positives, CAST(u AS BIGINT) AS allowed, n AS drawn, round(tail, 9) AS tail, round(before, 9) AS tail_before FROM w WHERE j = 1""")
+def precision_frontier(spark, sf_dir):
+    """The least sample of a world's clean documents that, without a hit, settles the precision of a rule that finds all toxic ones."""
+    c = scored(spark, sf_dir).groupBy("world").agg(F.count_if(F.col("y") == 0).alias("negatives"), F.sum("y").alias("positives"))
+    cells = F.array(*(F.struct(F.lit(e).alias("halfwidth"), F.lit(b).alias("budget")) for e in ("1/100", "1/50") for b in ("1/20", "1/100", "1/2000")))
+    return rounded(statistics.precision_frontier(c.select("*", F.inline(cells)), "negatives", "positives", "halfwidth", "budget"), "tail", "tail_before")
