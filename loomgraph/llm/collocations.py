@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ordinals import with_ordinal
-from loomgraph.llm.texts import CHUNK_BYTES, batches_of, flat, slices
+from loomgraph.llm.texts import batches_of, flat, slices
 from loomgraph.session import discard, staged, table
 
 LEAST = 30
@@ -33,6 +33,8 @@ MOST_WORDS = 4
 SHARE = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
+#: Bytes of text in a block, about. Rows of a block are that long, and Parquet's writer holds a hundred.
+BLOCK_BYTES = 1 << 20
 #: Keys that a task sorts at once, and keys, about, that are counted together.
 HELD_KEYS, PART_KEYS = 1 << 21, 1 << 22
 #: Blocks that the bounds between tasks are taken from.
@@ -50,7 +52,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def runs(data: np.ndarray, offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The texts in runs of about so many bytes, cut where a piece ends."""
     a = 0
     while a < data.size:
@@ -89,7 +91,7 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", BLOCK_BYTES):
                 for own in pc.unique(batch.column("lang")).to_pylist():
                     data, offsets = flat(batch.filter(pc.equal(batch.column("lang"), own)).column("text"))
                     for d, o in runs(data, offsets):

@@ -82,11 +82,10 @@ def test_planes():
         assert all((a == b).all() for a, b in zip(back, columns, strict=True)) and len(back) == width
 
 
-def test_one_long_text(spark, monkeypatch):
+def test_one_long_text(spark):
     """A megabyte and a half in one text, with one piece longer than a cut."""
     rng = random.Random(4)
     text = "".join(f"{rng.choice('abcdefgh')}{rng.choice('xyz')}{rng.choice('     .')}" for _ in range(400_000)) + "one long piece " * 40_000
-    monkeypatch.setattr(collocations, "CHUNK_BYTES", 1 << 16)
     parts = list(collocations.runs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 1 << 16))
     assert len(parts) > 8 and sum(d.size for d, _ in parts) == len(text) and max(d.size for d, _ in parts) > 500_000
     rows = [(text, "en"), ("short one", "en")]
