@@ -87,10 +87,16 @@ def observed(df: DataFrame, by: list[str], x: str, near: float = 0.99) -> DataFr
 
 
 def dense(x, weight: np.ndarray, bias: np.ndarray | None = None, act=None) -> F.Column:
-    """x W + b as an array, from an array column or a list of columns; act works on a column."""
-    get = (lambda i: x[i]) if isinstance(x, list) else (lambda i: F.get(x, F.lit(i)))
-    out = [sum((get(i) * float(weight[i, j]) for i in range(weight.shape[0])), F.lit(float(bias[j]) if bias is not None else 0.0)) for j in range(weight.shape[1])]
-    return F.array(*(act(c) if act else c for c in out))
+    """x W + b as an array, from an array column or a list of columns; act works on a column. The input is bound once and the weights are a literal that is folded over, so plans grow with the layers and not with products of their widths. A null input counts as zeros."""
+    own = F.array(*x) if isinstance(x, list) else x
+    shift = np.zeros(weight.shape[1]) if bias is None else bias
+    rows = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in weight[:, j])).alias("w"), F.lit(float(shift[j])).alias("b")) for j in range(weight.shape[1])))
+
+    def out(v: F.Column, row: F.Column) -> F.Column:
+        y = F.aggregate(F.zip_with(row["w"], v, lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, t: s + t) + row["b"]
+        return act(y) if act else y
+
+    return F.transform(F.array(own.cast("array<double>")), lambda v: F.transform(rows, lambda row: out(F.coalesce(v, F.array().cast("array<double>")), row)))[0]
 
 
 def with_loops(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:

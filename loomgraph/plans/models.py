@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import features, metrics, models, rings, splits
+from loomgraph.operators import features, graph, metrics, models, rings, splits
 from loomgraph.plans.graphs import BY, MOST_CYCLES, MOST_PATHS
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
+from loomgraph.session import staged
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -126,3 +127,94 @@ def edge_pool(spark, sf_dir):
     p = models.edge_pooled(features.edge_features(transfers(spark, sf_dir), ["world"]), ["world"])
     names = ("amount_mean", "since_mean", "amount_max", "since_max")
     return rounded(p.select("world", *(F.col("pooled")[i].alias(n) for i, n in enumerate(names))), *names, places=6)
+
+
+#: Width of the networks, and their weights by number of layer.
+WIDTH = 24
+
+
+def weights(k: int, rows: int, cols: int) -> np.ndarray:
+    i, j = np.indices((rows, cols))
+    return ((7 * i + 13 * j + 5 * k) % 11 - 5) / 20.0
+
+
+def shifts(k: int, cols: int) -> np.ndarray:
+    return ((3 * np.arange(cols) + k) % 7 - 3) / 10.0
+
+
+def layers(**shapes: tuple[int, int]) -> dict[str, np.ndarray]:
+    """The weights and shifts of named layers, numbered in order."""
+    out = {n: weights(k, *shape) for k, (n, shape) in enumerate(shapes.items())}
+    return out | {f"{n}_b": shifts(k, shape[1]) for k, (n, shape) in enumerate(shapes.items())}
+
+
+def dense_sql(x: str, k: int, rows: int, cols: int = WIDTH, act: str = "tanh", bias: bool = True) -> str:
+    shift = f"((3 * j + {k}) % 7 - 3) / 10.0::DOUBLE" if bias else "0"
+    return f"list_transform(range(0, {cols}), lambda j: {act}(list_sum(list_transform(range(0, {rows}), lambda i: ({x})[i + 1] * (((7 * i + 13 * j + {5 * k}) % 11 - 5) / 20.0::DOUBLE))) + {shift}))"
+
+
+def add_sql(a: str, b: str) -> str:
+    return f"list_transform(range(0, {WIDTH}), lambda i: ({a})[i + 1] + ({b})[i + 1])"
+
+
+def sums_sql(name: str, source: str, x: str, by: str, how: str = "sum", weight: str = "1") -> str:
+    """A relation of sums or means of the components of x."""
+    return f"{name} AS (SELECT {by}, list(v ORDER BY i) AS m FROM (SELECT {by}, i, {how}(({x})[i] * {weight}) AS v FROM {source}, (SELECT unnest(generate_series(1, {WIDTH})) AS i) GROUP BY {by}, i) GROUP BY {by})"
+
+
+ZEROS = f"list_transform(range(0, {WIDTH}), lambda i: 0.0::DOUBLE)"
+#: Each world as a candidate: accounts below 50 lie on its cycle, events above 60 are chosen.
+CANDIDATES = f"{TRANSFERS}, ed AS (SELECT world, event_id AS edge, src, dst, [ln(1 + greatest(amount, 0)), (hours % 24) / 24, 1.0]::DOUBLE[] AS e, CAST(amount > 60 AS DOUBLE) AS chosen FROM t), nd AS (SELECT world, n AS node, CAST(n < 50 AS DOUBLE) AS v FROM (SELECT DISTINCT world, src AS n FROM t UNION SELECT world, dst FROM t)), cd AS (SELECT world, sum(chosen) AS length FROM ed GROUP BY world)"
+
+
+def candidates(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    e = t.select("world", F.col("event_id").alias("edge"), "src", "dst", F.array(F.log1p(F.greatest("amount", F.lit(0.0))), (F.col("hours") % 24) / 24, F.lit(1.0)).alias("e"), (F.col("amount") > 60).cast("double").alias("chosen"))
+    nodes = t.select("world", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("v", (F.col("node") < 50).cast("double"))
+    return nodes, e, e.groupBy("world").agg(F.sum("chosen").alias("length"))
+
+
+@query(f"""WITH {CANDIDATES}, hv AS (SELECT world, node, {dense_sql('[v]', 0, 1)} AS h FROM nd), fc AS (SELECT world, {dense_sql('[length]', 1, 1)} AS f0 FROM cd),
+mt AS (SELECT ed.world, chosen, e, f0, a.h AS hs, b.h AS hd, CASE WHEN src = dst THEN {ZEROS} ELSE {add_sql('a.h', 'b.h')} END AS ends FROM ed JOIN hv a ON a.world = ed.world AND a.node = src JOIN hv b ON b.world = ed.world AND b.node = dst JOIN fc ON fc.world = ed.world),
+lo AS (SELECT *, {dense_sql('hs', 3, WIDTH, act='', bias=False)} AS x, {dense_sql('hd', 4, WIDTH, act='', bias=False)} AS y, {dense_sql('e', 2, 3)} AS z FROM mt), pr AS (SELECT world, chosen, f0, list_concat(list_concat(z, list_transform(range(0, {WIDTH}), lambda i: ends[i + 1] + (x[i + 1] + y[i + 1]))), list_transform(f0, lambda q: q * chosen)) AS parts FROM lo),
+he AS (SELECT world, chosen, f0, {dense_sql('parts', 5, 3 * WIDTH)} AS he FROM pr), {sums_sql('mean', 'he', 'he', 'world', 'avg')}, {sums_sql('up', 'he', 'he', 'world', 'sum', 'chosen')}
+, fu AS (SELECT mean.world, mean.m AS m, {dense_sql('list_concat(fc.f0, up.m)', 6, 2 * WIDTH)} AS hf FROM mean JOIN up USING (world) JOIN fc USING (world)), q AS (SELECT world, {add_sql('hf', 'm')} AS r FROM fu)
+SELECT world, round(({dense_sql('r', 7, WIDTH, 1, '')})[1], 6) AS logit FROM q""")
+def cell_network_scores(spark, sf_dir):
+    """A network over nodes, edges and one cell for each world, 24 wide, with given weights."""
+    nodes, edges, cells = candidates(spark, sf_dir)
+    w = layers(node=(1, WIDTH), face=(1, WIDTH), edge=(3, WIDTH), src=(WIDTH, WIDTH), dst=(WIDTH, WIDTH), eu=(3 * WIDTH, WIDTH), fu=(2 * WIDTH, WIDTH), out=(WIDTH, 1))
+    return rounded(models.cell_network(nodes, edges.withColumnRenamed("chosen", "face"), cells, w, "world"), "logit", places=6)
+
+
+@query(f"""WITH {CANDIDATES}, h1 AS (SELECT world, node, v, {dense_sql('[v]', 0, 1)} AS h FROM nd), mt AS (SELECT ed.world, src, dst, {dense_sql('list_concat(b.h, e)', 1, WIDTH + 3)} AS o, {dense_sql('list_concat(a.h, e)', 2, WIDTH + 3)} AS i_ FROM ed JOIN h1 a ON a.world = ed.world AND a.node = src JOIN h1 b ON b.world = ed.world AND b.node = dst),
+{sums_sql('ou', 'mt', 'o', 'world, src')}, {sums_sql('im', 'mt', 'i_', 'world, dst')}, h2 AS (SELECT h1.world, h1.node, v, {dense_sql(f'list_concat(list_concat(h1.h, coalesce(im.m, {ZEROS})), coalesce(ou.m, {ZEROS}))', 3, 3 * WIDTH)} AS h FROM h1 LEFT JOIN ou ON ou.world = h1.world AND ou.src = node LEFT JOIN im ON im.world = h1.world AND im.dst = node),
+rd AS (SELECT ed.world, chosen, {dense_sql('list_concat(h2.h, e)', 4, WIDTH + 3)} AS x FROM ed JOIN h2 ON h2.world = ed.world AND h2.node = src), {sums_sql('nr', 'h2', 'h', 'world', 'sum', 'v')}, {sums_sql('er', 'rd', 'x', 'world', 'sum', 'chosen')},
+q AS (SELECT cd.world, list_concat(list_concat(list_transform(nr.m, lambda x: x / ((SELECT sum(v) FROM h2 WHERE h2.world = cd.world) + 1e-6)), list_transform(er.m, lambda x: x / (cd.length + 1e-6))), [cd.length]) AS r FROM cd JOIN nr USING (world) JOIN er USING (world))
+SELECT world, round(({dense_sql('r', 5, 2 * WIDTH + 1, 1, '')})[1], 6) AS logit FROM q""".replace("lambda x: x / ((SELECT sum(v) FROM h2 WHERE h2.world = cd.world) + 1e-6)", "lambda x: x / (sv + 1e-6)").replace("FROM cd JOIN nr USING (world)", "FROM cd JOIN nr USING (world) JOIN (SELECT world, sum(v) AS sv FROM h2 GROUP BY world) USING (world)"))
+def directed_network_scores(spark, sf_dir):
+    """A network that passes messages along and against each event of a world, 24 wide, with given weights."""
+    nodes, edges, cells = candidates(spark, sf_dir)
+    w = layers(n=(1, WIDTH), om=(WIDTH + 3, WIDTH), im=(WIDTH + 3, WIDTH), up=(3 * WIDTH, WIDTH), er=(WIDTH + 3, WIDTH), read=(2 * WIDTH + 1, 1))
+    return rounded(models.directed_network(nodes, edges, cells, w, "world"), "logit", places=6)
+
+
+@query(f"""WITH {CANDIDATES}, u AS (SELECT world, least(src, dst) AS src, greatest(src, dst) AS dst, [ln(1 + greatest(sum(amount), 0)), count(*), 1.0]::DOUBLE[] AS e, ln(1 + greatest(sum(amount), 0)) AS la FROM t WHERE src <> dst GROUP BY ALL),
+tr AS (SELECT x.world, x.src AS a, x.dst AS b, y.dst AS c, (x.la + y.la + z.la) / 3 AS f FROM u x JOIN u y ON x.world = y.world AND x.dst = y.src JOIN u z ON z.world = x.world AND z.src = x.src AND z.dst = y.dst), sd AS (SELECT world, a, b, c, unnest([a, a, b]) AS src, unnest([b, c, c]) AS dst FROM tr),
+hv AS (SELECT world, node, {dense_sql('[v]', 0, 1)} AS h FROM nd WHERE (world, node) IN (SELECT (world, src) FROM u UNION SELECT (world, dst) FROM u)), mt AS (SELECT u.world, src, dst, {dense_sql('e', 1, 3)} AS r, {add_sql('a.h', 'b.h')} AS ends FROM u JOIN hv a ON a.world = u.world AND a.node = src JOIN hv b ON b.world = u.world AND b.node = dst),
+he AS (SELECT world, src, dst, {dense_sql('list_concat(r, ends)', 2, 2 * WIDTH)} AS he FROM mt), ar AS (SELECT world, src AS node, he FROM he UNION ALL SELECT world, dst, he FROM he), {sums_sql('an', 'ar', 'he', 'world, node')},
+v2 AS (SELECT hv.world, {dense_sql('list_concat(h, an.m)', 3, 2 * WIDTH)} AS x FROM hv JOIN an ON an.world = hv.world AND an.node = hv.node), se AS (SELECT sd.*, he FROM sd JOIN he USING (world, src, dst)), {sums_sql('up', 'se', 'he', 'world, a, b, c')},
+f1 AS (SELECT world, a, b, c, {dense_sql('[f]', 4, 1)} AS f0 FROM tr), f2 AS (SELECT world, {dense_sql('list_concat(f0, up.m)', 5, 2 * WIDTH)} AS x FROM f1 JOIN up USING (world, a, b, c)), {sums_sql('ma', 'v2', 'x', 'world', 'avg')}, {sums_sql('mb', 'f2', 'x', 'world', 'avg')},
+q AS (SELECT ma.world, {add_sql('ma.m', 'mb.m')} AS r FROM ma JOIN mb USING (world)) SELECT world, round(({dense_sql('r', 6, WIDTH, 1, '')})[1], 6) AS logit FROM q""")
+def simplicial_network_scores(spark, sf_dir):
+    """A network over the accounts, undirected edges and triangles of a world, 24 wide, with given weights."""
+    nodes, _, _ = candidates(spark, sf_dir)
+    name = lambda *c: F.concat_ws("-", *c)
+    e = staged(features.simplicial_view(transfers(spark, sf_dir), ["world"]), "edges")
+    three = staged(graph.triangles(e.select("world", "u", "v"), ("world",)), "triangles")
+    faces = features.simplicial_faces(e, three, ["world"], lambda c: F.lit(False)).select("world", name("u", "v", "w").alias("face"), F.col("mean_log").alias("f"))
+    sides = three.select("world", name("u", "v", "w").alias("face"), F.explode(F.array(name("u", "v"), name("u", "w"), name("v", "w"))).alias("edge"))
+    edges = e.select("world", name("u", "v").alias("edge"), F.col("u").alias("src"), F.col("v").alias("dst"), F.array("log_amount", F.col("n").cast("double"), F.lit(1.0)).alias("e"))
+    inside = nodes.join(e.select("world", F.explode(F.array("u", "v")).alias("node")).distinct(), ["world", "node"]).select("world", "node", F.array("v").alias("v"))
+    w = layers(v=(1, WIDTH), rel=(3, WIDTH), e=(2 * WIDTH, WIDTH), vu=(2 * WIDTH, WIDTH), f=(1, WIDTH), fu=(2 * WIDTH, WIDTH), out=(WIDTH, 1))
+    return rounded(models.simplicial_network(inside, edges, faces, sides, w, "world"), "logit", places=6)
