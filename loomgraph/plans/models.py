@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import features, graph, metrics, models, rings, splits
+from loomgraph.operators import boosting, features, graph, metrics, models, rings, splits
 from loomgraph.plans.graphs import BY, MOST_CYCLES, MOST_PATHS
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
+from loomgraph.plans.topology import selected
 from loomgraph.session import staged
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -62,6 +63,22 @@ def observed_values(spark, sf_dir):
     return rounded(models.observed(transfers(spark, sf_dir), ["kind"], "amount", 100.0), "saturated")
 
 
+@query()
+def leafwise_ranking(spark, sf_dir):
+    """AP and AUROC of trees that grow leaf by leaf, after 5, 10 and 20 of them, in each held-out day; they tell from twenty numbers of a cycle's events whether one of these is an error."""
+    chosen, t = selected(spark, sf_dir), transfers(spark, sf_dir)
+    chosen = staged(chosen, "chosen")
+    labels = chosen.groupBy("world", "candidate").agg(F.max((F.col("kind") == "error").cast("int")).alias("y"))
+    rows = staged(features.candidate_summary(chosen, t, BY).join(labels, "candidate"), "candidates")
+    names = [c for c in rows.columns if c not in ("candidate", "world", "y")]
+    held = F.col("world") % 5 == 0
+    model = boosting.fit(models.world_weights(rows.where(~held)).withColumn("w", F.col("w") * 10_000), names, weight="w", rounds=20, leaves=7)
+    rounds = [5, 10, 20]
+    told = boosting.score(model, rows.where(held), rounds, "s").select("world", "y", F.posexplode("s").alias("at", "s"))
+    ranked = metrics.ranking(told.withColumn("rounds", F.element_at(F.array(*map(F.lit, rounds)), F.col("at") + 1)), ["world", "rounds"])
+    return rounded(ranked, "ap", "auroc", places=6)
+
+
 def unit_sql(*parts: str) -> str:
     return "CAST('0x' || substr(md5(" + " || ':' || ".join(["'rings'", *parts]) + "), 1, 12) AS BIGINT) / 281474976710656.0"
 
