@@ -161,11 +161,25 @@ def side_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, value): the lines that aren't blank, numbered in their file. Each block of a file counts its own; what comes before a block is a number for each block."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    made = staged(raw.where(F.trim("value") != ""), "lines")
+    inside = Window.partitionBy("file", "_block").orderBy("_id")  # the lines of one block
+    counts = made.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("file", "_block", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    return made.withColumn("_at", F.row_number().over(inside)).join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - 1).alias("place"), "value")
+
+
 def placed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Strict JSON lines with their place in the file; blank lines have no place."""
-    rows = lines(spark, path).where(F.trim("value") != "")
-    order = Window.partitionBy("file").orderBy("place")
-    return rows.select((F.row_number().over(order) - 1).alias("place"), strict_json(F.col("value"), schema).alias("x")).select("place", "x.*")
+    return written_lines(spark, path).select("place", strict_json(F.col("value"), schema).alias("x")).select("place", "x.*")
+
+
+def json_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key, n): the names of the fields of JSON lines as they stand in the file, whatever a schema keeps of them."""
+    return lines(spark, path).where(F.trim("value") != "").select(F.explode(F.json_object_keys("value")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 def native_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.models import FORBIDDEN
-from loomgraph.sources.readers import placed_json
+from loomgraph.sources.readers import json_keys, placed_json, strict_json, written_lines
 
+#: Fields that an observation may not hold, as they name it or give its label away.
+OBSERVED_NEVER = {"label", "sar", "alert_id", "alertID", "seed", "generator", "role", "candidate_rank", "event_ordinal", "candidate_id", "instance_id", "world_id", "account_id", "event_ids"}
+#: Times are steps in units of the whole period.
+LAST_TIME = 1.0000001
 #: Schemas of the side files of a bundle, by name.
-OBSERVATIONS = "selected_event_mask array<double>, central_node_mask array<double>, cycle_length double"
+OBSERVATIONS = "selected_event_mask array<double>, central_node_mask array<double>, cycle_length double, world_event_time_steps array<double>, world_event_log1p_amounts array<double>"
 IDENTITY = "candidate_id string, event_ids array<bigint>, cycle_accounts array<string>"
 CELLS = "candidate_id string, boundary array<struct<event_id: bigint>>"
 OTHERS = "candidate_id string"
@@ -25,24 +28,36 @@ def resolve(given: str | None, variable: str, default: str) -> str:
 
 
 def inside(root: str, name: str, allowed: set[str]) -> str:
-    """root/name for an allowed name that stays in root and is no link; anything else raises. For local paths; on other stores the names are held against the list alone."""
+    """root/name for an allowed name that stays in root and is no link, on any store; anything else raises."""
     if name not in allowed or os.path.isabs(name) or ".." in name.split("/"):
         raise ValueError(f"not an allowed input: {name}")
     at = f"{root.rstrip('/')}/{name}"
-    if "://" not in root:
-        here = root.rstrip("/")
-        for part in name.split("/"):
-            here = f"{here}/{part}"
-            if os.path.islink(here):
-                raise ValueError(f"a link isn't allowed: {here}")
+    here = root.rstrip("/")
+    for part in name.split("/"):
+        here = f"{here}/{part}"
+        if linked(here):
+            raise ValueError(f"a link isn't allowed: {here}")
     return at
 
 
+def linked(path: str) -> bool:
+    """Whether a path is a link, as the store that holds it says; a path without a scheme is a local one."""
+    if "://" not in path and not path.startswith("file:"):
+        return os.path.islink(path)
+    if path.startswith("file:"):
+        return os.path.islink("/" + path[5:].lstrip("/"))
+    sc = SparkSession.active().sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    return bool(store.exists(at) and store.getFileLinkStatus(at).isSymlink())
+
+
 def bundle_faults(parts: dict[str, DataFrame], nodes: DataFrame, events: DataFrame, graph: DataFrame) -> DataFrame:
     """(place, fault) of a bundle. parts: observations, identity, cells and any others, each with its place; nodes: (at, node) and events: (at, event), the orders of coordinates; graph: (event, src, dst).
 
     A candidate has every part at one place under one id; its masks are zeros and ones as long as the orders; what they mark is what its identity
-    names; its length is theirs; its boundary is a closed walk over its events.
+    names; its length is theirs; its boundary is a closed walk over its events. The orders name everything once, the graph's events are those of the order and end
+    at nodes of it. All candidates share the world's times, from 0 to 1, and amounts, a finite number for each event.
     """
     obs, ident, cells = (parts[k] for k in ("observations", "identity", "cells"))
     names = list(parts)
@@ -56,6 +71,7 @@ def bundle_faults(parts: dict[str, DataFrame], nodes: DataFrame, events: DataFra
     masks = obs.join(F.broadcast(sizes)).where(~F.coalesce(binary("selected_event_mask") & binary("central_node_mask") & (F.size("selected_event_mask") == F.col("n_events")) & (F.size("central_node_mask") == F.col("n_nodes")), F.lit(False)))
     out.append(masks.select("place", F.lit("a mask isn't binary or has another length").alias("fault")))
     out += [marked(obs, "selected_event_mask", events, "event", ident, "event_ids", "events"), marked(obs, "central_node_mask", nodes, "node", ident, "cycle_accounts", "accounts")]
+    out += [world_vectors(obs, sizes), covered(nodes, events, graph)]
     length = obs.join(ident, "place").where(~F.coalesce((F.col("cycle_length") >= 2) & (F.col("cycle_length") == F.size(F.array_distinct("event_ids"))) & (F.col("cycle_length") == F.size(F.array_distinct("cycle_accounts"))), F.lit(False)))
     out.append(length.select("place", F.lit("the length differs").alias("fault")))
     steps = cells.select("place", F.size("boundary").alias("_n"), F.posexplode("boundary").alias("at", "b")).select("place", "_n", "at", F.col("b.event_id").alias("event"))
@@ -68,6 +84,27 @@ def bundle_faults(parts: dict[str, DataFrame], nodes: DataFrame, events: DataFra
     return reduce(DataFrame.unionByName, out)
 
 
+def world_vectors(obs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Places whose times or amounts aren't a finite number for each event, leave their range, or differ from the first place's."""
+    times, amounts = F.col("world_event_time_steps"), F.col("world_event_log1p_amounts")
+    finite = lambda c: F.forall(c, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    good = finite(times) & finite(amounts) & (F.size(times) == F.col("n_events")) & (F.size(amounts) == F.col("n_events")) & F.forall(times, lambda x: (x >= 0) & (x <= LAST_TIME))
+    wrong = obs.join(F.broadcast(sizes)).where(~F.coalesce(good, F.lit(False))).select("place", F.lit("world times or amounts aren't valid").alias("fault"))
+    own = obs.select("place", F.sha2(F.to_json(F.struct(times, amounts)), 256).alias("h"))
+    first = own.agg(F.min_by("h", "place").alias("first"))
+    return wrong.unionByName(own.join(F.broadcast(first)).where("h <> first").select("place", F.lit("candidates don't share the world's times and amounts").alias("fault")))
+
+
+def covered(nodes: DataFrame, events: DataFrame, graph: DataFrame) -> DataFrame:
+    """A fault, without a place, for coordinates that come twice, events of the graph beside the order or missing from it, and ends that aren't nodes."""
+    twice = lambda df, c: df.groupBy(c).count().where("count > 1").select(F.lit("a coordinate comes twice").alias("fault"))
+    here, there = events.select("event"), graph.select("event")
+    apart = here.exceptAll(there).unionByName(there.exceptAll(here)).select(F.lit("the graph doesn't cover the order of events").alias("fault"))
+    ends = graph.select(F.explode(F.array("src", "dst")).alias("node")).join(nodes, "node", "left_anti").select(F.lit("an event ends outside the order of nodes").alias("fault"))
+    faults = twice(nodes, "node").unionByName(twice(events, "event")).unionByName(apart).unionByName(ends)
+    return faults.distinct().select(F.lit(None).cast("bigint").alias("place"), "fault")
+
+
 def marked(obs: DataFrame, mask: str, order: DataFrame, item: str, ident: DataFrame, named: str, what: str) -> DataFrame:
     """Places where what a mask marks isn't what the identity names."""
     ones = obs.select("place", F.posexplode(mask).alias("at", "x")).where("x = 1").join(order, "at").select("place", F.col(item).alias("item"), F.lit(1).alias("m"), F.lit(0).alias("i"))
@@ -78,16 +115,34 @@ def marked(obs: DataFrame, mask: str, order: DataFrame, item: str, ident: DataFr
 
 def bundle(spark: SparkSession, root: str, nodes: DataFrame, events: DataFrame, others: tuple[str, ...] = ("simplicial_subdivision", "hasse_incidence")) -> DataFrame:
     """place, candidate_id, masks, length, events, accounts and boundary of a world's candidates; any fault raises. Labels lie in a file of their own that this doesn't open."""
+    observed = inside(root, "candidate_observations.jsonl", {"candidate_observations.jsonl"})
+    if names := sorted(r.key for r in json_keys(spark, observed).where(F.col("key").isin(*OBSERVED_NEVER)).collect()):
+        raise ValueError(f"observations hold forbidden fields: {names}")
     read = lambda name, schema: placed_json(spark, inside(root, f"{name}.jsonl", {f"{name}.jsonl"}), schema)
     parts = {"observations": read("candidate_observations", OBSERVATIONS), "identity": read("candidate_identity", IDENTITY), "cells": read("cellular_polygonal_boundaries", CELLS)} | {n: read(n, OTHERS) for n in others}
     graph = read("world_directed_multigraph_identity", GRAPH).select(F.col("physical_event_id").alias("event"), F.col("source_account").alias("src"), F.col("target_account").alias("dst"))
     if bad := bundle_faults(parts, nodes, events, graph).limit(5).collect():
         raise ValueError(f"the bundle isn't whole: {[tuple(r) for r in bad]}")
-    if names := sorted(FORBIDDEN & set(parts["observations"].columns)):
-        raise ValueError(f"observations hold forbidden fields: {names}")
     return parts["observations"].join(parts["identity"], "place").join(parts["cells"].drop("candidate_id"), "place")
 
 
+def labelled_census(spark: SparkSession, root: str, candidates: DataFrame, index: DataFrame, world: str, role: str, frame: int) -> DataFrame:
+    """The candidates of a world (from bundle()) with their labels: exactly `frame` of them, each with one label that is written as a whole number 0 or 1, no label beside them, in a world that the index gives this role. Anything else raises."""
+    index_entries(index.where((F.col("world") == world) | (F.col("role") != role)), [world], role)
+    raw = written_lines(spark, inside(root, "candidate_labels.jsonl", {"candidate_labels.jsonl"}))
+    labels = raw.select(strict_json(F.col("value"), "candidate_id string").getField("candidate_id").alias("candidate_id"), F.regexp_extract("value", r'"label"\s*:\s*([01])\s*[,}]', 1).alias("label"))
+    counts = labels.agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("ids"), F.count_if(F.col("label") == "").alias("bad")).first()
+    n = candidates.count()
+    if counts.bad:
+        raise ValueError(f"{counts.bad} labels aren't 0 or 1")
+    if not n == counts.n == counts.ids == frame:
+        raise ValueError(f"the frame has {frame} candidates, the world {n}, with {counts.n} labels of {counts.ids}")
+    out = candidates.join(labels.select("candidate_id", F.col("label").cast("int").alias("label")), "candidate_id")
+    if out.count() != frame:
+        raise ValueError("labels and candidates don't join")
+    return out
+
+
 def index_entries(index: DataFrame, wanted: list[str], role: str) -> DataFrame:
     """The entries of the wanted worlds that are no replays. index: (world, role, status, exit_code, replay). A wanted world that is missing, comes twice, has another role or didn't succeed raises, and so does a world of the role that isn't wanted."""
     own = index.where(~F.coalesce("replay", F.lit(False)))

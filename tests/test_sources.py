@@ -104,6 +104,8 @@ def bundle(tmp_path, **changes):
         "hasse_incidence": ['{"candidate_id": "c0"}', '{"candidate_id": "c1"}'],
         "world_directed_multigraph_identity": [f'{{"physical_event_id": {e}, "source_account": "{a}", "target_account": "{b}"}}' for e, a, b in ((10, "a", "b"), (11, "b", "a"), (12, "b", "a"))],
     } | changes
+    vectors = ', "world_event_time_steps": [0.0, 0.5, 1.0], "world_event_log1p_amounts": [1.0, 2.0, 0.5]}'
+    files["candidate_observations"] = [r if "world_event" in r else r[:-1] + vectors for r in files["candidate_observations"]]
     for name, rows in files.items():
         put(tmp_path, f"{name}.jsonl", *rows)
     return str(tmp_path)
