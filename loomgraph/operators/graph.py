@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import staged
+from loomgraph.session import discard, staged
 
 
 class CapExceeded(ValueError):
@@ -25,44 +25,69 @@ def rotated(cycle: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.slice(cycle, i + 1, n), F.slice(cycle, F.lit(1), i))))
 
 
-def on_cycles(links: DataFrame, by: tuple[str, ...] = (), rounds: int = 2) -> DataFrame:
-    """links without those whose ends have no way in or no way out, some rounds of that; every cycle stays."""
-    for _ in range(rounds):
-        starts, ends = links.select(*by, F.col("src").alias("dst")).distinct(), links.select(*by, F.col("dst").alias("src")).distinct()
-        links = links.join(starts, [*by, "dst"], "left_semi").join(ends, [*by, "src"], "left_semi").select(*by, "src", "dst")
-    return links
+def on_cycles(links: DataFrame, by: tuple[str, ...] = (), most_rounds: int = 20) -> DataFrame:
+    """links, written, without those whose ends have no way in or no way out, again and again until none goes or the rounds end; every cycle stays."""
+    now = staged(links.select(*by, "src", "dst"), "links")
+    n = now.count()
+    for _ in range(most_rounds):
+        starts, ends = now.select(*by, F.col("src").alias("dst")).distinct(), now.select(*by, F.col("dst").alias("src")).distinct()
+        before, now = now, staged(now.join(starts, [*by, "dst"], "left_semi").join(ends, [*by, "src"], "left_semi").select(*by, "src", "dst"), "links")
+        discard(before)
+        left, n = n, now.count()
+        if left == n:
+            break
+    return now
 
 
 def cycles(links: DataFrame, lengths: range, cap: int | None = None, by: tuple[str, ...] = (), most_paths: int | None = None) -> DataFrame:
     """(by, length, cycle): directed simple cycles inside each group of `by`, each once, from its least node. links: distinct (by, src, dst).
 
-    Simple paths grow by a node a round from their least node: an equi-join on the end with a residual on the order, so that a path is met once. Each
-    round's paths are written once and closed from there. The number of paths that a round is going to look at is known before it is made, from the
-    degrees; beyond most_paths of them, or beyond cap cycles, it raises; nothing is cut off.
+    A cycle of n arcs is cut in two at its least node and the one opposite: simple paths of half its arcs, and the rest, run out of and into the least node over larger ones, and meet where they end in the same place
+    and share no other. So the longest paths that are made have half the arcs of the longest cycle. How many paths a round is going to look at, and how many pairs of halves meet, is known
+    from counts before any is made; beyond most_paths of them, or beyond cap cycles, it raises; nothing is cut off.
     """
     by = tuple(by)
-    links = staged(on_cycles(links.select(*by, "src", "dst"), by), "links")
-    ways = links.groupBy(*by, F.col("src").alias("at")).agg(F.count("*").alias("ways"))
-    after = links.select(*by, F.col("src").alias("at"), F.col("dst").alias("next"))
-    back = links.select(*by, F.col("src").alias("at"), F.col("dst").alias("home"), F.lit(True).alias("closes"))
-    front = links.where("src < dst").select(*by, F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
-    found, n_found = [], 0
-    for n in range(2, max(lengths) + 1):
-        # With each path go the ways on from its end and whether one of them leads home, so one write a round gives all counts.
-        seen = Observation()
-        marked = front.withColumn("home", F.col("path")[0]).join(ways, [*by, "at"]).join(back, [*by, "at", "home"], "left").drop("home")
-        front = staged(marked.observe(seen, F.count_if("closes").alias("closed"), F.coalesce(F.sum("ways"), F.lit(0)).alias("ahead")), "paths")
-        if n in lengths:
-            found.append(front.where("closes").select(*by, F.lit(n).alias("length"), F.col("path").alias("cycle")))
-            if cap is not None and (n_found := n_found + seen.get["closed"]) > cap:
-                raise CapExceeded(f"{n_found} cycles of up to {n} arcs; at most {cap} are allowed")
-        if n == max(lengths) or found and not seen.get["ahead"]:
-            break
-        if most_paths is not None and seen.get["ahead"] > most_paths:
-            raise CapExceeded(f"{seen.get['ahead']} paths of {n + 1} nodes; at most {most_paths} are allowed")
-        grown = front.join(after, [*by, "at"]).where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
-        front = grown.select(*by, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
-    return reduce(DataFrame.unionByName, found)
+    longest = max(lengths)
+    links = on_cycles(links, by)
+    lower = F.col("src") < F.col("dst")
+    out = [staged(links.where(lower).select(*by, F.col("src").alias("home"), F.col("dst").alias("at"), F.array("dst").alias("path")), "paths")]
+    into = [staged(links.where(~lower & (F.col("src") != F.col("dst"))).select(*by, F.col("dst").alias("home"), F.col("src").alias("at"), F.array("src").alias("path")), "paths")]
+    step_out = links.select(*by, F.col("src").alias("at"), F.col("dst").alias("next"))
+    step_into = links.select(*by, F.col("dst").alias("at"), F.col("src").alias("next"))
+
+    def longer(front: DataFrame, step: DataFrame, k: int) -> DataFrame:
+        if most_paths is not None:
+            ways = step.groupBy(*by, "at").agg(F.count("*").alias("ways"))
+            ahead = front.groupBy(*by, "at").agg(F.count("*").alias("n")).join(ways, [*by, "at"]).agg(F.sum(F.col("n") * F.col("ways"))).first()[0] or 0
+            if ahead > most_paths:
+                raise CapExceeded(f"{ahead} paths of {k + 1} nodes; at most {most_paths} are allowed")
+        grown = front.join(step, [*by, "at"]).where((F.col("next") > F.col("home")) & ~F.array_contains("path", F.col("next")))
+        return staged(grown.select(*by, "home", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")), "paths")
+
+    # paths hold the nodes after (or before) the least one, the end last
+    for k in range(2, (longest + 1) // 2 + 1):
+        out.append(longer(out[-1], step_out, k))
+        if k <= longest // 2:
+            into.append(longer(into[-1], step_into, k))
+    counts = lambda paths: reduce(DataFrame.unionByName, [p.groupBy(*by, "home", "at").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k, p in enumerate(paths, 1)])
+    wanted = [n for n in lengths if n >= 2]
+    if most_paths is not None:
+        other = counts(into).withColumnRenamed("n", "m").withColumnRenamed("k", "j")
+        pairs_ = counts(out).join(other, [*by, "home", "at"]).where((F.col("k") + F.col("j")).isin(wanted) & ((F.col("k") == F.col("j")) | (F.col("k") == F.col("j") + 1)))
+        meet = pairs_.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m"))).first()[0] or 0
+        if meet > most_paths:
+            raise CapExceeded(f"{meet} pairs of paths; at most {most_paths} are allowed")
+    found = []
+    for n in wanted:
+        k, j = (n + 1) // 2, n // 2
+        ends = into[j - 1].select(*by, "home", "at", F.reverse(F.slice("path", 1, j - 1)).alias("rest"))  # from the end on to the least node
+        met = out[k - 1].join(ends, [*by, "home", "at"]).where(~F.arrays_overlap("path", "rest"))
+        found.append(met.select(*by, F.lit(n).alias("length"), F.concat(F.array("home"), "path", "rest").alias("cycle")))
+    made = staged(reduce(DataFrame.unionByName, found), "cycles")
+    discard(links, *out, *into)
+    if cap is not None and (many := made.count()) > cap:
+        raise CapExceeded(f"{many} cycles of up to {longest} arcs; at most {cap} are allowed")
+    return made
 
 
 def undirected_cycles(links: DataFrame, lengths: range, cap: int | None = None, by: tuple[str, ...] = (), most_paths: int | None = None) -> DataFrame:

@@ -77,6 +77,35 @@ def fans(boundary: DataFrame, cell: str = "cell") -> DataFrame:
     return corners.where(F.size("p") >= 3).select(cell, F.inline(F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda i: F.struct(i.alias("place"), F.col("p")[0].alias("a"), F.col("p")[i].alias("b"), F.col("p")[i + 1].alias("c")))))
 
 
+def port_fan(chosen: DataFrame, key: str) -> DataFrame:
+    """(key, face, a, b, segment, spoke_a, spoke_b): a candidate's cycle filled from a centre of its own. chosen: its events (key, place, event_id, src, dst) in the order of the walk, places from 0.
+
+    The perimeter runs from account to account through the three ports of each event; face i lies between its vertices i and i + 1, a and b, and the centre. A spoke runs from the centre to a vertex of the
+    perimeter and is made by the first face that needs it, so spoke i is that of vertex i. A walk that isn't closed raises.
+    """
+    steps = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "event_id", "src", "dst"))).alias("w"))  # as many as a candidate has events
+    n = F.size("w")
+    closed = F.forall(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("w")[i]["dst"] == F.col("w")[(i + 1) % n]["src"]), lambda x: x)
+    port = lambda kind, x: F.concat(F.lit(f"{kind}:"), x.cast("string"))
+    around = F.flatten(F.transform("w", lambda x: F.array(port("account", x["src"]), port("out", x["event_id"]), port("event", x["event_id"]), port("in", x["event_id"]))))
+    ring = F.when(F.coalesce(closed, F.lit(False)), around).otherwise(F.raise_error(F.lit("a walk isn't closed")).cast("array<string>"))
+    corners = steps.select(key, ring.alias("p"), F.transform("w", lambda x: x["event_id"]).alias("events"))
+    m = F.size("p")
+    spoke = lambda i: F.concat(F.lit("spoke:"), i.cast("string"))
+    face = lambda i: F.struct(i.alias("face"), F.col("p")[i].alias("a"), F.col("p")[(i + 1) % m].alias("b"), F.concat(F.col("events")[F.floor(i / 4).cast("int")].cast("string"), F.lit("/"), (i % 4).cast("string")).alias("segment"), spoke(i).alias("spoke_a"), spoke((i + 1) % m).alias("spoke_b"))
+    return corners.select(key, F.inline(F.transform(F.sequence(F.lit(0), m - 1), face)))
+
+
+def fan_incidence(faces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(B1, B2) of port_fan() as (key, row, col, val): segments run with their event from a to b, spokes out of the centre; a face follows its segment and spoke a and runs against spoke b."""
+    entry = lambda row, col, val: F.struct(row.alias("row"), col.alias("col"), F.lit(val).alias("val"))
+    c = F.col
+    one = faces.select(key, F.inline(F.array(entry(c("a"), c("segment"), -1), entry(c("b"), c("segment"), 1), entry(F.lit("centre"), c("spoke_a"), -1), entry(c("a"), c("spoke_a"), 1))))
+    face = c("face").cast("string")
+    two = faces.select(key, F.inline(F.array(entry(c("segment"), face, 1), entry(c("spoke_a"), face, 1), entry(c("spoke_b"), face, -1))))
+    return one, two
+
+
 def hasse(one: DataFrame, two: DataFrame) -> DataFrame:
     """(cell, rank0, rank1, pairs): a cell's nodes, its edges, and the signed pairs of both with the ranks above them, in order."""
     faces = two.select(F.col("col").alias("cell"), F.col("row").alias("edge"), F.col("val").alias("up"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import components, features, graph, incidence, persistence
-from loomgraph.plans.graphs import BY, CYCLES, MOST_CYCLES, MOST_PATHS, TUPLES, UNDIRECTED, tuples
+from loomgraph.plans.graphs import BY, CYCLES, LONGEST, MOST_CYCLES, MOST_PATHS, TUPLES, UNDIRECTED, tuples
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import ARCS, TRANSFERS, transfers
 from loomgraph.session import staged, table
@@ -157,63 +157,74 @@ def vector_collisions(spark, sf_dir):
     return features.collisions(d, ["n_chars", "lang"], "toxic")
 
 
-#: Most arcs of a cell.
-SIDES = 4
+#: Most arcs of the cells whose Laplacian is made: every two cells with an edge in common are an entry of it, so it grows with the square of their number.
+PAIRED = 6
 #: Names that hold in all worlds.
 NAMED = f"""e AS (SELECT world, src, dst, world || ':' || src AS s, world || ':' || dst AS d, world || ':' || src || '-' || dst AS edge FROM a), b1 AS (SELECT s AS r, edge AS c, -1 AS v FROM e UNION ALL SELECT d, edge, 1 FROM e)"""
-CELLS = CYCLES.replace("len(path) < 12", f"len(path) < {SIDES}") + f""", {NAMED}, z AS (SELECT world, world || ':' || array_to_string(cycle, '-') AS cell, cycle, unnest(generate_series(1, length)) AS i, length FROM c WHERE length BETWEEN 3 AND {SIDES}),
+
+
+def cells_sql(most: int = LONGEST) -> str:
+    return CYCLES.replace(f"len(path) < {LONGEST}", f"len(path) < {most}") + f""", {NAMED}, z AS (SELECT world, world || ':' || array_to_string(cycle, '-') AS cell, cycle, unnest(generate_series(1, length)) AS i, length FROM c),
 b2 AS (SELECT world || ':' || cycle[i] || '-' || cycle[i % length + 1] AS r, cell AS c, 1 AS v FROM z)"""
 
 
-def cells(spark, sf_dir):
-    """The arcs of all worlds with names of their own (world, src, dst, edge), and the boundaries (cell, place, src, dst) of cycles of three and four arcs."""
-    name = lambda c: F.concat(F.col("world").cast("string"), F.lit(":"), F.col(c).cast("string"))
-    arcs = graph.arcs(transfers(spark, sf_dir), BY)
-    edges = arcs.select("world", name("src").alias("src"), name("dst").alias("dst"), F.concat(name("src"), F.lit("-"), F.col("dst").cast("string")).alias("edge"))
-    found = graph.cycles(arcs, range(3, SIDES + 1), MOST_CYCLES, BY, MOST_PATHS)
-    boundary = graph.cycle_arcs(found).select("world", F.concat(F.col("world").cast("string"), F.lit(":"), F.array_join("cycle", "-")).alias("cell"), "place", name("src").alias("src"), name("dst").alias("dst"))
-    return edges, boundary
+CELLS = cells_sql()
+
+
+def named(c):
+    return F.concat(F.col("world").cast("string"), F.lit(":"), F.col(c).cast("string"))
+
+
+def edges(spark, sf_dir):
+    """The arcs of all worlds with names of their own (world, src, dst, edge)."""
+    return graph.arcs(transfers(spark, sf_dir), BY).select("world", named("src").alias("src"), named("dst").alias("dst"), F.concat(named("src"), F.lit("-"), F.col("dst").cast("string")).alias("edge"))
+
+
+def boundaries(spark, sf_dir, most=LONGEST):
+    """The boundaries (cell, place, src, dst) of the cycles of 2 to so many arcs."""
+    found = graph.cycles(graph.arcs(transfers(spark, sf_dir), BY), range(2, most + 1), MOST_CYCLES, BY, MOST_PATHS)
+    return graph.cycle_arcs(found).select("world", F.concat(F.col("world").cast("string"), F.lit(":"), F.array_join("cycle", "-")).alias("cell"), "place", named("src").alias("src"), named("dst").alias("dst"))
 
 
 @query(f"WITH {ARCS}, {NAMED} SELECT r AS row, c AS col, CAST(v AS BIGINT) AS val FROM b1")
 def node_edge_incidence(spark, sf_dir):
     """B1 of all worlds' arcs."""
-    return incidence.b1(cells(spark, sf_dir)[0])
+    return incidence.b1(edges(spark, sf_dir))
 
 
 @query(CELLS + " SELECT r AS row, c AS col, CAST(v AS BIGINT) AS val FROM b2")
 def edge_cell_incidence(spark, sf_dir):
     """B2 of all worlds' cells."""
-    return incidence.b2_cells(*cells(spark, sf_dir)).withColumn("val", F.col("val").cast("bigint"))
+    return incidence.b2_cells(edges(spark, sf_dir), boundaries(spark, sf_dir)).withColumn("val", F.col("val").cast("bigint"))
 
 
 @query(CELLS + " SELECT (SELECT count(DISTINCT cell) FROM z) AS cells, (SELECT count(*) FROM (SELECT b1.r, b2.c FROM b1 JOIN b2 ON b1.c = b2.r GROUP BY ALL HAVING sum(b1.v * b2.v) <> 0)) AS open")
 def boundary_closure(spark, sf_dir):
-    """Cells of three and four arcs, and entries of B1 B2 that aren't zero: none."""
-    edges, boundary = cells(spark, sf_dir)
+    """Cells of all lengths, and entries of B1 B2 that aren't zero: none."""
+    one, boundary = edges(spark, sf_dir), boundaries(spark, sf_dir)
     n = boundary.agg(F.count_distinct("cell").alias("cells"))
-    open_ = incidence.product(incidence.b1(edges), incidence.b2_cells(edges, boundary)).agg(F.count("*").alias("open"))
+    open_ = incidence.product(incidence.b1(one), incidence.b2_cells(one, boundary)).agg(F.count("*").alias("open"))
     return n.join(open_)
 
 
 @query(f"WITH {ARCS}, {NAMED} SELECT x.r AS row, y.r AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b1 x JOIN b1 y USING (c) GROUP BY ALL HAVING sum(x.v * y.v) <> 0")
 def node_laplacian(spark, sf_dir):
     """L0 of all worlds' arcs."""
-    one = incidence.b1(cells(spark, sf_dir)[0])
+    one = incidence.b1(edges(spark, sf_dir))
     return incidence.product(one, incidence.transposed(one))
 
 
 @query(CELLS + """ SELECT row, col, CAST(sum(val) AS BIGINT) AS val FROM (SELECT x.c AS row, y.c AS col, sum(x.v * y.v) AS val FROM b1 x JOIN b1 y USING (r) GROUP BY ALL UNION ALL SELECT x.r, y.r, sum(x.v * y.v) FROM b2 x JOIN b2 y USING (c) GROUP BY ALL) GROUP BY row, col HAVING sum(val) <> 0""")
 def edge_laplacian(spark, sf_dir):
     """L1 of all worlds' arcs and cells."""
-    edges, boundary = cells(spark, sf_dir)
-    return incidence.laplacians(incidence.b1(edges), incidence.b2_cells(edges, boundary))[1].withColumn("val", F.col("val").cast("bigint"))
+    own = edges(spark, sf_dir)
+    return incidence.laplacians(incidence.b1(own), incidence.b2_cells(own, boundaries(spark, sf_dir)))[1].withColumn("val", F.col("val").cast("bigint"))
 
 
-@query(CELLS + """ SELECT x.c AS row, y.c AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b2 x JOIN b2 y USING (r) GROUP BY ALL HAVING sum(x.v * y.v) <> 0""")
+@query(cells_sql(PAIRED) + """ SELECT x.c AS row, y.c AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b2 x JOIN b2 y USING (r) GROUP BY ALL HAVING sum(x.v * y.v) <> 0""")
 def cell_laplacian(spark, sf_dir):
-    """L2 of all worlds' cells."""
-    two = incidence.b2_cells(*cells(spark, sf_dir))
+    """L2 of all worlds' cells of up to six arcs."""
+    two = incidence.b2_cells(edges(spark, sf_dir), boundaries(spark, sf_dir, PAIRED))
     return incidence.product(incidence.transposed(two), two).withColumn("val", F.col("val").cast("bigint"))
 
 
@@ -234,15 +245,15 @@ def event_incidence(spark, sf_dir):
 @query(CELLS + """ SELECT cell, unnest(generate_series(1, length - 2)) AS place, world || ':' || cycle[1] AS a, world || ':' || cycle[unnest(generate_series(1, length - 2)) + 1] AS b, world || ':' || cycle[unnest(generate_series(1, length - 2)) + 2] AS c FROM z WHERE i = 1""")
 def fan_triangles(spark, sf_dir):
     """Every cell as triangles around its first corner."""
-    return incidence.fans(cells(spark, sf_dir)[1]).withColumn("place", F.col("place").cast("bigint"))
+    return incidence.fans(boundaries(spark, sf_dir)).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(CELLS + """, n AS (SELECT cell, b1.r AS node, b2.r AS edge, b1.v AS v FROM (SELECT DISTINCT cell FROM z) q JOIN b2 ON b2.c = q.cell JOIN b1 ON b1.c = b2.r)
 SELECT cell, array_to_string(list_sort(list_distinct(list(node))), ' ') AS rank0, array_to_string(list_sort(list_distinct(list(edge))), ' ') AS rank1, array_to_string(list_sort(list_distinct(list_concat(list(node || ' ' || edge || ' ' || v), list(edge || ' ' || cell || ' 1')))), ', ') AS pairs FROM n GROUP BY cell""")
 def hasse_pairs(spark, sf_dir):
     """Every cell with its nodes, its edges and the signed pairs of ranks."""
-    edges, boundary = cells(spark, sf_dir)
-    h = incidence.hasse(incidence.b1(edges), incidence.b2_cells(edges, boundary))
+    own = edges(spark, sf_dir)
+    h = incidence.hasse(incidence.b1(own), incidence.b2_cells(own, boundaries(spark, sf_dir)))
     return h.select("cell", F.array_join("rank0", " ").alias("rank0"), F.array_join("rank1", " ").alias("rank1"), F.array_join("pairs", ", ").alias("pairs"))
 
 
@@ -386,3 +397,22 @@ def betti_with_faces(spark, sf_dir):
     """Betti numbers over GF(2) of each world's complex of nodes, edges and triangles."""
     nodes, edges, triangles, stars = triangle_complex(spark, sf_dir)
     return incidence.betti_of_faces(nodes, edges, triangles, stars, BY, 2)
+
+
+@query(CYCLES + TUPLES + """, tc AS (SELECT world || ':' || array_to_string(cycle, '-') || ':' || array_to_string(events, '-') AS candidate, length AS n, cycle, events FROM k), p AS (SELECT candidate, n, unnest(range(0, 4 * n)) AS i, cycle, events FROM tc),
+v AS (SELECT candidate, n, i, CASE i % 4 WHEN 0 THEN 'account:' || cycle[i // 4 + 1] WHEN 1 THEN 'out:' || events[i // 4 + 1] WHEN 2 THEN 'event:' || events[i // 4 + 1] ELSE 'in:' || events[i // 4 + 1] END AS a FROM p),
+f AS (SELECT x.candidate, x.i, x.a, y.a AS b, x.n FROM v x JOIN v y ON y.candidate = x.candidate AND y.i = (x.i + 1) % (4 * x.n)),
+o AS (SELECT candidate, i, vertex, sum(v) AS v FROM (SELECT candidate, i, unnest([a, b, 'centre', a, 'centre', b]) AS vertex, unnest([-1, 1, -1, 1, 1, -1]) AS v FROM f) GROUP BY ALL)
+SELECT f.candidate, count(*) AS faces, count(DISTINCT f.a) AS corners, count_if(f.a LIKE 'account:%') AS accounts, any_value(z.open) AS open FROM f JOIN (SELECT candidate, count_if(v <> 0) AS open FROM o GROUP BY candidate) z USING (candidate) GROUP BY f.candidate""")
+def centre_fans(spark, sf_dir):
+    """Every event tuple's cycle through its ports filled from a centre: faces, corners, accounts among these, and entries of B1 B2 that aren't zero."""
+    k = staged(tuples(spark, sf_dir), "tuples")
+    name = F.concat_ws(":", F.col("world").cast("string"), F.array_join("cycle", "-"), F.array_join("events", "-")).alias("candidate")
+    n = F.size("cycle")
+    chosen = k.select(name, "cycle", F.posexplode("events").alias("place", "event_id")).select("candidate", "place", "event_id", F.col("cycle")[F.col("place")].alias("src"), F.col("cycle")[(F.col("place") + 1) % n].alias("dst"))
+    faces = staged(incidence.port_fan(chosen, "candidate"), "faces")
+    one, two = incidence.fan_incidence(faces, "candidate")
+    met = one.withColumnRenamed("val", "x").join(two.select("candidate", F.col("row").alias("col"), F.col("col").alias("face"), F.col("val").alias("y")), ["candidate", "col"])
+    open_ = met.groupBy("candidate", "row", "face").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0").groupBy("candidate").agg(F.count("*").alias("open"))
+    told = faces.groupBy("candidate").agg(F.count("*").alias("faces"), F.count_distinct("a").alias("corners"), F.count_if(F.col("a").startswith("account:")).alias("accounts"))
+    return told.join(open_, "candidate", "left").fillna(0, ["open"])

@@ -153,3 +153,26 @@ def test_cycles_are_counted_without_listing(spark):
     assert {(r.g, r.node): r.cycles4 for r in graph.cycle_counts(df, ("g",), 4).collect()}.items() <= {k: v[0] for k, v in got.items()}.items()
     five = {(r.g, r.node): (r.cycles4, r.cycles5) for r in graph.cycle_counts(df, ("g",), 5).collect()}
     assert five == {k: v[:2] for k, v in got.items()}
+
+
+def test_centre_fan(spark):
+    """The signs of B2 follow the stored directions; B1 B2 vanishes; a walk that isn't closed raises."""
+    rows = [("t", 0, 7, "a", "b"), ("t", 1, 8, "b", "c"), ("t", 2, 9, "c", "a"), ("two", 0, 1, "x", "y"), ("two", 1, 2, "y", "x")]
+    df = spark.createDataFrame(rows, "k string, place int, event_id long, src string, dst string")
+    faces = incidence.port_fan(df, "k")
+    got = {(r.k, r.face): tuple(r)[2:] for r in faces.collect()}
+    assert len(got) == 12 + 8
+    assert got["t", 0] == ("account:a", "out:7", "7/0", "spoke:0", "spoke:1")
+    assert got["t", 11] == ("in:9", "account:a", "9/3", "spoke:11", "spoke:0")
+    one, two = ({(r.k, r.row, r.col): r.val for r in x.collect()} for x in incidence.fan_incidence(faces, "k"))
+    assert len(two) == 3 * 20 and sum(two.values()) == 20
+    for k, face in got:
+        total = {}
+        for (g, edge, f), y in two.items():
+            if (g, f) == (k, str(face)):
+                for (h, vertex, e), x in one.items():
+                    if (h, e) == (k, edge):
+                        total[vertex] = total.get(vertex, 0) + x * y
+        assert total and not any(total.values())
+    with pytest.raises(Exception, match="isn't closed"):
+        incidence.port_fan(df.where("place < 2 AND k = 't'"), "k").collect()
