@@ -2,11 +2,13 @@
 
 One pass over the texts keeps the places of licence words, of the base phrases and of the templates' key phrases; a phrase is
 looked for only around its least common word. The inverse document frequencies of licence words are counted over all
-documents. All licence words of a document then look up the templates' postings, so no licence of a text with several of them
-is crowded out: a posting says at which place
-of a template a word stands, so place in the text less place in the template is where a copy of the template would begin. A
-beginning on which enough words agree is a candidate; it counts if all key phrases of its template stand where they must and
-the words found there hold at least LEAST of the template's weight, the sum of its words' frequencies.
+documents. For each template a document looks up the postings of the RARE rarest words of that template that it holds, and of these alone: a posting says at which place of the
+template a word stands, so place in the text less place in the template is where a copy would begin. Where the beginnings of two rare words meet there is a candidate; most
+documents have none and go no further. A candidate is verified: all key phrases of the template must stand there, and the template's words that do must hold LEAST of its weight, the sum of
+its words' frequencies.
+
+Words put in or left out move what follows. Beginnings therefore meet if they lie within an eighth of the template's length: they are dealt to bins of twice that width, twice, half
+a bin apart, so beginnings that near share a bin. Templates of fewer than eight words are met word for word.
 
 DataFrame operations alone. Only places of licence words are written and shuffled, by row, so neither a hot source nor a common
 passage gathers in one task; the postings and frequencies have as many rows as the templates have words.
@@ -91,8 +93,10 @@ PHRASES = {
 }
 #: Too common to be looked up.
 COMMON = set("a an and any are at be by for if in into is not of on or that the this to was with you 0 2 v".split())
-#: The rarest licence words of a document that count, None for all; the least share of a template's weight.
-RARE, LEAST = None, 0.7
+#: A template's rarest words in a document that choose the candidates, how many of these must agree; the least share of its weight.
+RARE, AGREEING, LEAST = 6, 2, 0.7
+#: The part of a template's length by which beginnings may differ.
+DRIFT = 8
 TEMPLATES |= {k: (" ".join(re.findall("[a-z0-9]+", x.lower())), PHRASES[k]) for k, x in TEXTS.items()}
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -150,34 +154,50 @@ def places(df: DataFrame, key: str, text: str, base: dict[str, str], templates:
     return df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), let(words_of(F.col(text)), found).alias("x")).select("row", "key", "x.*")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict = TEMPLATES, rare: int | None = RARE, least: float = LEAST) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict = TEMPLATES, rare: int = RARE, least: float = LEAST) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = df.sparkSession
     rows = staged(places(df, key, text, base, templates), "licence-words")  # row numbers are fixed from here on
     n = rows.count()
     seen = {r.w: r.n for r in rows.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each licence word
     weight = lambda w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1
-    postings, totals, keys, phrase_rows, i = [], [], [], [], 0
+    postings, needed, phrase_rows, own_words, i = [], [], [], [], 0
     for label, (template, own) in templates.items():
         spots = [(w, at) for at, w in enumerate(template.split()) if w not in COMMON]
         total = sum(weight(w) for w, _ in spots)
         postings += [(w, label, at, weight(w) / total) for w, at in spots]
-        totals.append((label, min(2, len({w for w, _ in spots})), len(own)))
+        distinct = sorted({w for w, _ in spots}, key=lambda w: (-weight(w), w))
+        own_words.append((label, min(AGREEING, len(distinct)), distinct))
+        drift = len(template.split()) // DRIFT
+        needed.append((label, min(AGREEING, len(distinct)), len(own), max(1, 2 * drift), drift))
         for p in own:
             at = next(k for k in range(len(template.split())) if template.split()[k : k + len(p.split())] == p.split())
             phrase_rows.append((str(i), label, at))
             i += 1
-    known = sorted({w for w, *_ in postings})
-    idf = F.create_map(*[F.lit(x) for w in known for x in (w, -weight(w))])
-    index = F.broadcast(spark.createDataFrame(postings, "w string, label string, at int, share double"))
-    rarest = F.slice(F.sort_array(F.transform(F.filter(F.array_distinct(F.col("hits.w")), lambda w: w.isin(known)), lambda w: record(f=idf[w], w=w))), 1, len(known) if rare is None else rare)
-    hits = rows.where(F.size("hits") > 0).select("row", "hits", F.transform(rarest, lambda r: r["w"]).alias("rarest")).select("row", "rarest", F.explode("hits").alias("h")).select("row", "h.w", "h.i", F.array_contains("rarest", F.col("h.w")).cast("int").alias("is_rare"))
-    words = hits.join(index, "w").select("row", "label", (F.col("i") - F.col("at")).alias("begin"), "share", "is_rare", F.lit(0).alias("phrase"))
+    index = F.broadcast(spark.createDataFrame(postings, "w string, label string, at int, share double"))  # a row for each template word
     where = F.broadcast(spark.createDataFrame(phrase_rows, "what string, label string, at int"))
-    phrases = rows.where(F.size("phrases") > 0).select("row", F.inline("phrases")).join(where, "what").select("row", "label", (F.col("start") - F.col("at")).alias("begin"), F.lit(0.0).alias("share"), F.lit(0).alias("is_rare"), F.lit(1).alias("phrase"))
-    needed = F.broadcast(spark.createDataFrame(totals, "label string, need_rare int, need_phrases int"))
-    sums = words.unionByName(phrases).groupBy("row", "label", "begin").agg(F.sum("share").alias("share"), F.sum("is_rare").alias("n_rare"), F.sum("phrase").alias("n_phrases")).join(needed, "label")
-    good = sums.where((F.col("n_rare") >= F.col("need_rare")) & (F.col("n_phrases") >= F.col("need_phrases")) & (F.col("share") >= least))
+    bins = F.broadcast(spark.createDataFrame(needed, "label string, need_rare int, need_phrases int, width int, drift int"))
+
+    def binned(at: DataFrame) -> DataFrame:
+        """With the bins of each beginning: half (0 or 1) and bin."""
+        halves = F.when(F.col("drift") > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return at.withColumn("half", F.explode(halves)).withColumn("bin", F.floor((F.col("begin") + F.col("half") * F.col("drift")) / F.col("width")))
+
+    # The rarest words of each template that a document holds, where there are enough to agree.
+    present = F.array_distinct("hits.w")
+    rarest = F.filter(F.array(*(F.struct(F.lit(x).alias("label"), F.slice(F.filter(F.array(*map(F.lit, words)), lambda w: F.array_contains(F.col("present"), w)), 1, rare).alias("rare"), F.lit(k).alias("k")) for x, k, words in own_words)), lambda r: F.size(r["rare"]) >= r["k"])
+    asked = rows.where(F.size("hits") > 0).select("row", "hits", present.alias("present")).select("row", "hits", F.inline(rarest))
+    looked_up = asked.select("row", "label", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["w"]))).alias("h")).select("row", "label", "h.w", "h.i")
+    met = binned(looked_up.join(index.drop("share"), ["w", "label"]).withColumn("begin", F.col("i") - F.col("at")).join(bins, "label"))
+    agreed = met.groupBy("row", "label", "half", "bin").agg(F.size(F.collect_set("w")).alias("n_rare"), F.first("need_rare").alias("need_rare")).where("n_rare >= need_rare")  # as many words as are looked up
+    found = staged(agreed.select("row", "label", "half", "bin"), "licence-candidates")
+    held = found.select("row", "label").distinct().join(rows.select("row", "hits", "phrases"), "row")
+    words = held.select("row", "label", F.explode("hits").alias("h")).select("row", "label", "h.w", "h.i").join(index, ["w", "label"]).select("row", "label", (F.col("i") - F.col("at")).alias("begin"), "at", "share", F.lit(None).cast("string").alias("what"))
+    phrases = held.select("row", "label", F.inline("phrases")).join(where, ["what", "label"]).select("row", "label", (F.col("start") - F.col("at")).alias("begin"), F.lit(-1).alias("at"), F.lit(0.0).alias("share"), "what")
+    each = binned(words.unionByName(phrases).join(bins, "label")).join(found, ["row", "label", "half", "bin"], "left_semi")
+    each = each.groupBy("row", "label", "half", "bin", "at", "what").agg(F.first("share").alias("share"), F.first("need_phrases").alias("need_phrases"))
+    sums = each.groupBy("row", "label", "half", "bin").agg(F.sum("share").alias("share"), F.count("what").alias("n_phrases"), F.first("need_phrases").alias("need_phrases"))
+    good = sums.where((F.col("n_phrases") >= F.col("need_phrases")) & (F.col("share") >= least))
     own = good.groupBy(F.col("row").alias("of")).agg(F.collect_set("label").alias("own"), F.max(F.least("share", F.lit(1.0))).alias("share"))  # labels are as few as templates
     base_labels = F.sort_array(F.array_distinct("base.what"))
     none = F.array().cast("array<string>")
