@@ -127,6 +127,45 @@ def rank_of_incidence(nodes: DataFrame, stars: DataFrame, edges: DataFrame, by:
     return out.select(*by, "nodes", "edges", (F.col("nodes") - F.col("rank")).alias("components"), "rank", (F.col("edges") - F.col("rank")).alias("betti1"))
 
 
+def closure_forms(edges: DataFrame, boundary: DataFrame, salt: str = "order") -> DataFrame:
+    """(form, cells, open) for three ways of checking that cells close: the product B1 B2; the ends of each cell's arcs summed without either matrix; and the product after nodes, edges and cells have been renamed in another order. A form's open cells are those with an entry that isn't zero; a difference between forms raises. edges: (src, dst, edge), boundary: (cell, src, dst)."""
+    def counted(form: str, open_: DataFrame) -> DataFrame:
+        return boundary.agg(F.count_distinct("cell").alias("cells")).join(open_.agg(F.count_distinct("col").alias("open"))).select(F.lit(form).alias("form"), "cells", "open")
+
+    other = lambda c: F.concat(F.md5(F.concat_ws(":", F.lit(salt), F.col(c).cast("string"))), F.lit("|"), F.col(c).cast("string"))
+    moved = edges.select(other("src").alias("src"), other("dst").alias("dst"), other("edge").alias("edge")), boundary.select(other("cell").alias("cell"), other("src").alias("src"), other("dst").alias("dst"))
+    forms = [
+        ("product", product(b1(edges), b2_cells(edges, boundary))),
+        ("ends", residual(boundary, "cell").select(F.col("cell").alias("col"))),
+        ("renamed", product(b1(moved[0]), b2_cells(*moved))),
+    ]
+    told = staged(forms_union([counted(n, x.select("col")) for n, x in forms]), "closure")
+    if told.select("cells", "open").distinct().count() != 1:
+        raise ValueError(f"the forms differ: {[tuple(r) for r in told.collect()]}")
+    return told
+
+
+def forms_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def lifted(nodes: DataFrame, edges: DataFrame, one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """(key, nodes, edges, b1, b2): a candidate's whole lift as one row, arrays in order and matrices as coordinates. nodes: (key, node, ...), edges: (key, edge, ...), one, two: (key, row, col, val). A key that has edges or entries but no nodes raises."""
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias(name))  # as many as a candidate has
+
+    out = rows(nodes, "nodes")
+    for df, name in ((edges, "edges"), (one, "b1"), (two, "b2")):
+        out = out.join(rows(df, name), key, "full")
+    bad = F.col("nodes").isNull()
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(out.dtypes)[c])).alias(c)
+    good = F.when(bad, F.raise_error(F.lit("a lift without nodes")).cast(dict(out.dtypes)["nodes"])).otherwise(F.col("nodes"))
+    return out.select(key, good.alias("nodes"), *(empty(c) for c in ("edges", "b1", "b2")))
+
+
 def consistent(views: list[DataFrame], key: str, label: str) -> DataFrame:
     """The views of one thing joined on its key, with one label; a key that a view lacks, or has twice, or labels that differ, raise."""
     rows = views[0].select(key, label).withColumn("_v", F.lit(0))

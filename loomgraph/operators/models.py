@@ -196,6 +196,29 @@ def simplicial_network(nodes: DataFrame, edges: DataFrame, faces: DataFrame, sid
     return both.select(key, F.get(dense(F.zip_with("a", "b", lambda x, y: x + y), w["out"], w["out_b"]), F.lit(0)).alias("logit"))
 
 
+def parameters(layers: dict[str, np.ndarray]) -> int:
+    """The numbers that a network's layers hold."""
+    return sum(int(np.asarray(w).size) for w in layers.values())
+
+
+def parity(counts: DataFrame, by: list[str], tolerance: float = 0.02) -> DataFrame:
+    """counts (by, model, parameters) with mean, deviation (of each model from the mean, as a share of it), most (the largest deviation) and even: whether that is within the tolerance. A group without parameters raises."""
+    stats = counts.groupBy(*by).agg(F.avg("parameters").alias("mean"), F.max("parameters").alias("_high"), F.min("parameters").alias("_low"))
+    stats = stats.withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.raise_error(F.lit("models without parameters")).cast("double")))
+    met = counts.join(stats, by) if by else counts.join(F.broadcast(stats))
+    most = F.greatest(F.col("_high") - F.col("mean"), F.col("mean") - F.col("_low")) / F.col("mean")
+    return met.select(*counts.columns, "mean", (F.abs(F.col("parameters") - F.col("mean")) / F.col("mean")).alias("deviation"), most.alias("most"), (most <= tolerance).alias("even"))
+
+
+def moved(score, nodes: DataFrame, edges: DataFrame, cells: DataFrame, key: str = "candidate", salt: str = "order", tolerance: float = 1e-9) -> DataFrame:
+    """(key, change) of the candidates whose logit changes when nodes and edges get other names and rows another order, which must change nothing. score(nodes, edges, cells) gives (key, logit)."""
+    other = lambda c: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.col(c).cast("string"))), 1, 15), 16, 10).cast("bigint")
+    renamed = nodes.withColumn("node", other("node")).repartition(3), edges.withColumns({c: other(c) for c in ("src", "dst", "edge")}).repartition(5), cells.repartition(2)
+    both = score(nodes, edges, cells).join(score(*renamed).withColumnRenamed("logit", "_other"), key, "full")
+    change = F.abs(F.col("logit") - F.col("_other"))
+    return both.select(key, change.alias("change")).where(F.coalesce(change > tolerance, F.lit(True)))
+
+
 def channels(df: DataFrame, names: list[str], score, by: str, shift: float = 1.0) -> DataFrame:
     """(channel, moved): for each predictor, how many rows' scores move when it alone is shifted: a channel that moves none doesn't reach the model. score(df, names) gives df with `logit`."""
     base = score(df, names).select(by, F.col("logit").alias("_base"))

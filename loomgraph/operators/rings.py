@@ -16,7 +16,12 @@ def unit(salt: str, *parts) -> F.Column:
 
 def rings(spark: SparkSession, n: int, lengths: tuple[int, ...] = (3, 4, 5, 6), fee: float = 0.01, salt: str = "rings") -> DataFrame:
     """(ring, place, src, dst, time, amount): rings of new nodes; each hop passes on its amount less the fee, a while later."""
-    ring = spark.range(n).select(F.col("id").alias("ring"))
+    return rings_of(spark.range(n).select(F.col("id").alias("ring")), lengths, fee, salt)
+
+
+def rings_of(numbers: DataFrame, lengths: tuple[int, ...] = (3, 4, 5, 6), fee: float = 0.01, salt: str = "rings") -> DataFrame:
+    """rings() with the given numbers (ring)."""
+    ring = numbers.select("ring").distinct()
     size = F.element_at(F.array(*map(F.lit, lengths)), (F.floor(unit(salt, F.col("ring"), F.lit("size")) * len(lengths)) + 1).cast("int"))
     hops = ring.select("ring", size.alias("k")).select("ring", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("place"))
     node = lambda p: F.concat(F.lit("ring_"), F.col("ring").cast("string"), F.lit("_"), p.cast("string"))

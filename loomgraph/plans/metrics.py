@@ -242,10 +242,11 @@ def midrank_table(spark, sf_dir):
     return statistics.midranks(scored(spark, sf_dir), ["world"], "s").select("world", "candidate", F.col("doubled_rank").cast("bigint").alias("doubled_rank"))
 
 
-@query("SELECT CAST(ceil(2 * ln(2 / 0.05) / pow(h, 2)) AS BIGINT) AS n, h FROM (SELECT unnest([0.05, 0.1, 0.2])::DOUBLE AS h)")
+@query(f"WITH {SCORED}, {blocks_sql('world')}, r AS (SELECT world, max(ap) / max(am) AS share FROM b GROUP BY world), h AS (SELECT world, round(greatest(share, 0.01), 6) AS h FROM r) SELECT world, CAST(h AS DOUBLE) AS h, CAST(ceil(2 * ln(2 / 0.05) / pow(h, 2)) AS BIGINT) AS n FROM h")
 def design_size(spark, sf_dir):
-    """Worlds needed for a mean on [-1, 1] to lie within h at level 0.05."""
-    return spark.range(1).select(F.explode(F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2))).alias("h")).select(F.ceil(2 * F.log(F.lit(2 / 0.05)) / F.pow("h", F.lit(2))).alias("n"), "h")
+    """Worlds needed for a mean on [-1, 1] to lie within each world's share of positives, a hundredth at least, at level 0.05."""
+    z = scored(spark, sf_dir).groupBy("world").agg(F.round(F.greatest(F.sum("y") / F.count("*"), F.lit(0.01)), 6).alias("h"))
+    return z.select("world", "h", F.ceil(2 * F.log(F.lit(2 / 0.05)) / F.pow("h", F.lit(2))).alias("n"))
 
 
 @query(f"WITH {SCORED}, g AS (SELECT CAST(candidate % 4 AS BIGINT) AS setting, CAST(candidate % 3 AS BIGINT) AS seed, avg(s) AS v FROM z GROUP BY ALL), m AS (SELECT setting, avg(v) AS v, count(*) AS n FROM g GROUP BY setting HAVING count(*) = 3) SELECT setting, round(v, 6) AS v FROM m ORDER BY m.v, setting LIMIT 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.operators import boosting, features, graph, metrics, models, rings, splits
 from loomgraph.plans.graphs import BY, MOST_CYCLES, MOST_PATHS
 from loomgraph.plans.metrics import rounded
@@ -83,9 +84,10 @@ def unit_sql(*parts: str) -> str:
     return "CAST('0x' || substr(md5(" + " || ':' || ".join(["'rings'", *parts]) + "), 1, 12) AS BIGINT) / 281474976710656.0"
 
 
-N_RINGS = 90
-RINGS = f"""q AS (SELECT CAST(range AS BIGINT) AS ring, [3, 4, 5, 6][CAST(floor({unit_sql("range", "'size'")} * 4) AS INTEGER) + 1] AS k FROM range({N_RINGS})), w0 AS (SELECT min(world) AS w FROM t),
-o AS (SELECT ring, k, w + ring % 30 AS world, unnest(generate_series(0, k - 1)) AS i FROM q, w0), x AS (SELECT world, 'ring_' || ring || '_' || i AS src, 'ring_' || ring || '_' || ((i + 1) % k) AS dst, ring FROM o),
+#: Rings for each world of the table.
+RINGS_A_WORLD = 3
+RINGS = f"""q AS (SELECT CAST(range AS BIGINT) AS ring, [3, 4, 5, 6][CAST(floor({unit_sql("range", "'size'")} * 4) AS INTEGER) + 1] AS k FROM range((SELECT {RINGS_A_WORLD} * count(DISTINCT world) FROM t))), w0 AS (SELECT min(world) AS w FROM t),
+o AS (SELECT ring, k, (SELECT list(DISTINCT world ORDER BY world) FROM t)[ring % (SELECT count(DISTINCT world) FROM t) + 1] AS world, unnest(generate_series(0, k - 1)) AS i FROM q, w0), x AS (SELECT world, 'ring_' || ring || '_' || i AS src, 'ring_' || ring || '_' || ((i + 1) % k) AS dst, ring FROM o),
 j AS (SELECT world, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, NULL AS ring FROM t UNION ALL SELECT world, '7', src, NULL FROM x WHERE ends_with(src, '_0') UNION ALL SELECT * FROM x),
 l AS (SELECT DISTINCT world, src, dst FROM j WHERE src <> dst), w AS (SELECT world, [src, dst] AS path, dst AS at FROM l WHERE src < dst
  UNION ALL SELECT w.world, list_append(path, l.dst), l.dst FROM w JOIN l ON l.world = w.world AND l.src = w.at WHERE l.dst > path[1] AND NOT list_contains(path, l.dst) AND len(path) < 6),
@@ -93,21 +95,27 @@ c AS (SELECT w.world, len(path) AS length, path AS cycle FROM w JOIN l ON l.worl
 m AS (SELECT e.world, e.length, e.cycle, count_if(x.ring IS NULL) AS bare, count(x.ring) AS some_, count(DISTINCT x.ring) AS rings FROM (SELECT *, unnest(generate_series(1, length)) AS i FROM c) e LEFT JOIN x ON x.world = e.world AND x.src = e.cycle[i] AND x.dst = e.cycle[i % length + 1] GROUP BY ALL)"""
 
 
+def ring_worlds(t):
+    """(world, ring): three rings for each world, dealt to the worlds in turn."""
+    numbered = with_ordinal(t.select("world").distinct(), ["world"], "at")
+    many = numbered.agg(F.count("*").alias("n"))
+    return numbered.join(F.broadcast(many)).select("world", F.explode(F.sequence(F.lit(0), F.lit(RINGS_A_WORLD - 1))).alias("k"), "at", "n").select("world", (F.col("at") + F.col("k") * F.col("n")).alias("ring"))
+
+
 @query(f"WITH RECURSIVE {TRANSFERS}, {RINGS} SELECT world, length, array_to_string(cycle, '-') AS cycle, CAST(bare = 0 AND rings = 1 AS INTEGER) AS label FROM m WHERE (bare = 0 AND rings = 1) OR some_ = 0")
 def injected_rings(spark, sf_dir):
     """Rings injected into all transfers, three in a world, and the cycles of 3 to 6 arcs that a blind search of the joined graph finds, labelled."""
     t = transfers(spark, sf_dir)
-    first = t.agg(F.min("world").alias("w"))
-    bridges = spark.range(N_RINGS).join(F.broadcast(first)).select((F.col("w") + F.col("id") % 30).alias("world"), F.col("id").alias("ring"), F.lit("7").alias("src"))
+    bridges = ring_worlds(t).select("world", "ring", F.lit("7").alias("src"))
     own = t.select("world", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("hours").alias("time"), "amount")
-    found = rings.ring_pool(own, rings.rings(spark, N_RINGS), bridges, range(3, 7), MOST_CYCLES, MOST_PATHS, BY)
+    found = rings.ring_pool(own, rings.rings_of(bridges), bridges, range(3, 7), MOST_CYCLES, MOST_PATHS, BY)
     return found.select("world", F.col("length").cast("bigint").alias("length"), F.array_join("cycle", "-").alias("cycle"), "label")
 
 
 @query(f"WITH RECURSIVE {TRANSFERS}, {RINGS} SELECT ring, CAST(k AS BIGINT) AS hops, CAST(0 AS BIGINT) AS faults FROM q")
 def conserved_rings(spark, sf_dir):
     """What breaks the flow of each injected ring: nothing."""
-    return splits.flow_faults(rings.rings(spark, N_RINGS), "ring", "place").select("ring", "hops", (F.col("gap") + F.col("time") + F.col("growth") + F.col("fee")).alias("faults"))
+    return splits.flow_faults(rings.rings_of(ring_worlds(transfers(spark, sf_dir))), "ring", "place").select("ring", "hops", (F.col("gap") + F.col("time") + F.col("growth") + F.col("fee")).alias("faults"))
 
 
 DEGREES = f"""{TRANSFERS}, d AS (SELECT world, node, CAST(count_if(o = 0) AS DOUBLE) AS a, CAST(count_if(o = 1) AS DOUBLE) AS b FROM (SELECT world, src AS node, 1 AS o FROM t UNION ALL SELECT world, dst, 0 FROM t) GROUP BY ALL),

@@ -416,3 +416,9 @@ def centre_fans(spark, sf_dir):
     open_ = met.groupBy("candidate", "row", "face").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0").groupBy("candidate").agg(F.count("*").alias("open"))
     told = faces.groupBy("candidate").agg(F.count("*").alias("faces"), F.count_distinct("a").alias("corners"), F.count_if(F.col("a").startswith("account:")).alias("accounts"))
     return told.join(open_, "candidate", "left").fillna(0, ["open"])
+
+
+@query(CELLS + """, q AS (SELECT (SELECT count(DISTINCT cell) FROM z) AS cells, (SELECT count(*) FROM (SELECT DISTINCT c FROM (SELECT b1.r, b2.c FROM b1 JOIN b2 ON b1.c = b2.r GROUP BY ALL HAVING sum(b1.v * b2.v) <> 0))) AS open) SELECT unnest(['product', 'ends', 'renamed']) AS form, cells, open FROM q""")
+def closure_forms(spark, sf_dir):
+    """Whether cells of all lengths close, by the product of both incidences, by their ends alone, and by the product in another order."""
+    return incidence.closure_forms(edges(spark, sf_dir), staged(boundaries(spark, sf_dir), "boundaries"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.sources.readers import json_keys, placed_json, strict_json, written_lines
+from loomgraph.sources.readers import csv_fields, json_keys, placed_json, strict_json, written_lines
 
 #: Fields that an observation may not hold, as they name it or give its label away.
 OBSERVED_NEVER = {"label", "sar", "alert_id", "alertID", "seed", "generator", "role", "candidate_rank", "event_ordinal", "candidate_id", "instance_id", "world_id", "account_id", "event_ids"}
@@ -143,6 +143,42 @@ def labelled_census(spark: SparkSession, root: str, candidates: DataFrame, index
     return out
 
 
+#: A native event's line: eleven fields, of which these are read.
+STEP, AMOUNT, SOURCE, TARGET, PERIOD = 0, 2, 3, 6, 120.0
+
+
+def native_events(lines: DataFrame) -> DataFrame:
+    """(event, src, dst, time, log_amount) of native lines (event, csv_line): times in periods, ln(1 + amount). A line that hasn't eleven fields, a whole step and an amount above 0 raises."""
+    f = csv_fields(F.col("csv_line"), 11)
+    read = lines.select("event", f.alias("f")).select("event", "f", F.get("f", F.lit(STEP)).try_cast("int").alias("step"), F.get("f", F.lit(AMOUNT)).try_cast("double").alias("amount"))
+    good = F.coalesce((F.col("amount") > 0) & (F.col("amount") < float("inf")) & F.col("step").isNotNull(), F.lit(False))
+    event = F.when(good, F.col("event")).otherwise(F.raise_error(F.lit("a native event isn't valid")).cast("bigint"))
+    return read.select(event.alias("event"), F.get("f", F.lit(SOURCE)).alias("src"), F.get("f", F.lit(TARGET)).alias("dst"), (F.col("step") / PERIOD).alias("time"), F.log1p("amount").alias("log_amount"))
+
+
+def physical_faults(candidates: DataFrame, native: DataFrame, graph: DataFrame, events: DataFrame) -> DataFrame:
+    """(place, event, fault): where a bundle's observations differ from the native events. candidates: bundle(); native: native_events(); graph: (event, src, dst); events: (at, event), the order of coordinates.
+
+    The native events are those of the graph, once each, with its ends; every candidate's world times and amounts are theirs in the order of coordinates, to the last bit.
+    """
+    seen = reduce(DataFrame.unionByName, [df.select("event", F.lit(k).alias("k")) for k, df in enumerate((native, graph, events))])
+    aligned = seen.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("k").alias("k")).where("n <> 3 OR k <> 3").select(F.lit(None).cast("bigint").alias("place"), "event", F.lit("events don't join").alias("fault"))
+    ends = native.join(graph.select("event", F.col("src").alias("_a"), F.col("dst").alias("_b")), "event").where("src <> _a OR dst <> _b").select(F.lit(None).cast("bigint").alias("place"), "event", F.lit("ends differ").alias("fault"))
+    placed = events.join(native, "event")
+    values = candidates.select("place", F.posexplode(F.arrays_zip("world_event_time_steps", "world_event_log1p_amounts")).alias("at", "x")).select("place", "at", "x.*")
+    met = values.join(placed, "at")
+    differs = met.where("NOT (world_event_time_steps <=> time AND world_event_log1p_amounts <=> log_amount)").select("place", "event", F.lit("values differ").alias("fault"))
+    return aligned.unionByName(ends).unionByName(differs)
+
+
+def feature_gap(ours: DataFrame, theirs: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(feature, gap): the largest difference of each feature between two tables of the same candidates; a candidate that one of them lacks raises."""
+    met = ours.select(key, F.struct(*names).alias("_a")).join(theirs.select(key, F.struct(*names).alias("_b")), key, "full")
+    whole = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("the tables hold other candidates")).cast("double"))
+    gaps = met.agg(*(F.max(F.coalesce(whole, F.abs(F.col(f"_a.{n}") - F.col(f"_b.{n}")))).alias(n) for n in names))
+    return gaps.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("gap")) for n in names))))
+
+
 def index_entries(index: DataFrame, wanted: list[str], role: str) -> DataFrame:
     """The entries of the wanted worlds that are no replays. index: (world, role, status, exit_code, replay). A wanted world that is missing, comes twice, has another role or didn't succeed raises, and so does a world of the role that isn't wanted."""
     own = index.where(~F.coalesce("replay", F.lit(False)))
