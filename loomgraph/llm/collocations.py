@@ -4,7 +4,7 @@ Texts become blocks of word places with a vocabulary of their own. The vocabular
 the order of (lang, word); a block's vocabulary is joined with those ids, so no task ever holds the whole dictionary. A word that isn't
 frequent breaks its piece, as no phrase over the least count can hold it. Phrases of 2 to 4 ids are packed into binary keys of one width.
 A task sorts its keys by radix, two million at a time, and counts their runs, so that a very common phrase is a key or a few for each task; what
-is left goes in compressed runs to ranges of keys of about four millions, which are sorted by radix and run-length counted again. Scores
+is left goes in compressed runs to ranges of keys of about two millions, which are sorted by radix and run-length counted again. Scores
 and the rule on longer phrases are joins of the counted phrases; quotients are taken in decimals.
 
 Defined results: a null text has no words; a null lang is `und`; ids, repeated rows and other columns play no part, but each row's words count;
@@ -36,7 +36,7 @@ UNKNOWN = "und"
 #: Bytes of text in a block, about. Rows of a block are that long, and Parquet's writer holds a hundred.
 BLOCK_BYTES = 1 << 20
 #: Keys that a task sorts at once, and keys, about, that are counted together.
-HELD_KEYS, PART_KEYS = 1 << 21, 1 << 22
+HELD_KEYS, PART_KEYS = 1 << 21, 1 << 21
 #: Blocks that the bounds between tasks are taken from.
 SAMPLED = 64
 
