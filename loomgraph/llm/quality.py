@@ -2,12 +2,13 @@
 
 Base rules judge the number of words and the share of words in repeated 5-word windows. The method then compares two
 histograms of the document, of its characters by class and of its common words (with one bin for all others), with the same
-histograms summed over each language's documents that pass the base rules. The measure is the Jensen-Shannon distance, the root
+histograms summed over each language's documents that pass the base rules. Common words are learned: the TOP words of each language that most of
+its documents hold, two at least. The words of all languages share BINS bins, dealt by a hash, so a histogram is as wide for a thousand languages as for one. The measure is the Jensen-Shannon distance, the root
 of the divergence in bits, from 0 to 1. A document is kept if some language is near in both. Documents under MIN_COMMON
 words are too short for the histogram of common words and are held against that of characters alone; those under MIN_WORDS are left to
 the base rules.
 
-One pass over the texts, DataFrame operations alone, writes the counts of every document; texts are never shuffled, and windows are
+Two passes over the texts, DataFrame operations alone, count the words' documents and write the counts of every document; texts are never shuffled, and windows are
 compared inside their row: by 64-bit hashes to see that all differ, and word by word where any two hashes agree. The
 references, one row for each language, are sums over all documents: those of the MOST_LITERALS largest stand in the plan itself, all
 others are a written table that is broadcast in blocks of about BLOCK_LANGUAGES.
@@ -18,7 +19,7 @@ without any reference (no labelled document passes) the base rules decide alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.session import staged, table
@@ -31,9 +32,8 @@ MOST_CLASSES, MOST_COMMON = 0.27, 0.30
 BLANK = r"[\x20\x09-\x0D]+"
 #: What to remove from a text so that one class of characters is left; the last bin holds all others.
 CLASSES = [r"[^\x20\x09-\x0D]+", "[^A-Z]+", "[^0-9]+", r"[^.,;:!?'\"()-]+", r"[^#*$%&|<>@~^_=+/\[\]{}\\]+", r"[\x00-\x7F]+"]
-#: Common words of some languages.
-COMMON = ("the of and to in that is was it for on with as at by this from are be " "der die und in das mit von ist den des im zu nicht ein eine auf " "le la les de et un une que qui dans pour est par sur des du " "el los las y en un una por con para no es se del lo su").split()
-COMMON = sorted(set(COMMON))
+#: Common words of a language that are learned (the plan holds those of all languages); bins that they share.
+TOP, BINS = 40, 64
 
 
 def let(value: Column, body) -> Column:
@@ -73,7 +73,16 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
     return F.when(n < 2, 0).otherwise(let(hashes, differ))
 
 
-def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
+def learned(df: DataFrame, text: str, lang: str, top: int = TOP) -> list[str]:
+    """The common words of all languages: of each the `top` words in most of its documents, ties going to the lesser word; a word in one document alone isn't common."""
+    words = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(words_of(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = held.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+    return sorted(r.word for r in best.select("word").distinct().collect())  # `top` for each language at most
+
+
+def counts(df: DataFrame, text: str, lang: str, known: list[str]) -> DataFrame:
     """df with `_quality`: the base counts and both histograms of every row, and its language."""
     # Small letters, most of a text, are in none of the classes: they go once, and the passes by class read what is left.
     rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_sparse", F.regexp_replace("_text", "[a-z]+", ""))
@@ -81,10 +90,10 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
 
     def of_words(words: Column) -> Column:
         def common(h: Column) -> Column:
-            own = F.transform(F.array(*map(F.lit, COMMON)), lambda c: F.size(h) - F.size(F.array_remove(h, c)))
+            own = F.array(*(F.size(h) - F.size(F.array_remove(h, F.lit(k).cast("long"))) for k in range(BINS)))
             return F.concat(own, F.array(F.size(words) - F.size(h)))
 
-        hits = F.filter(words, lambda w: w.isin(COMMON))
+        hits = F.transform(F.filter(words, lambda w: w.isin(known)), lambda w: F.pmod(F.xxhash64(w), F.lit(BINS))) if known else F.array().cast("array<bigint>")
         return F.named_struct(F.lit("n_words"), F.size(words), F.lit("word_chars"), F.char_length(F.array_join(words, "")), F.lit("n_repeat_words"), repeated_words(words), F.lit("common"), let(hits, common))
 
     classes = [removed(F.col("_sparse"), p) for p in CLASSES]
@@ -120,7 +129,7 @@ def distance(own: Column, reference: list[float] | Column) -> Column:
 
 def references(made: DataFrame, most: int = MOST_LITERALS) -> tuple[dict[str, tuple[list[float], list[float]]], DataFrame]:
     """The shares of both histograms for the languages with the most documents, and for all others as a table (lang, a, b)."""
-    bins = {"a": ("classes", len(CLASSES) + 1), "b": ("common", len(COMMON) + 1)}
+    bins = {"a": ("classes", len(CLASSES) + 1), "b": ("common", BINS + 1)}
     sums = [F.sum(F.get(c, F.lit(i))).alias(f"{x}{i}") for x, (c, n) in bins.items() for i in range(n)]
     good = made.where(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull())
     added = good.groupBy("lang").agg(F.count("*").alias("n"), *sums)
@@ -136,7 +145,7 @@ def references(made: DataFrame, most: int = MOST_LITERALS) -> tuple[dict[str, tu
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, min_common: int = MIN_COMMON, most_classes: float = MOST_CLASSES, most_common: float = MOST_COMMON, carry: list[str] | None = None, most_literals: int = MOST_LITERALS, block_languages: int = BLOCK_LANGUAGES) -> DataFrame:
     """df, or its columns `carry`, with `_quality`, the counts, and `_kept`, `_nearest`: the verdict, and the nearest language with its distance as a share of what is allowed. These columns are written once more, so that a text is judged by its own row and never joined."""
-    made = staged(counts(df, text, lang).select(*(df.columns if carry is None else carry), "_quality"), "quality-counts")
+    made = staged(counts(df, text, lang, learned(df, text, lang)).select(*(df.columns if carry is None else carry), "_quality"), "quality-counts")
     known, others = references(made.select("_quality.*"), most_literals)
     own = lambda c: F.col(f"_quality.{c}")
 

@@ -3,12 +3,23 @@ import random
 import re
 from collections import Counter
 
+import xxhash
+
 from loomgraph.llm import quality
 
 HISTOGRAM = [r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[.,;:!?'\"()-]", r"[#*$%&|<>@~^_=+/\[\]{}\\]", r"[^\x00-\x7F]"]
 
 
-def brute(text):
+def learned(rows):
+    """rows: (text, lang)."""
+    held = {}
+    for t, lang in rows:
+        if lang is not None:
+            held.setdefault(lang, Counter()).update(set(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    return {w for own in held.values() for w, _ in sorted(((w, n) for w, n in own.items() if n > 1), key=lambda x: (-x[1], x[0].encode()))[: quality.TOP]}
+
+
+def brute(text, known=frozenset()):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -16,7 +27,8 @@ def brute(text):
     again = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 5)}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     classes = [len(re.findall(p, t)) for p in HISTOGRAM]
-    common = [words.count(c) for c in quality.COMMON]
+    bins = Counter(xxhash.xxh64(w.encode(), seed=42).intdigest() % quality.BINS for w in words if w in known)
+    common = [bins[k] for k in range(quality.BINS)]
     failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), failed), classes + [len(t) - sum(classes)], common + [len(words) - sum(common)]
 
@@ -41,7 +53,9 @@ def test_equals_brute_force(spark):
     texts += ["%%% ### | " * 40 + " ".join(f"q{i}" for i in range(200)), " ".join(f"AB{i}" for i in range(90))]
     rows = [(i % 100, t, rng.choice(["en", "fr", None]), True) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept boolean").repartition(5)
-    made = [brute(t) for _, t, _, _ in rows]
+    known = learned([(t, g) for _, t, g, _ in rows])
+    assert known and known == set(quality.learned(df, "text", "lang"))
+    made = [brute(t, known) for _, t, _, _ in rows]
     sums = {}
     for (_, _, lang, _), (base, a, b) in zip(rows, made, strict=True):
         if lang and not base[5] and base[0] >= quality.MIN_WORDS:
