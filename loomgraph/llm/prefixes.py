@@ -35,7 +35,7 @@ EVERY, MOST_SHARED = 5, 9
 PRIME = (1 << 31) - 1
 BASES = (1_402_946_153, 620_089_373, 1_855_123_901, 977_254_423)
 #: A prefix with more than this part of all chains below it is heavy, but none with fewer than LEAST_HEAVY.
-PARTS, LEAST_HEAVY = 256, 64
+PARTS, LEAST_HEAVY = 256, 1024
 SHARD_CHAINS = 1 << 16
 ROOT = b"\0" * 16
 NO_ENDS = hashlib.sha256(b"").hexdigest()

@@ -56,7 +56,7 @@ def some_rows(seed, n=120, length=9):
     return out
 
 
-@pytest.mark.parametrize(("parts", "least", "shard_chains"), [(256, 64, 1 << 16), (4, 3, 5), (1000, 0, 1)])
+@pytest.mark.parametrize(("parts", "least", "shard_chains"), [(256, 1024, 1 << 16), (4, 3, 5), (1000, 0, 1)])
 def test_against_brute_force(spark, parts, least, shard_chains):
     rows = [*some_rows(parts), (None, 1, "user", "no conversation"), (7, 3, None, None), (7, 3, None, None)]
     rows += [(c, t, "user", "copied") for c in range(1000, 1100) for t in range(4)]
