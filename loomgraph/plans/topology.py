@@ -134,12 +134,16 @@ def edge_features(spark, sf_dir):
 
 
 @query(UNDIRECTED + """, d AS (SELECT world, n AS node, count(*) AS degree FROM (SELECT world, u AS n FROM u UNION ALL SELECT world, v FROM u) GROUP BY ALL), kt AS (SELECT world, n AS node, count(*) AS tt FROM (SELECT world, a AS n FROM tri UNION ALL SELECT world, b FROM tri UNION ALL SELECT world, c FROM tri) GROUP BY ALL),
+l AS (SELECT world, u AS src, v AS dst FROM u UNION ALL SELECT world, v, u FROM u),
+w AS (SELECT world, [src, dst] AS path, dst AS at FROM l WHERE src < dst UNION ALL SELECT w.world, list_append(path, l.dst), l.dst FROM w JOIN l ON l.world = w.world AND l.src = w.at WHERE l.dst > path[1] AND NOT list_contains(path, l.dst) AND len(path) < 6),
+c AS (SELECT w.world, len(path) AS length, path AS cycle FROM w JOIN l ON l.world = w.world AND l.src = w.at AND l.dst = path[1] WHERE len(path) >= 4 AND path[2] < path[len(path)]),
+oc AS (SELECT world, node, count_if(length = 4) AS c4, count_if(length = 5) AS c5, count_if(length = 6) AS c6 FROM (SELECT world, length, unnest(cycle) AS node FROM c) GROUP BY ALL),
 x AS (SELECT world, hours, amount, src AS node, 1 AS o FROM t UNION ALL SELECT world, hours, amount, dst, 0 FROM t), f AS (SELECT world, node, count_if(o = 0) AS n_in, count_if(o = 1) AS n_out, log10(coalesce(sum(CASE WHEN o = 0 THEN greatest(amount, 0) END), 0) + 1) AS log_in, log10(coalesce(sum(CASE WHEN o = 1 THEN greatest(amount, 0) END), 0) + 1) AS log_out, min(hours) AS first, max(hours) AS last, max(hours) - min(hours) AS span, count(*) AS n_events FROM x GROUP BY ALL)
-SELECT f.world, f.node, n_in, n_out, round(log_in, 7) AS log_in, round(log_out, 7) AS log_out, first - min(first) OVER (PARTITION BY f.world) AS first, last - min(first) OVER (PARTITION BY f.world) AS last, span, n_events, coalesce(tt, 0) AS triangles, round(CASE WHEN coalesce(degree, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(tt, 0) / (degree * (degree - 1)) END, 9) AS clustering FROM f LEFT JOIN d USING (world, node) LEFT JOIN kt USING (world, node)""")
+SELECT f.world, f.node, n_in, n_out, round(log_in, 7) AS log_in, round(log_out, 7) AS log_out, first - min(first) OVER (PARTITION BY f.world) AS first, last - min(first) OVER (PARTITION BY f.world) AS last, span, n_events, coalesce(tt, 0) AS triangles, round(CASE WHEN coalesce(degree, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(tt, 0) / (degree * (degree - 1)) END, 9) AS clustering, CAST(coalesce(c4, 0) AS BIGINT) AS cycles4, CAST(coalesce(c5, 0) AS BIGINT) AS cycles5, CAST(coalesce(c6, 0) AS BIGINT) AS cycles6 FROM f LEFT JOIN d USING (world, node) LEFT JOIN kt USING (world, node) LEFT JOIN oc USING (world, node)""")
 def assembled_features(spark, sf_dir):
-    """Node features and motifs of every account in each world, side by side."""
+    """Eight node features and five motifs of every account in each world, side by side."""
     t = transfers(spark, sf_dir)
-    return rounded(rounded(features.assembled(t, ["world"], graph.motifs(t, BY)), "log_in", "log_out", places=7), "clustering")
+    return rounded(rounded(features.assembled(t, ["world"], graph.motifs(t, BY, 6)), "log_in", "log_out", places=7), "clustering")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, 1.0::DOUBLE AS c FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e WHERE vec_id % 5 > 0)
