@@ -10,7 +10,6 @@ from loomgraph.operators import boosting, features, graph, metrics, models, ring
 from loomgraph.plans.graphs import BY, MOST_CYCLES, MOST_PATHS
 from loomgraph.plans.metrics import rounded
 from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
-from loomgraph.plans.topology import selected
 from loomgraph.session import staged
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -66,12 +65,10 @@ def observed_values(spark, sf_dir):
 
 @query()
 def leafwise_ranking(spark, sf_dir):
-    """AP and AUROC of trees that grow leaf by leaf, after 5, 10 and 20 of them, in each held-out day; they tell from twenty numbers of a cycle's events whether one of these is an error."""
-    chosen, t = selected(spark, sf_dir), transfers(spark, sf_dir)
-    chosen = staged(chosen, "chosen")
-    labels = chosen.groupBy("world", "candidate").agg(F.max((F.col("kind") == "error").cast("int")).alias("y"))
-    rows = staged(features.candidate_summary(chosen, t, BY).join(labels, "candidate"), "candidates")
-    names = [c for c in rows.columns if c not in ("candidate", "world", "y")]
+    """AP and AUROC, in each held-out day, of trees that grow leaf by leaf, after 5, 10 and 20 of them; they tell errors from other kinds by an account's numbers of a day and kind."""
+    rows = features.node_features(transfers(spark, sf_dir), ["world", "kind"]).withColumn("y", (F.col("kind") == "error").cast("int"))
+    rows = staged(rows, "accounts")
+    names = ["n_in", "n_out", "log_in", "log_out", "span", "n_events"]
     held = F.col("world") % 5 == 0
     model = boosting.fit(models.world_weights(rows.where(~held)).withColumn("w", F.col("w") * 10_000), names, weight="w", rounds=20, leaves=7)
     rounds = [5, 10, 20]
