@@ -28,7 +28,7 @@ MIN_WORDS, MIN_COMMON, WINDOW, FEWEST, MOST_REPEATED = 50, 150, 5, 10, 20
 #: Languages whose references are constants of the plan; languages of a block of the others.
 MOST_LITERALS, BLOCK_LANGUAGES = 16, 1024
 #: Largest Jensen-Shannon distances from a language.
-MOST_CLASSES, MOST_COMMON = 0.27, 0.30
+MOST_CLASSES, MOST_COMMON = 0.27, 0.32
 BLANK = r"[\x20\x09-\x0D]+"
 #: What to remove from a text so that one class of characters is left; the last bin holds all others.
 CLASSES = [r"[^\x20\x09-\x0D]+", "[^A-Z]+", "[^0-9]+", r"[^.,;:!?'\"()-]+", r"[^#*$%&|<>@~^_=+/\[\]{}\\]+", r"[\x00-\x7F]+"]
