@@ -36,10 +36,35 @@ def transposed(a: DataFrame) -> DataFrame:
     return a.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
 
 
+def edge_pairs(one: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """B1' B1 as (row, col, val) in two parts without a common entry: pairs of columns of which at most one is marked, and pairs of marked ones. one: B1, at most two entries a column; marked: distinct (col).
+
+    Two columns that share a row meet there, and those that share two meet at the lesser, so every pair is made once, whole, and what is made needn't be gathered again: only the entries cross the network, never the pairs.
+    """
+    both = F.array_sort(F.collect_list(F.struct("row", "val")))  # as many as a column has entries
+    few = F.when(F.size("ends") <= 2, F.col("ends")).otherwise(F.raise_error(F.lit("a column has more than two entries")).cast("array<struct<row:string,val:bigint>>"))
+    ends = one.select("col", F.col("row").cast("string").alias("row"), F.col("val").cast("bigint").alias("val")).groupBy("col").agg(both.alias("ends")).select("col", few.alias("ends"))
+    known = marked.select("col", F.lit(True).alias("mark"))
+    ends = staged(ends.join(known, "col", "left").fillna(False, ["mark"]), "ends")
+    at = lambda i, j: F.struct(F.col("ends")[i]["row"].alias("r"), F.col("ends")[i]["val"].alias("x"), F.get("ends", F.lit(j))["row"].alias("o"), F.get("ends", F.lit(j))["val"].alias("y"))
+    entry = ends.where(F.size("ends") > 0).select("col", "mark", F.inline(F.when(F.size("ends") == 2, F.array(at(0, 1), at(1, 0))).otherwise(F.array(at(0, 1)))))
+
+    def met(a: DataFrame, b: DataFrame, more=F.lit(True)) -> DataFrame:
+        b = b.select("r", *(F.col(c).alias(f"{c}_b") for c in ("col", "mark", "x", "o", "y")))
+        twice = F.coalesce(F.col("o") == F.col("o_b"), F.lit(False))
+        val = F.col("x") * F.col("x_b") + F.when(twice, F.col("y") * F.col("y_b")).otherwise(F.lit(0))
+        kept = a.join(b, "r").where(more & (~twice | (F.col("r") < F.col("o"))))
+        return kept.select(F.col("col").alias("row"), F.col("col_b").alias("col"), val.alias("val")).where("val <> 0")
+
+    core = entry.where("mark")
+    return met(entry, entry, ~(F.col("mark") & F.col("mark_b"))), met(core, core)
+
+
 def laplacians(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """L0 = B1 B1', L1 = B1' B1 + B2 B2', L2 = B2' B2."""
-    sums = product(transposed(one), one).unionByName(product(two, transposed(two))).groupBy("row", "col").agg(F.sum("val").alias("val")).where("val <> 0")
-    return product(one, transposed(one)), sums, product(transposed(two), two)
+    """L0 = B1 B1', L1 = B1' B1 + B2 B2', L2 = B2' B2. Of L1 only pairs of edges that both lie on cells are summed up by pair, as the others have no part in B2 B2'."""
+    apart, met = edge_pairs(one, two.select(F.col("row").alias("col")).distinct())
+    sums = met.unionByName(product(two, transposed(two))).groupBy("row", "col").agg(F.sum("val").alias("val")).where("val <> 0")
+    return product(one, transposed(one)), apart.unionByName(sums), product(transposed(two), two)
 
 
 def residual(edges: DataFrame, group: str) -> DataFrame:

@@ -222,7 +222,8 @@ def node_laplacian(spark, sf_dir):
 def edge_laplacian(spark, sf_dir):
     """L1 of all worlds' arcs and cells."""
     own = edges(spark, sf_dir)
-    return incidence.laplacians(incidence.b1(own), incidence.b2_cells(own, boundaries(spark, sf_dir)))[1].withColumn("val", F.col("val").cast("bigint"))
+    two = staged(incidence.b2_cells(own, boundaries(spark, sf_dir)), "b2")
+    return incidence.laplacians(incidence.b1(own), two)[1].withColumn("val", F.col("val").cast("bigint"))
 
 
 @query(cells_sql(PAIRED) + """ SELECT x.c AS row, y.c AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b2 x JOIN b2 y USING (r) GROUP BY ALL HAVING sum(x.v * y.v) <> 0""")
