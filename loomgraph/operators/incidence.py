@@ -131,6 +131,12 @@ def fan_incidence(faces: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
+def fan_open(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """(key, open): entries of B1 B2 that aren't zero, for the candidates that have one. Both sides are dealt by (key, col): a fan's rows are many times the table that they are made of, whose size a planner goes by when it chooses to broadcast."""
+    met = one.withColumnRenamed("val", "x").join(two.select(key, F.col("row").alias("col"), F.col("col").alias("face"), F.col("val").alias("y")).hint("merge"), [key, "col"])
+    return met.groupBy(key, "row", "face").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0").groupBy(key).agg(F.count("*").alias("open"))
+
+
 def hasse(one: DataFrame, two: DataFrame) -> DataFrame:
     """(cell, rank0, rank1, pairs): a cell's nodes, its edges, and the signed pairs of both with the ranks above them, in order."""
     faces = two.select(F.col("col").alias("cell"), F.col("row").alias("edge"), F.col("val").alias("up"))

@@ -411,16 +411,14 @@ o AS (SELECT candidate, i, vertex, sum(v) AS v FROM (SELECT candidate, i, unnest
 SELECT f.candidate, count(*) AS faces, count(DISTINCT f.a) AS corners, count_if(f.a LIKE 'account:%') AS accounts, any_value(z.open) AS open FROM f JOIN (SELECT candidate, count_if(v <> 0) AS open FROM o GROUP BY candidate) z USING (candidate) GROUP BY f.candidate""")
 def centre_fans(spark, sf_dir):
     """Every event tuple's cycle through its ports filled from a centre: faces, corners, accounts among these, and entries of B1 B2 that aren't zero."""
-    k = staged(tuples(spark, sf_dir), "tuples")
+    k = staged(tuples(spark, sf_dir).withColumn("key", F.monotonically_increasing_id()), "tuples")
     name = F.concat_ws(":", F.col("world").cast("string"), F.array_join("cycle", "-"), F.array_join("events", "-")).alias("candidate")
     n = F.size("cycle")
-    chosen = k.select(name, "cycle", F.posexplode("events").alias("place", "event_id")).select("candidate", "place", "event_id", F.col("cycle")[F.col("place")].alias("src"), F.col("cycle")[(F.col("place") + 1) % n].alias("dst"))
-    faces = staged(incidence.port_fan(chosen, "candidate"), "faces")
-    one, two = incidence.fan_incidence(faces, "candidate")
-    met = one.withColumnRenamed("val", "x").join(two.select("candidate", F.col("row").alias("col"), F.col("col").alias("face"), F.col("val").alias("y")), ["candidate", "col"])
-    open_ = met.groupBy("candidate", "row", "face").agg(F.sum(F.col("x") * F.col("y")).alias("v")).where("v <> 0").groupBy("candidate").agg(F.count("*").alias("open"))
-    told = faces.groupBy("candidate").agg(F.count("*").alias("faces"), F.count_distinct("a").alias("corners"), F.count_if(F.col("a").startswith("account:")).alias("accounts"))
-    return told.join(open_, "candidate", "left").fillna(0, ["open"])
+    chosen = k.select("key", "cycle", F.posexplode("events").alias("place", "event_id")).select("key", "place", "event_id", F.col("cycle")[F.col("place")].alias("src"), F.col("cycle")[(F.col("place") + 1) % n].alias("dst"))
+    faces = staged(incidence.port_fan(chosen, "key"), "faces")
+    open_ = incidence.fan_open(*incidence.fan_incidence(faces, "key"), "key")
+    told = faces.groupBy("key").agg(F.count("*").alias("faces"), F.count_distinct("a").alias("corners"), F.count_if(F.col("a").startswith("account:")).alias("accounts"))
+    return k.select("key", name).join(told, "key").join(open_, "key", "left").fillna(0, ["open"]).select("candidate", "faces", "corners", "accounts", "open")
 
 
 @query(CELLS + """, q AS (SELECT (SELECT count(DISTINCT cell) FROM z) AS cells, (SELECT count(*) FROM (SELECT DISTINCT c FROM (SELECT b1.r, b2.c FROM b1 JOIN b2 ON b1.c = b2.r GROUP BY ALL HAVING sum(b1.v * b2.v) <> 0))) AS open) SELECT unnest(['product', 'ends', 'renamed']) AS form, cells, open FROM q""")

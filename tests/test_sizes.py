@@ -52,3 +52,13 @@ def test_edge_pairs_of_parallel_edges(spark):
     got = {(r.row, r.col): r.val for r in apart.unionByName(met).collect()}
     assert got == {(r.row, r.col): r.val for r in incidence.product(incidence.transposed(incidence.b1(e)), incidence.b1(e)).collect()}
     assert {(r.row, r.col) for r in met.collect()} == {("a", "a"), ("a", "c"), ("c", "a"), ("c", "c")}
+
+
+def test_fans_are_not_broadcast(spark):
+    chosen = spark.createDataFrame([(7, 0, 10, 1, 2), (7, 1, 11, 2, 1)], "key long, place int, event_id long, src long, dst long")
+    one, two = incidence.fan_incidence(incidence.port_fan(chosen, "key"), "key")
+    rows, plan = collected(incidence.fan_open(one, two, "key"))
+    assert rows == []
+    assert not [n for n, _ in plan if n.startswith("Broadcast")]
+    broken = incidence.fan_open(one, two.withColumn("val", F.lit(1)), "key").collect()
+    assert [(r.key, r.open > 0) for r in broken] == [(7, True)]
