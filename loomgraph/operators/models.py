@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -86,17 +88,34 @@ def observed(df: DataFrame, by: list[str], x: str, near: float = 0.99) -> DataFr
     return df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg((F.abs(x) >= near).cast("double")).alias("saturated"))
 
 
-def dense(x, weight: np.ndarray, bias: np.ndarray | None = None, act=None) -> F.Column:
-    """x W + b as an array, from an array column or a list of columns; act works on a column. The input is bound once and the weights are a literal that is folded over, so plans grow with the layers and not with products of their widths. A null input counts as zeros."""
-    own = F.array(*x) if isinstance(x, list) else x
-    shift = np.zeros(weight.shape[1]) if bias is None else bias
-    rows = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in weight[:, j])).alias("w"), F.lit(float(shift[j])).alias("b")) for j in range(weight.shape[1])))
+def affine(lists: pa.Array, weight: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """x W + b of a batch of lists, in one product. A null list or element counts as zeros, and so do elements that a shorter list lacks; a longer list raises."""
+    n, width = len(lists), weight.shape[0]
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if n and lengths.max() > width:
+        raise ValueError(f"a list of {lengths.max()} numbers for {width} rows of weights")
+    given = pc.fill_null(lists.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    if len(given) == n * width:
+        x = given.reshape(n, width)
+    else:
+        x = np.zeros((n, width))
+        x[np.arange(width) < lengths[:, None]] = given
+    return x @ weight + shift
 
-    def out(v: F.Column, row: F.Column) -> F.Column:
-        y = F.aggregate(F.zip_with(row["w"], v, lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, t: s + t) + row["b"]
-        return act(y) if act else y
 
-    return F.transform(F.array(own.cast("array<double>")), lambda v: F.transform(rows, lambda row: out(F.coalesce(v, F.array().cast("array<double>")), row)))[0]
+def dense(x, weight: np.ndarray, bias: np.ndarray | None = None, act=None) -> F.Column:
+    """x W + b as an array, from an array column or a list of columns; act works on a column. The product of a batch of rows with the weights is taken at once in a task, so a row costs no expression for each weight, and plans grow with the layers and not with products of their widths. A null input counts as zeros."""
+    own = (F.array(*x) if isinstance(x, list) else x).cast("array<double>")
+    given, shift = np.asarray(weight, dtype=float), np.zeros(weight.shape[1]) if bias is None else np.asarray(bias, dtype=float)
+    tanh = act is F.tanh
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        y = affine(v, given, shift)
+        y = np.tanh(y) if tanh else y
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))
+
+    return run(own) if tanh or act is None else F.transform(run(own), act)
 
 
 def with_loops(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:

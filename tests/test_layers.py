@@ -148,3 +148,16 @@ def test_large_clusters_weigh_more(spark):
     sums = statistics.cluster_sums(df, "c", ["arm"], "a", "b")
     means = {round(r["mean"], 9) for r in statistics.resampled(sums, "c", ["arm"], "_d", 60, "s", "_n").collect()}
     assert means == {1.0, 3.0, 4.0}
+
+
+def test_dense_makes_one_product_of_a_batch(spark):
+    """Null and short lists count as zeros, a long one raises, and a plan holds no expression for each weight."""
+    w, b = np.arange(72 * 24).reshape(72, 24) / 1000.0, np.arange(24) / 10.0
+    rows = [(0, [1.0] * 72), (1, None), (2, [2.0, None, 1.0]), (3, [])]
+    df = spark.createDataFrame(rows, "k int, x array<double>").select("k", models.dense(F.col("x"), w, b, F.tanh).alias("y"))
+    x = np.array([[1.0] * 72, [0.0] * 72, [2.0, 0.0, 1.0] + [0.0] * 69, [0.0] * 72])
+    got = np.array([r.y for r in df.orderBy("k").collect()])
+    assert np.allclose(got, np.tanh(x @ w + b), rtol=0, atol=1e-12)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 2_000
+    with pytest.raises(Exception, match="73 numbers for 72 rows"):
+        spark.range(1).select(models.dense(F.array_repeat(F.lit(1.0), 73), w)).collect()
