@@ -191,7 +191,7 @@ def port_births(events: DataFrame, group: str, time: str = "time") -> DataFrame:
     """(group, time, births): the endless classes in H1 of the unfilled graph in which every event (group, event_id, src, dst, time) is a path of four segments through three ports of its own, by distinct time of an event; times without any are left out.
 
     An event begins a class unless it joins two components of accounts for the first time, so a time's births are its events less the edges of the forest at that time; parallel events and loops begin
-    one each. The sum is held against segments - vertices + components and against segments less the rank over GF(2) of the expanded graph itself; a difference raises.
+    one each. The sum is held against segments - vertices + components and against segments less the rank over GF(2) of the expanded graph, with the components of the accounts' graph, which the forest has no part in; a difference raises.
     """
     from loomgraph.operators import components
 
@@ -199,13 +199,12 @@ def port_births(events: DataFrame, group: str, time: str = "time") -> DataFrame:
     pairs = staged(filtration(own, group), "pairs")
     joined = forest(pairs, group).groupBy(group, "time").agg(F.count("*").alias("joined"))
     births = own.groupBy(group, "time").agg(F.count("*").alias("n")).join(joined, [group, "time"], "left").select(group, "time", (F.col("n") - F.coalesce("joined", F.lit(0))).alias("births"))
-    # The expanded graph: accounts have port 0, an event's ports 1, 2 and 3.
-    at = lambda port, x: F.struct(F.col(group).alias("g"), F.lit(port).alias("port"), F.col(x).cast("bigint").alias("x"))
-    stops = [at(0, "src"), at(1, "event_id"), at(2, "event_id"), at(3, "event_id"), at(0, "dst")]
-    segments = own.select(F.inline(F.array(*(F.struct(a.alias("a"), b.alias("b")) for a, b in zip(stops, stops[1:], strict=False)))))
-    below = components.stars(segments).groupBy(F.col("a.g").alias(group)).agg(F.count("*").alias("rank"))  # all vertices but one of each component
+    # In the incidence of the expanded graph each port has a segment of its own event as pivot, which leaves the last one as a column from the event's source to its target: so
+    # its rank is three for each event and that of the accounts' graph, and no port is looked at.
+    at = lambda x: F.struct(F.col(group).alias("g"), F.col(x).alias("x"))
+    tied = components.stars(pairs.select(at("u").alias("a"), at("v").alias("b"))).groupBy(F.col("a.g").alias(group)).agg(F.count("*").alias("tied"))  # all accounts but one of each component
     accounts = own.select(group, F.explode(F.array("src", "dst")).alias("x")).distinct().groupBy(group).agg(F.count("*").alias("accounts"))
-    sums = births.groupBy(group).agg(F.sum("births").alias("own")).join(own.groupBy(group).agg(F.count("*").alias("n")), group).join(accounts, group).join(below, group)
+    sums = births.groupBy(group).agg(F.sum("births").alias("own")).join(own.groupBy(group).agg(F.count("*").alias("n")), group).join(accounts, group).join(tied, group, "left").fillna(0, ["tied"]).withColumn("rank", 3 * F.col("n") + F.col("tied"))
     vertices, edges = F.col("accounts") + 3 * F.col("n"), 4 * F.col("n")
     good = (F.col("own") == edges - vertices + (vertices - F.col("rank"))) & (F.col("own") == edges - F.col("rank"))
     checked = sums.select(group, F.when(good, F.lit(0)).otherwise(F.raise_error(F.lit("the counts of endless classes differ")).cast("int")).alias("_zero"))

@@ -73,6 +73,17 @@ def test_port_births(spark):
     assert sorted(map(tuple, persistence.port_births(df, "g").collect())) == [(1, 1.0, 1), (1, 2.0, 2)]
 
 
+def test_port_births_look_at_pairs_and_not_at_ports(spark, monkeypatch):
+    """Two hundred events between three accounts, and a group that has a loop alone."""
+    from loomgraph.operators import components
+
+    df = spark.createDataFrame([(1, i, i % 3, (i + 1) % 3, float(i // 50)) for i in range(200)] + [(2, 200, 7, 7, 5.0)], "g int, event_id long, src long, dst long, time double")
+    seen, stars = [], components.stars
+    monkeypatch.setattr(components, "stars", lambda e: seen.append(e.count()) or stars(e))
+    assert sorted(map(tuple, persistence.port_births(df, "g").collect())) == [(1, 0.0, 48), (1, 1.0, 50), (1, 2.0, 50), (1, 3.0, 50), (2, 5.0, 1)]
+    assert seen == [3]
+
+
 def rank(rows, n, modulus):
     """Rank of a dense matrix modulo a prime."""
     rows, r = [[x % modulus for x in row] for row in rows], 0
