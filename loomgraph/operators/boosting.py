@@ -4,7 +4,8 @@ Features are cut into bins; a tree's leaves are split best first, the split with
 trees and the histograms of the leaves that may be split next: leaves x features x bins numbers, whatever the number of rows. A pass over
 the rows sums the histograms of the lesser child of each leaf that may be split; the other child is its parent less that. A pass serves all leaves
 that could come next, so a tree takes about as many passes as it is deep. Gradients are summed as whole numbers (in units of
-2 ** -40), so a model doesn't depend on how rows are dealt to tasks.
+2 ** -40), so a model doesn't depend on how rows are dealt to tasks. Rows with equal bins, label and weight are one row with their number, which
+changes no sum; passes go over these.
 """
 
 from __future__ import annotations
@@ -170,17 +171,18 @@ def fit(df: DataFrame, names: list[str], y: str = "y", weight: str | None = None
     def cut(batches):
         for b in batches:
             bins = model.bins(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("_y"), b.column("_w"), pa.array(np.full(len(bins), model.start))], ["bins", "y", "w", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("_y"), b.column("_w")], ["bins", "y", "w"])
 
-    kind = "bins binary, y double, w double, score double"
-    data, written = staged(rows.mapInArrow(cut, kind), "binned"), 0
+    kind = "bins binary, y double, w double, n long, score double"
+    alike = rows.mapInArrow(cut, "bins binary, y double, w double").groupBy("bins", "y", "w").agg(F.count("*").alias("n"))
+    data, written = staged(alike.withColumn("score", F.lit(model.start)), "binned"), 0
 
     def read(b: pa.RecordBatch, trees: list[Tree]):
         bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.int16).reshape(b.num_rows, len(names))
         score = b.column("score").to_numpy()
         for t in trees:
             score = score + t.value[t.place(bins)]
-        return bins, b.column("y").to_numpy(), b.column("w").to_numpy(), score
+        return bins, b.column("y").to_numpy(), b.column("w").to_numpy(), b.column("n").to_numpy(), score
 
     for _ in range(rounds):
         late = model.trees[written:]
@@ -190,8 +192,8 @@ def fit(df: DataFrame, names: list[str], y: str = "y", weight: str | None = None
                 total = 0
                 for b in batches:
                     if b.num_rows:
-                        bins, own_y, own_w, score = read(b, late)
-                        total = total + summed(tree.place(bins), nodes, bins, (*gradients(score, own_y, own_w), np.ones(len(bins), np.int64)), width)
+                        bins, own_y, own_w, n, score = read(b, late)
+                        total = total + summed(tree.place(bins), nodes, bins, (*(x * n for x in gradients(score, own_y, own_w)), n), width)
                 if np.any(total):
                     at = np.nonzero(total.any(axis=1))
                     yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int32)) for a in at), *(pa.array(total[at[0], j, at[1], at[2]]) for j in range(3))], ["node", "feature", "bin", "g", "h", "n"])
@@ -209,7 +211,7 @@ def fit(df: DataFrame, names: list[str], y: str = "y", weight: str | None = None
 
             def advance(batches, pending=pending):
                 for b in batches:
-                    yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), b.column("w"), pa.array(read(b, pending)[3])], ["bins", "y", "w", "score"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bins", "y", "w", "n")), pa.array(read(b, pending)[4])], ["bins", "y", "w", "n", "score"])
 
             before, data, written = data, staged(data.mapInArrow(advance, kind), "binned"), len(model.trees)
             discard(before)

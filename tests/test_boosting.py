@@ -75,3 +75,16 @@ def test_it_learns_and_refuses(spark):
         boosting.fit(frame(spark, x, y * 0, w, 2), ["a"])
     with pytest.raises(ValueError, match="may not predict"):
         boosting.fit(frame(spark, x, y, w, 2), ["a", "y"])
+
+
+def test_equal_rows_are_one_row(spark, monkeypatch):
+    """Forty copies of each row: the table that passes go over has a row for each kind of row, and the trees are those of the copies told apart."""
+    x, y, w = table(60, 4)
+    x, y, w = np.repeat(x.round(1), 40, axis=0), np.repeat(y, 40), np.repeat(w.round(1), 40)
+    written, write = [], boosting.staged
+    monkeypatch.setattr(boosting, "staged", lambda t, name: written.append((s := write(t, name)).count()) or s)
+    model = boosting.fit(frame(spark, x, y, w, 5), ["a", "b", "c"], weight="w", rounds=3, leaves=5, least_rows=80, most_bins=12)
+    assert max(written) <= 60
+    bins = model.bins(x)
+    want = plain(bins, y, w, model.start, 3, 5, 0.1, 80, 0.0, int(bins.max()) + 1)
+    assert model.staged_scores(x, [1, 2, 3]) == pytest.approx(np.stack(want, axis=1), abs=1e-9)
