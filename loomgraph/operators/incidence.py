@@ -240,15 +240,30 @@ def reduced(columns: Iterator[tuple[bool, dict[int, int]]], first: int, modulus:
     yield from ((True, c) for c in held.values())
 
 
+def peeled(cells: DataFrame, by: tuple[str, ...] = (), most_rounds: int = 30) -> tuple[list[DataFrame], DataFrame]:
+    """([(by, rank)], rest): columns that have a row to themselves, as faces with a free edge do, are taken off and counted, again and again while they are at least one for a hundred entries. The rank of (by, row, col, val) is their number and the rank of the rest."""
+    cells, counts = staged(cells, "entries"), []
+    for _ in range(most_rounds):
+        lone = staged(cells.groupBy(*by, "row").agg(F.count("*").alias("n"), F.min("col").alias("col")).where("n = 1").select(*by, "col").distinct(), "free-columns")
+        n = lone.count()
+        if n * 100 <= cells.count():
+            break
+        counts.append(lone.groupBy(*by).agg(F.count("*").alias("rank")))
+        before, cells = cells, staged(cells.join(lone, [*by, "col"], "left_anti"), "entries")
+        discard(before)
+    return counts, cells
+
+
 def ranks(entries: DataFrame, by: tuple[str, ...] = (), modulus: int = LARGE_PRIME, block_rows: int = 4096) -> DataFrame:
     """(by, rank): the rank of each group's matrix (by, row, col, val) modulo a prime. Groups without an entry are left out.
 
-    Rows are numbered and cut into blocks. A round reduces the columns whose lowest entry lies in a block against those that hold one there, in a task for each block;
+    Columns with a row to themselves are counted first (peeled). The rows of the others are numbered and cut into blocks. A round reduces the columns whose lowest entry lies in a block against those that hold one there, in a task for each block;
     what falls below goes to an earlier block in the next round. Rounds are as many as the blocks that a column falls through. A column holds at most as many entries as
     its group has rows, which for boundaries fills up slowly.
     """
     by = tuple(by)
     cells = entries.select(*by, "row", "col", (F.pmod(F.col("val").cast("bigint"), F.lit(modulus))).alias("val")).where("val <> 0")
+    apart, cells = peeled(cells, by)
     numbered = staged(with_ordinal(cells.select(*by, "row").distinct(), [*by, "row"], "place"), "rows")
     columns = cells.join(numbered, [*by, "row"]).groupBy(*by, "col").agg(F.collect_list("place").alias("rows"), F.collect_list("val").alias("vals"))  # as many as a column has entries
     block = lambda rows: F.floor(F.array_max(rows) / block_rows)
@@ -270,13 +285,16 @@ def ranks(entries: DataFrame, by: tuple[str, ...] = (), modulus: int = LARGE_PRI
         held, new = staged(settled, "held"), staged(done.where("NOT settled"), "columns")
         discard(done)
     if held is None:
-        return numbered.groupBy(*by).agg(F.count("*").alias("rank")).limit(0)
-    return held.select(F.array_max("rows").alias("place")).join(numbered, "place").groupBy(*by).agg(F.count("*").alias("rank"))
+        rest = numbered.groupBy(*by).agg(F.count("*").alias("rank")).limit(0)
+    else:
+        rest = held.select(F.array_max("rows").alias("place")).join(numbered, "place").groupBy(*by).agg(F.count("*").alias("rank"))
+    return forms_union([rest, *apart]).groupBy(*by).agg(F.sum("rank").alias("rank")) if apart else rest
 
 
 def betti_of_faces(nodes: DataFrame, edges: DataFrame, triangles: DataFrame, stars: DataFrame, by: tuple[str, ...], modulus: int = LARGE_PRIME) -> DataFrame:
     """(by, beta0, beta1, beta2) of complexes of nodes (by, node), edges (by, u, v, edge) with u < v and triangles (by, u, v, w, cell); stars: (by, node, root) of the nodes that aren't the least of their component."""
     by = tuple(by)
+    triangles = staged(triangles, "triangles")
     counts = rank_of_incidence(nodes, stars, edges, list(by))
     faces = triangles.groupBy(*by).agg(F.count("*").alias("faces"))
     rank = ranks(b2_simplicial(edges, triangles, by, keep=by), by, modulus).withColumnRenamed("rank", "rank2")

@@ -114,6 +114,17 @@ def test_ranks_equal_elimination(spark, modulus, block):
     assert incidence.ranks(spark.createDataFrame([], "g int, row int, col int, val int"), ("g",), modulus).collect() == []
 
 
+def test_free_faces_are_not_eliminated(spark, monkeypatch):
+    """A strip of 300 triangles goes by its free edges; a sphere, whose edges have two faces each, is left for the elimination."""
+    faces = [(1, (i, i + 1, i + 2)) for i in range(300)] + [(2, f) for f in itertools.combinations(range(4), 3)]
+    cells = [(g, f"{p[0]}-{p[1]}", str(f), (-1) ** k) for g, f in faces for k, p in enumerate(itertools.combinations(f, 2))]
+    written, write = [], incidence.staged
+    monkeypatch.setattr(incidence, "staged", lambda t, name: written.append((name, (s := write(t, name)).count())) or s)
+    got = incidence.ranks(spark.createDataFrame(cells, "g int, row string, col string, val int"), ("g",))
+    assert {r.g: r["rank"] for r in got.collect()} == {1: 300, 2: 3}
+    assert max(n for name, n in written if name == "columns") == 4
+
+
 #: The projective plane on six points: its cycle of order two counts over GF(2) alone.
 PLANE = [(0, 1, 2), (0, 1, 3), (0, 2, 4), (0, 3, 5), (0, 4, 5), (1, 2, 5), (1, 3, 4), (1, 4, 5), (2, 3, 4), (2, 3, 5)]
 
