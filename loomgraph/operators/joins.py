@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import dealt
+
 
 def join_faults(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(fault, n): keys that come twice on a side or on one side alone; a strict join needs all to be 0. One pass over the keys of both."""
@@ -90,8 +92,11 @@ def membership(candidates: DataFrame, instances: DataFrame, by: list[str]) -> Da
 
 
 def realization(schedules: DataFrame, attempts: DataFrame, events: DataFrame, frame: tuple) -> DataFrame:
-    """alert, arcs, attempted, persisted, stray, complete, in_frame: how much of each scheduled alert came about. schedules: (alert, arcs), attempts: (attempt, alert, arc), events: (attempt, time). An alert is complete if its persisted arcs are exactly 0 to arcs - 1; in frame if it is complete within the frame."""
-    met = attempts.join(events.groupBy("attempt").agg(F.min("time").alias("first"), F.max("time").alias("last")), "attempt", "left").join(schedules, "alert", "right")
+    """alert, arcs, attempted, persisted, stray, complete, in_frame: how much of each scheduled alert came about. schedules: (alert, arcs), attempts: (attempt, alert, arc), events: (attempt, time). An alert is complete if its persisted arcs are exactly 0 to arcs - 1; in frame if it is complete within the frame. Tasks are as many as the rows need."""
+    many = max(x.count() for x in (schedules, attempts, events))
+    times = dealt(events.select("attempt", "time"), many, "attempt").groupBy("attempt").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    met = dealt(attempts, many, "attempt").join(times, "attempt", "left").select("alert", "arc", "first", "last")
+    met = dealt(met, many, "alert").join(dealt(schedules, many, "alert"), "alert", "right")
     there, inside = F.col("first").isNotNull(), (F.col("arc") >= 0) & (F.col("arc") < F.col("arcs"))
     sums = met.groupBy("alert", "arcs").agg(F.count("arc").alias("attempted"), F.count_if(there).alias("persisted"), F.count_if(there & ~inside).alias("stray"), F.count_distinct(F.when(there & inside, F.col("arc"))).alias("_arcs"), F.min("first").alias("_first"), F.max("last").alias("_last"))
     complete = (F.col("_arcs") == F.col("arcs")) & (F.col("stray") == 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import features, graph, joins, splits
 from loomgraph.plans.graphs import CYCLES, TUPLES, census, tuples
 from loomgraph.plans.relations import SCORED, TRANSFERS, scored, transfers
-from loomgraph.session import table
+from loomgraph.session import dealt, staged, table
 from loomgraph.sources.readers import strict_json
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -180,7 +180,9 @@ SELECT s.alert, s.arcs, count(arc) AS attempted, CAST(count_if(arc % 5 <> 4 AND
  count(DISTINCT CASE WHEN arc % 5 <> 4 AND arc < arcs THEN arc END) = arcs AND coalesce(count_if(arc % 5 <> 4 AND arc >= arcs), 0) = 0 AND coalesce(min(CASE WHEN arc % 5 <> 4 THEN shipped END) >= TIMESTAMP '1995-01-01', false) AS in_frame FROM s LEFT JOIN l USING (alert) GROUP BY s.alert, s.arcs""")
 def realization_report(spark, sf_dir):
     """Orders as scheduled alerts, their lines as attempts and all but every fifth line as events: what was attempted, persisted and completed."""
-    arcs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("alert"), (F.col("l_linenumber") - 1).alias("arc")).agg(F.max("l_shipdate").alias("time")).withColumn("attempt", F.concat_ws("-", "alert", "arc"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("alert"), (F.col("l_linenumber") - 1).alias("arc"), "l_shipdate")
+    arcs = dealt(lines, lines.count(), "alert", "arc").groupBy("alert", "arc").agg(F.max("l_shipdate").alias("time"))
+    arcs = staged(arcs.withColumn("attempt", F.concat_ws("-", "alert", "arc")), "attempts")
     schedules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alert"), (F.col("o_custkey") % 4 + 2).alias("arcs"))
     frame = (F.lit("1995-01-01").cast("timestamp"), F.lit("2999-01-01").cast("timestamp"))
     return joins.realization(schedules, arcs.select("attempt", "alert", "arc"), arcs.where("arc % 5 <> 4").select("attempt", "time"), frame)

@@ -63,6 +63,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 500_000) -> DataFrame:
+    """df dealt by keys to as many tasks as `rows` rows need with about `most` for each, so that a task's memory doesn't grow with the input; never fewer than the session's own number."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(own, -(-rows // most)), *keys)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the tables that staged() wrote for these frames. Nothing that is still to be computed may read them."""
     for df in frames:

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, incidence
+from loomgraph.operators import graph, incidence, joins
+from loomgraph.session import dealt
 
 
 def nodes_of(plan):
@@ -85,6 +86,20 @@ def test_cycle_counts_write_no_pairs_of_low_nodes(spark, monkeypatch):
         assert got[2, x] == tuple(through(near, [x], k) // 2 for k in (4, 5, 6)), x
 
 
+def test_realization_has_tasks_by_rows(spark, monkeypatch):
+    """Three thousand attempts, 500 rows for a task: each exchange has six tasks, where the session's number is four."""
+    monkeypatch.setattr(joins, "dealt", lambda df, rows, *keys: dealt(df, rows, *keys, most=500))
+    a = spark.range(3000).select(F.col("id").cast("string").alias("attempt"), F.floor(F.col("id") / 3).alias("alert"), (F.col("id") % 3).alias("arc"))
+    e = a.where("alert < 900").select("attempt", F.timestamp_seconds(F.col("alert")).alias("time"))
+    frame = (F.timestamp_seconds(F.lit(100)), F.timestamp_seconds(F.lit(10_000)))
+    schedules = spark.range(1001).select(F.col("id").alias("alert"), F.lit(3).cast("long").alias("arcs"))
+    rows, plan = collected(joins.realization(schedules, a, e, frame))
+    got = {r.alert: tuple(r)[1:] for r in rows}
+    assert len(got) == 1001 and got[1000] == (3, 0, 0, 0, False, False) and got[950] == (3, 3, 0, 0, False, False)
+    assert got[99] == (3, 3, 3, 0, True, False) and got[100] == (3, 3, 3, 0, True, True)
+    assert {p.outputPartitioning().numPartitions() for n, p in plan if n == "ShuffleExchangeExec"} == {6}
+
+
 def through(near, path, length):
     """How many ways there are to go on from a path to a simple cycle of so many nodes."""
     if len(path) == length - 1:
