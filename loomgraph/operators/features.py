@@ -24,9 +24,10 @@ def node_features(events: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def relative_times(features: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """Times less the first one of their group."""
-    origin = features.groupBy(*by).agg(F.min(names[0]).alias("_origin"))
+def relative_times(features: DataFrame, by: list[str], names: list[str], origin: DataFrame | None = None) -> DataFrame:
+    """Times less the first one of their group, or less the one that origin (by, _origin) has for it."""
+    if origin is None:
+        origin = features.groupBy(*by).agg(F.min(names[0]).alias("_origin"))
     return features.join(origin, by).select(*(((F.col(c) - F.col("_origin")).alias(c)) if c in names else c for c in features.columns))
 
 
@@ -129,7 +130,8 @@ def edge_features(events: DataFrame, by: list[str]) -> DataFrame:
 
 def assembled(events: DataFrame, by: list[str], motifs: DataFrame | None = None) -> DataFrame:
     """The eight features of every node, times from the group's first, and with motifs (by, node, ...) its columns beside them: thirteen with triangles, clustering and three cycle counts."""
-    own = relative_times(node_features(events, by), by, ["first", "last"])
+    origin = events.groupBy(*by).agg(F.min("hours").alias("_origin"))  # of events, so that the nodes' figures are made once
+    own = relative_times(node_features(events, by), by, ["first", "last"], origin)
     if motifs is None:
         return own
     more = [c for c in motifs.columns if c not in by and c not in ("node", "degree")]

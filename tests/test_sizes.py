@@ -86,6 +86,33 @@ def test_cycle_counts_write_no_pairs_of_low_nodes(spark, monkeypatch):
         assert got[2, x] == tuple(through(near, [x], k) // 2 for k in (4, 5, 6)), x
 
 
+def test_motifs_list_no_triangles_and_count_alike_in_64_bits_and_38_digits(spark, monkeypatch):
+    """Two worlds of hubs that are neighbours and low nodes on their triangles; the figures of every way of adding up are the same, and triangles are never listed."""
+    rows = [(1, h, 10 + i) for h in range(4) for i in range(30) if (i + h) % 3] + [(1, a, b) for a in range(4) for b in range(a)]
+    rows += [(2, 0, 10 + i) for i in range(20)] + [(2, 10 + i, 11 + i) for i in range(19)] + [(2, 50, 51), (2, 7, 7)]
+    df = spark.createDataFrame(rows, "g int, src int, dst int")
+    written, write = [], graph.staged
+    monkeypatch.setattr(graph, "triangles", None)
+    monkeypatch.setattr(graph, "staged", lambda t, name: written.append(name) or write(t, name))
+    found = lambda: {(r.g, r.node): tuple(r)[2:] for r in graph.motifs(df, ("g",), 6).collect()}
+    got = found()
+    assert len(written) <= 9
+    near = {}
+    for g, u, v in rows:
+        if u != v:
+            near.setdefault((g, u), set()).add(v)
+            near.setdefault((g, v), set()).add(u)
+    assert got.keys() == near.keys()
+    for g, x in [(1, 0), (1, 3), (1, 10), (1, 12), (2, 0), (2, 10), (2, 15), (2, 50)]:
+        own = {k: v for (h, k), v in near.items() if h == g}
+        n, three = len(own[x]), through(own, [x], 3) // 2
+        assert got[g, x] == (n, three, 2 * three / (n * (n - 1)) if n > 1 else 0.0, *(through(own, [x], k) // 2 for k in (4, 5, 6))), (g, x)
+    monkeypatch.setattr(graph, "FEW_HIGH", 0)
+    monkeypatch.setattr(graph, "PRODUCTS", {"n2": 0})
+    monkeypatch.setattr(graph, "MOST_SENT", 0)
+    assert found() == got
+
+
 def test_realization_has_tasks_by_rows(spark, monkeypatch):
     """Three thousand attempts, 500 rows for a task: each exchange has six tasks, where the session's number is four."""
     monkeypatch.setattr(joins, "dealt", lambda df, rows, *keys: dealt(df, rows, *keys, most=500))
