@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ordinals import with_ordinal
@@ -21,7 +21,7 @@ def b1(edges: DataFrame, edge: str = "edge") -> DataFrame:
 def b2_cells(edges: DataFrame, boundary: DataFrame, edge: str = "edge") -> DataFrame:
     """(row, col, val): +1 where a cell's arc follows an edge, -1 where it runs against one. boundary: (cell, src, dst). The aligned edge is preferred, of several the least; an arc without any edge raises."""
     ways = edges.select(edge, F.inline(F.array(F.struct("src", "dst", F.lit(1).alias("val")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(-1).alias("val")))))
-    best = ways.groupBy("src", "dst").agg(F.min(F.struct((-F.col("val")).alias("against"), F.col(edge).alias("edge"))).alias("way"))
+    best = ways.join(boundary.select("src", "dst").distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min(F.struct((-F.col("val")).alias("against"), F.col(edge).alias("edge"))).alias("way"))
     met = boundary.join(best, ["src", "dst"], "left")
     row = F.coalesce(F.col("way.edge"), F.raise_error(F.lit("a cell has an arc without an edge")).cast(dict(edges.dtypes)[edge]))
     return met.select(row.alias("row"), F.col("cell").alias("col"), (-F.col("way.against")).alias("val")).groupBy("row", "col").agg(F.sum("val").alias("val")).where("val <> 0")
@@ -36,28 +36,55 @@ def transposed(a: DataFrame) -> DataFrame:
     return a.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
 
 
-def edge_pairs(one: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: A row of more entries than PART is dealt into parts of about as many; an entry meets the others of up to GROUP parts in one place; a task makes about MADE pairs.
+PART, GROUP, MADE = 128, 32, 20_000_000
+
+
+def edge_pairs(one: DataFrame, marked: DataFrame, part: int = PART, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """B1' B1 as (row, col, val) in two parts without a common entry: pairs of columns of which at most one is marked, and pairs of marked ones. one: B1, at most two entries a column; marked: distinct (col).
 
     Two columns that share a row meet there, and those that share two meet at the lesser, so every pair is made once, whole, and what is made needn't be gathered again: only the entries cross the network, never the pairs.
     """
-    both = F.array_sort(F.collect_list(F.struct("row", "val")))  # as many as a column has entries
+    both = F.sort_array(F.collect_list(F.struct("row", "val")))  # as many as a column has entries
     few = F.when(F.size("ends") <= 2, F.col("ends")).otherwise(F.raise_error(F.lit("a column has more than two entries")).cast("array<struct<row:string,val:bigint>>"))
     ends = one.select("col", F.col("row").cast("string").alias("row"), F.col("val").cast("bigint").alias("val")).groupBy("col").agg(both.alias("ends")).select("col", few.alias("ends"))
     known = marked.select("col", F.lit(True).alias("mark"))
     ends = staged(ends.join(known, "col", "left").fillna(False, ["mark"]), "ends")
     at = lambda i, j: F.struct(F.col("ends")[i]["row"].alias("r"), F.col("ends")[i]["val"].alias("x"), F.get("ends", F.lit(j))["row"].alias("o"), F.get("ends", F.lit(j))["val"].alias("y"))
     entry = ends.where(F.size("ends") > 0).select("col", "mark", F.inline(F.when(F.size("ends") == 2, F.array(at(0, 1), at(1, 0))).otherwise(F.array(at(0, 1)))))
+    return entry_pairs(entry, ~(F.col("mark") & F.col("mark_b")), part, group), entry_pairs(entry.where("mark"), F.lit(True), part, group)
+
+
+def entry_pairs(entry: DataFrame, more: Column, part: int, group: int) -> DataFrame:
+    """(row, col, val): the pairs of columns that share a row, of entries (r, x) of col with the column's other entry (o, y), if any. more: on mark and mark_b, which pairs are wanted.
+
+    Only columns with the same other row can share two. Large rows are therefore dealt into parts by the other row: within a part each pair is looked at; across parts nothing is left to ask of a pair, so an entry meets whole arrays of columns
+    with one value and mark. Tasks are as many as the pairs need: a row of n entries sends each to n / (part * group) places.
+    """
+    def other(df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{c}_b" for c in names})
 
-    def met(a: DataFrame, b: DataFrame, more=F.lit(True)) -> DataFrame:
-        b = b.select("r", *(F.col(c).alias(f"{c}_b") for c in ("col", "mark", "x", "o", "y")))
+    def met(a: DataFrame, *keys: str) -> DataFrame:
+        b = other(a.select(*keys, "col", "mark", "x", "o", "y"), "col", "mark", "x", "o", "y")
         twice = F.coalesce(F.col("o") == F.col("o_b"), F.lit(False))
         val = F.col("x") * F.col("x_b") + F.when(twice, F.col("y") * F.col("y_b")).otherwise(F.lit(0))
-        kept = a.join(b, "r").where(more & (~twice | (F.col("r") < F.col("o"))))
+        kept = a.join(b, list(keys)).where(more & (~twice | (F.col("r") < F.col("o"))))
         return kept.select(F.col("col").alias("row"), F.col("col_b").alias("col"), val.alias("val")).where("val <> 0")
 
-    core = entry.where("mark")
-    return met(entry, entry, ~(F.col("mark") & F.col("mark_b"))), met(core, core)
+    large = staged(entry.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") > part), "large-rows")
+    made = large.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0]
+    if made is None:
+        return met(entry, "r")
+    parts = F.ceil(F.col("n") / part).cast("int").alias("parts")
+    place = F.pmod(F.xxhash64(F.coalesce("o", F.col("col").cast("string"))), F.col("parts")).cast("int")
+    entry = entry.join(large.select("r", parts), "r", "left").fillna(1, ["parts"]).withColumn("p", place)
+    tasks = max(int(entry.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(made) // MADE))
+    split = entry.where("parts > 1")
+    groups = F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / group).cast("int"))
+    ones = split.select("r", "p", "col", "mark", "x", F.explode(groups).alias("g")).repartition(tasks, "r", "g")
+    many = split.select("r", F.floor(F.col("p") / group).cast("int").alias("g"), "p", "mark", "x", "col").repartition(tasks, "r", "g").groupBy("r", "g", "p", "mark", "x").agg(F.collect_list("col").alias("cols"))  # about as many as a part has
+    across = ones.join(other(many, "p", "mark", "x").hint("merge"), ["r", "g"]).where(more & (F.col("p") != F.col("p_b"))).select(F.col("col").alias("row"), "cols", (F.col("x") * F.col("x_b")).alias("val")).where("val <> 0")
+    return met(entry.repartition(tasks, "r", "p"), "r", "p").unionByName(across.select("row", F.explode("cols").alias("col"), "val"))
 
 
 def laplacians(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -179,14 +179,15 @@ def named(c):
     return F.concat(F.col("world").cast("string"), F.lit(":"), F.col(c).cast("string"))
 
 
-def edges(spark, sf_dir):
-    """The arcs of all worlds with names of their own (world, src, dst, edge)."""
-    return graph.arcs(transfers(spark, sf_dir), BY).select("world", named("src").alias("src"), named("dst").alias("dst"), F.concat(named("src"), F.lit("-"), F.col("dst").cast("string")).alias("edge"))
+def edges(spark, sf_dir, arcs=None):
+    """The arcs of all worlds with names of their own (world, src, dst, edge); of `arcs`, where they are made already."""
+    arcs = arcs or graph.arcs(transfers(spark, sf_dir), BY)
+    return arcs.select("world", named("src").alias("src"), named("dst").alias("dst"), F.concat(named("src"), F.lit("-"), F.col("dst").cast("string")).alias("edge"))
 
 
-def boundaries(spark, sf_dir, most=LONGEST):
-    """The boundaries (cell, place, src, dst) of the cycles of 2 to so many arcs."""
-    found = graph.cycles(graph.arcs(transfers(spark, sf_dir), BY), range(2, most + 1), MOST_CYCLES, BY, MOST_PATHS)
+def boundaries(spark, sf_dir, most=LONGEST, arcs=None):
+    """The boundaries (cell, place, src, dst) of the cycles of 2 to so many arcs; of `arcs`, where they are made already."""
+    found = graph.cycles(arcs or graph.arcs(transfers(spark, sf_dir), BY), range(2, most + 1), MOST_CYCLES, BY, MOST_PATHS)
     return graph.cycle_arcs(found).select("world", F.concat(F.col("world").cast("string"), F.lit(":"), F.array_join("cycle", "-")).alias("cell"), "place", named("src").alias("src"), named("dst").alias("dst"))
 
 
@@ -221,9 +222,10 @@ def node_laplacian(spark, sf_dir):
 @query(CELLS + """ SELECT row, col, CAST(sum(val) AS BIGINT) AS val FROM (SELECT x.c AS row, y.c AS col, sum(x.v * y.v) AS val FROM b1 x JOIN b1 y USING (r) GROUP BY ALL UNION ALL SELECT x.r, y.r, sum(x.v * y.v) FROM b2 x JOIN b2 y USING (c) GROUP BY ALL) GROUP BY row, col HAVING sum(val) <> 0""")
 def edge_laplacian(spark, sf_dir):
     """L1 of all worlds' arcs and cells."""
-    own = edges(spark, sf_dir)
-    two = staged(incidence.b2_cells(own, boundaries(spark, sf_dir)), "b2")
-    return incidence.laplacians(incidence.b1(own), two)[1].withColumn("val", F.col("val").cast("bigint"))
+    arcs = staged(graph.arcs(transfers(spark, sf_dir), BY), "arcs")
+    own = edges(spark, sf_dir, arcs)
+    two = staged(incidence.b2_cells(own, boundaries(spark, sf_dir, arcs=arcs)), "b2")
+    return incidence.laplacians(incidence.b1(own.repartition("edge")), two)[1].withColumn("val", F.col("val").cast("bigint"))
 
 
 @query(cells_sql(PAIRED) + """ SELECT x.c AS row, y.c AS col, CAST(sum(x.v * y.v) AS BIGINT) AS val FROM b2 x JOIN b2 y USING (r) GROUP BY ALL HAVING sum(x.v * y.v) <> 0""")

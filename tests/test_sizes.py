@@ -55,6 +55,36 @@ def test_edge_pairs_of_parallel_edges(spark):
     assert {(r.row, r.col) for r in met.collect()} == {("a", "a"), ("a", "c"), ("c", "a"), ("c", "c")}
 
 
+def test_large_rows_meet_by_arrays(spark):
+    """A hub of 600 arcs makes 360,000 entries; those across its parts come of arrays, not of a joined row for each."""
+    arcs = [("h", f"n{i}") for i in range(300)] + [(f"n{i}", "h") for i in range(200, 500)]
+    e = spark.createDataFrame([(a, b, f"{a}-{b}") for a, b in arcs], "src string, dst string, edge string")
+    apart, met = incidence.edge_pairs(incidence.b1(e), spark.createDataFrame([(f"h-n{i}",) for i in range(5)], "col string"))
+    rows, plan = collected(apart)
+    sign = {f"{a}-{b}": -1 if a == "h" else 1 for a, b in arcs}
+    back = lambda x: "-".join(reversed(x.split("-")))
+    want = {(a, b): sign[a] * sign[b] * (1 + (a == b or a == back(b))) for a in sign for b in sign}
+    both = {(r.row, r.col): r.val for r in met.collect()}
+    assert len(rows) + len(both) == 360_000 and len(both) == 25
+    assert {(r.row, r.col): r.val for r in rows} | both == want
+    assert sum(p.metrics().apply("numOutputRows").value() for n, p in plan if n == "SortMergeJoinExec" or n.startswith("ShuffledHashJoin")) < 120_000
+
+
+def test_edge_pairs_in_small_parts(spark):
+    """Parallel, opposite and lone edges, values other than one, some marked, dealt into parts of two."""
+    rng = np.random.default_rng(4)
+    ends = [("x", 1, f"n{i % 23}", -1) for i in range(40)] + [(f"n{i}", -1, "x", 1) for i in range(9)] + [("x", 3, None, 0)] * 3 + [("y", 2, f"n{i}", -5) for i in range(6)] + [("y", 1, "x", -1)]
+    entries = [(r, f"e{i}", v) for i, (a, x, b, y) in enumerate(ends) for r, v in ((a, x), (b, y)) if r]
+    one = spark.createDataFrame(entries, "row string, col string, val long")
+    marked = spark.createDataFrame([(f"e{i}",) for i in rng.choice(len(ends), 12, False)], "col string")
+    apart, met = incidence.edge_pairs(one, marked, 2, 3)
+    m = {r.col for r in marked.collect()}
+    want = {(r.row, r.col): r.val for r in incidence.product(incidence.transposed(one), one).collect()}
+    for df, held in ((apart, {k: v for k, v in want.items() if not m >= set(k)}), (met, {k: v for k, v in want.items() if m >= set(k)})):
+        rows = df.collect()
+        assert len(rows) == len(held) and {(r.row, r.col): r.val for r in rows} == held
+
+
 def test_fans_are_not_broadcast(spark):
     chosen = spark.createDataFrame([(7, 0, 10, 1, 2), (7, 1, 11, 2, 1)], "key long, place int, event_id long, src long, dst long")
     one, two = incidence.fan_incidence(incidence.port_fan(chosen, "key"), "key")
