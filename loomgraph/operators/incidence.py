@@ -45,13 +45,13 @@ def edge_pairs(one: DataFrame, marked: DataFrame, part: int = PART, group: int =
 
     Two columns that share a row meet there, and those that share two meet at the lesser, so every pair is made once, whole, and what is made needn't be gathered again: only the entries cross the network, never the pairs.
     """
-    both = F.sort_array(F.collect_list(F.struct("row", "val")))  # as many as a column has entries
-    few = F.when(F.size("ends") <= 2, F.col("ends")).otherwise(F.raise_error(F.lit("a column has more than two entries")).cast("array<struct<row:string,val:bigint>>"))
-    ends = one.select("col", F.col("row").cast("string").alias("row"), F.col("val").cast("bigint").alias("val")).groupBy("col").agg(both.alias("ends")).select("col", few.alias("ends"))
+    end = F.struct("row", "val")
+    few = F.when(F.col("n") <= 2, F.col("a")).otherwise(F.raise_error(F.lit("a column has more than two entries")).cast("struct<row:string,val:bigint>"))
+    ends = one.select("col", F.col("row").cast("string").alias("row"), F.col("val").cast("bigint").alias("val")).groupBy("col").agg(F.count("*").alias("n"), F.min(end).alias("a"), F.max(end).alias("b"))
     known = marked.select("col", F.lit(True).alias("mark"))
-    ends = staged(ends.join(known, "col", "left").fillna(False, ["mark"]), "ends")
-    at = lambda i, j: F.struct(F.col("ends")[i]["row"].alias("r"), F.col("ends")[i]["val"].alias("x"), F.get("ends", F.lit(j))["row"].alias("o"), F.get("ends", F.lit(j))["val"].alias("y"))
-    entry = ends.where(F.size("ends") > 0).select("col", "mark", F.inline(F.when(F.size("ends") == 2, F.array(at(0, 1), at(1, 0))).otherwise(F.array(at(0, 1)))))
+    ends = staged(ends.select("col", few.alias("a"), F.when(F.col("n") > 1, F.col("b")).alias("b")).join(known, "col", "left").fillna(False, ["mark"]), "ends")
+    at = lambda i, j: F.struct(F.col(i)["row"].alias("r"), F.col(i)["val"].alias("x"), F.col(j)["row"].alias("o"), F.col(j)["val"].alias("y"))
+    entry = ends.select("col", "mark", F.inline(F.when(F.col("b").isNull(), F.array(at("a", "b"))).otherwise(F.array(at("a", "b"), at("b", "a")))))
     return entry_pairs(entry, ~(F.col("mark") & F.col("mark_b")), part, group), entry_pairs(entry.where("mark"), F.lit(True), part, group)
 
 
